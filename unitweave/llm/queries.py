@@ -96,9 +96,9 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length({_ESCAPED.format('text')}) + CASE WHEN before IS NOT DISTINCT FROM role THEN 8 ELSE 23 + length({_ESCAPED.format('role')}) END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
     "op7_top_k": """
-WITH codes AS (SELECT vec_id, list_transform(generate_series(1, 64), i -> coalesce(embedding[i] > 0, false)) AS bits FROM embeddings WHERE vec_id IS NOT NULL),
+WITH codes AS (SELECT vec_id, list_transform(generate_series(1, 64), lambda i: coalesce(embedding[i] > 0, false)) AS bits FROM embeddings WHERE vec_id IS NOT NULL),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, 64), i -> CASE WHEN q.bits[i] <> c.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN q.bits[i] <> c.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM codes q, codes c WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
