@@ -1,10 +1,481 @@
-"""All queries by name, with the SQL that says the same."""
+"""All queries by name over the given tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir, min_df=10):
-    raise NotImplementedError
+from unitweave.functions.columns import KEYWORDS, LEXER, chi2_critical, leaf_value, literal_type, ngrams
+from unitweave.functions.tables import COMMENTS, RESERVED, STATEMENTS, TREE_CODES
+from unitweave.operators import evaluation as ev
+from unitweave.operators import selection as sel
+from unitweave.operators import trees as tr
+from unitweave.operators import units as un
+from unitweave.plans import model as mo
+from unitweave.plans import modules
+from unitweave.plans import testdata as td
+
+MIN_DF, N = 10, 4
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _names(names: list[str]) -> str:
+    return ", ".join(map(_q, names))
+
+
+# Common table expressions of the SQL.
+SAMPLES = "samples AS (SELECT d.doc_id AS sample_id, CASE WHEN l.toxic = 1 THEN 'malicious' WHEN l.toxic = 0 THEN 'benign' ELSE '?' END AS label, d.text AS payload FROM documents d LEFT JOIN labels l USING (doc_id))"
+CLASS = (
+    "CASE WHEN starts_with(t, '//') THEN 10 WHEN starts_with(t, '/*') THEN 11 WHEN length(t) > 1 AND substr(t, 1, 1) IN ('\"', '''') THEN 7 WHEN length(t) > 1 AND starts_with(t, '`') THEN 9 "
+    f"WHEN regexp_matches(t, '^[0-9]') THEN 5 WHEN t IN ('true', 'false') THEN 0 WHEN t = 'null' THEN 4 WHEN t IN ({_names(KEYWORDS)}) THEN 3 WHEN regexp_matches(t, '^[\\p{{L}}_$]') THEN 2 ELSE 6 END"
+)
+
+
+def _lexed(source: str) -> str:
+    return f"units AS (SELECT sample_id, label, list_transform(regexp_extract_all(payload, {_q(LEXER)}), lambda t: {CLASS}) AS units FROM {source})"
+
+
+def _grams(units: str = "units", n: int = N) -> str:
+    return f"""grams AS (SELECT sample_id, label, CASE
+    WHEN len(units) >= {n} THEN list_transform(generate_series(1, len(units) - {n - 1}), lambda i: array_to_string(units[i:i + {n - 1}], ','))
+    WHEN len(units) > 0 THEN [array_to_string(units, ',') || repeat(',_', {n} - len(units))] END AS keys FROM {units})"""
+
+
+COUNTS = "sample_features AS (SELECT sample_id, label, feature, count(*) AS cnt, max(total) AS total FROM (SELECT sample_id, label, unnest(keys) AS feature, len(keys) AS total FROM grams) GROUP BY sample_id, label, feature)"
+CHAIN = f"WITH {SAMPLES}, {_lexed('samples')}, {_grams()}, {COUNTS}"
+TRAIN = f"""{CHAIN}, train AS (SELECT * FROM sample_features WHERE sample_id % 2 = 0), validation AS (SELECT * FROM sample_features WHERE sample_id % 2 = 1),
+doc_freq AS (SELECT label, feature, count(*) AS df FROM train GROUP BY label, feature),
+candidates AS (SELECT DISTINCT feature FROM doc_freq WHERE df > {MIN_DF} AND label IN ('benign', 'malicious')),
+totals AS (SELECT count(DISTINCT CASE WHEN label = 'benign' THEN sample_id END) AS ben, count(DISTINCT CASE WHEN label = 'malicious' THEN sample_id END) AS mal FROM validation),
+present AS (SELECT feature, count(*) FILTER (label = 'benign') AS b, count(*) FILTER (label = 'malicious') AS m FROM validation GROUP BY feature),
+contingency AS (SELECT feature, coalesce(b, 0) AS ben_with, ben - coalesce(b, 0) AS ben_wo, coalesce(m, 0) AS mal_with, mal - coalesce(m, 0) AS mal_wo FROM candidates LEFT JOIN present USING (feature), totals),
+terms AS (SELECT feature, ben_with::DOUBLE AS a, ben_wo::DOUBLE AS b, mal_with::DOUBLE AS c, mal_wo::DOUBLE AS d FROM contingency),
+gaps AS (SELECT *, a + b + c + d AS n, greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0.0) AS gap, (a + b) * (c + d) * (a + c) * (b + d) AS below FROM terms),
+scored AS (SELECT feature, CASE WHEN below = 0 THEN 0.0 ELSE n * gap * gap / below END AS chi2 FROM gaps),
+vocabulary AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS pos FROM scored WHERE chi2 >= {chi2_critical(99)})"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return un.count_ngrams(td.text_units(spark, sf_dir), N)
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    all_ = features(spark, sf_dir)
+    return all_.where("sample_id % 2 = 0"), all_.where("sample_id % 2 = 1")
+
+
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sel.document_frequency(halves(spark, sf_dir)[0])
+
+
+def contingency_table(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
+    train, validation = halves(spark, sf_dir)
+    usable = un.split_usable(td.text_units(spark, sf_dir))[0].where("sample_id % 2 = 1")
+    return sel.contingency(sel.candidate_features(sel.document_frequency(train), min_df), validation, usable)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
+    return sel.select_features(contingency_table(spark, sf_dir, min_df))
+
+
+def flagship(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
+    return sel.scored_features(contingency_table(spark, sf_dir, min_df)).orderBy(F.desc("chi2"), "feature")
+
+
+# Units and counts.
+@query("WITH s AS (SELECT doc_id AS sample_id, text AS payload FROM documents) SELECT sample_id, CAST(octet_length(encode(payload)) AS BIGINT) AS n_bytes FROM s WHERE octet_length(encode(payload)) < 4000")
+def size_filter(spark, sf_dir):
+    return un.size_filter(td.text_samples(spark, sf_dir), 4000).select("sample_id", F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {SAMPLES}, {_lexed('samples')} SELECT sample_id, len(units) AS n_units, array_to_string(units, ',') AS units FROM units")
+def lex_units(spark, sf_dir):
+    return td.text_units(spark, sf_dir).select("sample_id", F.size("units").cast("long").alias("n_units"), F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+
+
+@query(f"WITH scripts AS (SELECT page_id AS sample_id, '?' AS label, array_to_string(regexp_extract_all(html, '<script>([^\\x00]*?)</script>', 1), chr(10)) AS payload FROM pages), {_lexed('scripts')} SELECT sample_id, len(units) AS n_units, array_to_string(units, ',') AS units FROM units")
+def lex_scripts(spark, sf_dir):
+    return un.lex_units(td.script_samples(spark, sf_dir)).select("sample_id", F.size("units").cast("long").alias("n_units"), F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+
+
+EVENT_LABEL = "CASE user_id % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'malicious' ELSE '?' END"
+EVENT_UNITS = f"units AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, list(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END ORDER BY ts, event_id) AS units FROM events GROUP BY user_id)"
+EVENT_VALUES = f"units AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, list(event_type || ':' || coalesce(replace(props, chr(10), ''), '\\N') ORDER BY ts, event_id) AS units FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {EVENT_UNITS} SELECT sample_id, label, array_to_string(units, ',') AS units FROM units")
+def encode_units(spark, sf_dir):
+    return td.event_units(spark, sf_dir).select("sample_id", "label", F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+
+
+@query("""WITH u AS (SELECT user_id AS sample_id, count(*) FILTER (event_type = 'error') AS unknown, list(event_type ORDER BY ts, event_id) AS units FROM events GROUP BY user_id)
+SELECT sample_id, 'usable' AS part, CAST(NULL AS VARCHAR) AS reason FROM u WHERE unknown = 0 UNION ALL SELECT sample_id, 'quarantine', 'unknown unit' FROM u WHERE unknown > 0""")
+def split_usable(spark, sf_dir):
+    codes = {k: v for k, v in td.EVENT_CODES.items() if k != "error"}
+    good, bad = un.split_usable(un.encode_units(un.sequences(td.event_rows(spark, sf_dir), ["ts", "event_id"]), codes))
+    return good.select("sample_id", F.lit("usable").alias("part"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select("sample_id", F.lit("quarantine").alias("part"), "reason"))
+
+
+ORDER_UNITS = "units AS (SELECT l_orderkey AS sample_id, '?' AS label, list(l_partkey % 7 ORDER BY l_linenumber, l_partkey, l_suppkey) AS units FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"WITH {ORDER_UNITS}, {_grams()} SELECT sample_id, array_to_string(keys, ';') AS grams, len(keys) AS total FROM grams")
+def ngrams_padded(spark, sf_dir):
+    keys = ngrams(F.col("units"), N)
+    return td.order_units(spark, sf_dir).select("sample_id", F.array_join(keys, ";").alias("grams"), F.size(keys).cast("long").alias("total"))
+
+
+@query(f"{CHAIN} SELECT * FROM sample_features")
+def count_ngrams(spark, sf_dir):
+    return features(spark, sf_dir)
+
+
+@query(f"WITH {EVENT_UNITS}, {_grams()}, {COUNTS} SELECT * FROM sample_features")
+def count_event_ngrams(spark, sf_dir):
+    return un.count_ngrams(td.event_units(spark, sf_dir), N)
+
+
+@query(f"WITH {EVENT_VALUES}, grams AS (SELECT sample_id, label, units AS keys FROM units), {COUNTS} SELECT * FROM sample_features")
+def count_values(spark, sf_dir):
+    return un.count_values(td.event_values(spark, sf_dir))
+
+
+@query(f"WITH {EVENT_VALUES}, {_grams(n=2)}, {COUNTS} SELECT * FROM sample_features")
+def count_value_ngrams(spark, sf_dir):
+    return un.count_value_ngrams(td.event_values(spark, sf_dir), 2)
+
+
+# Frequencies and selection.
+@query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features WHERE sample_id % 2 = 0 GROUP BY label, feature")
+def document_frequency(spark, sf_dir):
+    return frequencies(spark, sf_dir)
+
+
+@query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features GROUP BY label, feature")
+def merge_document_frequency(spark, sf_dir):
+    train, validation = halves(spark, sf_dir)
+    return sel.merge_document_frequency(sel.document_frequency(train), sel.document_frequency(validation))
+
+
+@query(f"{TRAIN} SELECT label, feature, df FROM doc_freq WHERE df > {MIN_DF}")
+def popular_features(spark, sf_dir):
+    return sel.popular_features(frequencies(spark, sf_dir), MIN_DF)
+
+
+@query(f"{TRAIN} SELECT feature FROM candidates")
+def candidate_features(spark, sf_dir):
+    return sel.candidate_features(frequencies(spark, sf_dir), MIN_DF)
+
+
+@query(f"{TRAIN} SELECT label, feature, df FROM doc_freq ORDER BY df DESC, feature, label LIMIT 20")
+def most_used_features(spark, sf_dir):
+    return sel.most_used_features(frequencies(spark, sf_dir), 20)
+
+
+@query(f"{TRAIN} SELECT label, feature, df FROM doc_freq ORDER BY df, feature, label LIMIT 20")
+def least_used_features(spark, sf_dir):
+    return sel.least_used_features(frequencies(spark, sf_dir), 20)
+
+
+@query(f"{TRAIN} SELECT * FROM contingency")
+def contingency(spark, sf_dir):
+    return contingency_table(spark, sf_dir)
+
+
+@query("SELECT DISTINCT CASE quality WHEN 1 THEN 99 ELSE 95 END AS confidence, CAST(CASE quality WHEN 1 THEN 6.63 ELSE 3.84 END AS DOUBLE) AS critical FROM labels")
+def chi2_critical_values(spark, sf_dir):
+    return td.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, 99).otherwise(95).alias("confidence"), F.when(F.col("quality") == 1, chi2_critical(99)).otherwise(chi2_critical(95)).alias("critical")).distinct()
+
+
+@query(f"{TRAIN} SELECT feature, round(chi2, 9) AS chi2 FROM scored")
+def chi2_statistic(spark, sf_dir):
+    return sel.scored_features(contingency_table(spark, sf_dir)).select("feature", F.round("chi2", 9).alias("chi2"))
+
+
+@query(f"{TRAIN} SELECT feature, pos FROM vocabulary")
+def select_features(spark, sf_dir):
+    return vocabulary(spark, sf_dir)
+
+
+@query(f"{TRAIN} SELECT t.sample_id, t.label, t.feature, t.cnt, t.total, v.pos FROM train t JOIN vocabulary v USING (feature)")
+def lookup_features(spark, sf_dir):
+    return sel.lookup_features(halves(spark, sf_dir)[0], vocabulary(spark, sf_dir))
+
+
+VECTORS = f"""{TRAIN}, known AS (SELECT t.sample_id, t.label, v.pos, t.cnt::DOUBLE / t.total AS weight FROM train t JOIN vocabulary v USING (feature)),
+vectors AS (SELECT * FROM known UNION ALL SELECT DISTINCT sample_id, label, (SELECT count(*) FROM vocabulary)::INTEGER, 1.0 FROM train WHERE sample_id NOT IN (SELECT sample_id FROM known))"""
+
+
+@query(f"{VECTORS} SELECT sample_id, label, pos, weight FROM vectors")
+def feature_vectors(spark, sf_dir):
+    return sel.feature_vectors(halves(spark, sf_dir)[0], vocabulary(spark, sf_dir))
+
+
+@query(f"{VECTORS} SELECT x.sample_id, x.pos, v.feature FROM vectors x JOIN vocabulary v USING (pos)")
+def lookup_positions(spark, sf_dir):
+    vocab = vocabulary(spark, sf_dir)
+    return sel.lookup_positions(sel.feature_vectors(halves(spark, sf_dir)[0], vocab), vocab).select("sample_id", "pos", "feature")
+
+
+@query()
+def to_ml_vectors(spark, sf_dir):
+    vocab = vocabulary(spark, sf_dir)
+    vectors = sel.to_ml_vectors(sel.feature_vectors(halves(spark, sf_dir)[0], vocab), vocab.count())
+    return vectors.select("sample_id", F.col("features").cast("string").alias("features"))
+
+
+# Evaluation over given probabilities.
+PREDICTED = f"""predictions AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, event_type AS module, min(event_id) % 100 / 100.0::DOUBLE AS p_malicious FROM events GROUP BY user_id, event_type),
+decided AS (SELECT *, CASE WHEN p_malicious >= 0.5 THEN 'malicious' ELSE 'benign' END AS predicted FROM predictions)"""
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.predict_with_threshold(td.event_predictions(spark, sf_dir))
+
+
+@query(f"WITH {PREDICTED} SELECT sample_id, label, module, p_malicious, predicted FROM decided")
+def predict_with_threshold(spark, sf_dir):
+    return predicted(spark, sf_dir)
+
+
+@query(f"WITH {PREDICTED} SELECT sample_id, sample_id || ': ' || predicted AS line FROM decided WHERE module = 'click'")
+def prediction_report(spark, sf_dir):
+    return ev.prediction_report(predicted(spark, sf_dir).where("module = 'click'"))
+
+
+AGREE = "agreement AS (SELECT v.sample_id, count(*) FILTER ((CASE WHEN v.p_malicious >= 0.5 THEN 'malicious' ELSE 'benign' END) = p.predicted) AS agreeing, count(*) AS trees FROM predictions v JOIN decided p ON v.sample_id = p.sample_id AND p.module = 'click' GROUP BY v.sample_id)"
+
+
+@query(f"WITH {PREDICTED}, {AGREE} SELECT * FROM agreement")
+def tree_agreement(spark, sf_dir):
+    p = predicted(spark, sf_dir)
+    return ev.tree_agreement(p.select("sample_id", F.col("module").alias("tree"), "p_malicious"), p.where("module = 'click'"))
+
+
+@query(f"""WITH {PREDICTED}, {AGREE} SELECT d.sample_id, d.sample_id || ': ' || d.predicted || ' (' || d.label || ') Proba: [' || printf('%.4f', 1 - d.p_malicious) || ' ' || printf('%.4f', d.p_malicious) || '] Majority: ' || a.agreeing || '/' || a.trees AS line
+FROM decided d JOIN agreement a USING (sample_id) WHERE d.module = 'click'""")
+def prediction_report_verbose(spark, sf_dir):
+    p = predicted(spark, sf_dir).where("module = 'click'")
+    return ev.prediction_report(p.join(tree_agreement(spark, sf_dir), "sample_id"), verbose=True)
+
+
+@query(f"""WITH {PREDICTED}, c AS (SELECT count(*) FILTER (label = 'malicious' AND predicted = 'malicious') AS tp, count(*) FILTER (label = 'benign' AND predicted = 'malicious') AS fp,
+count(*) FILTER (label = 'malicious' AND predicted = 'benign') AS fn, count(*) FILTER (label = 'benign' AND predicted = 'benign') AS tn FROM decided WHERE label <> '?')
+SELECT *, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS detection, tp::DOUBLE / (tp + fn) AS tpr, tn::DOUBLE / (tn + fp) AS tnr FROM c""")
+def detection_score(spark, sf_dir):
+    return ev.detection_score(predicted(spark, sf_dir).where("label <> '?'"))
+
+
+@query(f"""WITH {PREDICTED}, v AS (SELECT sample_id,
+  min(predicted) FILTER (module IN ('click', 'error')) AS lo1, max(predicted) FILTER (module IN ('click', 'error')) AS hi1, count(DISTINCT module) FILTER (module IN ('click', 'error')) AS n1,
+  min(predicted) FILTER (module IN ('signup', 'view')) AS lo2, max(predicted) FILTER (module IN ('signup', 'view')) AS hi2, count(DISTINCT module) FILTER (module IN ('signup', 'view')) AS n2 FROM decided GROUP BY sample_id)
+SELECT sample_id, CASE WHEN n1 = 2 AND lo1 = hi1 THEN lo1 WHEN n2 = 2 AND lo2 = hi2 THEN lo2 ELSE 'forwarded' END AS result, CASE WHEN n1 = 2 AND lo1 = hi1 THEN 1 WHEN n2 = 2 AND lo2 = hi2 THEN 2 ELSE 0 END AS layer FROM v""")
+def vote_modules(spark, sf_dir):
+    return ev.vote_modules(predicted(spark, sf_dir), ["click", "error"], ["signup", "view"])
+
+
+# Trees and edges.
+NODES = """paths AS (
+  SELECT n_nationkey::BIGINT AS sample_id, NULL::BIGINT AS c, NULL::BIGINT AS o, NULL::INTEGER AS l, NULL::BIGINT AS p, NULL::BIGINT AS s, 0 AS depth, 'Program' AS name, NULL AS vname, NULL AS vvalue, NULL AS value_type FROM nation
+  UNION ALL SELECT c_nationkey, c_custkey, NULL, NULL, NULL, NULL, 1, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'IfStatement' WHEN 'BUILDING' THEN 'WhileStatement' WHEN 'FURNITURE' THEN 'ForStatement' WHEN 'MACHINERY' THEN 'SwitchStatement' ELSE 'TryStatement' END, NULL, NULL, NULL FROM customer
+  UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, NULL, NULL, NULL, 2, CASE o_orderstatus WHEN 'O' THEN 'ExpressionStatement' WHEN 'F' THEN 'BlockStatement' ELSE 'SwitchCase' END, NULL, NULL, NULL FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey, 3, CASE WHEN l_returnflag = 'R' THEN 'Identifier' WHEN l_returnflag = 'A' THEN 'Literal' WHEN l_linestatus = 'O' THEN 'Line' ELSE 'CallExpression' END,
+    CASE WHEN l_returnflag = 'R' THEN 'v' || (l_partkey % 50) END, CASE WHEN l_returnflag = 'A' THEN (l_quantity::INTEGER)::VARCHAR END, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 1 THEN 'int' ELSE 'string' END END
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+ids AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY c NULLS FIRST, o NULLS FIRST, l NULLS FIRST, p NULLS FIRST, s NULLS FIRST) - 1 AS INTEGER) AS node_id FROM paths),
+up AS (SELECT *, CASE depth WHEN 1 THEN 0 WHEN 2 THEN last_value(CASE WHEN depth = 1 THEN node_id END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN depth = 2 THEN node_id END IGNORE NULLS) OVER w END AS parent_id,
+  CASE depth WHEN 0 THEN max(node_id) OVER (PARTITION BY sample_id) WHEN 1 THEN max(node_id) OVER (PARTITION BY sample_id, c) WHEN 2 THEN max(node_id) OVER (PARTITION BY sample_id, c, o) ELSE node_id END AS subtree_end
+  FROM ids WINDOW w AS (PARTITION BY sample_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ix AS (SELECT *, CASE WHEN parent_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY sample_id, parent_id ORDER BY node_id) - 1 AS INTEGER) END AS child_ix FROM up),
+kids AS (SELECT sample_id, parent_id AS node_id, count(*) AS n_children FROM ix WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+nodes AS (SELECT ix.*, coalesce(n_children, 0) AS n_children, CASE child_ix WHEN 0 THEN 'body' WHEN 1 THEN 'handler' WHEN 2 THEN 'finalizer' ELSE CASE WHEN child_ix IS NOT NULL THEN 'other' END END AS body FROM ix LEFT JOIN kids USING (sample_id, node_id))"""
+CODES = f"codes AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {v})' for k, v in TREE_CODES.items())}) AS t(name, unit))"
+
+
+@query(f"WITH {NODES} SELECT sample_id, md5(string_agg(name, ',' ORDER BY node_id) FILTER (parent_id IS NOT NULL)) AS units, count(*) FILTER (parent_id IS NOT NULL) AS n_units FROM nodes GROUP BY sample_id")
+def ast_units(spark, sf_dir):
+    return tr.ast_units(td.order_trees(spark, sf_dir)).select("sample_id", F.when(F.size("units") > 0, F.md5(F.array_join("units", ","))).alias("units"), F.size("units").cast("long").alias("n_units"))
+
+
+@query(f"WITH {NODES} SELECT sample_id, node_id, subtree_end - node_id AS descendants FROM nodes")
+def subtree_size(spark, sf_dir):
+    return tr.subtree_size(td.order_trees(spark, sf_dir))
+
+
+CONTEXT = f"""{NODES}, onward AS (SELECT *, first_value(CASE WHEN name = 'Identifier' THEN node_id END IGNORE NULLS) OVER w AS ident_at, first_value(CASE WHEN name = 'Identifier' THEN vname END IGNORE NULLS) OVER w AS ident
+  FROM nodes WINDOW w AS (PARTITION BY sample_id ORDER BY node_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), context AS (SELECT * FROM onward WHERE ident_at <= subtree_end)"""
+
+
+@query(f"WITH {CONTEXT} SELECT sample_id, node_id, name, ident AS value FROM context")
+def context_values(spark, sf_dir):
+    return tr.context_values(td.order_trees(spark, sf_dir)).select("sample_id", "node_id", "name", "value")
+
+
+@query(f"""WITH {CONTEXT}, {CODES}, pairs AS (
+  SELECT sample_id, node_id, CASE value_type WHEN 'string' THEN 'String' ELSE 'Int' END AS name, vvalue AS value FROM nodes WHERE name = 'Literal' AND vvalue IS NOT NULL AND parent_id IS NOT NULL
+  UNION ALL SELECT sample_id, node_id, name, ident FROM context WHERE name <> 'Literal' AND parent_id IS NOT NULL)
+SELECT sample_id, node_id, name, value, unit FROM pairs LEFT JOIN codes USING (name)""")
+def ast_value_features(spark, sf_dir):
+    return tr.ast_value_features(td.order_trees(spark, sf_dir))
+
+
+@query(f"WITH {NODES} SELECT sample_id, node_id, CASE value_type WHEN 'string' THEN 'String' WHEN 'int' THEN 'Int' ELSE 'Literal' END AS literal, coalesce(vvalue, vname) AS leaf FROM nodes WHERE depth = 3")
+def literal_type_and_leaf_value(spark, sf_dir):
+    return td.order_trees(spark, sf_dir).where("depth = 3").select("sample_id", "node_id", literal_type(F.col("value_type"), F.col("attributes")).alias("literal"), leaf_value(F.col("attributes")).alias("leaf"))
+
+
+NEAREST = f"""near AS (SELECT n.sample_id, n.node_id, max(s.node_id) AS statement FROM nodes n LEFT JOIN (SELECT * FROM nodes WHERE name IN ({_names(STATEMENTS)})) s
+  ON n.sample_id = s.sample_id AND s.node_id <= n.node_id AND n.node_id <= s.subtree_end GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {NODES}, up1 AS (SELECT n.sample_id, n.node_id, n.name, p.node_id AS p_id, p.name AS p_name, g.node_id AS g_id, g.name AS g_name FROM nodes n
+  LEFT JOIN nodes p ON n.sample_id = p.sample_id AND n.parent_id = p.node_id LEFT JOIN nodes g ON p.sample_id = g.sample_id AND p.parent_id = g.node_id)
+SELECT sample_id, node_id, CASE WHEN name IN ({_names(STATEMENTS)}) THEN node_id WHEN p_name IN ({_names(STATEMENTS)}) THEN p_id WHEN g_name IN ({_names(STATEMENTS)}) THEN g_id END AS statement FROM up1""")
+def nearest_statement(spark, sf_dir):
+    return tr.nearest_statement(td.order_trees(spark, sf_dir))
+
+
+@query(f"""WITH {NODES}, c AS (SELECT *, lag(node_id) OVER s AS before_id, lag(body) OVER s AS before_body FROM nodes WINDOW s AS (PARTITION BY sample_id, parent_id ORDER BY child_ix)),
+j AS (SELECT c.sample_id, c.node_id AS c_id, c.child_ix AS c_ix, c.body AS c_body, c.before_id, c.before_body, p.node_id AS p_id, p.name AS p_name, p.n_children AS p_n, p.child_ix AS p_ix,
+  pp.name = 'SwitchStatement' AND p.child_ix = pp.n_children - 1 AS p_last, c.name IN ({_names(STATEMENTS)}) AS c_statement, c.name IN ({_names(COMMENTS)}) AS c_comment,
+  CASE WHEN c.name IN ({_names(COMMENTS)}) THEN 'comment c' ELSE 'statement s' END AS link
+  FROM c JOIN nodes p ON c.sample_id = p.sample_id AND c.parent_id = p.node_id JOIN nodes pp ON p.sample_id = pp.sample_id AND p.parent_id = pp.node_id),
+e AS (SELECT *, {tr.EDGE_RULE} AS edge FROM j)
+SELECT sample_id, CASE WHEN p_name = 'SwitchStatement' AND c_ix >= 2 AND NOT c_comment THEN before_id ELSE p_id END AS src, c_id AS dst, split_part(edge, ' ', 1) AS type, split_part(edge, ' ', 2) AS label, c_ix AS ord FROM e WHERE edge IS NOT NULL""")
+def structure_edges(spark, sf_dir):
+    return tr.structure_edges(td.order_trees(spark, sf_dir))
+
+
+IDENTIFIERS = """ids AS (SELECT l_suppkey AS sample_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS pos, 'v' || (l_partkey % 50) AS name, l_returnflag = 'R' AS def, l_returnflag = 'R' AND l_linestatus = 'F' AS fn FROM lineitem),
+linked AS (SELECT *, coalesce(max(CASE WHEN def THEN pos END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(CASE WHEN fn THEN pos END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS begin_id
+  FROM ids WINDOW w AS (PARTITION BY sample_id, name ORDER BY pos))"""
+
+
+@query(f"WITH {IDENTIFIERS} SELECT sample_id, 0 AS scope, name, begin_id, pos AS end_id, 0 AS ord FROM linked WHERE NOT def AND begin_id IS NOT NULL")
+def def_use_edges(spark, sf_dir):
+    return tr.def_use_edges(td.identifier_events(spark, sf_dir))
+
+
+def reserved_words(spark: SparkSession, extra: list[str] = ()) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, [*RESERVED, *extra]))).alias("word")).distinct()
+
+
+@query(f"WITH {IDENTIFIERS} SELECT DISTINCT sample_id, name FROM linked WHERE NOT def AND begin_id IS NULL AND name NOT IN ('v7', 'v8')")
+def undeclared_identifiers(spark, sf_dir):
+    return tr.undeclared_identifiers(td.identifier_events(spark, sf_dir), reserved_words(spark, ["v7", "v8"]))
+
+
+@query()
+def flatten_tree(spark, sf_dir):
+    """Each order of a customer's nation as a tree in JSON, flattened again."""
+    lines = td.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
+    node = lambda x: F.concat(F.lit('{"type":"ExpressionStatement","expression":{"type":"Identifier","name":"v'), (x["l_partkey"] % 50).cast("string"), F.lit('"}}'))
+    trees = lines.select(F.col("l_orderkey").alias("sample_id"), F.concat(F.lit('{"type":"Program","body":['), F.array_join(F.transform("x", node), ","), F.lit("]}")).alias("tree"))
+    return tr.flatten_tree(trees).select("sample_id", "node_id", "parent_id", "child_ix", "n_children", "depth", "subtree_end", "name", "body", F.element_at("attributes", "name").alias("ident"))
+
+
+ORACLE_SQL["flatten_tree"] = """WITH l AS (SELECT l_orderkey AS sample_id, CAST(row_number() OVER w - 1 AS INTEGER) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, 'v' || (l_partkey % 50) AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
+SELECT DISTINCT sample_id, 0 AS node_id, CAST(NULL AS INTEGER) AS parent_id, 0 AS child_ix, n AS n_children, 0 AS depth, 2 * n AS subtree_end, 'Program' AS name, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS VARCHAR) AS ident FROM l
+UNION ALL SELECT sample_id, 2 * k + 1, 0, k, 1, 1, 2 * k + 2, 'ExpressionStatement', 'body', NULL FROM l
+UNION ALL SELECT sample_id, 2 * k + 2, 2 * k + 1, 0, 0, 2, 2 * k + 2, 'Identifier', 'expression', v FROM l"""
+
+
+def _flow(spark, sf_dir, level, features_="ngrams"):
+    nodes = td.order_trees(spark, sf_dir)
+    control = tr.structure_edges(nodes).select("sample_id", "src", "dst", "type", "ord")
+    names = nodes.where("name = 'Identifier'").select("sample_id", F.lit(0).alias("scope"), F.col("node_id").alias("pos"), F.lit(0).alias("k"), F.element_at("attributes", "name").alias("name"), F.when(F.col("child_ix") == 0, "def").otherwise("use").alias("kind"), F.lit(False).alias("is_function"))
+    data = tr.def_use_edges(names, nodes).select("sample_id", "src", "dst", F.lit("data").alias("type"), F.col("end_id").alias("ord"), "begin_id", "end_id")
+    units = tr.flow_units(nodes, control.unionByName(data, allowMissingColumns=True), level, features_)
+    shown = F.transform("units", lambda u: F.concat_ws(":", u["unit"], u["value"])) if features_ == "value" else F.col("units")
+    return units.select("sample_id", F.size("units").cast("long").alias("n_units"), F.md5(F.array_join(shown, ",")).alias("units"))
+
+
+@query()
+def flow_units_cfg(spark, sf_dir):
+    return _flow(spark, sf_dir, "cfg")
+
+
+@query()
+def flow_units_pdg_dfg(spark, sf_dir):
+    return _flow(spark, sf_dir, "pdg-dfg")
+
+
+@query()
+def flow_units_pdg(spark, sf_dir):
+    return _flow(spark, sf_dir, "pdg")
+
+
+@query()
+def flow_units_pdg_value(spark, sf_dir):
+    return _flow(spark, sf_dir, "pdg", "value")
+
+
+# Models and modules. Few trees, and features with a low least frequency, so that small tables have some.
+def trained(spark: SparkSession, sf_dir: str, trees: int = 10):
+    units = td.text_units(spark, sf_dir)
+    train, validation = units.where("sample_id % 2 = 0"), units.where("sample_id % 2 = 1")
+    return modules.train_module(train, validation, min_df=2, confidence=80, trees=trees), validation
+
+
+@query()
+def train_forest(spark, sf_dir):
+    (model, vocab), validation = trained(spark, sf_dir)
+    vectors = sel.to_ml_vectors(sel.feature_vectors(un.count_ngrams(validation), vocab), model.numFeatures - 1)
+    return mo.probabilities(vectors, model)
+
+
+@query()
+def classify_module(spark, sf_dir):
+    (model, vocab), validation = trained(spark, sf_dir)
+    return modules.classify_module(validation, model, vocab)
+
+
+@query()
+def tree_votes(spark, sf_dir):
+    (model, vocab), validation = trained(spark, sf_dir)
+    vectors = sel.to_ml_vectors(sel.feature_vectors(un.count_ngrams(validation), vocab), model.numFeatures - 1)
+    return mo.tree_votes(model, vectors)
+
+
+@query()
+def score_stored_analysis(spark, sf_dir):
+    (model, vocab), validation = trained(spark, sf_dir)
+    return mo.score_stored_analysis(sel.feature_vectors(un.count_ngrams(validation), vocab), model)
+
+
+@query(f"""WITH {EVENT_UNITS}, {_grams()}, {COUNTS}, vals AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, event_type || ':' || coalesce(replace(props, chr(10), ''), '\\N') AS feature, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+everything AS (SELECT 'events' AS level, 'ngrams' AS features, label, feature FROM sample_features UNION ALL SELECT DISTINCT ON (sample_id, feature) 'events', 'value', label, feature FROM vals)
+SELECT level, features, label, feature, count(*) AS df FROM everything GROUP BY ALL""")
+def run_modules(spark, sf_dir):
+    counted = modules.run_modules({("events", "ngrams"): td.event_units(spark, sf_dir), ("events", "value"): td.event_values(spark, sf_dir)})
+    return counted.groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features GROUP BY label, feature")
+def artifact_round_trip(spark, sf_dir):
+    """Document frequencies stored and read again."""
+    import tempfile
+
+    from unitweave.sources.files import read_artifact, write_artifact
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/artifacts"
+    write_artifact(sel.document_frequency(features(spark, sf_dir)), base, "tokens", "ngrams", "frequency")
+    return read_artifact(spark, base, "tokens", "ngrams", "frequency")

@@ -1,0 +1 @@
+"""Fixed tables and column functions."""

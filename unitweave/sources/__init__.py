@@ -1,0 +1 @@
+"""Readers of labelled files and stored artifacts."""
