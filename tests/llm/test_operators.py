@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on whole small tables, and on tables of odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -233,12 +234,15 @@ def test_top_k_equals_brute_force(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(700)] + [(1000 + i, [1.0] * 64) for i in range(40)] + [(2000, None), (None, [1.0]), (2001, [0.5, None])]
     codes = topk.binary_codes(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
     known = {r["vec_id"]: r["code"] & (1 << 64) - 1 for r in codes.collect() if r["vec_id"] is not None}
-    got = defaultdict(list)
-    for r in topk.top_k(codes, codes.where("vec_id % 100 = 0"), k=7).collect():
-        got[r["query_id"]].append((r["rank"], r["distance"], r["vec_id"]))
-    for q in [i for i in known if i % 100 == 0]:
-        best = sorted(((known[q] ^ c).bit_count(), i) for i, c in known.items())[:7]
-        assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(best)]
+    near = [(i, random.Random(i % 3).getrandbits(63) ^ (1 << i % 61)) for i in range(90)]
+    cases = [(codes, known, None), (codes, known, 16), (spark.createDataFrame(near, "vec_id long, code long"), dict(near), 32)]
+    for table, values, width in cases:
+        got = defaultdict(list)
+        for r in topk.top_k(table, table.where("vec_id % 100 = 0"), k=7, width=width).collect():
+            got[r["query_id"]].append((r["rank"], r["distance"], r["vec_id"]))
+        for q in [i for i in values if i % 100 == 0]:
+            best = sorted(((values[q] ^ c).bit_count(), i) for i, c in values.items())[:7]
+            assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(best)]
     assert topk.top_k(codes.limit(0), codes.limit(0)).count() == 0
 
 

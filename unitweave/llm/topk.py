@@ -21,17 +21,24 @@ def binary_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def _segment(code: Column, k: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, k * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    return F.shiftrightunsigned(code, k * width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -> DataFrame:
+def _masks(width: int, r: int) -> Column:
+    """All values of `width` bits of which r are set, as one literal."""
+    return F.expr(f"array({', '.join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), r))})").cast("array<bigint>")
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, distance: the k rows of least (Hamming distance, vec_id) for each query row.
 
     Equal codes are one entry of the index with their number and k least ids, which is all that can be asked of them.
     Round r looks up, in each segment, all values that differ from the query's in exactly r bits. A code that no
     segment has shown after round r is at least segments * (r + 1) away, so a query whose kth distance is less is
-    answered; the others go on. Queries with equal codes are searched once. Segments are as wide as makes their values
-    about as many as the codes: 8, 16 or 32 bits.
+    answered; the others go on. Codes beyond a query's kth distance so far are dropped as they are met. Queries with
+    equal codes are searched once. Segments have `width` bits: by default 8, 16 or 32, so that the lookups of a query
+    and the codes they meet are about as many. Lookups are merge joins: Spark takes the exploded lookups for as small as the queries and would
+    broadcast them.
     Null ids are left out. Fewer than k rows: all of them. Empty tables: no rows. Repeated rows count each.
     """
     dealt = codes.where("vec_id is not null").withColumn("_uw_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -40,25 +47,25 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -
     entry = dealt.withColumn("_uw_nth", nth).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(first), 1, k).alias("ids"))
     entries = write_shared(entry, "entries")
     different, rows = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    width = next((w for w in (8, 16) if different <= 1 << w + 4), 32)
+    width = width or (8 if different <= 1 << 12 else 16 if different <= 1 << 26 else 32)
     segments = bits // width
-    parts = F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("code"), s, width).alias("v")) for s in range(segments)])
-    index = write_shared(entries.select("code", "n", F.explode(parts).alias("p")).select(F.col("p.s").alias("s"), F.col("p.v").alias("v"), "code", "n"), "index")
+    parts = lambda code: F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col(code), s, width).alias("v")) for s in range(segments)]))
+    index = write_shared(entries.select("code", "n", parts("code").alias("p")).select(F.col("p.s").alias("s"), F.col("p.v").alias("v"), "code", "n"), "index")
     asked = queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-    active = write_shared(asked.select("q").distinct(), "active")
+    active = write_shared(asked.select("q", F.lit(bits).alias("kth")).distinct(), "active")
     found: DataFrame | None = None
     for r in range(width + 1):
-        masks = F.array(*[F.lit(sum(1 << b for b in bits_)) for bits_ in combinations(range(width), r)])
-        probes = active.select("q", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("q"), s, width).alias("v")) for s in range(segments)])).alias("p"))
-        probes = probes.select("q", F.col("p.s").alias("s"), F.col("p.v").alias("v"), F.explode(masks).alias("mask")).select("q", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
-        met = probes.join(index, ["s", "v"]).select("q", "code", "n").distinct()
-        met = met.withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
-        found = write_shared(met if found is None else found.union(met.join(found, ["q", "code"], "left_anti")), "found")
-        by_distance = found.groupBy("q", "distance").agg(F.sum("n").alias("n"))
+        probes = active.select("q", "kth", parts("q").alias("p"))
+        probes = probes.select("q", "kth", F.col("p.s").alias("s"), F.col("p.v").alias("v"), F.explode(_masks(width, r)).alias("mask")).select("q", "kth", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+        met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
+        met = met.where(F.col("distance") <= F.col("kth")).select("q", "code", "n", "distance")
+        met = write_shared((met if found is None else met.union(found)).distinct(), "met")
+        by_distance = met.groupBy("q", "distance").agg(F.sum("n").alias("n"))
         upto = by_distance.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy("distance")))
-        kth = upto.where(F.col("upto") >= min(k, rows)).groupBy("q").agg(F.min("distance").alias("kth"))
-        answered = kth.where(F.col("kth") < segments * (r + 1))
-        active = write_shared(active.join(answered, "q", "left_anti"), "active")
+        kth = write_shared(upto.where(F.col("upto") >= min(k, rows)).groupBy("q").agg(F.min("distance").alias("least")), "kth")
+        found = write_shared(met.join(kth, "q", "left").where(F.col("distance") <= F.coalesce("least", "distance")).select("q", "code", "n", "distance"), "found")
+        closer = active.join(kth, "q", "left").where(F.coalesce(F.col("least") >= segments * (r + 1), F.lit(True)))
+        active = write_shared(closer.select("q", F.coalesce("least", "kth").alias("kth")), "active")
         if not active.limit(1).count():
             break
     near = found.join(entries.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
