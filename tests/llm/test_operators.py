@@ -350,6 +350,32 @@ def test_near_duplicates_match_brute_force(spark, sf):
     assert len(wrong) <= 0.002 * len(words), wrong[:10]
 
 
+def test_near_duplicates_of_a_star(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    middle = [word() for _ in range(400)]
+    texts = [middle]
+    for _ in range(1000):
+        copy = list(middle)
+        for at in rng.sample(range(400), 7):
+            copy[at] = word()
+        texts.append(copy)
+    linked = {i for i, w in enumerate(texts) if jaccard(middle, w) >= 0.8}
+    assert len(linked) > 900 and jaccard(texts[1], texts[2]) < 0.8
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in linked) and set(got) == set(range(1001))
+
+
+def test_bins_bound_what_is_shared():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 400, 40_000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.where(rng.random(n) < 0.05, rng.integers(0, 2**63, n).astype(np.uint64), a)
+        assert not near_dup.aligned(a, b) or near_dup.may_align(near_dup.binned(a), near_dup.binned(b))
+    assert not near_dup.may_align(near_dup.binned(a[:400]), near_dup.binned(a[400:800]))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = near_dup.near_duplicate_classes(odd_rows(spark)).collect()
     assert sorted(((r["doc_id"] or 0), r["class_id"] or 0) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9), (10, 10)]

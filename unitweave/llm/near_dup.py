@@ -20,6 +20,8 @@ BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a worker's memory of word hashes before it starts anew.
 WORD_MEMORY = 500_000
+#: Bins of the shingle counts that bound what two texts share; how many times more leaders a bucket has in each round.
+BINS, MORE_LEADERS = 128, 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,6 +77,18 @@ def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, minima: int = MI
     return out.view(np.int64)
 
 
+def binned(hashes: np.ndarray) -> bytes:
+    """Numbers of shingles by hash bin."""
+    counts = np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def may_align(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
+    """Whether the bins leave room for `similarity`: no two texts share more shingles than their bins do."""
+    x, y = (np.frombuffer(v, np.uint8 if len(v) == BINS else np.uint32) for v in (a, b))
+    return bool(np.minimum(x, y).sum(dtype=np.int64) >= similarity / (1 + similarity) * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64))) - 1e-9)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the shingles that can be aligned in order are at least `similarity` of all: m / (len a + len b - m).
 
@@ -115,37 +129,61 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128-bit hash of the words; null if there are none), n (shingles), sketches."""
+    """doc_id, key (128-bit hash of the words; null if there are none), n (shingles), bins, sketches."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for batch in batches:
-            keys, counts, found = [], [], []
+            keys, counts, bins, found = [], [], [], []
             for x in batch.column(1):
                 words = word_hashes(x.as_py() or "", memory)
                 hashes = shingles(words)
                 keys.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
                 counts.append(len(hashes))
+                bins.append(binned(hashes))
                 found.append(order_minhash(labelled(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bins", "sketches"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n int, sketches array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n int, bins binary, sketches array<long>")
 
 
-def _links(entries: DataFrame, nodes_known: DataFrame | None = None) -> DataFrame:
-    """Pairs to verify: each member of a bucket with two leaders of it that hashing picks.
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with most (the bucket's largest component) and outside (how
+    many members are not in it). Both come from partial aggregation, so a bucket is never gathered."""
+    named = members.join(labels.select("node", "root"), "node")
+    by_root = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.max("mates").alias("mates"))
+    buckets = by_root.groupBy("bucket").agg(F.sum("k").alias("k"), F.max(F.struct("k", (-F.col("mates")).alias("m"), "root")).alias("most"))
+    return named.join(buckets.select("bucket", F.col("most.root").alias("most"), (F.col("k") - F.col("most.k")).alias("outside")).where("outside > 0"), "bucket")
 
-    entries: bucket, node, n. Leaders are found by partial aggregation, so a bucket is never gathered, and the pairs
-    grow with its members, not with their square.
+
+def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
+    """Pairs to verify: the members of a bucket with its leaders of other components.
+
+    Leaders stand outside the largest component: the most central member (with the most bucket mates) of each of
+    `leaders` hash slices, or all if they are no more. Then the pairs are all that the bucket has between components,
+    as of any two components one is not the largest.
     """
-    of = lambda seed: F.struct(F.xxhash64("node", "bucket", F.lit(seed)).alias("h"), F.col("node"), F.col("n"))
-    leaders = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(of(1)).alias("x"), F.max(of(1)).alias("y")).where("members > 1")
-    leaders = leaders.select("bucket", F.col("x.node").alias("xn"), F.col("x.n").alias("xc"), F.col("y.node").alias("yn"), F.col("y.n").alias("yc"))
-    both = entries.join(leaders, "bucket").withColumn("l", F.explode(F.array(F.struct(F.col("xn").alias("node"), F.col("xc").alias("n")), F.struct(F.col("yn").alias("node"), F.col("yc").alias("n")))))
-    both = both.where((F.col("node") != F.col("l.node")) & (F.least("n", "l.n") >= F.lit(SIMILARITY) * F.greatest("n", "l.n") - 1e-9))
+    all_lead = F.col("outside") <= leaders
+    slice_ = F.when(~all_lead, F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
+    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "root")).alias("l")
+    leading = placed.where("root != most").groupBy("bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")).agg(best).select("bucket", "l")
+    apart = (F.col("root") != F.col("l.root")) & (F.least("n", "l.n") >= F.lit(similarity) * F.greatest("n", "l.n") - 1e-9)
+    both = placed.select("bucket", "node", "n", "root").join(leading, "bucket").where(apart)
     return both.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bins leave room for the similarity, so that few texts are read for those that do not align."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [may_align(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    bins = lambda end: nodes.select(F.col("node").alias(end), F.col("bins").alias(f"bins_{end}"))
+    return pairs.join(bins("b"), "b").join(bins("a"), "a").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a binary, b binary")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts align. Only texts that stand in a pair are hashed again and joined."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
@@ -193,43 +231,42 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     """doc_id and class_id (least doc_id of its class) of each document; classes are connected by near-duplicate links.
 
     Texts with equal words are one node from the start. Each node has 16 sketches of two minima; nodes that share a
-    sketch are linked to two leaders of that bucket and aligned. Members that did not end in the leader's component
-    meet again in buckets of two shared sketches, with other leaders.
+    sketch are in one bucket. In rounds, the members of a bucket are aligned with its leaders of other components, and
+    found links join components. Each round has more leaders, until all members that are not in the bucket's largest
+    component lead: then no two of a bucket's members are in different classes without having been aligned.
     Null, empty and blank texts have no words: each is a class of its own. Texts of under five words are one shingle.
     Null doc_ids share classes with exact copies only. Repeated rows are exact copies. Empty table: no rows.
     Columns other than doc_id and text are ignored.
     """
     sketches = write_shared(sketched(docs), "sketches")
-    nodes = sketches.where("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")).where("first_id is not null")
+    nodes = sketches.where("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches")).where("first_id is not null")
     nodes = write_shared(nodes, "nodes")
-    shared = nodes.select("node", "n", F.posexplode("sketches").alias("t", "s"))
-    entries = shared.select(F.xxhash64("t", "s").alias("bucket"), "node", "n")
-    pairs = write_shared(_links(entries), "pairs")
-    edges = write_shared(_verified(pairs, nodes, docs, similarity), "verified")
-    labels = components(edges, nodes)
-
-    of = entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", "bucket", F.lit(1)).alias("h"), F.col("node")))["node"].alias("leader")).where("members > 1"), "bucket")
-    named = labels.select("node", F.col("label.node").alias("c"))
-    apart = of.join(named, "node", "left").join(named.select(F.col("node").alias("leader"), F.col("c").alias("lc")), "leader", "left")
-    apart = apart.where((F.col("node") != F.col("leader")) & (F.coalesce("c", "node") != F.coalesce("lc", "leader"))).select("node", "bucket")
-    # a member that a bucket has not linked tries buckets of two sketches: each sketch together with the next one
-    following = lambda: F.struct(F.pmod(F.col("t") + 1, F.lit(SKETCHES)).alias("t"), F.element_at("sketches", (F.pmod(F.col("t") + 1, F.lit(SKETCHES)) + 1).cast("int")).alias("s"))
-    finer = apart.join(nodes.select("node", "n", "sketches"), "node").select("node", "n", "bucket", "sketches", F.posexplode("sketches").alias("t", "s"))
-    finer = finer.where(F.xxhash64("t", "s") == F.col("bucket")).withColumn("u", following())
-    finer = finer.select(F.xxhash64("t", "s", "u.t", "u.s").alias("bucket"), "node", "n")
-    more = write_shared(_links(finer).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    known = nodes.select("node", "first_id").join(labels, "node", "left").select(F.col("node").alias("key"), F.coalesce("label.node", "node").alias("root"), F.coalesce("label.first_id", "first_id").alias("class_id"))
-    if more.limit(1).count():
-        # found links join whole components: only their roots go through the second search
-        roots = lambda end: named.select(F.col("node").alias(end), F.col("c").alias(f"root_{end}"))
-        found = _verified(more, nodes, docs, similarity).join(roots("a"), "a", "left").join(roots("b"), "b", "left")
-        found = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b").distinct()
-        found = write_shared(found, "verified")
-        if found.limit(1).count():
-            merged = components(found, nodes).select(F.col("node").alias("root"), F.col("label.first_id").alias("further"))
-            known = known.join(merged, "root", "left").withColumn("class_id", F.coalesce("further", "class_id"))
-
-    return sketches.select("doc_id", "key").join(known.select("key", "class_id"), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    entries = nodes.select("node", "n", F.posexplode("sketches").alias("t", "s")).select(F.xxhash64("t", "s").alias("bucket"), "node", "n")
+    shared = write_shared(entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "entries")
+    members = shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node")
+    labels = nodes.select("node", F.col("node").alias("root"), F.col("first_id").alias("class_id"))
+    tested, leaders = None, 1
+    while True:
+        placed = write_shared(_placed(members, labels), "members")
+        if not placed.limit(1).count():
+            break
+        pairs = _links(placed, leaders, similarity)
+        pairs = write_shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        possible = write_shared(_possible(pairs, nodes, similarity), "possible")
+        if possible.limit(1).count():
+            # found links join whole components: only their roots go through the search
+            root = lambda end, of=labels: of.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            found = _verified(possible, nodes, docs, similarity).join(root("a"), "a").join(root("b"), "b")
+            found = write_shared(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "verified")
+            if found.limit(1).count():
+                merged = components(found, nodes).select(F.col("node").alias("root"), "label")
+                labels = labels.join(merged, "root", "left").select("node", F.coalesce("label.node", "root").alias("root"), F.coalesce("label.first_id", "class_id").alias("class_id"))
+                labels = write_shared(labels, "labels")
+        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates")
+        leaders *= MORE_LEADERS
+
+    return sketches.select("doc_id", "key").join(labels.select(F.col("node").alias("key"), "class_id"), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
