@@ -179,6 +179,17 @@ def test_quality_limits_follow_exact_quantiles(spark):
         assert r["_uw_limit_symbol_share"] == pytest.approx(q50 + 6 * (q75 - q25), rel=0.06) and r["_uw_limit_dup_line_share"] == 0.3
 
 
+def test_quality_limits_differ_and_decide(spark, sf):
+    docs = common.documents(spark, sf.replace("sf0.001", "sf0.1"))
+    base = docs.select("doc_id", "text", F.concat(F.lit("a"), "lang").alias("_uw_lang"), F.concat(F.lit("a"), "source").alias("_uw_source"))
+    counted = common.write_shared(quality.text_counts(base).drop("text"), "counts").where("n_words >= 50 and 2 * n_repeat_words <= n_words")
+    limits = quality.group_limits(quality.quantile_sketches(counted)).collect()
+    assert len({r["_uw_limit_word_length"] for r in limits}) > 1 and max(r["_uw_limit_word_length"] for r in limits) < 12
+    # refused, though each metric is below the fixed constants
+    harmless = "not base_failed and not kept and n_dup_lines = 0 and n_symbols <= 0.05 * word_chars and n_repeat_words <= 0.3 * n_words and word_chars <= 12 * n_words"
+    assert quality.quality_verdicts(docs).where(harmless).count() > 0
+
+
 def test_quality_keeps_good_labels(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

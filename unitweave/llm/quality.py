@@ -15,8 +15,8 @@ GAMMA = 1.05
 TINY = 1e-4
 #: Groups with fewer documents take the thresholds of their language, small languages those of all documents.
 LEAST_GROUP = 200
-#: metric -> (how many spreads above the median a value may lie, least value that can be refused). The least values keep
-#: a group of near-constant documents from refusing its harmless tail.
+#: metric -> (how many spreads above the median a value may lie, limit of a degenerate sketch). The second is taken only
+#: where the quartiles of a sketch are equal (most values are zero), and never overrides a sketch that has a spread.
 METRICS = {"symbol_share": (6.0, 0.05), "dup_line_share": (6.0, 0.30), "repeat_share": (6.0, 0.30), "word_length": (6.0, 12.0)}
 
 
@@ -71,7 +71,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and metric: n and the limit, median + k * (q75 - q25), read from the sketch."""
+    """Per group and metric: n and the limit, median + k * (q75 - q25), read from the sketch. If both quartiles are equal, the metric's guard."""
     upto = Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys, "metric")
     ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(every))
@@ -79,7 +79,8 @@ def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.struct("bucket", value.alias("v"))))["v"]
     quantiles = ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
     spread, least = (F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[j])])[F.col("metric")] for j in (0, 1))
-    return quantiles.select(*keys, "metric", "n", F.greatest(F.col("q50") + spread * (F.col("q75") - F.col("q25")), least).alias("limit"))
+    limit = F.when(F.col("q75") > F.col("q25"), F.col("q50") + spread * (F.col("q75") - F.col("q25"))).otherwise(least)
+    return quantiles.select(*keys, "metric", "n", limit.alias("limit"))
 
 
 def group_limits(sketches: DataFrame) -> DataFrame:
