@@ -11,13 +11,16 @@ from unitweave.llm.common import write_shared
 SYMBOLS = "[#*$%&|<>]"
 #: Width of a sketch bucket: neighbouring buckets differ by this factor, so a quantile is known to about 2.5 %.
 GAMMA = 1.05
-#: Values below this fall into the sketch's zero bucket.
-TINY = 1e-4
-#: Groups with fewer documents take the thresholds of their language, small languages those of all documents.
-LEAST_GROUP = 200
-#: metric -> (how many spreads above the median a value may lie, limit of a degenerate sketch). The second is taken only
-#: where the quartiles of a sketch are equal (most values are zero), and never overrides a sketch that has a spread.
-METRICS = {"symbol_share": (6.0, 0.05), "dup_line_share": (6.0, 0.30), "repeat_share": (6.0, 0.30), "word_length": (6.0, 12.0)}
+#: Values below this fall into the sketch's zero bucket, whose number is ZERO.
+TINY, ZERO = 1e-4, -(2**30)
+#: metric -> share of a group's documents that its limit leaves below it, as far as the tail decides.
+LEVELS = {"symbol_share": 0.95, "dup_line_share": 0.99, "repeat_share": 0.99, "word_length": 0.95}
+#: Quartile distances above the median within which a value is never refused.
+FENCE = 3.0
+#: A group's limit counts as its number of documents, its parent's (the language's, then the whole's) as this many.
+PRIOR = 200.0
+#: Groups up to this number are broadcast to the documents; more are joined by key with this many salts.
+BROADCAST_GROUPS, SALTS = 50_000, 32
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def quantile_sketches(counted: DataFrame) -> DataFrame:
     Sketches of several groups merge by adding the counts of equal buckets; the order never matters.
     """
     long = counted.select(F.col("_uw_lang"), F.col("_uw_source"), F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metric_values().items()])).alias("m"))
-    bucket = F.when(F.col("m.value") <= TINY, F.lit(-(2**30))).otherwise(F.ceil(F.log(F.col("m.value")) / F.log(F.lit(GAMMA)))).cast("int")
+    bucket = F.when(F.col("m.value") <= TINY, F.lit(ZERO)).otherwise(F.ceil(F.log(F.col("m.value")) / F.log(F.lit(GAMMA)))).cast("int")
     return long.groupBy("_uw_lang", "_uw_source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -71,26 +74,44 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and metric: n and the limit, median + k * (q75 - q25), read from the sketch. If both quartiles are equal, the metric's guard."""
+    """Per group and metric: its documents n, and limit, read from the sketch alone.
+
+    The limit is the quantile of the metric's level, or FENCE quartile distances above the median if that is more: the
+    first lies in the tail that junk makes, the second spares the ordinary tail of a group without junk.
+    """
     upto = Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys, "metric")
     ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(every))
-    value = F.when(F.col("bucket") == -(2**30), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
+    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("metric")]
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.struct("bucket", value.alias("v"))))["v"]
-    quantiles = ranked.groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    spread, least = (F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[j])])[F.col("metric")] for j in (0, 1))
-    limit = F.when(F.col("q75") > F.col("q25"), F.col("q50") + spread * (F.col("q75") - F.col("q25"))).otherwise(least)
-    return quantiles.select(*keys, "metric", "n", limit.alias("limit"))
+    quantiles = ranked.withColumn("level", level).groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(F.lit(0.25)).alias("q25"), at(F.lit(0.5)).alias("q50"), at(F.lit(0.75)).alias("q75"), at(F.col("level")).alias("top"))
+    return quantiles.select(*keys, "metric", "n", F.greatest("top", F.col("q50") + FENCE * (F.col("q75") - F.col("q25"))).alias("limit"))
 
 
 def group_limits(sketches: DataFrame) -> DataFrame:
-    """One row per language and source with a limit for each metric; small groups take a merged sketch's limit."""
+    """One row per language and source with a limit for each metric.
+
+    Limits are weighed with those of the merged sketches above them, by documents: a language leans on the whole, a
+    language and source on its language. Small groups follow their parent, large ones themselves; nothing switches.
+    """
+    shrunk = lambda n, own, parent: (F.col(n) * F.col(own) + PRIOR * F.col(parent)) / (F.col(n) + PRIOR)
     fine = limits(sketches, ["_uw_lang", "_uw_source"])
-    by_lang = limits(merge_sketches(sketches, ["_uw_lang"]), ["_uw_lang"]).select("_uw_lang", "metric", F.col("n").alias("lang_n"), F.col("limit").alias("lang_limit"))
     overall = limits(merge_sketches(sketches, []), []).select("metric", F.col("limit").alias("all_limit"))
-    joined = fine.join(by_lang, ["_uw_lang", "metric"]).join(overall, "metric")
-    limit = F.when(F.col("n") >= LEAST_GROUP, F.col("limit")).when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_limit")).otherwise(F.col("all_limit"))
-    return joined.groupBy("_uw_lang", "_uw_source").agg(*[F.max(F.when(F.col("metric") == m, limit)).alias(f"_uw_limit_{m}") for m in METRICS])
+    by_lang = limits(merge_sketches(sketches, ["_uw_lang"]), ["_uw_lang"]).join(F.broadcast(overall), "metric")  # a row per metric
+    by_lang = by_lang.select("_uw_lang", "metric", shrunk("n", "limit", "all_limit").alias("lang_limit"))
+    joined = fine.join(by_lang, ["_uw_lang", "metric"]).withColumn("limit", shrunk("n", "limit", "lang_limit"))
+    return joined.groupBy("_uw_lang", "_uw_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"_uw_limit_{m}") for m in LEVELS])
+
+
+def with_limits(counted: DataFrame, found: DataFrame) -> DataFrame:
+    """Each document with its group's limits. The groups are counted: few are broadcast, many are joined with salted
+    keys, so that a source with a third of all documents is dealt to many tasks."""
+    keys = ["_uw_lang", "_uw_source"]
+    if found.count() <= BROADCAST_GROUPS:
+        return counted.join(F.broadcast(found), keys, "left")
+    salted = found.withColumn("_uw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return counted.withColumn("_uw_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_uw_salt"], "left")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -100,14 +121,15 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     pass them feed the sketches of their language and source; a document is kept unless one of its metrics lies above
     its group's limit. Needs doc_id, text, lang, source; other columns are ignored.
     Null text: no words, so refused. Null lang or source: a group of its own. Empty table: no rows. Repeated rows
-    count and return each.
+    count and return each. Very long texts are counted whole, inside their row.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("a"), F.col(c)), F.lit("n"))
     base = docs.select("doc_id", "text", key("lang").alias("_uw_lang"), key("source").alias("_uw_source"))
     counted = write_shared(text_counts(base).drop("text"), "counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
-    judged = counted.join(group_limits(quantile_sketches(counted.where("not base_failed"))), ["_uw_lang", "_uw_source"], "left")
+    sketches = write_shared(quantile_sketches(counted.where("not base_failed")), "sketches")
+    judged = with_limits(counted, write_shared(group_limits(sketches), "limits"))
     fine = F.lit(True)
     for name, value in metric_values().items():
         fine = fine & F.coalesce(value <= F.col(f"_uw_limit_{name}"), F.lit(True))
