@@ -14,10 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local
+    mode only: a cluster's machines do not see each other's temporary folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="unitweave-checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/unitweave/{uuid.uuid4().hex}"
 
@@ -34,6 +37,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
+    """Sums of the elements before each element of an array of numbers, as an array of long; in chunks, so that the
+    growing arrays are short and long inputs stay cheap."""
+    fold = lambda items, value: F.aggregate(
+        items, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found")),
+        lambda s, v: F.struct((s["at"] + value(v)).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")),
+    )
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / chunk), F.lit(0)).cast("int")), lambda c: fold(F.slice(x, c * chunk + 1, F.lit(chunk)), lambda v: v.cast("long")))
+    joined = lambda inner: F.flatten(F.zip_with(inner, fold(inner, lambda v: v["at"])["found"], lambda a, b: F.transform(a["found"], lambda y: y + b)))
+    bound = F.transform(F.array(lengths), lambda x: F.transform(F.array(pieces(x)), joined)[0])  # lambda variables hold arrays, made once
+    return F.when(F.size(lengths) > 0, bound[0]).otherwise(F.array().cast("array<bigint>"))
+
+
 def slice_of(columns: Sequence[Column], slices: int) -> Column:
     """A number from 0 to slices - 1 that depends on the row's values alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
