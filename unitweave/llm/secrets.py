@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from hashlib import sha256
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from unitweave.llm.common import write_shared
 
 #: The patterns of the base kinds, in order. Runs below the least length can't hold a match of it.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -17,18 +20,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Words that make a value a candidate, and what may part them.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key)["']?(\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""", re.I | re.A)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: A value is a secret if it would take at least 10 to this power guesses.
-LEAST_GUESSES = 10.0
-#: Common parts of passwords and placeholders, most common first.
+#: A value is a secret if it would take at least 10 to this power guesses; if only a blank parts it from the word before,
+#: 10 to the second power.
+LEAST_GUESSES, LEAST_GUESSES_LOOSE = 10.0, 14.0
+#: The dictionary takes words that make at least one in so many of all words of a corpus, so it has at most so many.
+RAREST = 50_000
+#: Longest span of the guess-cost programme but for words, and longest block of a repeat.
+LONGEST, BLOCK = 64, 8
+#: Common parts of passwords and placeholders, most common first; the words of the corpus rank behind them.
 WORDS = (
     "password pass admin test user login welcome letmein qwerty dragon monkey master secret token example sample changeme default demo hello "
     "love sunshine princess football baseball shadow root guest public private key access temp value your my the null none true false "
     "undefined placeholder dummy foo bar baz string text data config server client api app dev prod stage local host mail com org net http https www"
 ).split()
-RANKS = {w: k + 1 for k, w in enumerate(WORDS)}
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -49,69 +56,96 @@ def neighbours() -> dict[str, set[str]]:
 
 
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+CUT = log10(2)
 
 
 def _alphabet(c: str) -> float:
-    return 10.0 if c.isdigit() else 26.0 if "a" <= c <= "z" or "A" <= c <= "Z" else 33.0
+    return log10(10 if c.isdigit() else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33)
+
+
+@lru_cache(maxsize=1)
+def directions() -> dict[str, int]:
+    """Two neighbouring keys -> direction of the step: along the row to the right 1, to the left -1, across rows 2."""
+    return {a + b: 1 if any(a + b in row for row in KEYBOARD) else -1 if any(b + a in row for row in KEYBOARD) else 2 for a, near in neighbours().items() for b in near}
 
 
-def guess_cost(value: str) -> float:
+class GuessCost:
     """log10 of the guesses for a value: the cheapest way to cut it into known spans and brute-force characters.
 
-    Dynamic programming over end positions. Spans: dictionary words (rank, doubled for capitals and substitutions),
-    dates (days of 120 years), repeats of a block (cost of the block times the count), walks on the keyboard and runs
-    of the alphabet (start, then a choice at each turn), and single characters by their alphabet. Each span after the
-    first costs a factor of 2 for where to cut. Empty value: 0.
+    Dynamic programming over end positions; every span of every length from each place on is offered. Spans: words of
+    the dictionary (rank; twice for capitals, four times for substitutions), dates (days of 120 years), repeats of a
+    block of up to BLOCK characters (the block by brute force, times the count), walks on the keyboard (start and
+    length, four choices at each turn), runs up or down the alphabet or the digits, single characters by their
+    alphabet. Each known span after the first costs a factor of 2 for where to cut. Spans but words have at most
+    LONGEST characters, so time is in proportion to the value. Empty value: 0.
     """
-    n, near = len(value), neighbours()
-    low = value.lower()
-    plain = low.translate(LEET)
-    best = [0.0] + [float("inf")] * n
-    walk = [1] * (n + 1)  # length of the walk that begins here
-    turns = [0] * (n + 1)
-    step = [0] * (n + 1)
-    run = [1] * (n + 1)  # length of the alphabet or number run that begins here
-    for i in range(n - 2, -1, -1):
-        if low[i + 1] in near.get(low[i], ()):
-            d = 1 if any(low[i] + low[i + 1] in row for row in KEYBOARD) else -1 if any(low[i + 1] + low[i] in row for row in KEYBOARD) else 2
-            walk[i] = walk[i + 1] + 1
-            turns[i] = turns[i + 1] + (d != step[i + 1])
-            step[i] = d
-        delta = ord(low[i + 1]) - ord(low[i])
-        if abs(delta) == 1 and low[i].isalnum() and low[i + 1].isalnum():
-            run[i] = run[i + 1] + 1 if run[i + 1] > 1 and ord(low[i + 2]) - ord(low[i + 1]) == delta else 2
-    for i in range(n):
-        here = best[i] + (log10(2) if i else 0.0)
-        single = here + log10(_alphabet(value[i])) - (log10(2) if i else 0.0)
-        if single < best[i + 1]:
-            best[i + 1] = single
-        for length in range(3, min(12, n - i) + 1):
-            word, cost = value[i : i + length], None
-            if low[i : i + length] in RANKS:
-                cost = log10(RANKS[low[i : i + length]] + 1) + (0 if word.islower() else log10(2))
-            elif plain[i : i + length] in RANKS:
-                cost = log10(RANKS[plain[i : i + length]] + 1) + 2 * log10(2)
-            if cost is not None and here + cost < best[i + length]:
-                best[i + length] = here + cost
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            best[m.end()] = min(best[m.end()], here + log10(366 * 120 if m.end() - i > 4 else 120))
-        if walk[i] >= 3:
-            cost = log10(47 * walk[i]) + turns[i] * log10(4)
-            best[i + walk[i]] = min(best[i + walk[i]], here + cost)
-        if run[i] >= 3:
-            best[i + run[i]] = min(best[i + run[i]], here + log10(26 * run[i]))
-        for size in (1, 2, 3, 4):
-            end = i + size
-            while end + size <= n and value[end : end + size] == value[i : i + size]:
-                end += size
-            times = (end - i) // size
-            if times >= (3 if size == 1 else 2):
-                cost = sum(log10(_alphabet(c)) for c in value[i : i + size]) + log10(times)
-                best[end] = min(best[end], here + cost)
-    return best[n]
-
-
-def find_secrets(text: str) -> list[tuple[int, int, int]]:
+
+    def __init__(self, words: Mapping[str, int] | None = None):
+        """words: further dictionary words with their ranks, which count behind WORDS."""
+        self.ranks = {w: r + len(WORDS) for w, r in (words or {}).items()} | {w: k + 1 for k, w in enumerate(WORDS)}
+        self.longest = max(map(len, self.ranks))
+
+    def word(self, part: str, low: str, plain: str) -> float | None:
+        if rank := self.ranks.get(low):
+            return log10(rank + 1) + (0 if part.islower() else CUT)
+        if rank := self.ranks.get(plain):
+            return log10(rank + 1) + 2 * CUT
+        return None
+
+    def __call__(self, value: str) -> float:
+        n, low, steps = len(value), value.lower(), directions()
+        plain = low.translate(LEET)
+        best = [0.0] + [float("inf")] * n
+
+        def offer(end: int, cost: float):
+            if cost < best[end]:
+                best[end] = cost
+
+        for i in range(n):
+            here = best[i] + (CUT if i else 0.0)
+            offer(i + 1, best[i] + _alphabet(value[i]))
+            for end in range(i + 3, min(i + self.longest, n) + 1):
+                cost = self.word(value[i:end], low[i:end], plain[i:end])
+                if cost is not None:
+                    offer(end, here + cost)
+            if value[i].isdigit():
+                for end in (i + 4, i + 8, i + 9, i + 10):
+                    if end <= n and DATE.fullmatch(value, i, end):
+                        offer(end, here + log10(366 * 120 if end - i > 4 else 120))
+            last = min(n, i + LONGEST)
+            turns, before, j = 0, 0, i
+            while j + 1 < last and (d := steps.get(low[j : j + 2])):
+                turns, before, j = turns + (d != before), d, j + 1
+                if j - i >= 2:
+                    offer(j + 1, here + log10(47 * (j - i + 1)) + turns * log10(4))
+            j = i + 1
+            if j < last and low[i].isalnum() and (delta := ord(low[j]) - ord(low[i])) in (1, -1):
+                while j < last and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == delta:
+                    j += 1
+                    if j - i >= 3:
+                        offer(j, here + log10(26 * (j - i)))
+            block = 0.0
+            for size in range(1, min(BLOCK, n - i) + 1):
+                block += _alphabet(value[i + size - 1])
+                end, times = i + size, 1
+                while end + size <= last and value[end : end + size] == value[i : i + size]:
+                    end, times = end + size, times + 1
+                    if times >= (3 if size == 1 else 2):
+                        offer(end, here + block + log10(times))
+        return best[n]
+
+
+def frequent_words(docs: DataFrame, rarest: int = RAREST) -> dict[str, int]:
+    """Word (three or more letters a to z, in either case) -> rank, of the words that make at least 1 in `rarest` of
+    all such words of the documents. So there are at most `rarest`; only they are collected. Ties rank by the word."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word")).where(F.regexp_like("word", F.lit("^[a-z]+$")))
+    counted = write_shared(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") * rarest >= total).collect()
+    return {r["word"]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r["n"], r["word"])))}
+
+
+def find_secrets(text: str, cost: GuessCost) -> list[tuple[int, int, int]]:
     """(start, kind, end) of each span, sorted; kinds by their place in KINDS. Positions are code points."""
     spans = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -120,22 +154,24 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:)]}\"'")
-            if len(value) >= 8 and not value.isalpha() and guess_cost(value) >= LEAST_GUESSES:
-                spans.append((m.start(1), 3, m.start(1) + len(value)))
+            value = m[2].rstrip(".,;:)]}\"'")
+            if len(value) >= 8 and cost(value) >= (LEAST_GUESSES if m[1].strip() else LEAST_GUESSES_LOOSE):
+                spans.append((m.start(2), 3, m.start(2) + len(value)))
     return sorted(spans)
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(docs: DataFrame, words: Mapping[str, int] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document; base spans and those of the method.
 
+    words: the dictionary; by default the frequent words of docs themselves.
     Null and empty texts have no spans. Null doc_ids and repeated rows are scanned like others. Empty table: no rows.
-    Columns other than doc_id and text are ignored.
+    Columns other than doc_id and text are ignored. Very long texts are scanned whole.
     """
+    cost = GuessCost(frequent_words(docs) if words is None else words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find_secrets(x.as_py() or "") for x in batch.column(1)]
+            found = [find_secrets(x.as_py() or "", cost) for x in batch.column(1)]
             join = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
             counts = [pa.array([sum(x[1] == k for x in spans) for spans in found], pa.int64()) for k in range(3)]
             base = [sha256(join([x for x in spans if x[1] < 3]).encode()).hexdigest() for spans in found]
@@ -144,22 +180,27 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(text: str, mark: str = "[SECRET]") -> str:
+def redact(text: str, cost: GuessCost, mark: str = "[SECRET]") -> str:
     out, at = [], 0
-    for start, _, end in find_secrets(text):
+    for start, _, end in find_secrets(text, cost):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret span replaced by a mark (overlapping spans by one); n_chars follows the text."""
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", words: Mapping[str, int] | None = None) -> DataFrame:
+    """The documents with each secret span replaced by a mark (overlapping spans by one); n_chars follows the text.
+
+    All rows and columns stay, in place. Null texts stay null, empty ones empty, and null doc_ids, repeated rows and
+    other columns as they are. Empty table: no rows. words: as for `scan_secrets`.
+    """
     names, at = docs.columns, docs.columns.index("text")
+    cost = GuessCost(frequent_words(docs) if words is None else words)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if (t := x.as_py()) is None else redact(t, mark) for x in batch.column(at)]
+            texts = [None if (t := x.as_py()) is None else redact(t, cost, mark) for x in batch.column(at)]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names and pa.types.is_integer(batch.schema.field("n_chars").type):
