@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import WORD, ranked_in_slices
+from unitweave.llm.common import WORD, ranked_in_slices, write_shared
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -17,6 +17,8 @@ MAX_EPOCHS = 3
 CLASSES_PER_OCTAVE = 8
 #: Hash slices of each (source, size class); a hot source is dealt to all of them.
 SLICES = 64
+#: Random offsets that are drawn for each source; the one whose words come nearest to the target is used.
+OFFSETS = 64
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
@@ -46,34 +48,52 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weig
     Systematic sampling: within a source every document is expected `target / source size` times; documents are laid
     out by size class (so that each stretch of the line is a fair share of large and small ones), their expected
     copies are summed up from the left, one random offset is added, and a document is emitted once per whole number
-    that its stretch crosses. The prefix sums come from counts per (source, size class, hash slice), so no source is
-    gathered, and they depend on values only: reruns agree.
+    that its stretch crosses. Of OFFSETS random offsets each source uses the one whose words come nearest to its
+    target: words taken under each offset are summed up with partial aggregation. The prefix sums come from counts per
+    (source, size class, hash slice), so no source is gathered, and they depend on values only: reruns agree. Texts
+    are read once; windows without partition hold one row per source.
 
     Needs doc_id, text and source; returns doc_id, size, source_size, target, copies, taken and the `carry` columns.
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each. Documents without
-    words may be copied but add nothing. Empty table: no rows. Other columns are ignored unless carried.
+    words may be copied but add nothing. Ties of size and doc_id follow the carried columns. Empty table: no rows.
+    Other columns are ignored unless carried, so their names can't clash.
     """
     extra = [c for c in carry if c != "doc_id"]
+    carried = [f"_uw_carried_{i}" for i in range(len(extra))]
     sized = docs.select(
         "doc_id",
-        *[F.col(c).alias(f"_uw_carried_{i}") for i, c in enumerate(extra)],
+        *[F.col(c).alias(name) for c, name in zip(extra, carried, strict=True)],
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source"))).alias("_uw_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_uw_size"),
     ).withColumn("_uw_class", F.floor(F.log2(F.col("_uw_size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-    ranked, counts = ranked_in_slices(sized, ["_uw_source", "_uw_class"], [F.col("_uw_size"), F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")], slices, "_uw_rank")
-    smaller = Window.partitionBy("_uw_source").orderBy("_uw_class").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_uw_before", F.coalesce(F.sum("n_rows").over(smaller), F.lit(0))).drop("n_rows")
-    starts = starts.join(source_targets(sized, weights, epochs), "_uw_source")
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset")), F.lit(1021)) + 1) / F.lit(1024.0)
-    at = F.col("_uw_before") + F.col("_uw_rank")
-    copies = F.floor((at + 1) * F.col("_uw_rate") + offset) - F.floor(at * F.col("_uw_rate") + offset)
-    mixed = ranked.join(starts, ["_uw_source", "_uw_class"]).withColumn("copies", F.least(copies, F.lit(epochs)).cast("long"))
+    sized = write_shared(sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long")), "sized")
+    order = [F.col("_uw_size"), F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id"), F.col("_uw_content")]
+    keys = ["_uw_source", "_uw_class"]
+
+    def placed(table: DataFrame) -> DataFrame:
+        """Each document with its place on its source's line, and its source's target and rate."""
+        ranked, counts = ranked_in_slices(table, keys, order, slices, "_uw_rank")
+        smaller = Window.partitionBy("_uw_source").orderBy("_uw_class").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("_uw_before", F.coalesce(F.sum("n_rows").over(smaller), F.lit(0))).drop("n_rows").join(targets, "_uw_source")
+        return ranked.join(starts, keys).withColumn("_uw_at", F.col("_uw_before") + F.col("_uw_rank"))
+
+    def crossed(offset):
+        copies = F.floor((F.col("_uw_at") + 1) * F.col("_uw_rate") + offset) - F.floor(F.col("_uw_at") * F.col("_uw_rate") + offset)
+        return F.least(copies, F.lit(epochs)).cast("long")
+
+    targets = write_shared(source_targets(sized, weights, epochs), "targets")
+    drawn = [(k + F.pmod(F.xxhash64(F.lit(seed), F.lit(k)), F.lit(1021)) / F.lit(1021.0)) / F.lit(float(OFFSETS)) for k in range(OFFSETS)]  # one in each 64th
+    words = placed(sized.select("doc_id", *keys, "_uw_size", "_uw_content")).groupBy("_uw_source").agg(F.max("target").alias("_uw_goal"), *[F.sum(crossed(u) * F.col("_uw_size")).alias(f"w{k}") for k, u in enumerate(drawn)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("_uw_goal")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(drawn)]))
+    targets = write_shared(targets.join(words.select("_uw_source", nearest["u"].alias("_uw_offset")), "_uw_source"), "offsets")
+    mixed = placed(sized).withColumn("copies", crossed(F.col("_uw_offset")))
     return mixed.select(
         "doc_id", F.col("_uw_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "copies",
-        (F.col("copies") * F.col("_uw_size")).alias("taken"), *[F.col(f"_uw_carried_{i}").alias(c) for i, c in enumerate(extra)],
+        (F.col("copies") * F.col("_uw_size")).alias("taken"), *[F.col(name).alias(c) for c, name in zip(extra, carried, strict=True)],
     )
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per taken copy, with the given columns."""
+    """One row per taken copy, with the given columns. Nulls, repeated rows and clashing names stay as `mix_sources` has
+    them; documents of no copies and empty tables give no rows."""
     return mixed.where("copies > 0").withColumn("_uw_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
