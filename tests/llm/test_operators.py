@@ -100,7 +100,7 @@ def test_mixing_meets_targets(spark, docs):
             assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
             taken[r["source"]] += r["taken"]
         for s, t in taken.items():
-            assert abs(t - targets[s]) <= max(r["size"] for r in out if r["source"] == s) * 2
+            assert abs(t - targets[s]) <= max(0.05 * targets[s], 0.5 * max(r["size"] for r in out if r["source"] == s)) + 1, (s, t, targets[s])
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs.repartition(3)).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs).collect()}
     assert mixing.mix_sources(empty(spark)).count() == 0
@@ -169,25 +169,57 @@ def test_quality_counts_and_limits(spark, docs):
     assert quality.quality_verdicts(empty(spark)).count() == 0
 
 
-def test_quality_limits_follow_exact_quantiles(spark):
-    rng = np.random.default_rng(3)
-    values = [(f"a{lang}", "as", int(x)) for lang in ("en", "de") for x in rng.integers(0, 400, 500) * (2 if lang == "de" else 1)]
-    table = spark.createDataFrame(values, "_uw_lang string, _uw_source string, n_symbols long").withColumns({"word_chars": F.lit(1000), "n_dup_lines": F.lit(0), "n_lines": F.lit(5), "n_repeat_words": F.lit(0), "n_words": F.lit(200)})
-    for r in quality.group_limits(quality.quantile_sketches(table)).collect():
-        x = np.array([v for lang, _, v in values if lang == r["_uw_lang"]]) / 1000
-        q25, q50, q75 = np.quantile(x, [0.25, 0.5, 0.75])
-        assert r["_uw_limit_symbol_share"] == pytest.approx(q50 + 6 * (q75 - q25), rel=0.06) and r["_uw_limit_dup_line_share"] == 0.3
+def exact_limits(groups):
+    """group (lang, source) -> metric -> limit from exact quantiles (the least value with at least that share below or equal)."""
 
+    def at(x, q):
+        x = sorted(x)
+        return x[max(0, int(np.ceil(q * len(x) - 1e-9)) - 1)]
 
-def test_quality_limits_differ_and_decide(spark, sf):
-    docs = common.documents(spark, sf.replace("sf0.001", "sf0.1"))
-    base = docs.select("doc_id", "text", F.concat(F.lit("a"), "lang").alias("_uw_lang"), F.concat(F.lit("a"), "source").alias("_uw_source"))
-    counted = common.write_shared(quality.text_counts(base).drop("text"), "counts").where("n_words >= 50 and 2 * n_repeat_words <= n_words")
-    limits = quality.group_limits(quality.quantile_sketches(counted)).collect()
-    assert len({r["_uw_limit_word_length"] for r in limits}) > 1 and max(r["_uw_limit_word_length"] for r in limits) < 12
-    # refused, though each metric is below the fixed constants
-    harmless = "not base_failed and not kept and n_dup_lines = 0 and n_symbols <= 0.05 * word_chars and n_repeat_words <= 0.3 * n_words and word_chars <= 12 * n_words"
-    assert quality.quality_verdicts(docs).where(harmless).count() > 0
+    def own(x, level):
+        return max(at(x, level), at(x, 0.5) + quality.FENCE * (at(x, 0.75) - at(x, 0.25)))
+
+    out = {}
+    for m, level in quality.LEVELS.items():
+        whole = own([v[m] for g in groups.values() for v in g], level)
+        by_lang = defaultdict(list)
+        for (lang, _), g in groups.items():
+            by_lang[lang] += [v[m] for v in g]
+        weigh = lambda n, a, b: (n * a + quality.PRIOR * b) / (n + quality.PRIOR)
+        langs = {lang: weigh(len(x), own(x, level), whole) for lang, x in by_lang.items()}
+        for (lang, source), g in groups.items():
+            out.setdefault((lang, source), {})[m] = weigh(len(g), own([v[m] for v in g], level), langs[lang])
+    return out
+
+
+def test_quality_verdicts_follow_exact_quantiles(spark, sf):
+    docs = common.documents(spark, sf.replace("sf0.001", "sf0.01"))
+    groups, metrics, passed = defaultdict(list), {}, {}
+    for r in docs.collect():
+        n, chars, symbols, dup, again = brute_quality(r["text"])
+        passed[r["doc_id"]] = not (n < 50 or 100 * again > 50 * n)
+        lines = sum(bool(words_of(x)) for x in (r["text"] or "").split("\n"))
+        if passed[r["doc_id"]]:
+            metrics[r["doc_id"]] = r["lang"], r["source"], {"symbol_share": symbols / chars, "dup_line_share": dup / lines, "repeat_share": again / n, "word_length": chars / n}
+            groups[r["lang"], r["source"]].append(metrics[r["doc_id"]][2])
+    limits = exact_limits(groups)
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
+    clear = refused = 0
+    for d, (lang, source, values) in metrics.items():
+        margin = {m: values[m] - limits[lang, source][m] for m in values}
+        if all(abs(x) > 0.06 * max(values[m], limits[lang, source][m]) or x == 0 == values[m] for m, x in margin.items()):
+            clear += 1
+            refused += not got[d]
+            assert got[d] == all(x <= 0 for x in margin.values()), (d, margin)
+    assert clear > 0.7 * len(metrics) and refused > 10
+    assert not any(got[d] for d, ok in passed.items() if not ok)
+    assert len({round(x["word_length"], 6) for x in limits.values()}) > 20
+
+
+def test_quality_joins_many_groups_with_salt(spark, docs, monkeypatch):
+    want = Counter(map(tuple, quality.quality_verdicts(docs).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert Counter(map(tuple, quality.quality_verdicts(docs).collect())) == want
 
 
 def test_quality_keeps_good_labels(spark, sf):
@@ -195,17 +227,18 @@ def test_quality_keeps_good_labels(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     out = [(labels[r["doc_id"]], r["kept"], r["n_words"], r["base_failed"]) for r in queries.op4_quality_rules(spark, sf).collect() if r["doc_id"] in labels]
     good = [kept for q, kept, n, failed in out if q and not failed]
-    assert sum(good) >= 0.98 * len(good)
+    assert sum(good) >= 0.97 * len(good)
 
 
 def test_secrets(spark, docs):
-    assert [s[1] for s in secrets.find_secrets("token = abcdefgh AKIA" + "A" * 12 + " " + "0a" * 16)] == [0, 1, 2]
-    assert secrets.find_secrets("ToKeN: short") == [] and secrets.find_secrets("aKey=abcdefgh") == []
-    assert any(s[1] == 3 for s in secrets.find_secrets("the passphrase is xK9#vLq2!tR7w"))
-    assert not secrets.find_secrets("the passphrase is password1234")
-    cost = secrets.guess_cost
+    cost = secrets.GuessCost()
+    find = lambda text: [s[1] for s in secrets.find_secrets(text, cost)]
+    assert find("token = abcdefgh AKIA" + "A" * 12 + " " + "0a" * 16) == [0, 1, 2]
+    assert find("ToKeN: short") == [] and find("aKey=abcdefgh") == []
+    assert find("the passphrase is xK9#vLq2!tR7w") == [3] and find("pwd: kqzxvwjbhgtrmnpl") == [3] and find("secret kqzxvwjb") == []
+    assert find("the passphrase is password1234") == []
     assert cost("") == 0 and cost("password") < cost("pa55word") < cost("kqzxvwjb") and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("20190412") < 6 and cost("abcabcabcabc") < 6
-    assert cost("xK9#vLq2!tR7w") > 15
+    assert cost("xK9#vLq2!tR7w") > 15 and cost("zxcvbnmonkey") < 4.5 and secrets.GuessCost({"ingredients": 900})("ingredients") < 4 < cost("ingredients")
     rows = docs.select("doc_id", "text").collect()
     got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
@@ -220,13 +253,58 @@ def test_secrets(spark, docs):
     assert all("[SECRET]" in clean[k] for k, r in got.items() if r["n_hex"]) and secrets.redact_secrets(odd_rows(spark)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
-def brute_guess_cost_of_parts(value, parts):
-    return secrets.guess_cost(value) <= sum(map(secrets.guess_cost, parts)) + 0.302 * (len(parts) - 1) + 1e-9
+def brute_span_cost(part, known):
+    """Cost of one span by the rules in plain words, infinite if it is no known span."""
+    low, costs = part.lower(), [float("inf")]
+    alphabet = lambda c: np.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
+    plain = "".join(dict(zip("0134578@$!", "oieastbasi", strict=True)).get(c, c) for c in low)
+    if low in known:
+        costs.append(np.log10(known[low] + 1) + (0 if part.islower() else np.log10(2)))
+    elif plain in known:
+        costs.append(np.log10(known[plain] + 1) + 2 * np.log10(2))
+    if re.fullmatch(r"(19|20)\d\d", part):
+        costs.append(np.log10(120))
+    day, month = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])"
+    if re.fullmatch(rf"(19|20)\d\d[-/._]?{month}[-/._]?{day}|{day}[-/._]?{month}[-/._]?(19|20)\d\d", part):
+        costs.append(np.log10(366 * 120))
+    steps = secrets.directions()
+    if len(part) >= 3 and all(low[k : k + 2] in steps for k in range(len(part) - 1)):
+        way = [steps[low[k : k + 2]] for k in range(len(part) - 1)]
+        costs.append(np.log10(47 * len(part)) + (1 + sum(a != b for a, b in zip(way, way[1:], strict=False))) * np.log10(4))
+    if len(part) >= 3 and low.isalnum() and {ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)} in ({1}, {-1}):
+        costs.append(np.log10(26 * len(part)))
+    for size in range(1, len(part)):
+        times, rest = divmod(len(part), size)
+        if not rest and part == part[:size] * times and times >= (3 if size == 1 else 2):
+            costs.append(sum(map(alphabet, part[:size])) + np.log10(times))
+    return min(costs)
+
+
+def brute_guess_cost(value, known):
+    """All ways to cut a value."""
+    if not value:
+        return 0.0
+    single = lambda c: np.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33)
+    least = float("inf")
+    for cuts in range(1 << len(value) - 1):
+        ends = [k + 1 for k in range(len(value) - 1) if cuts >> k & 1] + [len(value)]
+        at, total = 0, 0.0
+        for end in ends:
+            part = value[at:end]
+            as_span = brute_span_cost(part, known) + (np.log10(2) if at else 0.0)
+            total += min(as_span, single(part)) if len(part) == 1 else as_span
+            at = end
+        least = min(least, total)
+    return least
 
 
 def test_guess_cost_is_least():
-    for parts in (["dragon", "2001"], ["qwerty", "xk9#"], ["abcdef", "monkey"], ["aaaa", "1999-12-31", "zz"]):
-        assert brute_guess_cost_of_parts("".join(parts), parts)
+    cost = secrets.GuessCost({"thorn": 7, "north": 3})
+    rng = random.Random(4)
+    parts = ["monkey", "qwe", "zxcv", "abc", "321", "aaa", "1999", "ab", "no", "north", "N0rth", "7", "#", "x", "2019"]
+    values = ["zxcvbnmon", "qwertyab", "aaaa1234", "abababx", "19991231", "pa55word1", "thornorth"] + ["".join(rng.choice(parts) for _ in range(4))[:9] for _ in range(60)]
+    for value in values:
+        assert cost(value) == pytest.approx(brute_guess_cost(value, cost.ranks)), value
 
 
 def test_chats_round_trip(spark):
@@ -285,6 +363,71 @@ def test_personal_data(spark, docs):
     assert pii.find_personal_data(empty(spark)).count() == 0
 
 
+def brute_estimate(votes, n, rounds=3000):
+    """Two-class expectation-maximisation span by span, as plain loops."""
+    rates, prior = {m: list(pii.START[m]) for m in pii.LABELERS}, pii.START_PRIOR
+    for _ in range(rounds):
+        p = []
+        for v in votes:
+            odds = prior / (1 - prior)
+            for m, x in zip(pii.LABELERS, v, strict=True):
+                a, b = rates[m]
+                odds *= a / b if x == 1 else (1 - a) / (1 - b) if x == 0 else 1
+            p.append(odds / (1 + odds))
+        for j, m in enumerate(pii.LABELERS):
+            for c in (0, 1):
+                w = [k * (q if c == 0 else 1 - q) for k, q in zip(n, p, strict=True)]
+                voted = sum(x for x, v in zip(w, votes, strict=True) if v[j] < 2)
+                rates[m][c] = (sum(x for x, v in zip(w, votes, strict=True) if v[j] == 1) + pii.PULL * pii.START[m][c]) / (voted + pii.PULL)
+        prior = (sum(k * q for k, q in zip(n, p, strict=True)) + pii.PULL * pii.START_PRIOR) / (sum(n) + pii.PULL)
+    return p, rates, prior
+
+
+def test_reliabilities_equal_brute_force():
+    rng = np.random.default_rng(8)
+    real = rng.random(400) < 0.4
+    yes = {"rule": (0.9, 0.1), "gazetteer": (0.7, 0.3), "context": (0.6, 0.1), "edges": (0.9, 0.8), "form": (0.95, 0.3)}
+    votes = [tuple(2 if rng.random() < 0.1 else int(rng.random() < yes[m][0 if t else 1]) for m in pii.LABELERS) for t in real]
+    patterns = Counter(votes)
+    p, rates, prior = pii.estimate(np.array(list(patterns)), np.array(list(patterns.values()), float))
+    q, want, share = brute_estimate(list(patterns), list(patterns.values()))
+    assert p == pytest.approx(q, abs=1e-3) and prior == pytest.approx(share, abs=1e-3)
+    assert all(rates[j] == pytest.approx(want[m], abs=1e-3) for j, m in enumerate(pii.LABELERS))
+    verdict = dict(zip(patterns, p > 0.5, strict=True))
+    assert np.mean([verdict[v] == t for v, t in zip(votes, real, strict=True)]) > 0.9
+
+
+PLANTED = [
+    ("My name is John {0}", "name", True), ("contact: Maria {0}", "name", True), ("North {0}", "name", False), ("Über {0}", "name", False), ("Chapter {0} East {0}", "name", False),
+    ("IBAN DE89 3704 0044 0532 0130 00", "iban", True), ("account GB82WEST12345698765432", "iban", True), ("code DE89370400440532013001", "iban", False), ("part XX12ABCD12345678", "iban", False),
+    ("SSN 123-45-6789", "ssn", True), ("social security 219-09-9999", "ssn", True), ("serial 000-12-0000", "ssn", False), ("no 987-00-4321", "ssn", False),
+    ("born 12.03.1980", "birth", True), ("geboren 1975-11-02", "birth", True), ("ratio 45/45/2090", "birth", False), ("build 31-31-2089", "birth", False),
+    ("lives at 12 Baker Street", "address", True), ("Adresse Gartenstraße 14", "address", True), ("Version 12", "address", False), ("Kapitel 3", "address", False), ("5 Apples", "address", False),
+]
+
+
+def test_added_personal_data_on_planted_spans(spark):
+    family = "Miller Novak Rossi Weber Garcia Dubois Keller Jensen Moreau Silva".split()
+    rows, meant = [], {}
+    for k in range(10):
+        for j, (text, kind, real) in enumerate(PLANTED):
+            d = k * 100 + j
+            rows.append((d, f"und {text.format(family[k])}; dann"))
+            meant[d] = kind if real else None
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = {d: {x.split(":")[0] for x in r["spans"].split(",") if x} for d, r in got.items()}
+    caught = [d for d, kind in meant.items() if kind and kind in hits[d]]
+    false = [d for d, kind in meant.items() if not kind and hits[d]]
+    assert len(caught) >= 0.9 * sum(map(bool, meant.values())) and len(false) <= 0.1 * sum(not x for x in meant.values()), (sorted({PLANTED[d % 100][0] for d in meant if meant[d] and d not in caught}), sorted({PLANTED[d % 100][0] for d in false}))
+    assert all(r["n_spans"] == len(hits[d]) for d, r in got.items() if len(hits[d]) < 2)
+
+
+def test_prefix_sums(spark):
+    rows = [(k, list(range(n))) for k, n in enumerate((0, 1, 2, 255, 256, 257, 1000, 5000))] + [(99, None)]
+    for r in spark.createDataFrame(rows, "k int, x array<int>").withColumn("s", common.prefix_sums(F.col("x"))).collect():
+        assert r["s"] == [sum(range(i)) for i in range(len(r["x"] or []))]
+
+
 def test_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
