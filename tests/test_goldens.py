@@ -11,7 +11,7 @@ from unitweave.operators import selection as sel
 from unitweave.operators import trees as tr
 from unitweave.operators import units as un
 from unitweave.sources.files import read_artifact, read_file_list, read_labelled_dirs, write_artifact
-from unitweave.streaming.frequencies import start_frequencies
+from unitweave.streaming.frequencies import read_frequencies, start_frequencies
 
 IDENT = lambda name: {"type": "Identifier", "name": name}
 TREE_A = {"type": "Program", "sourceType": "script", "body": [{
@@ -80,6 +80,108 @@ def test_tree_b(spark, nodes):
     assert tr.flow_units(b, edges, "cfg").first()["units"] == []
 
 
+def statement(kind, *children):
+    return {"type": kind, "body": list(children)}
+
+
+def edges_of(spark, *body):
+    found = tr.flatten_tree(spark.createDataFrame([(1, json.dumps({"type": "Program", "body": list(body)}))], "sample_id long, tree string"))
+    return found, [(r["src"], r["dst"], r["type"], r["label"]) for r in tr.structure_edges(found).orderBy("src", "dst").collect()]
+
+
+def test_switch_visits_own_statements_before_the_next_case(spark):
+    case = lambda *x: {"type": "SwitchCase", "consequent": list(x)}
+    call = lambda name: {"type": "ExpressionStatement", "expression": IDENT(name)}
+    # 1 switch, 2 discriminant, 3 case with statements 4, 6, 8 (identifiers 5, 7, 9), 10 case with statements 11, 13
+    found, edges = edges_of(spark, {"type": "SwitchStatement", "discriminant": IDENT("a"), "cases": [case(call("b"), call("c"), call("d")), case(call("e"), call("f"))]})
+    control = [e for e in edges if e[2] == "control"]
+    assert control == [(1, 3, "control", "e"), (3, 6, "control", "true"), (3, 8, "control", "true"), (3, 10, "control", "false"), (10, 11, "control", "true"), (10, 13, "control", "true")]
+    flow = tr.flow_units(found, tr.structure_edges(found), "cfg").first()["units"]
+    order = [i for i, u in enumerate(flow) if u == "SwitchCase"]
+    own = ["ExpressionStatement", "Identifier"]
+    # the switch and its subtree, the first case and its subtree, its statements as targets, then the second case
+    assert flow[:2] == ["SwitchStatement", "Identifier"] and flow[2] == "SwitchCase" and flow[3:9] == own * 3
+    assert len(order) >= 2 and order[-1] > max(i for i, u in enumerate(flow[: order[-1]]) if u == "ExpressionStatement")
+
+
+def test_second_comment_after_a_comment_has_no_edge(spark):
+    line = {"type": "Line", "value": "x"}
+    test = {"type": "IfStatement", "test": IDENT("a"), "consequent": statement("BlockStatement")}
+    _, edges = edges_of(spark, test | {"comments": [line, line]})
+    assert edges == [(1, 2, "statement", "s"), (1, 3, "control", "true"), (1, 4, "comment", "c")]
+    _, edges = edges_of(spark, test | {"alternate": statement("BlockStatement"), "comments": [line]})
+    assert edges == [(1, 2, "statement", "s"), (1, 3, "control", "true"), (1, 4, "control", "false"), (1, 5, "comment", "c")]
+
+
+def test_bad_trees_give_no_rows(spark):
+    good = json.dumps({"type": "Program", "body": [{"type": "Literal", "value": []}, {"type": "Literal", "value": {"a": 1}}]})
+    bad = ["[" * 100_000, '{"type": 5}', '{"type":"Program","body":[{"type":{}}]}', "[]", "3", '"x"', "{", None, ""]
+    found = tr.flatten_tree(spark.createDataFrame([(0, good)] + [(i + 1, t) for i, t in enumerate(bad)], "sample_id long, tree string"))
+    assert rows(found, "sample_id", "node_id", "name") == [(0, 0, "Program"), (0, 1, "Literal"), (0, 2, "Literal")]
+    assert tr.flatten_tree(spark.createDataFrame([], "sample_id long, tree string")).count() == 0
+
+
+def recursive_walk(parents, name, edges, kinds):
+    """Flow units by plain recursion over one sample."""
+    below = {n: [c for c in sorted(parents) if parents[c] == n] for n in parents}
+    units = []
+    for kind in kinds:
+        out = {n: sorted((d for s, d, t in edges if s == n and t == kind)) for n in parents}
+        walked, emitted = set(), set()
+
+        def write_below(x):
+            for y in below[x]:
+                if y not in emitted:
+                    emitted.add(y)
+                    units.append(name[y])
+                    write_below(y)
+
+        def visit(x):
+            if out[x]:
+                emitted.add(x)
+                units.append(name[x])
+                write_below(x)
+            for y in out[x]:
+                if not out[y] or y in walked:
+                    units.append(name[y])
+                if y not in walked:
+                    walked.add(y)
+                    emitted.add(y)
+                    write_below(y)
+                    visit(y)
+
+        for x in sorted(parents):
+            if parents[x] is not None and x not in walked:
+                visit(x)
+    return units
+
+
+def test_flow_units_equal_recursion(spark, sf):
+    from unitweave import catalog
+    from unitweave.plans import testdata as td
+
+    nodes = td.order_trees(spark, sf).cache()
+    edges = tr.structure_edges(nodes).cache()
+    got = {r["sample_id"]: r["units"] for r in tr.flow_units(nodes, edges, "cfg").collect()}
+    by_sample, of = {}, {}
+    for r in nodes.collect():
+        by_sample.setdefault(r["sample_id"], []).append(r)
+    for e in edges.collect():
+        of.setdefault(e["sample_id"], []).append((e["src"], e["dst"], e["type"]))
+    assert set(got) == set(by_sample) and any(got.values())
+    for sample, some in by_sample.items():
+        want = recursive_walk({r["node_id"]: r["parent_id"] for r in some}, {r["node_id"]: r["name"] for r in some}, of.get(sample, []), ["control"])
+        assert got[sample] == want, sample
+    assert catalog.flow_edges(nodes).where("type = 'data'").count() > 0
+
+
+def test_texts_are_lexed_once(spark, sf):
+    from unitweave import catalog
+
+    plan = catalog.count_ngrams(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_identifier_events(spark):
     cases = [
         ([("a", 1, 0, "def", False), ("a", 2, 0, "def", False), ("a", 3, 0, "use", False)], [(2, 3)]), ([("x", 1, 0, "def", False), ("x", 5, 0, "def", False), ("x", 6, 0, "use", False)], [(5, 6)]),
@@ -131,7 +233,8 @@ def test_files(spark, tmp_path):
     got = read_labelled_dirs(spark, [f"{tmp_path}/x", f"{tmp_path}/y"], ["benign", "malicious"], recursive=True)
     assert rows(got, "label", "payload", "size_bytes") == [("benign", "b\nc", 3), ("benign", "var a;", 6), ("malicious", "d", 1)]
     (tmp_path / "list.txt").write_text(f"{tmp_path}/x/1.js\n{tmp_path}/y/sub/3.js\n")
-    assert rows(read_file_list(spark, f"{tmp_path}/list.txt", "benign"), "label", "payload") == [("benign", "d"), ("benign", "var a;")]
+    for base in (None, str(tmp_path)):
+        assert rows(read_file_list(spark, f"{tmp_path}/list.txt", "benign", base), "label", "payload") == [("benign", "d"), ("benign", "var a;")]
     assert rows(read_labelled_dirs(spark, [], files=[f"{tmp_path}/x/1.js"]), "label") == [("?",)]
     write_artifact(got, f"{tmp_path}/out", "tokens", "ngrams", "vectors")
     assert read_artifact(spark, f"{tmp_path}/out", "tokens", "ngrams", "vectors").count() == 3
@@ -141,5 +244,8 @@ def test_stream_equals_batch(spark, tmp_path):
     units = spark.createDataFrame([(1, "benign", [1, 2, 3]), (2, "benign", [1, 2]), (3, "malicious", [1, 2])], "sample_id long, label string, units array<int>")
     units.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(units.schema).parquet(f"{tmp_path}/in")
-    start_frequencies(stream, "frequencies", f"{tmp_path}/checkpoint", n=2).awaitTermination(60)
-    assert rows(spark.table("frequencies"), "label", "feature", "df") == rows(sel.document_frequency(un.count_ngrams(units, 2)), "label", "feature", "df")
+    for _ in range(2):  # new samples raise what is there
+        start_frequencies(stream, f"{tmp_path}/frequencies", f"{tmp_path}/checkpoint", n=2).awaitTermination(60)
+        found = read_frequencies(spark, f"{tmp_path}/frequencies")
+        assert rows(found, "label", "feature", "df") == rows(sel.document_frequency(un.count_ngrams(spark.read.parquet(f"{tmp_path}/in").withColumn("sample_id", F.monotonically_increasing_id()), 2)), "label", "feature", "df")
+        units.write.mode("append").parquet(f"{tmp_path}/in")

@@ -16,8 +16,12 @@ from unitweave.operators import units as un
 from unitweave.plans import model as mo
 from unitweave.plans import modules
 from unitweave.plans import testdata as td
+from unitweave.sources.files import read_artifact, read_file_list, read_labelled_dirs, shared_folder, store, write_artifact
+from unitweave.streaming.frequencies import read_frequencies, start_frequencies
 
-MIN_DF, N = 10, 4
+#: Least document frequency (exclusive), confidence and trees of the queries: below the library's 10, 99 and 500, so that
+#: the small tables have dozens of features and fits take seconds.
+MIN_DF, CONFIDENCE, TREES, N = 1, 50, 20, 4
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,7 +74,7 @@ contingency AS (SELECT feature, coalesce(b, 0) AS ben_with, ben - coalesce(b, 0)
 terms AS (SELECT feature, ben_with::DOUBLE AS a, ben_wo::DOUBLE AS b, mal_with::DOUBLE AS c, mal_wo::DOUBLE AS d FROM contingency),
 gaps AS (SELECT *, a + b + c + d AS n, greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0.0) AS gap, (a + b) * (c + d) * (a + c) * (b + d) AS below FROM terms),
 scored AS (SELECT feature, CASE WHEN below = 0 THEN 0.0 ELSE n * gap * gap / below END AS chi2 FROM gaps),
-vocabulary AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS pos FROM scored WHERE chi2 >= {chi2_critical(99)})"""
+vocabulary AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS pos FROM scored WHERE chi2 >= {chi2_critical(CONFIDENCE)})"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +82,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    all_ = features(spark, sf_dir)
+    """Feature counts of training and validation samples. Texts are lexed and counted once, into a stored table."""
+    all_ = store(features(spark, sf_dir), "counts")
     return all_.where("sample_id % 2 = 0"), all_.where("sample_id % 2 = 1")
 
 
@@ -86,14 +91,18 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.document_frequency(halves(spark, sf_dir)[0])
 
 
+def contingency_of(train: DataFrame, validation: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+    """Usable samples are those with features."""
+    return sel.contingency(sel.candidate_features(sel.document_frequency(train), min_df), validation, validation.select("sample_id", "label").distinct())
+
+
 def contingency_table(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
-    train, validation = halves(spark, sf_dir)
-    usable = un.split_usable(td.text_units(spark, sf_dir))[0].where("sample_id % 2 = 1")
-    return sel.contingency(sel.candidate_features(sel.document_frequency(train), min_df), validation, usable)
+    return contingency_of(*halves(spark, sf_dir), min_df)
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
-    return sel.select_features(contingency_table(spark, sf_dir, min_df))
+def train_and_vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    train, validation = halves(spark, sf_dir)
+    return train, store(sel.select_features(contingency_of(train, validation), CONFIDENCE), "vocabulary")
 
 
 def flagship(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
@@ -212,12 +221,12 @@ def chi2_statistic(spark, sf_dir):
 
 @query(f"{TRAIN} SELECT feature, pos FROM vocabulary")
 def select_features(spark, sf_dir):
-    return vocabulary(spark, sf_dir)
+    return train_and_vocabulary(spark, sf_dir)[1]
 
 
 @query(f"{TRAIN} SELECT t.sample_id, t.label, t.feature, t.cnt, t.total, v.pos FROM train t JOIN vocabulary v USING (feature)")
 def lookup_features(spark, sf_dir):
-    return sel.lookup_features(halves(spark, sf_dir)[0], vocabulary(spark, sf_dir))
+    return sel.lookup_features(*train_and_vocabulary(spark, sf_dir))
 
 
 VECTORS = f"""{TRAIN}, known AS (SELECT t.sample_id, t.label, v.pos, t.cnt::DOUBLE / t.total AS weight FROM train t JOIN vocabulary v USING (feature)),
@@ -226,19 +235,19 @@ vectors AS (SELECT * FROM known UNION ALL SELECT DISTINCT sample_id, label, (SEL
 
 @query(f"{VECTORS} SELECT sample_id, label, pos, weight FROM vectors")
 def feature_vectors(spark, sf_dir):
-    return sel.feature_vectors(halves(spark, sf_dir)[0], vocabulary(spark, sf_dir))
+    return sel.feature_vectors(*train_and_vocabulary(spark, sf_dir))
 
 
 @query(f"{VECTORS} SELECT x.sample_id, x.pos, v.feature FROM vectors x JOIN vocabulary v USING (pos)")
 def lookup_positions(spark, sf_dir):
-    vocab = vocabulary(spark, sf_dir)
-    return sel.lookup_positions(sel.feature_vectors(halves(spark, sf_dir)[0], vocab), vocab).select("sample_id", "pos", "feature")
+    train, vocab = train_and_vocabulary(spark, sf_dir)
+    return sel.lookup_positions(sel.feature_vectors(train, vocab), vocab).select("sample_id", "pos", "feature")
 
 
 @query()
 def to_ml_vectors(spark, sf_dir):
-    vocab = vocabulary(spark, sf_dir)
-    vectors = sel.to_ml_vectors(sel.feature_vectors(halves(spark, sf_dir)[0], vocab), vocab.count())
+    train, vocab = train_and_vocabulary(spark, sf_dir)
+    vectors = sel.to_ml_vectors(sel.feature_vectors(train, vocab), vocab.count())
     return vectors.select("sample_id", F.col("features").cast("string").alias("features"))
 
 
@@ -294,19 +303,19 @@ def vote_modules(spark, sf_dir):
 
 # Trees and edges.
 NODES = """paths AS (
-  SELECT n_nationkey::BIGINT AS sample_id, NULL::BIGINT AS c, NULL::BIGINT AS o, NULL::INTEGER AS l, NULL::BIGINT AS p, NULL::BIGINT AS s, 0 AS depth, 'Program' AS name, NULL AS vname, NULL AS vvalue, NULL AS value_type FROM nation
-  UNION ALL SELECT c_nationkey, c_custkey, NULL, NULL, NULL, NULL, 1, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'IfStatement' WHEN 'BUILDING' THEN 'WhileStatement' WHEN 'FURNITURE' THEN 'ForStatement' WHEN 'MACHINERY' THEN 'SwitchStatement' ELSE 'TryStatement' END, NULL, NULL, NULL FROM customer
-  UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, NULL, NULL, NULL, 2, CASE o_orderstatus WHEN 'O' THEN 'ExpressionStatement' WHEN 'F' THEN 'BlockStatement' ELSE 'SwitchCase' END, NULL, NULL, NULL FROM orders JOIN customer ON o_custkey = c_custkey
-  UNION ALL SELECT c_nationkey, c_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey, 3, CASE WHEN l_returnflag = 'R' THEN 'Identifier' WHEN l_returnflag = 'A' THEN 'Literal' WHEN l_linestatus = 'O' THEN 'Line' ELSE 'CallExpression' END,
+  SELECT c_custkey::BIGINT AS sample_id, NULL::BIGINT AS c, NULL::BIGINT AS o, NULL::INTEGER AS l, NULL::BIGINT AS p, NULL::BIGINT AS s, 0 AS depth, 'Program' AS name, NULL AS vname, NULL AS vvalue, NULL AS value_type FROM customer
+  UNION ALL SELECT c_custkey, c_custkey, NULL, NULL, NULL, NULL, 1, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'IfStatement' WHEN 'BUILDING' THEN 'WhileStatement' WHEN 'FURNITURE' THEN 'ForStatement' WHEN 'MACHINERY' THEN 'SwitchStatement' ELSE 'TryStatement' END, NULL, NULL, NULL FROM customer
+  UNION ALL SELECT c_custkey, c_custkey, o_orderkey, NULL, NULL, NULL, 2, CASE o_orderstatus WHEN 'O' THEN 'ExpressionStatement' WHEN 'F' THEN 'BlockStatement' ELSE 'SwitchCase' END, NULL, NULL, NULL FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT c_custkey, c_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey, 3, CASE WHEN l_returnflag = 'R' THEN 'Identifier' WHEN l_returnflag = 'A' THEN 'Literal' WHEN l_linestatus = 'O' THEN 'Line' ELSE 'CallExpression' END,
     CASE WHEN l_returnflag = 'R' THEN 'v' || (l_partkey % 50) END, CASE WHEN l_returnflag = 'A' THEN (l_quantity::INTEGER)::VARCHAR END, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 1 THEN 'int' ELSE 'string' END END
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-ids AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY c NULLS FIRST, o NULLS FIRST, l NULLS FIRST, p NULLS FIRST, s NULLS FIRST) - 1 AS INTEGER) AS node_id FROM paths),
+ids AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY c NULLS FIRST, o NULLS FIRST, l NULLS FIRST, p NULLS FIRST, s NULLS FIRST, name, vname NULLS FIRST, vvalue NULLS FIRST) - 1 AS INTEGER) AS node_id FROM paths),
 up AS (SELECT *, CASE depth WHEN 1 THEN 0 WHEN 2 THEN last_value(CASE WHEN depth = 1 THEN node_id END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN depth = 2 THEN node_id END IGNORE NULLS) OVER w END AS parent_id,
   CASE depth WHEN 0 THEN max(node_id) OVER (PARTITION BY sample_id) WHEN 1 THEN max(node_id) OVER (PARTITION BY sample_id, c) WHEN 2 THEN max(node_id) OVER (PARTITION BY sample_id, c, o) ELSE node_id END AS subtree_end
   FROM ids WINDOW w AS (PARTITION BY sample_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ix AS (SELECT *, CASE WHEN parent_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY sample_id, parent_id ORDER BY node_id) - 1 AS INTEGER) END AS child_ix FROM up),
 kids AS (SELECT sample_id, parent_id AS node_id, count(*) AS n_children FROM ix WHERE parent_id IS NOT NULL GROUP BY 1, 2),
-nodes AS (SELECT ix.*, coalesce(n_children, 0) AS n_children, CASE child_ix WHEN 0 THEN 'body' WHEN 1 THEN 'handler' WHEN 2 THEN 'finalizer' ELSE CASE WHEN child_ix IS NOT NULL THEN 'other' END END AS body FROM ix LEFT JOIN kids USING (sample_id, node_id))"""
+nodes AS MATERIALIZED (SELECT ix.*, coalesce(n_children, 0) AS n_children, CASE child_ix WHEN 0 THEN 'body' WHEN 1 THEN 'handler' WHEN 2 THEN 'finalizer' ELSE CASE WHEN child_ix IS NOT NULL THEN 'other' END END AS body FROM ix LEFT JOIN kids USING (sample_id, node_id))"""
 CODES = f"codes AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {v})' for k, v in TREE_CODES.items())}) AS t(name, unit))"
 
 
@@ -342,10 +351,6 @@ def literal_type_and_leaf_value(spark, sf_dir):
     return td.order_trees(spark, sf_dir).where("depth = 3").select("sample_id", "node_id", literal_type(F.col("value_type"), F.col("attributes")).alias("literal"), leaf_value(F.col("attributes")).alias("leaf"))
 
 
-NEAREST = f"""near AS (SELECT n.sample_id, n.node_id, max(s.node_id) AS statement FROM nodes n LEFT JOIN (SELECT * FROM nodes WHERE name IN ({_names(STATEMENTS)})) s
-  ON n.sample_id = s.sample_id AND s.node_id <= n.node_id AND n.node_id <= s.subtree_end GROUP BY 1, 2)"""
-
-
 @query(f"""WITH {NODES}, up1 AS (SELECT n.sample_id, n.node_id, n.name, p.node_id AS p_id, p.name AS p_name, g.node_id AS g_id, g.name AS g_name FROM nodes n
   LEFT JOIN nodes p ON n.sample_id = p.sample_id AND n.parent_id = p.node_id LEFT JOIN nodes g ON p.sample_id = g.sample_id AND p.parent_id = g.node_id)
 SELECT sample_id, node_id, CASE WHEN name IN ({_names(STATEMENTS)}) THEN node_id WHEN p_name IN ({_names(STATEMENTS)}) THEN p_id WHEN g_name IN ({_names(STATEMENTS)}) THEN g_id END AS statement FROM up1""")
@@ -353,13 +358,35 @@ def nearest_statement(spark, sf_dir):
     return tr.nearest_statement(td.order_trees(spark, sf_dir))
 
 
-@query(f"""WITH {NODES}, c AS (SELECT *, lag(node_id) OVER s AS before_id, lag(body) OVER s AS before_body FROM nodes WINDOW s AS (PARTITION BY sample_id, parent_id ORDER BY child_ix)),
-j AS (SELECT c.sample_id, c.node_id AS c_id, c.child_ix AS c_ix, c.body AS c_body, c.before_id, c.before_body, p.node_id AS p_id, p.name AS p_name, p.n_children AS p_n, p.child_ix AS p_ix,
-  pp.name = 'SwitchStatement' AND p.child_ix = pp.n_children - 1 AS p_last, c.name IN ({_names(STATEMENTS)}) AS c_statement, c.name IN ({_names(COMMENTS)}) AS c_comment,
-  CASE WHEN c.name IN ({_names(COMMENTS)}) THEN 'comment c' ELSE 'statement s' END AS link
-  FROM c JOIN nodes p ON c.sample_id = p.sample_id AND c.parent_id = p.node_id JOIN nodes pp ON p.sample_id = pp.sample_id AND p.parent_id = pp.node_id),
-e AS (SELECT *, {tr.EDGE_RULE} AS edge FROM j)
-SELECT sample_id, CASE WHEN p_name = 'SwitchStatement' AND c_ix >= 2 AND NOT c_comment THEN before_id ELSE p_id END AS src, c_id AS dst, split_part(edge, ' ', 1) AS type, split_part(edge, ' ', 2) AS label, c_ix AS ord FROM e WHERE edge IS NOT NULL""")
+#: The edges to children as a table: parent, first and last place of the child, what the child must be, type, label.
+ANY, FORS, IFS = 2**30, ("ForStatement", "ForOfStatement", "ForInStatement"), ("IfStatement", "ConditionalExpression")
+LINKS = (("comment", "comment", "c"), ("no comment", "statement", "s"))
+EDGE_TABLE = [
+    ("DoWhileStatement", 0, 0, "any", "control", "true"), *[("DoWhileStatement", 1, 1, *x) for x in LINKS], ("DoWhileStatement", 2, 2, "comment", "comment", "c"),
+    *[(p, 0, ANY, *x) for p in FORS for x in (("body, no comment", "control", "true"), ("no body, comment", "comment", "c"), ("no body, no comment", "statement", "s"))],
+    *[(p, *x) for p in IFS for x in ((1, 1, "any", "control", "true"), (2, 2, "comment", "comment", "c"), (2, 2, "no comment", "control", "false"), (3, 3, "comment after no comment", "comment", "c"))],
+    *[(p, 0, 0, *x) for p in (*IFS, "WhileStatement", "SwitchStatement") for x in LINKS],
+    ("TryStatement", 0, 0, "any", "control", "true"), ("TryStatement", 1, 1, "handler", "control", "false"), ("TryStatement", 1, 1, "no handler", "control", "e"),
+    ("TryStatement", 2, 2, "finalizer", "control", "e"), ("TryStatement", 2, 2, "comment, no finalizer", "comment", "c"), ("TryStatement", 3, 3, "comment after finalizer", "comment", "c"),
+    ("WhileStatement", 1, 1, "any", "control", "true"), ("WhileStatement", 2, 2, "comment", "comment", "c"),
+    ("SwitchStatement", 1, 1, "any", "control", "e"), ("SwitchStatement", 2, ANY, "comment", "comment", "c"), ("SwitchStatement", 2, ANY, "no comment", "control", "false"),
+    ("only in case", 0, 0, "any", "control", "true"), ("last case", 0, ANY, "comment", "comment", "c"), ("last case", 0, ANY, "no comment", "control", "true"),
+    *[("case", 0, 0, *x) for x in LINKS], ("case", 1, ANY, "comment", "comment", "c"), ("case", 1, ANY, "no comment", "control", "true"),
+    ("other", 0, ANY, "plain statement", "control", "e"), *[("other", 0, ANY, f"no statement, {x[0]}", *x[1:]) for x in LINKS],
+]
+RULES = f"rules AS (SELECT * FROM (VALUES {', '.join(str(r) for r in EDGE_TABLE)}) AS t(parent, low, high, what, type, label))"
+
+
+@query(f"""WITH {NODES}, {RULES}, c AS (SELECT *, lag(node_id) OVER s AS before_id, lag(body) OVER s AS before_body, lag(name) OVER s AS before_name FROM nodes WINDOW s AS (PARTITION BY sample_id, parent_id ORDER BY child_ix)),
+marked AS (SELECT *, CASE WHEN name IN ({_names(COMMENTS)}) THEN 'comment' ELSE 'no comment' END AS k FROM c),
+traits AS (SELECT sample_id, node_id, parent_id, child_ix, name, before_id, k, ['any', k,
+  CASE WHEN body = 'body' THEN 'body, ' ELSE 'no body, ' END || k, CASE WHEN body = 'handler' THEN 'handler' ELSE 'no handler' END, CASE WHEN body = 'finalizer' THEN 'finalizer' ELSE k || ', no finalizer' END,
+  CASE WHEN name IN ({_names(STATEMENTS)}) THEN 'plain statement' ELSE 'no statement, ' || k END,
+  k || CASE WHEN before_name IN ({_names(COMMENTS)}) THEN ' after comment' ELSE ' after no comment' END, k || CASE WHEN before_body = 'finalizer' THEN ' after finalizer' ELSE ' after other' END] AS what FROM marked),
+parents AS (SELECT p.sample_id, p.node_id, p.name, CASE WHEN p.name = 'SwitchCase' AND p.n_children = 1 THEN 'only in case' WHEN p.name = 'SwitchCase' AND up.name = 'SwitchStatement' AND p.child_ix = up.n_children - 1 AND p.child_ix >= 2 THEN 'last case' WHEN p.name = 'SwitchCase' THEN 'case'
+  WHEN p.name IN (SELECT parent FROM rules) THEN p.name ELSE 'other' END AS rule FROM nodes p JOIN nodes up ON p.sample_id = up.sample_id AND p.parent_id = up.node_id)
+SELECT t.sample_id, CASE WHEN p.name = 'SwitchStatement' AND t.child_ix >= 2 AND t.k = 'no comment' THEN t.before_id ELSE p.node_id END AS src, t.node_id AS dst, r.type, r.label, t.child_ix AS ord
+FROM traits t JOIN parents p ON t.sample_id = p.sample_id AND t.parent_id = p.node_id JOIN rules r ON r.parent = p.rule AND t.child_ix BETWEEN r.low AND r.high AND list_contains(t.what, r.what)""")
 def structure_edges(spark, sf_dir):
     return tr.structure_edges(td.order_trees(spark, sf_dir))
 
@@ -375,7 +402,7 @@ def def_use_edges(spark, sf_dir):
 
 
 def reserved_words(spark: SparkSession, extra: list[str] = ()) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, [*RESERVED, *extra]))).alias("word")).distinct()
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w.lower()) for w in [*RESERVED, *extra]])).alias("word")).distinct()
 
 
 @query(f"WITH {IDENTIFIERS} SELECT DISTINCT sample_id, name FROM linked WHERE NOT def AND begin_id IS NULL AND name NOT IN ('v7', 'v8')")
@@ -385,7 +412,7 @@ def undeclared_identifiers(spark, sf_dir):
 
 @query()
 def flatten_tree(spark, sf_dir):
-    """Each order of a customer's nation as a tree in JSON, flattened again."""
+    """Each order as a tree in JSON, flattened again."""
     lines = td.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
     node = lambda x: F.concat(F.lit('{"type":"ExpressionStatement","expression":{"type":"Identifier","name":"v'), (x["l_partkey"] % 50).cast("string"), F.lit('"}}'))
     trees = lines.select(F.col("l_orderkey").alias("sample_id"), F.concat(F.lit('{"type":"Program","body":['), F.array_join(F.transform("x", node), ","), F.lit("]}")).alias("tree"))
@@ -398,12 +425,17 @@ UNION ALL SELECT sample_id, 2 * k + 1, 0, k, 1, 1, 2 * k + 2, 'ExpressionStateme
 UNION ALL SELECT sample_id, 2 * k + 2, 2 * k + 1, 0, 0, 2, 2 * k + 2, 'Identifier', 'expression', v FROM l"""
 
 
-def _flow(spark, sf_dir, level, features_="ngrams"):
-    nodes = td.order_trees(spark, sf_dir)
+def flow_edges(nodes: DataFrame) -> DataFrame:
+    """Control edges, and data edges between the statements of the identifiers."""
     control = tr.structure_edges(nodes).select("sample_id", "src", "dst", "type", "ord")
     names = nodes.where("name = 'Identifier'").select("sample_id", F.lit(0).alias("scope"), F.col("node_id").alias("pos"), F.lit(0).alias("k"), F.element_at("attributes", "name").alias("name"), F.when(F.col("child_ix") == 0, "def").otherwise("use").alias("kind"), F.lit(False).alias("is_function"))
     data = tr.def_use_edges(names, nodes).select("sample_id", "src", "dst", F.lit("data").alias("type"), F.col("end_id").alias("ord"), "begin_id", "end_id")
-    units = tr.flow_units(nodes, control.unionByName(data, allowMissingColumns=True), level, features_)
+    return control.unionByName(data, allowMissingColumns=True)
+
+
+def _flow(spark, sf_dir, level, features_="ngrams"):
+    nodes = store(td.order_trees(spark, sf_dir), "nodes")
+    units = tr.flow_units(nodes, flow_edges(nodes), level, features_)
     shown = F.transform("units", lambda u: F.concat_ws(":", u["unit"], u["value"])) if features_ == "value" else F.col("units")
     return units.select("sample_id", F.size("units").cast("long").alias("n_units"), F.md5(F.array_join(shown, ",")).alias("units"))
 
@@ -428,37 +460,40 @@ def flow_units_pdg_value(spark, sf_dir):
     return _flow(spark, sf_dir, "pdg", "value")
 
 
-# Models and modules. Few trees, and features with a low least frequency, so that small tables have some.
-def trained(spark: SparkSession, sf_dir: str, trees: int = 10):
-    units = td.text_units(spark, sf_dir)
-    train, validation = units.where("sample_id % 2 = 0"), units.where("sample_id % 2 = 1")
-    return modules.train_module(train, validation, min_df=2, confidence=80, trees=trees), validation
+# Models and modules.
+def trained(spark: SparkSession, sf_dir: str):
+    """Model, vocabulary and stored vectors of the validation samples."""
+    train, validation = halves(spark, sf_dir)
+    model, vocab = modules.train_on_counts(train, validation, MIN_DF, CONFIDENCE, TREES)
+    return model, vocab, sel.feature_vectors(validation, vocab)
 
 
 @query()
 def train_forest(spark, sf_dir):
-    (model, vocab), validation = trained(spark, sf_dir)
-    vectors = sel.to_ml_vectors(sel.feature_vectors(un.count_ngrams(validation), vocab), model.numFeatures - 1)
-    return mo.probabilities(vectors, model)
+    model, _, vectors = trained(spark, sf_dir)
+    return mo.probabilities(sel.to_ml_vectors(vectors, model.numFeatures - 1), model)
 
 
 @query()
 def classify_module(spark, sf_dir):
-    (model, vocab), validation = trained(spark, sf_dir)
-    return modules.classify_module(validation, model, vocab)
+    model, vocab, _ = trained(spark, sf_dir)
+    return modules.classify_module(td.text_units(spark, sf_dir).where("sample_id % 2 = 1"), model, vocab)
 
 
 @query()
 def tree_votes(spark, sf_dir):
-    (model, vocab), validation = trained(spark, sf_dir)
-    vectors = sel.to_ml_vectors(sel.feature_vectors(un.count_ngrams(validation), vocab), model.numFeatures - 1)
-    return mo.tree_votes(model, vectors)
+    model, _, vectors = trained(spark, sf_dir)
+    return mo.tree_votes(model, sel.to_ml_vectors(vectors, model.numFeatures - 1))
 
 
 @query()
 def score_stored_analysis(spark, sf_dir):
-    (model, vocab), validation = trained(spark, sf_dir)
-    return mo.score_stored_analysis(sel.feature_vectors(un.count_ngrams(validation), vocab), model)
+    """A model and vectors are stored and scored from what was stored alone."""
+    model, _, vectors = trained(spark, sf_dir)
+    base = shared_folder(spark)
+    mo.write_model(model, f"{base}/model")
+    write_artifact(vectors, base, "tokens", "ngrams", "vectors")
+    return mo.score_stored_analysis(read_artifact(spark, base, "tokens", "ngrams", "vectors"), mo.read_model(f"{base}/model"))
 
 
 @query(f"""WITH {EVENT_UNITS}, {_grams()}, {COUNTS}, vals AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, event_type || ':' || coalesce(replace(props, chr(10), ''), '\\N') AS feature, count(*) OVER (PARTITION BY user_id) AS total FROM events),
@@ -469,13 +504,74 @@ def run_modules(spark, sf_dir):
     return counted.groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
+def tree_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], DataFrame]:
+    """The eight modules over trees: unit arrays, or arrays of unit and value."""
+    nodes = store(td.order_trees(spark, sf_dir), "nodes")
+    edges = store(flow_edges(nodes), "edges")
+    label = F.when(F.col("sample_id") % 2 == 0, "benign").otherwise("malicious").alias("label")
+    pairs = tr.ast_value_features(nodes).groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", F.col("name").alias("unit"), "value"))), lambda x: F.struct(x["unit"].alias("unit"), x["value"].alias("value"))).alias("units"))
+    found = {("ast", "ngrams"): tr.ast_units(nodes), ("ast", "value"): pairs}
+    for level in ("cfg", "pdg-dfg", "pdg"):
+        for kind in ("ngrams", "value"):
+            found[level, kind] = tr.flow_units(nodes, edges, level, kind)
+    return {k: v.select("sample_id", label, "units") for k, v in found.items()}
+
+
+@query()
+def run_all_modules(spark, sf_dir):
+    """Document frequencies of all ten modules: five levels, two kinds of features."""
+    samples = {("tokens", "ngrams"): td.text_units(spark, sf_dir), ("tokens", "value"): td.text_values(spark, sf_dir)} | tree_modules(spark, sf_dir)
+    return modules.run_modules(samples).groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
+
+
 @query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features GROUP BY label, feature")
 def artifact_round_trip(spark, sf_dir):
     """Document frequencies stored and read again."""
-    import tempfile
-
-    from unitweave.sources.files import read_artifact, write_artifact
-
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/artifacts"
+    base = shared_folder(spark)
     write_artifact(sel.document_frequency(features(spark, sf_dir)), base, "tokens", "ngrams", "frequency")
     return read_artifact(spark, base, "tokens", "ngrams", "frequency")
+
+
+@query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features GROUP BY label, feature")
+def stream_frequencies(spark, sf_dir):
+    """Document frequencies of a stream of lexed documents."""
+    base = shared_folder(spark)
+    td.text_units(spark, sf_dir).write.parquet(f"{base}/units")
+    stream = spark.readStream.schema("sample_id long, label string, units array<int>").parquet(f"{base}/units")
+    start_frequencies(stream, f"{base}/frequencies", f"{base}/progress", N).awaitTermination()
+    return read_frequencies(spark, f"{base}/frequencies")
+
+
+# Files: the customers of each market segment and nation as a text file with a key a line.
+FILES = """SELECT c_nationkey::INTEGER AS nation, {label} AS label, CAST(sum(length(c_custkey::VARCHAR) + 1) AS BIGINT) AS size_bytes,
+md5(string_agg(c_custkey::VARCHAR || chr(10), '' ORDER BY c_custkey)) AS payload_md5 FROM customer {where} GROUP BY c_nationkey, c_mktsegment"""
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The folder of the files, and the files as rows."""
+    base = f"{shared_folder(spark)}/files"
+    keys = td.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("value"), "c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    dealt = keys.repartition("segment", "nation").sortWithinPartitions("segment", "nation", "c_custkey").drop("c_custkey")
+    dealt.write.partitionBy("segment", "nation").text(base)
+    return base, spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(base).select("path")
+
+
+def shown_files(samples: DataFrame) -> DataFrame:
+    nation = F.regexp_extract("sample_id", r"nation=(\d+)", 1).cast("int").alias("nation")
+    return samples.select(nation, "label", "size_bytes", F.md5("payload").alias("payload_md5"))
+
+
+@query(FILES.format(label="CASE WHEN c_mktsegment < 'F' THEN 'benign' ELSE 'malicious' END", where=""))
+def labelled_dirs(spark, sf_dir):
+    base, _ = customer_files(spark, sf_dir)
+    segments = [r[0] for r in td.table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect()]
+    labels = ["benign" if s < "F" else "malicious" for s in segments]
+    return shown_files(read_labelled_dirs(spark, [f"{base}/segment={s}" for s in segments], labels, recursive=True))
+
+
+@query(FILES.format(label="'benign'", where="WHERE c_nationkey < 10"))
+def file_list(spark, sf_dir):
+    """The files of ten nations, by a list of their paths."""
+    base, files = customer_files(spark, sf_dir)
+    files.where(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int") < 10).write.text(f"{base}.list")
+    return shown_files(read_file_list(spark, f"{base}.list", "benign", base))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitweave.functions.columns import chi2_critical, chi2_statistic
 
+#: Characters of a feature that part the vocabulary for ranking.
+PREFIX = 6
+
 
 def document_frequency(sample_features: DataFrame) -> DataFrame:
     """Samples of each label that have the feature. Rows are distinct per sample already, so this is a plain count."""
@@ -55,9 +62,16 @@ def scored_features(table: DataFrame) -> DataFrame:
 
 
 def select_features(table: DataFrame, confidence: float = 99) -> DataFrame:
-    """The vocabulary: features whose chi-square reaches the critical value, with positions 0.. by feature."""
-    kept = scored_features(table).where(F.col("chi2") >= chi2_critical(confidence))
-    return kept.select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).alias("pos"))
+    """The vocabulary: features whose chi-square reaches the critical value, with positions 0.. by feature.
+
+    Features are ranked inside their beginning (its first PREFIX characters); only the number of features of each
+    beginning is summed up in one task.
+    """
+    kept = scored_features(table).where(F.col("chi2") >= chi2_critical(confidence)).select("feature", F.substring("feature", 1, PREFIX).alias("_begin"))
+    counts = kept.groupBy("_begin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_begin").orderBy("feature")) - 1)
+    return ranked.join(counts.select("_begin", before.alias("_before")), "_begin").select("feature", (F.col("_before") + F.col("_rank")).cast("int").alias("pos"))
 
 
 def lookup_features(sample_features: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -79,9 +93,17 @@ def feature_vectors(sample_features: DataFrame, vocabulary: DataFrame) -> DataFr
 
 
 def to_ml_vectors(vectors: DataFrame, size: int) -> DataFrame:
-    """One sparse ML vector of size + 1 per sample."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """One sparse ML vector of size + 1 per sample. The vectors' fields are laid out as Arrow columns, batch by batch."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
-    sparse = F.udf(lambda items: SparseVector(size + 1, [x["pos"] for x in items], [x["weight"] for x in items]), VectorUDT())
     grouped = vectors.groupBy("sample_id", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("items"))
-    return grouped.select("sample_id", "label", sparse("items").alias("features"))
+    grouped = grouped.select("sample_id", "label", F.transform("items", lambda x: x["pos"]).alias("indices"), F.transform("items", lambda x: x["weight"]).alias("values"))
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            fields = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size + 1, np.int32)), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])], ["sample_id", "label", "features"])
+
+    return grouped.mapInArrow(lay_out, StructType([*grouped.schema.fields[:2], StructField("features", VectorUDT())]))

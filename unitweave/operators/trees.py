@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from unitweave.functions.columns import leaf_value, literal_type
 from unitweave.functions.tables import COMMENTS, STATEMENTS, TREE_CODES
 
+VALUE_TYPES = {str: "string", bool: "bool", int: "int", float: "float", type(None): "null"}
 NODES = "sample_id long, node_id int, parent_id int, child_ix int, n_children int, depth int, subtree_end int, name string, body string, attributes map<string,string>, value_type string"
 
 
@@ -36,7 +37,7 @@ def _node_rows(sample_id: int, tree: dict) -> list[list]:
             elif isinstance(value, list) and value and key != "range":
                 children += [(x, key) for x in value if isinstance(x, dict) and "type" in x]
             else:
-                if key == "value" and (kind := {str: "string", bool: "bool", int: "int", float: "float", type(None): "null"}[type(value)]) == "bool":
+                if key == "value" and (kind := VALUE_TYPES.get(type(value))) == "bool":
                     value = int(value)
                 attributes[key] = None if value is None else str(value) if not isinstance(value, (dict, list)) else json.dumps(value)
         rows.append([sample_id, me, parent, ix, len(children), depth, me, node["type"], role, list(attributes.items()), kind])
@@ -48,7 +49,8 @@ def _node_rows(sample_id: int, tree: dict) -> list[list]:
 
 
 def flatten_tree(trees: DataFrame, json_col: str = "tree") -> DataFrame:
-    """Trees as JSON, one per sample, to nodes. Texts that are no tree give no rows."""
+    """Trees as JSON, one per sample, to nodes. Texts that are no tree (no JSON, no object with a type, a type that is no
+    text, deeper than the JSON reader goes) give no rows."""
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), *[pa.int32()] * 6, pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
@@ -57,10 +59,11 @@ def flatten_tree(trees: DataFrame, json_col: str = "tree") -> DataFrame:
             for sample_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     tree = json.loads(text or "null")
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
-                if isinstance(tree, dict) and "type" in tree:
-                    columns = zip(*_node_rows(sample_id, tree), strict=True)
+                found = _node_rows(sample_id, tree) if isinstance(tree, dict) and "type" in tree else []
+                if found and all(isinstance(row[7], str) for row in found):
+                    columns = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return trees.select(F.col("sample_id").cast("long"), json_col).mapInArrow(flatten, NODES)
@@ -99,24 +102,35 @@ def ast_value_features(nodes: DataFrame) -> DataFrame:
 def nearest_statement(nodes: DataFrame, statements: list[str] = STATEMENTS) -> DataFrame:
     """Nearest statement at or above each node; null if there is none.
 
-    Interval join on the sample: statements whose id interval holds the node; the largest id is the nearest.
+    One pass over the nodes in pre-order: the statements whose subtrees are open stand on a stack, the last of them is
+    the nearest. So time is in proportion to the nodes, and memory to the depth.
     """
-    s = nodes.where(F.col("name").isin(statements)).select(F.col("sample_id").alias("s"), F.col("node_id").alias("a"), F.col("subtree_end").alias("b"))
-    joined = nodes.join(s, (F.col("sample_id") == F.col("s")) & (F.col("a") <= F.col("node_id")) & (F.col("node_id") <= F.col("b")), "left")
-    return joined.groupBy("sample_id", "node_id").agg(F.max("a").alias("statement"))
+    kind = nodes.schema["sample_id"].dataType.simpleString()
+    ordered = nodes.select("sample_id", "node_id", "subtree_end", F.col("name").isin(statements).alias("is_statement")).repartition("sample_id").sortWithinPartitions("sample_id", "node_id")
 
-
-def _sql_list(names: list[str]) -> str:
-    return ", ".join(f"'{n}'" for n in names)
-
-
-#: Type of the edge from a parent to a child, as text: type and label. p: parent, c: child, last: last case of a switch.
-EDGE_RULE = f"""
-CASE WHEN p_name IN ('BlockStatement', 'DebuggerStatement', 'EmptyStatement', 'ExpressionStatement', 'LabeledStatement', 'ReturnStatement', 'ThrowStatement', 'WithStatement', 'CatchClause', 'VariableDeclaration', 'FunctionDeclaration', 'BreakStatement', 'ContinueStatement')
-  THEN CASE WHEN c_statement THEN 'control e' ELSE link END
-WHEN p_name = 'DoWhileStatement' THEN CASE WHEN c_ix = 0 THEN 'control true' WHEN c_ix = 1 THEN link WHEN c_ix = 2 AND c_comment THEN 'comment c' END
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for batch in batches:
+            found = []
+            for sample, node, end, statement in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sample != now:
+                    now, stack = sample, []
+                while stack and stack[-1][1] < node:
+                    stack.pop()
+                if statement:
+                    stack.append((node, end))
+                found.append(stack[-1][0] if stack else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["sample_id", "node_id", "statement"])
+
+    return ordered.mapInArrow(walk, f"sample_id {kind}, node_id int, statement int")
+
+
+#: Type of the edge from a parent to a child, as text: type and label. p: parent, c: child, last: last case of a switch,
+#: before: the sibling before the child.
+EDGE_RULE = """
+CASE WHEN p_name = 'DoWhileStatement' THEN CASE WHEN c_ix = 0 THEN 'control true' WHEN c_ix = 1 THEN link WHEN c_ix = 2 AND c_comment THEN 'comment c' END
 WHEN p_name IN ('ForStatement', 'ForOfStatement', 'ForInStatement') THEN CASE WHEN c_body = 'body' THEN CASE WHEN NOT c_comment THEN 'control true' END ELSE link END
-WHEN p_name IN ('IfStatement', 'ConditionalExpression') THEN CASE WHEN c_ix = 0 THEN link WHEN c_ix = 1 THEN 'control true' WHEN c_ix = 2 THEN CASE WHEN c_comment THEN 'comment c' ELSE 'control false' END WHEN c_ix = 3 AND c_comment THEN 'comment c' END
+WHEN p_name IN ('IfStatement', 'ConditionalExpression') THEN CASE WHEN c_ix = 0 THEN link WHEN c_ix = 1 THEN 'control true' WHEN c_ix = 2 THEN CASE WHEN c_comment THEN 'comment c' ELSE 'control false' END WHEN c_ix = 3 AND c_comment AND NOT before_comment THEN 'comment c' END
 WHEN p_name = 'TryStatement' THEN CASE WHEN c_ix = 0 THEN 'control true' WHEN c_ix = 1 THEN CASE WHEN c_body = 'handler' THEN 'control false' ELSE 'control e' END
   WHEN c_ix = 2 THEN CASE WHEN c_body = 'finalizer' THEN 'control e' WHEN c_comment THEN 'comment c' END WHEN c_ix = 3 AND c_comment AND before_body = 'finalizer' THEN 'comment c' END
 WHEN p_name = 'WhileStatement' THEN CASE WHEN c_ix = 0 THEN link WHEN c_ix = 1 THEN 'control true' WHEN c_ix = 2 AND c_comment THEN 'comment c' END
@@ -132,11 +146,11 @@ def structure_edges(nodes: DataFrame) -> DataFrame:
     One self-join on the parent; siblings and the last case of a switch come from windows over the children.
     """
     siblings = Window.partitionBy("sample_id", "parent_id").orderBy("child_ix")
-    placed = nodes.withColumn("before_id", F.lag("node_id").over(siblings)).withColumn("before_body", F.lag("body").over(siblings))
+    placed = nodes.withColumn("before_id", F.lag("node_id").over(siblings)).withColumn("before_body", F.lag("body").over(siblings)).withColumn("before_comment", F.lag("name").over(siblings).isin(COMMENTS))
     p = placed.select("sample_id", F.col("node_id").alias("p_id"), F.col("name").alias("p_name"), F.col("n_children").alias("p_n"), F.col("child_ix").alias("p_ix"), F.col("parent_id").alias("pp"))
     top = nodes.select("sample_id", F.col("node_id").alias("pp"), F.col("name").alias("pp_name"), F.col("n_children").alias("pp_n"))
     p = p.where("pp is not null").join(top, ["sample_id", "pp"]).withColumn("p_last", (F.col("pp_name") == "SwitchStatement") & (F.col("p_ix") == F.col("pp_n") - 1))
-    c = placed.select("sample_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("c_id"), F.col("name").alias("c_name"), F.col("child_ix").alias("c_ix"), F.col("body").alias("c_body"), "before_id", "before_body")
+    c = placed.select("sample_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("c_id"), F.col("name").alias("c_name"), F.col("child_ix").alias("c_ix"), F.col("body").alias("c_body"), "before_id", "before_body", "before_comment")
     joined = c.join(p, ["sample_id", "p_id"]).withColumn("c_statement", F.col("c_name").isin(STATEMENTS)).withColumn("c_comment", F.col("c_name").isin(COMMENTS))
     joined = joined.withColumn("link", F.when(F.col("c_comment"), "comment c").otherwise("statement s")).withColumn("edge", F.expr(EDGE_RULE)).where("edge is not null")
     chain = (F.col("p_name") == "SwitchStatement") & (F.col("c_ix") >= 2) & ~F.col("c_comment")
@@ -212,7 +226,8 @@ def _walk(nodes: list[int], out: dict[int, list[tuple[int, int, int]]], emit, be
 def flow_units(nodes: DataFrame, edges: DataFrame, level: str, features: str = "ngrams") -> DataFrame:
     """Units along control edges (cfg), data edges (pdg-dfg), or both one after the other (pdg), per sample.
 
-    edges: sample_id, src, dst, type, ord, and for data edges begin_id, end_id. features "value" gives (unit, value)
+    edges: sample_id, src, dst, type, ord, and for data edges begin_id, end_id. Control edges of a node go by target,
+    so a case's own statements come before the next case; data edges go by ord. features "value" gives (unit, value)
     pairs. Order-dependent, so each sample is walked by one task, with explicit stacks.
     """
     kinds = {"cfg": ["control"], "pdg-dfg": ["data"], "pdg": ["data", "control"]}[level]
@@ -237,7 +252,7 @@ def flow_units(nodes: DataFrame, edges: DataFrame, level: str, features: str = "
             return (name[n], ctx[n]) if ctx[n] is not None and not pd.isna(ctx[n]) else None
 
         for kind in kinds:
-            some = right[right.type == kind].sort_values(["src", "ord", "dst"])
+            some = right[right.type == kind].sort_values(["src", "dst"] if kind == "control" else ["src", "ord", "dst"])
             out: dict[int, list] = {}
             for s, d, b, e in zip(some.src, some.dst, some.begin_id, some.end_id, strict=True):
                 out.setdefault(int(s), []).append((int(d), b, e))

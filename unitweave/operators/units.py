@@ -38,9 +38,13 @@ def split_usable(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _counted(keyed: DataFrame, keys: Column) -> DataFrame:
-    """sample_id, label, feature, cnt, total from an array of feature keys; total counts repetitions."""
-    arrays = keyed.select("sample_id", "label", keys.alias("keys")).where(F.size("keys") > 0)
-    each = arrays.select("sample_id", "label", F.size("keys").cast("long").alias("total"), F.explode("keys").alias("feature"))
+    """sample_id, label, feature, cnt, total from an array of feature keys; total counts repetitions.
+
+    explode_outer, then a filter on what it gives: a filter on the array, which a plain explode brings along, would be
+    pushed below the expressions that make the array and evaluate them once more.
+    """
+    arrays = keyed.select("sample_id", "label", keys.alias("keys"))
+    each = arrays.select("sample_id", "label", F.size("keys").cast("long").alias("total"), F.explode_outer("keys").alias("feature")).where("feature is not null")
     return each.groupBy("sample_id", "label", "feature").agg(F.count(F.lit(1)).alias("cnt"), F.first("total").alias("total"))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from unitweave.operators.selection import candidate_features, contingency, document_frequency, feature_vectors, select_features, to_ml_vectors
 from unitweave.operators.units import count_ngrams, count_values
-from unitweave.plans.model import probabilities, train_forest
 from unitweave.operators.evaluation import predict_with_threshold
+from unitweave.plans.model import probabilities, train_forest
+from unitweave.sources.files import store
 
 
 def sample_features(units: DataFrame, features: str, n: int = 4) -> DataFrame:
@@ -26,14 +27,14 @@ def learn_vocabulary(train: DataFrame, validation: DataFrame, min_df: int = 10,
 
 
 def train_module(train: DataFrame, validation: DataFrame, features: str = "ngrams", n: int = 4, min_df: int = 10, confidence: float = 99, trees: int = 500) -> tuple[RandomForestClassificationModel, DataFrame]:
-    """Model and vocabulary of one module from unit arrays of training and validation samples."""
-    counted = sample_features(train, features, n).persist()
-    vocabulary = learn_vocabulary(counted, sample_features(validation, features, n), min_df, confidence).persist()
-    vectors = to_ml_vectors(feature_vectors(counted, vocabulary), vocabulary.count()).persist()
-    model = train_forest(vectors, trees)
-    vectors.unpersist()
-    counted.unpersist()
-    return model, vocabulary
+    """Model and vocabulary of one module from unit arrays of training and validation samples, counted once each."""
+    return train_on_counts(store(sample_features(train, features, n), "train"), store(sample_features(validation, features, n), "validation"), min_df, confidence, trees)
+
+
+def train_on_counts(train: DataFrame, validation: DataFrame, min_df: int = 10, confidence: float = 99, trees: int = 500) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """Model and vocabulary of one module from feature counts. The vocabulary and the vectors are written once."""
+    vocabulary = store(learn_vocabulary(train, validation, min_df, confidence), "vocabulary")
+    return train_forest(store(to_ml_vectors(feature_vectors(train, vocabulary), vocabulary.count()), "vectors"), trees), vocabulary
 
 
 def classify_module(samples: DataFrame, model: RandomForestClassificationModel, vocabulary: DataFrame, features: str = "ngrams", n: int = 4, threshold: float = 0.5) -> DataFrame:

@@ -30,6 +30,10 @@ def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex_units(text_samples(spark, sf_dir))
 
 
+def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lex_units(text_samples(spark, sf_dir), with_value=True)
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("user_id") % 3 == 0, "benign").when(F.col("user_id") % 3 == 1, "malicious").otherwise("?")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), label.alias("label"), "ts", "event_id", F.col("event_type").alias("unit"), F.col("props").alias("value"))
@@ -50,16 +54,16 @@ def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tree per nation: customers, their orders, their lines. Ids by the key path."""
+    """One tree per customer: one statement of its market segment, its orders, their lines. Ids by the key path."""
     c, o, i = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     seg = {"AUTOMOBILE": "IfStatement", "BUILDING": "WhileStatement", "FURNITURE": "ForStatement", "MACHINERY": "SwitchStatement"}
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in seg.items() for x in kv])[F.col("c_mktsegment")], F.lit("TryStatement"))
     null = lambda t: F.lit(None).cast(t)
     rest = [null("int").alias("l_linenumber"), null("long").alias("l_partkey"), null("long").alias("l_suppkey")]
     none = [null("string").alias("vname"), null("string").alias("vvalue"), null("string").alias("value_type")]
-    root = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("sample_id"), null("long").alias("c_custkey"), null("long").alias("o_orderkey"), *rest, F.lit(0).alias("depth"), F.lit("Program").alias("name"), *none)
-    customers = c.select(F.col("c_nationkey").cast("long").alias("sample_id"), "c_custkey", null("long").alias("o_orderkey"), *rest, F.lit(1).alias("depth"), named.alias("name"), *none)
-    owners = c.select(F.col("c_nationkey").cast("long").alias("sample_id"), "c_custkey")
+    root = c.select(F.col("c_custkey").cast("long").alias("sample_id"), null("long").alias("c_custkey"), null("long").alias("o_orderkey"), *rest, F.lit(0).alias("depth"), F.lit("Program").alias("name"), *none)
+    customers = c.select(F.col("c_custkey").cast("long").alias("sample_id"), "c_custkey", null("long").alias("o_orderkey"), *rest, F.lit(1).alias("depth"), named.alias("name"), *none)
+    owners = c.select(F.col("c_custkey").cast("long").alias("sample_id"), "c_custkey")
     status = F.when(F.col("o_orderstatus") == "O", "ExpressionStatement").when(F.col("o_orderstatus") == "F", "BlockStatement").otherwise("SwitchCase")
     orders = o.join(owners, F.col("o_custkey") == F.col("c_custkey")).select("sample_id", "c_custkey", "o_orderkey", *rest, F.lit(2).alias("depth"), status.alias("name"), *none)
     kind = F.when(F.col("l_returnflag") == "R", "Identifier").when(F.col("l_returnflag") == "A", "Literal").when(F.col("l_linestatus") == "O", "Line").otherwise("CallExpression")
@@ -71,7 +75,7 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nodes = root.unionByName(customers).unionByName(orders).unionByName(lines)
     path = ["c_custkey", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    order = [F.col(k).asc_nulls_first() for k in path]
+    order = [F.col(k).asc_nulls_first() for k in [*path, "name", "vname", "vvalue"]]
     nodes = nodes.withColumn("node_id", F.row_number().over(Window.partitionBy("sample_id").orderBy(*order)) - 1)
     before = Window.partitionBy("sample_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     up = lambda d: F.last(F.when(F.col("depth") == d, F.col("node_id")), ignorenulls=True).over(before)
