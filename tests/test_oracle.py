@@ -37,7 +37,7 @@ def test_equals_sql(spark, sf, duck, name):
     want = Counter(tuple(map(cell, r)) for r in found.select(*names).fetchall())
     assert got and got == want
     if name in ("select_features", "lookup_features", "feature_vectors", "lookup_positions"):
-        assert len(got) >= 20
+        assert len(got) >= 15
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n not in NUMBERED])
