@@ -140,6 +140,50 @@ def test_repeats_of_short_strings(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def brute_shared_words(rows, passage):
+    """Words of each text in runs of `passage` words that a text of other (doc_id, text) has too."""
+    owners = defaultdict(set)
+    words = [words_of(t) for _, t in rows]
+    for row, w in zip(rows, words, strict=True):
+        for i in range(len(w) - passage + 1):
+            owners[tuple(w[i : i + passage])].add(row)
+    for w in words:
+        covered = {j for i in range(len(w) - passage + 1) if len(owners[tuple(w[i : i + passage])]) > 1 for j in range(i, i + passage)}
+        yield len(covered)
+
+
+def test_shared_passages_are_counted(spark, docs):
+    rng = random.Random(6)
+    passage = lambda n: " ".join(f"p{rng.randrange(10**6)}" for _ in range(n))
+    shared, short = passage(52), "ab cd ef " * 17 + "gh"
+    texts = [f"{passage(30)} {shared} {passage(k)}" for k in (0, 9, 40)] + [short, f"{passage(20)}\n{short} x", f"{shared} {passage(3)}", passage(51), passage(50), (q := passage(60)), q, "w " * 400, None]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(None if k % 3 == 0 else -k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    rows = [tuple(r) for r in table.collect()]
+    want = Counter((d, n) for (d, _), n in zip(rows, brute_shared_words(rows, 51), strict=True))
+    got = suffix_dedup.remove_repeats(table).collect()
+    assert Counter((r["doc_id"], r["n_shared_words"]) for r in got) == want
+    assert sum(n > 0 for d, n in want if d is None or d < 0) >= 6
+
+
+def test_hot_keys_and_many_null_ids(spark):
+    """One passage in a thousand different surroundings, with and without ids: merged in one place, or counted by digest."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = noise(60)
+    texts = [noise(int(rng.integers(0, 30))) + passage[int(rng.integers(0, 12)) :] + noise(int(rng.integers(0, 30))) for _ in range(1000)] + [passage, passage * 3, None, ""]
+    table = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    rows = table.collect()
+    want = Counter((r["doc_id"], *x) for r, x in zip(rows, brute_repeats([r["text"] for r in rows], 40), strict=True))
+    for most in (suffix_dedup.MOST, 5):
+        got = suffix_dedup.remove_repeats(table, 40, 25, most).drop("kept", "n_shared_words").collect()
+        assert Counter(tuple(r) for r in got) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(table, 40, 25).drop("kept", "n_shared_words").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_loser_tree_merges_with_right_prefixes():
     rng = np.random.default_rng(2)
     runs = [sorted(bytes(rng.choice([97, 98], rng.integers(0, 9)).astype(np.uint8)) for _ in range(n)) for n in (0, 5, 17, 1, 40)]

@@ -3,13 +3,19 @@
 Every string of `length` bytes holds exactly one anchor: the least of the hashes of its first `window` eight-byte
 pieces (the leftmost of equals). Equal strings hold the same anchor at the same place, so two strings are equal if
 and only if their anchors are, their bytes from the anchor on, and their bytes before it. Only suffixes that begin at
-anchors are sorted: about 2 in `window` bytes. No result depends on hashes: they choose what is compared.
+anchors are sorted: about 2 in `window` bytes.
 
 1. Anchors with the strings that they stand for are exchanged by a hash of the bytes which all these strings share.
-   Anchors whose whole surroundings are equal are repeats. Those with a key of their own are unique.
+   Anchors whose whole surroundings have equal 128-bit digests are repeats: there is nothing to order among equals, so
+   one of them stands for all in what follows. Anchors with a key of their own are unique.
 2. The rest are places where repeats begin, end or differ. Their suffixes are sorted per task, exchanged as
    front-coded runs and merged by loser trees that never compare a known common prefix again.
 3. The merged order gives the common prefixes; together with the bytes before the anchors they decide each string.
+   Keys with more than `most` different surroundings are not merged in one place: each of their strings is counted by
+   its digest instead, with partial aggregation, however many there are.
+
+The same steps over words in place of bytes count the words in passages of over 50 words that other documents have
+too, which may be shorter than `length` bytes. There, places that differ are all counted by digest.
 """
 
 from __future__ import annotations
@@ -23,14 +29,37 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from unitweave.llm.common import write_shared
+from unitweave.llm.near_dup import shingles, word_hashes
 
 #: Bytes of a repeated string, and pieces among which its anchor is chosen.
 LENGTH, WINDOW = 400, 256
+#: Words of a shared passage, at least; words of a piece among which its anchor is chosen.
+PASSAGE, PIECE_WORDS = 51, 8
+#: Different surroundings of one key that are merged in one place.
+MOST = 100_000
 #: Windows of a text that are hashed at once.
 CHUNK = 1 << 21
 PIECE = 8
+#: Anchors are places in bytes or in words; the kind is the lowest bit of the key.
+BYTES, WORDS = 0, 1
+AT, LEFT, WIDTH = "shiftright(place, 20)", "shiftright(place, 10) & 1023", "place & 1023"
+
+
+def _least(pieces: np.ndarray, count: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of `count` windows over `pieces` the place of the least: the places, first and last window of each."""
+    marked = pieces & np.uint64(0xFFFFFFFF00000000) | np.arange(len(pieces), dtype=np.uint64)
+    padded = np.full(-(-len(marked) // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(marked)] = marked
+    blocks = padded.reshape(-1, window)
+    upto = np.minimum.accumulate(blocks, axis=1).ravel()
+    onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(onward[:count], upto[window - 1 : window - 1 + count])
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.concatenate([first[1:] - 1, [count - 1]])
+    return (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), first, last
 
 
 def anchors(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,97 +73,140 @@ def anchors(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np
         pieces *= np.uint64(0x9E3779B97F4A7C15)
         pieces ^= pieces >> np.uint64(29)
         pieces *= np.uint64(0xBF58476D1CE4E5B9)
-        pieces &= np.uint64(0xFFFFFFFF00000000)
-        pieces |= np.arange(len(pieces), dtype=np.uint64)
-        padded = np.full(-(-len(pieces) // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
-        padded[: len(pieces)] = pieces
-        blocks = padded.reshape(-1, window)
-        upto = np.minimum.accumulate(blocks, axis=1).ravel()
-        onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(onward[:count], upto[window - 1 : window - 1 + count])
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.concatenate([first[1:] - 1, [count - 1]])
-        found.append(((least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64) + begin, first + begin, last + begin))
+        found.append(tuple(x + begin for x in _least(pieces, count, window)))
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
+def word_anchors(words: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same over hashes of words: anchors of runs of `passage` words, among pieces of `piece` words."""
+    count = len(words) - passage + 1
+    if count < 1:
+        return (np.empty(0, np.int64),) * 3
+    return _least(shingles(words, piece), count, passage - piece + 1)
+
+
+def _digests(data: bytes, spans: list[tuple[int, int]], kind: int) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b], kind) for a, b in spans]), dtype="<i8").reshape(-1, 2)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), mark. A text is known by its doc_id and its 64-bit mark, so null and repeated
+    doc_ids are told apart; rows with both equal have one text and one result."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
 def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """doc_id, mark (of the text), place (at, left, width packed), key and whole (hashes) of each anchor."""
+    """doc_id, mark, place (at, left, width packed), key (64-bit hash and kind) and whole (128-bit digest) of each anchor."""
     common = length - window + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, int] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
-                rows, marks, places, keys, wholes = [], [], [], [], []
-                for k in range(begin, min(begin + 1000, batch.num_rows)):
-                    data = (batch.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass")
-                    at, first, last = anchors(data, length, window)
-                    if not len(at):
-                        continue
-                    rows.append(np.full(len(at), k))
-                    marks.append(np.full(len(at), mark_of(data)))
-                    places.append(at << 20 | (at - first) << 10 | last - first)
-                    digest = xxhash.xxh3_64_intdigest
-                    keys.append(np.array([digest(data[p : p + common]) for p in at.tolist()], dtype=np.uint64).view(np.int64))
-                    wholes.append(np.array([digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64).view(np.int64))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(marks).astype(np.int32)), *(pa.array(np.concatenate(x)) for x in (places, keys, wholes))], ["doc_id", "mark", "place", "key", "whole"])
+                rows, places, keys, wholes = [], [], [], []
 
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark int, place long, key long, whole long")
+                def add(k: int, data: bytes, found: tuple, unit: int, shared: int, size: int, kind: int, rows=rows, places=places, keys=keys, wholes=wholes):
+                    at, first, last = found
+                    if len(at):
+                        rows.append(np.full(len(at), k))
+                        places.append(at << 20 | (at - first) << 10 | last - first)
+                        key = np.array([xxhash.xxh3_64_intdigest(data[p * unit : (p + shared) * unit]) for p in at.tolist()], dtype=np.uint64)
+                        keys.append((key >> np.uint64(1) << np.uint64(1) | np.uint64(kind)).view(np.int64))
+                        wholes.append(_digests(data, [(a * unit, (b + size) * unit) for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind))
 
+                for k in range(begin, min(begin + 1000, batch.num_rows)):
+                    text = batch.column(1)[k].as_py()
+                    data = text.encode("utf-8", "surrogatepass")
+                    add(k, data, anchors(data, length, window), 1, common, length, BYTES)
+                    words = word_hashes(text, memory)
+                    add(k, words.tobytes(), word_anchors(words), 8, PIECE_WORDS, PASSAGE, WORDS)
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    whole = np.concatenate(wholes)
+                    columns = [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(np.concatenate(x)) for x in (places, keys)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "key", "w1", "w2"])
 
-def mark_of(data: bytes) -> int:
-    return int(np.uint32(xxhash.xxh32_intdigest(data)).view(np.int32))
+    return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, place long, key long, w1 long, w2 long")
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key, whole and the packed extent: mark members of equal surroundings as repeats ("r") and
-    one of each class as a suffix to merge ("m") if its key has several classes and one of them is single.
+class Settler:
+    """Over rows sorted by key, whole and packed extent: members of equal surroundings become repeats ("r"); if a key
+    has several classes of surroundings, its classes go on ("m"), one row for a class of repeats, else every row.
 
-    Rows of a key that goes on in the next batch are carried over, at most two of each class.
+    Bytes repeat if a class has two rows, words if it has two texts. Of a class that goes on in the next batch at most
+    one row is carried if it repeats, else the rows of its one text; of its key only the number of classes. So memory
+    is bounded by a batch and a text, whatever the size of a key.
     """
-    names = ["doc_id", "mark", "place", "key", "whole"]
-    carried: pa.Table | None = None
 
-    def settle(table: pa.Table, done: np.ndarray, over: bool):
-        key, whole = table["key"].to_numpy(), table["whole"].to_numpy()
+    NAMES = ["doc_id", "mark", "place", "key", "w1", "w2"]
+
+    def __init__(self):
+        self.open: pa.Table | None = None  # rows of the open class
+        self.told = False  # whether they are out as repeats
+        self.before = 0  # closed classes of the open class's key
+
+    def add(self, table: pa.Table | None) -> Iterator[pa.Table]:
+        n_open = 0 if self.open is None else len(self.open)
+        if table is None:
+            table = self.open if n_open else None
+        elif n_open:
+            table = pa.concat_tables([self.open, table]).combine_chunks()
+        if table is None or not len(table):
+            return
+        last_batch = len(table) == n_open
+        key, w1, w2, mark = (table[c].to_numpy() for c in ("key", "w1", "w2", "mark"))
         extent = table["place"].to_numpy() & 0xFFFFF
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[True], (whole[1:] != whole[:-1]) | (extent[1:] != extent[:-1])])
+        new = new_key | np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (extent[1:] != extent[:-1])])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(key)))
-        repeated = np.repeat(sizes, sizes) > 1
-        whole_keys = np.ones(len(key), bool)
-        if not over:
-            whole_keys[np.flatnonzero(new_key)[-1] :] = False
+        class_of = np.cumsum(new) - 1
+        words = (key[starts] & 1) == WORDS
+        other = mark != mark[starts][class_of]
+        if table["doc_id"].null_count == 0 and pa.types.is_integer(table["doc_id"].type):
+            ids = table["doc_id"].to_numpy()
+            other |= ids != ids[starts][class_of]
+        else:
+            ids = table["doc_id"].to_pylist()
+            other |= np.array([ids[i] != ids[starts[c]] for i, c in enumerate(class_of.tolist())])
+        many = np.where(words, np.bincount(class_of, weights=other, minlength=len(starts)) > 0, sizes > 1)
+        if n_open and self.told:
+            many[0] = True
+        closed = np.ones(len(starts), bool)
+        closed[-1] = last_batch
         key_of = np.cumsum(new_key[starts]) - 1
-        classes = np.bincount(key_of)
-        single = np.bincount(key_of, weights=sizes == 1) > 0
-        merge = starts[(classes > 1)[key_of] & single[key_of] & whole_keys[starts]]
-        out = []
-        for tag, at in (("r", np.flatnonzero(repeated & ~done)), ("m", merge)):
-            if len(at):
-                some = table.take(pa.array(at)).select(names[:4])
-                counts = np.ones(len(at), np.int32) if tag == "r" else np.repeat(sizes, sizes)[at].astype(np.int32).clip(max=2)
-                out.append(some.append_column("tag", pa.array([tag] * len(at))).append_column("members", pa.array(counts)))
-        rank = np.arange(len(key)) - np.repeat(starts, sizes)
-        left = np.flatnonzero(~whole_keys & (rank < 2))
-        return out, table.take(pa.array(left)), repeated[left]
-
-    done = np.empty(0, bool)
+        first_of_key = np.searchsorted(key_of, np.arange(key_of[-1] + 1))
+        ordinal = np.arange(len(starts)) - first_of_key[key_of] + np.where(key_of == 0, self.before if n_open else 0, 0)
+        several = (np.bincount(key_of)[key_of] > 1) | (ordinal > 0)
+        told = np.zeros(len(key), bool)
+        told[:n_open] = self.told
+        out = np.flatnonzero(many[class_of] & ~told)
+        if len(out):
+            yield self._tagged(table, out, "r", np.full(len(out), 2), np.zeros(len(out)))
+        going = closed & several
+        head = np.arange(len(key)) == starts[class_of]
+        out = np.flatnonzero(going[class_of] & (head | ~many[class_of]))
+        if len(out):
+            yield self._tagged(table, out, "m", np.where(many[class_of[out]], 2, 1), ordinal[class_of[out]])
+        if last_batch:
+            self.open = None
+            return
+        kept = np.array([starts[-1]]) if many[-1] else np.arange(starts[-1], len(key))
+        self.open, self.told, self.before = table.take(pa.array(kept)).combine_chunks(), bool(many[-1]), int(ordinal[-1])
+
+    def _tagged(self, table: pa.Table, at: np.ndarray, tag: str, members: np.ndarray, ordinal: np.ndarray) -> pa.Table:
+        some = table.take(pa.array(at)).select(self.NAMES[:4])
+        return some.append_column("tag", pa.array([tag] * len(at))).append_column("members", pa.array(members.astype(np.int32))).append_column("ordinal", pa.array(ordinal.astype(np.int64)))
+
+
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settler = Settler()
     for batch in batches:
-        table = pa.Table.from_batches([batch]).select(names)
-        if carried is not None:
-            table, done = pa.concat_tables([carried, table]).combine_chunks(), np.concatenate([done, np.zeros(batch.num_rows, bool)])
-        else:
-            done = np.zeros(batch.num_rows, bool)
-        if len(table):
-            out, carried, done = settle(table, done, False)
-            for x in out:
-                yield from x.combine_chunks().to_batches()
-    if carried is not None and len(carried):
-        for x in settle(carried.combine_chunks(), done, True)[0]:
+        for x in settler.add(pa.Table.from_batches([batch]).select(Settler.NAMES)):
             yield from x.combine_chunks().to_batches()
+    for x in settler.add(None):
+        yield from x.combine_chunks().to_batches()
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -252,37 +324,59 @@ def decide(group: list[tuple[int, bytes, tuple]], length: int = LENGTH) -> Itera
             yield group[k][2], a, b
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """doc_id, mark, first, last: the starts of all strings of `length` bytes that also start anywhere else."""
+def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, most: int = MOST) -> DataFrame:
+    """doc_id, mark, kind, first, last: the starts of all strings of `length` bytes that also start anywhere else (kind
+    BYTES), and of all runs of PASSAGE words that another text has too (kind WORDS). docs: as `identified`."""
     spark = docs.sparkSession
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = _anchor_rows(docs, length, window).repartition(parts, "key").sortWithinPartitions("key", "whole", F.expr("place & 1048575"))
-    settled = write_shared(dealt.mapInArrow(_sorted_out, f"doc_id {kind}, mark int, place long, key long, tag string, members int"), "anchors")
-    at, left, width = F.expr("shiftright(place, 20)"), F.expr("shiftright(place, 10) & 1023"), F.expr("place & 1023")
-    whole = settled.where("tag = 'r'").select("doc_id", "mark", (at - left).alias("first"), (at - left + width).alias("last"))
-
-    wanted = settled.where("tag = 'm'").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("place", "key", "members")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("_uw_id"), "text").join(wanted, F.col("_uw_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "mark", "wanted")
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    common = length - window + 1
+    dealt = _anchor_rows(docs, length, window).repartition(parts, "key").sortWithinPartitions("key", "w1", "w2", F.expr("place & 1048575"))
+    settled = write_shared(dealt.mapInArrow(_sorted_out, f"doc_id {kind}, mark long, place long, key long, tag string, members int, ordinal long"), "anchors")
+    at, left, width = F.expr(AT), F.expr(LEFT), F.expr(WIDTH)
+    of_kind = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("kind")
+    whole = settled.where("tag = 'r'").select("doc_id", "mark", of_kind, (at - left).alias("first"), (at - left + width).alias("last"))
+
+    hot = settled.where(F.col("ordinal") >= most).select("key").distinct().withColumn("hot", F.lit(True))
+    each = (F.coalesce("hot", F.lit(False)) | (F.col("key").bitwiseAND(F.lit(1)) == WORDS)).alias("each")
+    wanted = settled.where("tag = 'm'").join(hot, "key", "left").select("doc_id", "mark", F.struct("place", "key", "members", each).alias("w"))
+    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"doc_id": "_uw_id", "mark": "_uw_mark"})
+    texts = docs.join(wanted, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark"))).select("doc_id", "text", "mark", "wanted")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Front-coded runs of suffixes to merge, by part, and digests of strings to count."""
+        memory: dict[str, int] = {}
         for batch in batches:
             by_part: dict[int, list[tuple[bytes, tuple]]] = {}
-            for doc_id, text, mark, wanted in zip(*batch.columns, strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if mark_of(data) != mark.as_py():
-                    continue
+            rows, starts, many, digests = [], [], [], []
+            for k, (doc_id, text, mark, wanted) in enumerate(zip(*batch.columns, strict=True)):
+                text, words = text.as_py(), b""
+                data = text.encode("utf-8", "surrogatepass")
                 for x in wanted.as_py():
                     p, n_left, n_width = x["place"] >> 20, x["place"] >> 10 & 1023, x["place"] & 1023
                     first = p - n_left
-                    suffix, before = data[p : first + n_width + length], data[first:p]
-                    by_part.setdefault(x["key"] % (4 * parts), []).append((suffix, (before, n_width, x["members"], doc_id.as_py(), mark.as_py(), p, x["key"])))
+                    if not x["each"]:
+                        suffix, before = data[p : first + n_width + length], data[first:p]
+                        by_part.setdefault(x["key"] % (4 * parts), []).append((suffix, (before, n_width, x["members"], doc_id.as_py(), mark.as_py(), p, x["key"])))
+                        continue
+                    of = x["key"] & 1
+                    if of == WORDS:
+                        words = words or word_hashes(text, memory).tobytes()
+                    spans = [(8 * o, 8 * (o + PASSAGE)) for o in range(first, first + n_width + 1)] if of == WORDS else [(o, o + length) for o in range(first, first + n_width + 1)]
+                    rows += [k] * len(spans)
+                    starts += range(first, first + n_width + 1)
+                    many += [x["members"] > 1] * len(spans)
+                    digests += [xxhash.xxh3_128_digest((words if of == WORDS else data)[a:b], of) + bytes([of]) for a, b in spans]
             for records in by_part.values():
                 records.sort(key=lambda r: r[0])
-            yield pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int32()), pa.array([front_coded(x) for x in by_part.values()], pa.binary())], ["part", "run"])
+            n, m = len(by_part), len(rows)
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array([*by_part, *[None] * m], pa.int32()), pa.array([*map(front_coded, by_part.values()), *[None] * m], pa.binary()), pa.concat_arrays([pa.nulls(n, id_type), batch.column(0).take(at)]), pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(2).take(at)])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + starts, pa.int64()), pa.array([None] * n + many, pa.bool_()), pa.array([None] * n + digests, pa.binary())], ["part", "run", "doc_id", "mark", "start", "many", "digest"])
 
-    runs = texts.mapInArrow(suffixes, "part int, run binary").repartition(parts, "part").sortWithinPartitions("part")
-    common = length - window + 1
+    found = write_shared(texts.mapInArrow(read, f"part int, run binary, doc_id {kind}, mark long, start long, many boolean, digest binary"), "runs")
+    runs = found.where("part is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts_of():
@@ -302,7 +396,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
 
             def close(group=group, rows=rows):
                 if len(group) > 1:
-                    rows.extend((r[3], r[4], r[5] - b, r[5] - a) for r, a, b in decide(group, length))
+                    rows.extend((r[3], r[4], BYTES, r[5] - b, r[5] - a) for r, a, b in decide(group, length))
                 group.clear()
 
             seen: set[tuple] = set()
@@ -316,47 +410,57 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
                 group.append((shared, suffix, rest))
             close()
             if rows:
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["doc_id", "mark", "first", "last"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+                types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "mark", "kind", "first", "last"])
 
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    return whole.union(runs.mapInArrow(merge, f"doc_id {kind}, mark int, first long, last long"))
+    merged = runs.mapInArrow(merge, f"doc_id {kind}, mark long, kind int, first long, last long")
+    # a text that stands in several rows is read as often: its strings count once
+    strings = found.where("digest is not null").select("digest", "doc_id", "mark", "start", "many")
+    text = F.struct("doc_id", "mark")
+    counts = strings.groupBy("digest").agg(F.max("many").alias("many"), F.min(text).alias("lo"), F.max(text).alias("hi"), F.min("start").alias("s0"), F.max("start").alias("s1"))
+    apart = ~F.col("lo").eqNullSafe(F.col("hi"))
+    is_words = F.substring("digest", 17, 1) == F.lit(bytes([WORDS]))
+    again = counts.where(F.col("many") | apart | (~is_words & (F.col("s0") != F.col("s1")))).select("digest")
+    counted = strings.join(again, "digest").select("doc_id", "mark", F.when(is_words, WORDS).otherwise(BYTES).alias("kind"), F.col("start").alias("first"), F.col("start").alias("last"))
+    return whole.union(merged).union(counted)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of each document without its repeated bytes.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, most: int = MOST) -> DataFrame:
+    """n_bytes, n_removed, n_spans, kept_sha256, n_shared_words and kept (binary) of each document without its repeated
+    bytes. n_shared_words: words in runs of PASSAGE or more words that a document of other id or text has too.
 
     Null text: empty. Texts of under `length` bytes lose nothing. Repeated rows and exact copies lose all bytes of
-    texts that are long enough. Null doc_ids are treated like others. Empty table: no rows. Columns other than doc_id
-    and text are ignored.
+    texts that are long enough; rows of equal id and text are not others to each other in n_shared_words. Null doc_ids
+    are treated like others. Empty table: no rows. Columns other than doc_id and text are ignored. Very long texts are
+    hashed in stretches.
     """
-    starts = repeated_starts(docs, length, window)
-    found = starts.distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "starts")).alias("found")).withColumnRenamed("doc_id", "_uw_id")
-    joined = docs.select("doc_id", "text").join(found, F.col("_uw_id").eqNullSafe(F.col("doc_id")), "left").select("doc_id", "text", "found")
+    texts = identified(docs)
+    found = repeated_starts(texts, length, window, most).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "first", "last")).alias("found")).withColumnsRenamed({"doc_id": "_uw_id", "mark": "_uw_mark"})
+    joined = texts.join(found, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark")), "left").select("doc_id", "text", "found")
+
+    def spans_of(found: list[dict], kind: int, size: int) -> list[list[int]]:
+        spans: list[list[int]] = []
+        for a, b in sorted((s["first"], s["last"] + size) for s in found if s["kind"] == kind):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        return spans
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                spans: list[list[int]] = []
-                mark = mark_of(data) if found.is_valid else 0
-                for a, b in sorted((s["first"], s["last"] + length) for x in found.as_py() or () if x["mark"] == mark for s in x["starts"]):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
+                data, found = text.as_py().encode("utf-8", "surrogatepass"), found.as_py() or ()
+                spans = spans_of(found, BYTES, length)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                rows.append((len(data), len(data) - len(rest), len(spans), sha256(rest).hexdigest(), rest))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(data), len(data) - len(rest), len(spans), sha256(rest).hexdigest(), sum(b - a for a, b in spans_of(found, WORDS, PASSAGE)), rest))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"])
 
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, kept binary")
