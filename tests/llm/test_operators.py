@@ -69,6 +69,29 @@ def test_toxicity_folds_and_excuses(spark):
     assert toxicity.learn_lexicon(odd_rows(spark), labels).weights == {}
 
 
+def naive_features(lexicon, text):
+    """Every place of every term and phrase, each hit against each phrase."""
+    folded = toxicity.fold(text)
+    places = lambda w: [(i, i + len(w)) for i in range(len(folded)) if folded.startswith(w, i)]
+    excused = [p for w in lexicon.phrases for p in places(w)]
+    total = sum(weight for w, weight in lexicon.weights.items() for a, b in places(w) if not any(x <= a and b <= y for x, y in excused))
+    return np.log1p(total), total / np.sqrt(1 + folded.count(" "))
+
+
+def test_toxicity_features_equal_naive_matching(spark, sf):
+    docs = common.documents(spark, sf)
+    lexicon = toxicity.learn_lexicon(docs, queries.training_labels(spark, sf))
+    assert lexicon.weights
+    lexicon.phrases = [*lexicon.phrases, " de", "the "]  # overlapping, and beginnings of others
+    some = toxicity.Lexicon({" a": 1.5, " ab ": 2.0, " b": 0.5}, [" ab a", "b b "], (0.0, 1.0, 1.0))
+    matcher, other = lexicon.automaton(), some.automaton()
+    rng = random.Random(3)
+    for text in [r["text"] or "" for r in docs.collect()] + [" ".join(rng.choice(["a", "ab", "b", "abb", "ba"]) for _ in range(40)) for _ in range(50)]:
+        if len(text) < 6000:
+            assert lexicon.features(matcher, text) == pytest.approx(naive_features(lexicon, text))
+            assert some.features(other, text) == pytest.approx(naive_features(some, text))
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -377,6 +400,8 @@ def test_top_k_equals_brute_force(spark):
             best = sorted(((values[q] ^ c).bit_count(), i) for i, c in values.items())[:7]
             assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(best)]
     assert topk.top_k(codes.limit(0), codes.limit(0)).count() == 0
+    clash = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({"code": F.lit("x"), "q": F.lit(1), "s": F.lit(2)})
+    assert topk.binary_codes(clash).columns == ["vec_id", "code"] and topk.binary_codes(clash).exceptAll(codes).count() == 0
 
 
 def luhn(digits):
@@ -504,6 +529,66 @@ def test_packing(spark, docs):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    rows = packing.pack_documents(odd_rows(spark)).collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter([1, 2, 3, 4, 4, None, 5, 6, 7, 8, 9, 10])
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        places.sort()
+        assert [p[0] for p in places] == [sum(x[1] for x in places[:k]) for k in range(len(places))] and sum(x[1] for x in places) <= 2048
+
+
+def test_word_encoder_equals_the_tokenizer_on_all_documents(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in common.documents(spark, sf.replace("sf0.001", "sf0.01")).collect()]
+    encoder = packing.WordEncoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    assert all(encoder.encode(t) == np.array(e.ids, "<u4").tobytes() for t, e in zip(texts, whole, strict=True))
+
+
+def brute_best_two_fit(lengths, capacity):
+    """Bin by bin over single pieces: fill greedily, then try every pair in place of the smallest."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        gap, used = capacity, []
+        for x in list(left):
+            if x <= gap:
+                used.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and left:
+            small = min(used)
+            pairs = [(a + b, max(a, b), min(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap + small]
+            if pairs and max(pairs)[0] > small:
+                best = max(pairs)[0]
+                gap += small - best
+                used.remove(small)
+                left.append(small)
+                bins.append((used, best))
+                a, b = next((x, y) for t, x, y in pairs if t == best)
+                left.remove(a)
+                left.remove(b)
+                used += [a, b]
+                left.sort(reverse=True)
+                continue
+        bins.append((used, None))
+    return [b[0] for b in bins]
+
+
+def test_bin_plan_is_as_good_as_best_two_fit_piece_by_piece():
+    rng = np.random.default_rng(11)
+    for n, high in ((30, 60), (200, 90), (400, 50), (60, 100)):
+        lengths = rng.integers(1, high, n).tolist()
+        plan = packing.plan_bins(dict(Counter(lengths)), 100)
+        brute = brute_best_two_fit(lengths, 100)
+        assert sum(t for _, t in plan) <= len(brute)
+        assert sorted(brute[0]) == sorted(x for x, k in plan[0][0] for _ in range(k)) or sum(brute[0]) == sum(x * k for x, k in plan[0][0])
+
+
 def test_bin_plan_uses_everything():
     rng = np.random.default_rng(4)
     counts = Counter(rng.integers(1, 100, 5000).tolist())
@@ -578,7 +663,14 @@ def test_near_duplicates_of_odd_rows(spark):
     rows = near_dup.near_duplicate_classes(odd_rows(spark)).collect()
     assert sorted(((r["doc_id"] or 0), r["class_id"] or 0) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9), (10, 10)]
     kept = near_dup.drop_near_duplicates(odd_rows(spark))
-    assert kept.columns == odd_rows(spark).columns and kept.count() == 10
+    assert kept.columns == odd_rows(spark).columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+    words = "all the same seven words in here"
+    more = spark.createDataFrame([(None, words), (None, words + " "), (7, "  " + words), (None, "only without id"), (None, "only without id"), (8, None), (8, None), (None, None)], "doc_id long, text string")
+    for marks in (near_dup.MARKS, 0):
+        near_dup.MARKS, old = marks, near_dup.MARKS
+        assert Counter((r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(more).collect()) == Counter([(7, "  " + words), (None, "only without id"), (8, None), (None, None)])
+        near_dup.MARKS = old
     assert near_dup.near_duplicate_classes(empty(spark)).count() == 0
 
 
@@ -609,3 +701,66 @@ def test_pipeline_stages(spark, sf):
             assert docs.count() == before.count() and secrets.scan_secrets(docs).where("n_hex > 0").count() == 0
         before = docs
     assert corpus_pipeline.STAGES[-1][1](spark, before, sf).select("doc_id", "piece").distinct().count() > 0
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    """What each stage keeps, worked out from its input one document after the other, against run()."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [tuple(r) for r in common.documents(spark, sf).collect()]
+    lexicon = toxicity.learn_lexicon(common.documents(spark, sf), queries.training_labels(spark, sf))
+    naive = lambda t: 1 / (1 + np.exp(-np.dot(lexicon.scale, (1, *naive_features(lexicon, t or "")))))
+    rows = [r for r in rows if naive(r[1]) < queries.TOXIC_FROM]
+    words = {r[0]: words_of(r[1]) for r in rows}
+    parent = {d: d for d in words}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a in words:
+        for b in words:
+            if a < b and words[a] and 0.8 * max(len(words[a]), len(words[b])) <= min(len(words[a]), len(words[b])) + 4 and jaccard(words[a], words[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    rows = [r for r in rows if find(r[0]) == r[0]]
+    cost = secrets.GuessCost({})
+    rows = [(r[0], secrets.redact(r[1], cost) if r[1] is not None else None, *r[2:]) for r in rows]
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    targets = brute_targets(dict(sizes))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    known = {r[0]: r for r in rows}
+    ids = {d: tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0] for d, r in known.items()}
+    got = defaultdict(Counter)
+    for p in pieces:
+        assert p["ids_crc32"] == zlib.crc32(np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+        got[p["doc_id"]][p["piece"]] += 1
+    copies = {d: set(c.values()) for d, c in got.items()}
+    assert all(len(c) == 1 and set(got[d]) == set(range(-(-len(ids[d]) // 2048))) for d, c in copies.items())
+    taken = defaultdict(int)
+    for d, c in copies.items():
+        assert max(c) <= 3
+        taken[known[d][3]] += max(c) * len(words_of(known[d][1]))
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= max(0.05 * t, 0.5 * max(len(words_of(r[1])) for r in rows if r[3] == s)) + 1
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    for table in (odd_rows(spark), empty(spark)):
+        n = table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, sf)
+            assert out.columns == table.columns and out.dtypes == table.dtypes, name
+            ids = Counter(r["doc_id"] for r in out.collect())
+            assert not n or (ids and (name == "mixing" or set(ids) <= set(r["doc_id"] for r in table.collect())))
+            if name in ("toxicity", "secret_scan"):
+                assert sum(ids.values()) == n
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
+        assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in table.collect())

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unitweave.llm.common import prefix_sums
+
 #: Control strings that may not stand in a text as they are, each with the letter that stands for it after a backslash.
 CONTROL = (("\\", "b"), ("<|", "m"), ("<s>", "s"), ("</s>", "e"), ("[INST]", "i"), ("[/INST]", "j"), ("<<SYS>>", "y"), ("<</SYS>>", "z"))
 #: Opens a block of turns of one role, parts the turns of a block, ends it.
@@ -26,8 +28,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start from 0 and length of each assistant turn).
 
     Turn structs are collected and sorted by (turn, role, text); adjacent turns of one role are merged into a block
-    `<|role|>role<|text|>turn<|turn|>turn<|end|>` by folding over the array. Control strings inside roles and texts
-    are escaped, so `read_chats` gets every turn back.
+    `<|role|>role<|text|>turn<|turn|>turn<|end|>` by looking at the neighbours in the array. Control strings inside roles and texts
+    are escaped, so `read_chats` gets every turn back. Work grows in proportion to the turns of a conversation.
     Null text and null role: empty. Null conv_id: one conversation. Equal turn numbers: by role, then text. Repeated
     rows are turns of their own. Empty table: no rows. Columns other than conv_id, turn, role, text are ignored.
     """
@@ -46,17 +48,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     chats = chats.withColumn("pieces", F.transform("turns", piece))
     chats = chats.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), ""))
     lengths = F.transform("pieces", lambda p: F.struct(F.length(p["before"]).cast("long").alias("b"), F.length(p["text"]).cast("long").alias("t"), F.length(p["after"]).cast("long").alias("a"), p["loss"].alias("loss")))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def walk(s: Column, p: Column) -> Column:
-        span = F.array(F.struct((s["at"] + p["b"]).alias("start"), p["t"].alias("length")))
-        return F.struct((s["at"] + p["b"] + p["t"] + p["a"]).alias("at"), F.when(p["loss"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    return chats.withColumn("loss_spans", F.aggregate(lengths, none, walk, lambda s: s["spans"])).select("conv_id", "formatted", "loss_spans")
+    placed = F.zip_with(lengths, prefix_sums(F.transform(lengths, lambda p: p["b"] + p["t"] + p["a"])), lambda p, at: F.struct((at + p["b"]).alias("start"), p["t"].alias("length"), p["loss"].alias("loss")))
+    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return chats.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """The turns (array of role, text) and the texts under the loss mask, got back from the formatted text alone."""
+    """The turns (array of role, text) and the texts under the loss mask, got back from the formatted text alone.
+
+    chats: as `format_chats` gives them. Null conv_ids are read like others. Empty table: no rows.
+    """
     blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
 
     def turns_of(block: Column) -> Column:

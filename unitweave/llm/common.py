@@ -22,7 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/unitweave/{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/unitweave/{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote with `write_shared`, when no DataFrame over them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:

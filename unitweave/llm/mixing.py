@@ -94,6 +94,13 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weig
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per taken copy, with the given columns. Nulls, repeated rows and clashing names stay as `mix_sources` has
-    them; documents of no copies and empty tables give no rows."""
-    return mixed.where("copies > 0").withColumn("_uw_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """One row per taken copy, with the given columns; mixed: as `mix_sources` gives it with carry=columns.
+
+    Nulls and repeated rows stay as `mix_sources` has them; carried columns are told by their places, so they may have
+    any names. Documents of no copies and empty tables give no rows.
+    """
+    extra = [c for c in columns if c != "doc_id"]
+    own = ["doc_id", "_uw_size", "_uw_source_size", "_uw_target", "_uw_copies", "_uw_taken"]
+    named = mixed.toDF(*own, *[f"_uw_carried_{i}" for i in range(len(extra))]).where("_uw_copies > 0")
+    each = named.withColumn("_uw_copy", F.explode(F.sequence(F.lit(1), F.col("_uw_copies").cast("int"))))
+    return each.select(*["doc_id" if c == "doc_id" else F.col(f"_uw_carried_{extra.index(c)}").alias(c) for c in columns])

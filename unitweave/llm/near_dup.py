@@ -1,4 +1,5 @@
-"""Near-duplicate classes by Order MinHash, verified by a banded alignment."""
+"""Near-duplicate classes by Order MinHash, verified by a banded alignment. The alignment is written as bit vectors (one
+bit for each place of the band), the rest as Spark joins and aggregates."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_MEMORY = 500_000
 #: Bins of the shingle counts that bound what two texts share; how many times more leaders a bucket has in each round.
 BINS, MORE_LEADERS = 128, 16
+#: Marks of repeated rows that are broadcast, at most.
+MARKS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -114,18 +117,33 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     need -= head + tail
     if need <= 0:
         return True
-    band = int(len(x) + len(y) - 2 * need) + 1
-    places: dict[int, int] = {}
+    return banded_common(x, y, int(len(x) + len(y) - 2 * need) + 1) >= need
+
+
+def banded_common(x: list[int], y: list[int], band: int) -> int:
+    """Length of the longest common subsequence among alignments that keep within `band` places of the diagonal.
+
+    Bit-parallel: only the 2 * band + 1 places of x around the diagonal are held as bits; a place that leaves the
+    window is counted (its bit is 0 if it ends a longer common subsequence) and forgotten. The places of a value in x
+    are kept as blocks of bits as wide as the window, so time is in proportion to length times band.
+    """
+    wide = 2 * band + 1
+    places: dict[int, dict[int, int]] = {}
     for k, v in enumerate(x):
-        places[v] = places.get(v, 0) | 1 << k
-    every, strip = (1 << len(x)) - 1, (1 << 2 * band + 1) - 1
-    state = every
+        block, bit = divmod(k, wide)
+        blocks = places.setdefault(v, {})
+        blocks[block] = blocks.get(block, 0) | 1 << bit
+    every = state = (1 << wide) - 1
+    common = 0
     for k, v in enumerate(y):
-        if match := places.get(v, 0):
-            match &= strip << k - band if k > band else strip >> band - k
-            u = state & match
-            state = (state + u | state - u) & every
-    return len(x) - state.bit_count() >= need
+        if blocks := places.get(v):
+            block, bit = divmod(k - band, wide)
+            if match := (blocks.get(block, 0) >> bit | blocks.get(block + 1, 0) << wide - bit) & every:
+                u = state & match
+                state = (state + u | state - u) & every
+        common += not state & 1
+        state = state >> 1 | 1 << wide - 1
+    return common + wide - state.bit_count()
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -270,6 +288,42 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents whose doc_id is the least of its class, once each; all columns stay. Documents without id stay."""
-    first = near_duplicate_classes(docs.select("doc_id", "text"), similarity).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).join(first, "doc_id").select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each class, the one whose doc_id is the least; all columns stay, in place.
+
+    Null doc_ids: a document whose words a document with id has too goes, of others without id one of each text stays.
+    Rows of equal doc_id and text: one of them stays. Rows of equal doc_id and other text stay if the id stands for a
+    class. Null, empty and blank texts are no duplicates of each
+    other, but for rows of equal id. Empty table: no rows. Other columns may have any names.
+
+    Only rows whose (doc_id, text) stands several times are shuffled to drop duplicates. Their marks are broadcast up
+    to MARKS of them, and joined beyond.
+    """
+    classes = near_duplicate_classes(docs.select("doc_id", "text"), similarity)
+    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_uw_id")).distinct()
+    unknown = classes.where("doc_id is null and class_id is not null").limit(1).count() > 0
+    marked = docs.withColumn("_uw_mark", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    again = write_shared(marked.groupBy("_uw_mark").agg(F.count(F.lit(1)).alias("_uw_n")).where("_uw_n > 1").select("_uw_mark", F.lit(True).alias("_uw_again")), "again")
+    split = marked.join(F.broadcast(again) if again.count() <= MARKS else again, "_uw_mark", "left")
+    once = split.where("_uw_again is null").unionByName(split.where("_uw_again").dropDuplicates(["_uw_mark", "doc_id", "text"]))
+    kept = once.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_uw_id")).select(*docs.columns)
+    without = once.where("doc_id is null").select(*docs.columns)
+    if unknown:  # words of these documents stand in documents with ids
+        keyed = sketched(docs.select("doc_id", "text")).where("doc_id is not null and key is not null").select("key").distinct()
+        without = _keyed(without).join(keyed.withColumnRenamed("key", "_uw_key"), "_uw_key", "left_anti").select(*docs.columns)
+    return kept.unionByName(without)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with _uw_key, the 128-bit hash of their words (null if there are none)."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    at = docs.columns.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, int] = {}
+        for batch in batches:
+            words = [word_hashes(x.as_py() or "", memory) for x in batch.column(at)]
+            keys = pa.array([xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_uw_key"])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("_uw_key", BinaryType())]))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from unitweave.llm.common import write_shared
-from unitweave.llm.near_dup import shingles, word_hashes
 
 #: Bytes of a repeated string, and pieces among which its anchor is chosen.
 LENGTH, WINDOW = 400, 256
@@ -77,16 +77,65 @@ def anchors(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
-def word_anchors(words: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same over hashes of words: anchors of runs of `passage` words, among pieces of `piece` words."""
+#: Odd factors of the polynomial hashes: of the bytes of a word, and two of the words of a run.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(32))
+
+
+@lru_cache(maxsize=16)
+def _powers(factor: int, bits: int) -> np.ndarray:
+    """The first 2 ** bits powers of an odd factor, modulo 2 ** 64."""
+    powers = np.full(1 << bits, factor, dtype=np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
+
+
+def _runs(values: np.ndarray, first: np.ndarray, end: np.ndarray, factor: int) -> np.ndarray:
+    """Polynomial hash of each run values[first:end], whatever its place: prefix sums, brought to one exponent."""
+    bits = max(len(values), 1).bit_length()
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(factor, bits)[: len(values)], out=sums[1:])
+    return _mixed((sums[end] - sums[first]) * _powers(pow(factor, -1, 1 << 64), bits)[first] + (end - first).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (run of bytes but blanks), in stretches of about CHUNK bytes that end at blanks."""
+    found, begin = [], 0
+    while begin < len(data):
+        end = begin + CHUNK
+        while end < len(data) and not BLANK[data[end]]:
+            end += 1
+        part = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - begin, offset=begin)
+        edge = np.flatnonzero(np.diff(~BLANK[part], prepend=False, append=False))
+        found.append(_runs(part.astype(np.uint64) + np.uint64(1), edge[::2], edge[1::2], FACTORS[0]))
+        begin = end
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+
+
+def word_anchors(words: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, ...]:
+    """The same over hashes of words, anchors of runs of `passage` words, among pieces of `piece` words; and the hashes
+    of the pieces."""
     count = len(words) - passage + 1
     if count < 1:
-        return (np.empty(0, np.int64),) * 3
-    return _least(shingles(words, piece), count, passage - piece + 1)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    start = np.arange(len(words) - piece + 1)
+    pieces = _runs(words, start, start + piece, FACTORS[0])
+    at, first, last = _least(pieces, count, passage - piece + 1)
+    return at, first, last, pieces[at]
+
+
+def word_digests(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digest of each run of words, as two columns of 64 bits."""
+    return np.stack([_runs(words, first, end, f).view(np.int64) for f in FACTORS[1:]], axis=1)
 
 
-def _digests(data: bytes, spans: list[tuple[int, int]], kind: int) -> np.ndarray:
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b], kind) for a, b in spans]), dtype="<i8").reshape(-1, 2)
+def _digests(data: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -101,26 +150,26 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
     common = length - window + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, int] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 rows, places, keys, wholes = [], [], [], []
 
-                def add(k: int, data: bytes, found: tuple, unit: int, shared: int, size: int, kind: int, rows=rows, places=places, keys=keys, wholes=wholes):
-                    at, first, last = found
-                    if len(at):
-                        rows.append(np.full(len(at), k))
-                        places.append(at << 20 | (at - first) << 10 | last - first)
-                        key = np.array([xxhash.xxh3_64_intdigest(data[p * unit : (p + shared) * unit]) for p in at.tolist()], dtype=np.uint64)
-                        keys.append((key >> np.uint64(1) << np.uint64(1) | np.uint64(kind)).view(np.int64))
-                        wholes.append(_digests(data, [(a * unit, (b + size) * unit) for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind))
+                def add(k: int, at: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, whole: np.ndarray, kind: int, rows=rows, places=places, keys=keys, wholes=wholes):
+                    rows.append(np.full(len(at), k))
+                    places.append(at << 20 | (at - first) << 10 | last - first)
+                    keys.append((key >> np.uint64(1) << np.uint64(1) | np.uint64(kind)).view(np.int64))
+                    wholes.append(whole)
 
                 for k in range(begin, min(begin + 1000, batch.num_rows)):
-                    text = batch.column(1)[k].as_py()
-                    data = text.encode("utf-8", "surrogatepass")
-                    add(k, data, anchors(data, length, window), 1, common, length, BYTES)
-                    words = word_hashes(text, memory)
-                    add(k, words.tobytes(), word_anchors(words), 8, PIECE_WORDS, PASSAGE, WORDS)
+                    data = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
+                    at, first, last = anchors(data, length, window)
+                    if len(at):
+                        key = np.array([xxhash.xxh3_64_intdigest(data[p : p + common]) for p in at.tolist()], dtype=np.uint64)
+                        add(k, at, first, last, key, _digests(data, [(a, b + length) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), BYTES)
+                    words = word_hashes(data) if len(data) >= 2 * PASSAGE - 1 else ()
+                    if len(words) >= PASSAGE:
+                        at, first, last, key = word_anchors(words)
+                        add(k, at, first, last, key, word_digests(words, first, last + PASSAGE), WORDS)
                 if rows:
                     at = pa.array(np.concatenate(rows))
                     whole = np.concatenate(wholes)
@@ -178,7 +227,10 @@ class Settler:
         key_of = np.cumsum(new_key[starts]) - 1
         first_of_key = np.searchsorted(key_of, np.arange(key_of[-1] + 1))
         ordinal = np.arange(len(starts)) - first_of_key[key_of] + np.where(key_of == 0, self.before if n_open else 0, 0)
-        several = (np.bincount(key_of)[key_of] > 1) | (ordinal > 0)
+        # a key that lies in this table whole, and all of whose classes repeat, has nothing left to find
+        contained = ~((key_of == 0) & (n_open > 0)) & ((key_of != key_of[-1]) | last_batch)
+        single = np.bincount(key_of, weights=~many) > 0
+        several = ((np.bincount(key_of)[key_of] > 1) | (ordinal > 0)) & (~contained | single[key_of])
         told = np.zeros(len(key), bool)
         told[:n_open] = self.told
         out = np.flatnonzero(many[class_of] & ~told)
@@ -326,7 +378,9 @@ def decide(group: list[tuple[int, bytes, tuple]], length: int = LENGTH) -> Itera
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """doc_id, mark, kind, first, last: the starts of all strings of `length` bytes that also start anywhere else (kind
-    BYTES), and of all runs of PASSAGE words that another text has too (kind WORDS). docs: as `identified`."""
+    BYTES), and of all runs of PASSAGE words that another text has too (kind WORDS). docs: as `identified`.
+
+    Digests of runs of words are two polynomial hashes of their words' hashes."""
     spark = docs.sparkSession
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -345,37 +399,45 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     texts = docs.join(wanted, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark"))).select("doc_id", "text", "mark", "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Front-coded runs of suffixes to merge, by part, and digests of strings to count."""
-        memory: dict[str, int] = {}
+        """Front-coded runs of suffixes to merge, by part; digests of strings to count, with start, kind and whether the
+        string is known to repeat packed into one number."""
         for batch in batches:
             by_part: dict[int, list[tuple[bytes, tuple]]] = {}
-            rows, starts, many, digests = [], [], [], []
+            rows, packed, digests = [], [], []
             for k, (doc_id, text, mark, wanted) in enumerate(zip(*batch.columns, strict=True)):
-                text, words = text.as_py(), b""
-                data = text.encode("utf-8", "surrogatepass")
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                runs_of_words = []
                 for x in wanted.as_py():
                     p, n_left, n_width = x["place"] >> 20, x["place"] >> 10 & 1023, x["place"] & 1023
                     first = p - n_left
                     if not x["each"]:
                         suffix, before = data[p : first + n_width + length], data[first:p]
                         by_part.setdefault(x["key"] % (4 * parts), []).append((suffix, (before, n_width, x["members"], doc_id.as_py(), mark.as_py(), p, x["key"])))
-                        continue
-                    of = x["key"] & 1
-                    if of == WORDS:
-                        words = words or word_hashes(text, memory).tobytes()
-                    spans = [(8 * o, 8 * (o + PASSAGE)) for o in range(first, first + n_width + 1)] if of == WORDS else [(o, o + length) for o in range(first, first + n_width + 1)]
-                    rows += [k] * len(spans)
-                    starts += range(first, first + n_width + 1)
-                    many += [x["members"] > 1] * len(spans)
-                    digests += [xxhash.xxh3_128_digest((words if of == WORDS else data)[a:b], of) + bytes([of]) for a, b in spans]
+                    elif x["key"] & 1 == WORDS:
+                        runs_of_words.append((first, n_width + 1, x["members"] > 1))
+                    else:
+                        starts = np.arange(first, first + n_width + 1)
+                        rows.append(np.full(len(starts), k))
+                        packed.append(starts << 2 | BYTES << 1 | int(x["members"] > 1))
+                        digests.append(_digests(data, [(o, o + length) for o in starts.tolist()]))
+                if runs_of_words:
+                    starts = np.concatenate([np.arange(a, a + n) for a, n, _ in runs_of_words])
+                    many = np.concatenate([np.full(n, int(m)) for _, n, m in runs_of_words])
+                    rows.append(np.full(len(starts), k))
+                    packed.append(starts << 2 | WORDS << 1 | many)
+                    digests.append(word_digests(word_hashes(data), starts, starts + PASSAGE))
             for records in by_part.values():
                 records.sort(key=lambda r: r[0])
-            n, m = len(by_part), len(rows)
-            at = pa.array(rows, pa.int64())
-            columns = [pa.array([*by_part, *[None] * m], pa.int32()), pa.array([*map(front_coded, by_part.values()), *[None] * m], pa.binary()), pa.concat_arrays([pa.nulls(n, id_type), batch.column(0).take(at)]), pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(2).take(at)])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + starts, pa.int64()), pa.array([None] * n + many, pa.bool_()), pa.array([None] * n + digests, pa.binary())], ["part", "run", "doc_id", "mark", "start", "many", "digest"])
-
-    found = write_shared(texts.mapInArrow(read, f"part int, run binary, doc_id {kind}, mark long, start long, many boolean, digest binary"), "runs")
+            n, at = len(by_part), pa.array(np.concatenate(rows) if rows else [], pa.int64())
+            number = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), x])  # noqa: B023, E731
+            digest = np.concatenate(digests) if rows else np.empty((0, 2), np.int64)
+            columns = [
+                pa.array([*by_part, *[None] * len(at)], pa.int32()), pa.array([*map(front_coded, by_part.values()), *[None] * len(at)], pa.binary()), pa.concat_arrays([pa.nulls(n, id_type), batch.column(0).take(at)]),
+                *map(number, (batch.column(2).take(at), pa.array(np.concatenate(packed) if rows else [], pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "run", "doc_id", "mark", "packed", "d1", "d2"])
+
+    found = write_shared(texts.mapInArrow(read, f"part int, run binary, doc_id {kind}, mark long, packed long, d1 long, d2 long"), "runs")
     runs = found.where("part is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,13 +477,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
 
     merged = runs.mapInArrow(merge, f"doc_id {kind}, mark long, kind int, first long, last long")
     # a text that stands in several rows is read as often: its strings count once
-    strings = found.where("digest is not null").select("digest", "doc_id", "mark", "start", "many")
-    text = F.struct("doc_id", "mark")
-    counts = strings.groupBy("digest").agg(F.max("many").alias("many"), F.min(text).alias("lo"), F.max(text).alias("hi"), F.min("start").alias("s0"), F.max("start").alias("s1"))
-    apart = ~F.col("lo").eqNullSafe(F.col("hi"))
-    is_words = F.substring("digest", 17, 1) == F.lit(bytes([WORDS]))
-    again = counts.where(F.col("many") | apart | (~is_words & (F.col("s0") != F.col("s1")))).select("digest")
-    counted = strings.join(again, "digest").select("doc_id", "mark", F.when(is_words, WORDS).otherwise(BYTES).alias("kind"), F.col("start").alias("first"), F.col("start").alias("last"))
+    strings = found.where("part is null").select("d1", "d2", F.expr("shiftright(packed, 1) & 1").cast("int").alias("kind"), "doc_id", "mark", F.expr("shiftright(packed, 2)").alias("first"), (F.expr("packed & 1") == 1).alias("many"))
+    text = F.xxhash64("doc_id", "mark")
+    differ = lambda c: F.min(c) != F.max(c)
+    counts = strings.groupBy("d1", "d2", "kind").agg(F.max(F.col("many").cast("int")).alias("many"), differ(text).alias("texts"), differ(F.col("first")).alias("places"))
+    again = counts.where((F.col("many") == 1) | F.col("texts") | ((F.col("kind") == BYTES) & F.col("places"))).select("d1", "d2", "kind")
+    # those known to repeat are in `whole` already
+    counted = strings.where("not many").join(again, ["d1", "d2", "kind"]).select("doc_id", "mark", "kind", "first", F.col("first").alias("last"))
     return whole.union(merged).union(counted)
 
 

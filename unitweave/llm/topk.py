@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,10 @@ BITS = 64
 
 
 def binary_codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
-    """vec_id and code: bit i tells whether element i is above 0. Null vectors and elements, and missing ones, give 0."""
+    """vec_id and code: bit i tells whether element i is above 0. Null vectors and elements, and missing ones, give 0.
+
+    Null ids and repeated rows stay; columns other than vec_id and embedding are ignored. Empty table: no rows.
+    """
     bit = [F.shiftleft(F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1)).otherwise(0).cast("long"), i) for i in range(bits)]
     return vectors.select("vec_id", reduce(lambda a, b: a.bitwiseOR(b), bit).alias("code"))
 
@@ -24,9 +26,17 @@ def _segment(code: Column, k: int, width: int) -> Column:
     return F.shiftrightunsigned(code, k * width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _masks(width: int, r: int) -> Column:
-    """All values of `width` bits of which r are set, as one literal."""
-    return F.expr(f"array({', '.join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), r))})").cast("array<bigint>")
+def _flipped(probes: DataFrame, width: int, r: int) -> DataFrame:
+    """Each row once for every choice of r of the `width` bits, with these bits of v flipped.
+
+    Bits are chosen one after the other, each above the last and low enough for the rest, so no row is made in vain
+    and the plan has r steps whatever their number.
+    """
+    probes = probes.withColumn("next", F.lit(0))
+    for i in range(r):
+        bit = F.explode(F.sequence(F.col("next"), F.lit(width - r + i))).alias("bit")
+        probes = probes.select("q", "kth", "s", "v", bit).select("q", "kth", "s", F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"), (F.col("bit") + 1).alias("next"))
+    return probes.select("q", "kth", "s", "v")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, width: int | None = None) -> DataFrame:
@@ -56,7 +66,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, w
     found: DataFrame | None = None
     for r in range(width + 1):
         probes = active.select("q", "kth", parts("q").alias("p"))
-        probes = probes.select("q", "kth", F.col("p.s").alias("s"), F.col("p.v").alias("v"), F.explode(_masks(width, r)).alias("mask")).select("q", "kth", "s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+        probes = _flipped(probes.select("q", "kth", F.col("p.s").alias("s"), F.col("p.v").alias("v")), width, r)
         met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
         met = met.where(F.col("distance") <= F.col("kth")).select("q", "code", "n", "distance")
         met = write_shared((met if found is None else met.union(found)).distinct(), "met")

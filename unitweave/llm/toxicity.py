@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the lexicon and the scale of scores are fitted on, at most (those of least hash).
 MAX_TRAINING = 20_000
-#: Terms and exception phrases that the lexicon keeps, at most (the most significant ones).
-MAX_TERMS, MAX_PHRASES = 2_000, 2_000
-#: A term must be in this share of the toxic documents, so that groups of copies make no terms.
+#: A term must be in this share of the toxic documents, so that groups of copies make no terms. This also bounds the
+#: terms: a document with w words has part in at most 6 w of them.
 LEAST_SHARE = 0.012
 #: Shortest and longest word beginning that may become a term of its own.
 STEMS = range(4, 9)
@@ -80,7 +79,7 @@ class Lexicon:
         hits, excused = [], []
         for end, (length, weight) in matcher.iter(folded):
             (hits if weight else excused).append((end + 1 - length, end + 1, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused)) if excused else sum(x[2] for x in hits)
+        total = sum(_outside(hits, excused)) if excused else sum(x[2] for x in hits)
         return log1p(total), total / sqrt(1.0 + folded.count(" ")) if total else 0.0
 
     def score(self, matcher, text: str) -> float:
@@ -89,6 +88,19 @@ class Lexicon:
         return 1 / (1 + exp(-z)) if z > -700 else 0.0
 
 
+def _outside(hits: list[tuple[int, int, float]], excused: list[tuple[int, int, float]]) -> Iterator[float]:
+    """Weights of the hits that lie in no excused span: both in order of their beginnings, so the furthest end of the
+    spans that begin no later decides."""
+    excused.sort()
+    k, furthest = 0, -1
+    for begin, end, weight in sorted(hits):
+        while k < len(excused) and excused[k][0] <= begin:
+            furthest = max(furthest, excused[k][1])
+            k += 1
+        if end > furthest:
+            yield weight
+
+
 def _significance(toxic: float, clean: float, toxic_docs: int, clean_docs: int) -> tuple[float, float]:
     """Log odds of a term with smoothing, and these over their standard error."""
     odds = log((toxic + 0.5) / (toxic_docs - toxic + 0.5)) - log((clean + 0.5) / (clean_docs - clean + 0.5))
@@ -135,13 +147,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
         least = max(3, round(LEAST_SHARE * toxic_docs))
         share = clean_docs / toxic_docs
         frequent = _document_counts(training, _terms_of).where(F.col("toxic") >= least).where(F.col("toxic") * F.lit(share) > 4 * F.col("clean"))
-        ranked = frequent.orderBy(F.desc(F.col("toxic") - F.col("clean") / F.lit(share)), "term").limit(20 * MAX_TERMS).collect()
+        ranked = frequent.collect()
         scored = sorted(((z, r["term"], odds) for r in ranked for odds, z in [_significance(r["toxic"], r["clean"], toxic_docs, clean_docs)] if z > 3.5), key=lambda x: (-round(x[0], 6), len(x[1]), x[1]))
         weights: dict[str, float] = {}
         beginnings: set[str] = set()
         for _, term, odds in scored:
             stem = term.rstrip()
-            if len(weights) < MAX_TERMS and stem not in beginnings and not any(stem[:k] in weights for k in range(2, len(stem) + 1)) and term not in weights:
+            if stem not in beginnings and not any(stem[:k] in weights for k in range(2, len(stem) + 1)) and term not in weights:
                 weights[term] = odds
                 beginnings.update(stem[:k] for k in range(2, len(stem) + 1))
         lexicon = Lexicon(weights)
@@ -159,8 +171,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
             return found
 
         if weights:
-            excused = _document_counts(training, phrases_of).where(F.col("clean") >= 3).where(F.col("clean") >= F.col("toxic") * F.lit(share)).orderBy(F.desc("clean"), "term").limit(MAX_PHRASES).collect()
-            lexicon.phrases = [r["term"] for r in excused]
+            excused = _document_counts(training, phrases_of).where(F.col("clean") >= 3).where(F.col("clean") >= F.col("toxic") * F.lit(share)).collect()
+            lexicon.phrases = sorted(r["term"] for r in excused)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = lexicon.automaton()
@@ -200,7 +212,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score is below the threshold, with all their columns in place."""
+    """The documents whose score is below the threshold, with all their columns in place.
+
+    Null and empty texts have the score of texts without hits. Null doc_ids and repeated rows are judged like others.
+    Empty table: no rows. Other columns may have any names.
+    """
     columns, names = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = columns.index("text")
 
