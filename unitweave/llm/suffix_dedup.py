@@ -48,35 +48,62 @@ BYTES, WORDS = 0, 1
 AT, LEFT, WIDTH = "shiftright(place, 20)", "shiftright(place, 10) & 1023", "place & 1023"
 
 
-def _least(pieces: np.ndarray, count: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each of `count` windows over `pieces` the place of the least: the places, first and last window of each."""
+def _least(pieces: np.ndarray, begin: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Windows over the hashes of the pieces of several texts, laid one after the other: text k has `count[k]` windows
+    from piece `begin[k]` on. Of runs of windows with one least piece: text, place of the piece, first and last window."""
     marked = pieces & np.uint64(0xFFFFFFFF00000000) | np.arange(len(pieces), dtype=np.uint64)
     padded = np.full(-(-len(marked) // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(marked)] = marked
     blocks = padded.reshape(-1, window)
     upto = np.minimum.accumulate(blocks, axis=1).ravel()
     onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(onward[:count], upto[window - 1 : window - 1 + count])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:] - 1, [count - 1]])
-    return (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), first, last
+    n = len(pieces) - window + 1
+    least = np.minimum(onward[:n], upto[window - 1 : window - 1 + n])
+    new = np.ones(n + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:n])
+    new[begin] = new[begin + count] = True
+    first = np.flatnonzero(new)
+    last = first[1:] - 1
+    first = first[:-1]
+    text = np.searchsorted(begin, first, side="right") - 1
+    inside = (text >= 0) & (first < (begin + count)[text])
+    first = first[inside]
+    return text[inside], (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), first, last[inside]
+
+
+def _byte_pieces(data: bytes) -> np.ndarray:
+    """Hash of the PIECE (8) bytes from each place on; the eight shifts of the data are read as whole numbers."""
+    n = len(data) - PIECE + 1
+    pieces = np.empty(n, dtype=np.uint64)
+    for shift in range(min(PIECE, n)):
+        pieces[shift::PIECE] = np.frombuffer(data, dtype="<u8", count=(len(data) - shift) // PIECE, offset=shift)
+    pieces *= np.uint64(0x9E3779B97F4A7C15)
+    pieces ^= pieces >> np.uint64(29)
+    pieces *= np.uint64(0xBF58476D1CE4E5B9)
+    return pieces
 
 
 def anchors(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors and the first and last start of the strings that each stands for."""
+    """Places of the anchors of one text, and the first and last start of the strings that each stands for; by stretches."""
     n, found = len(data) - length + 1, []
-    everything = np.frombuffer(data, dtype=np.uint8)
     for begin in range(0, max(n, 0), CHUNK):
         count = min(CHUNK, n - begin)
-        part = everything[begin : begin + count + window - 1 + PIECE - 1]
-        pieces = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, PIECE)).view("<u8").ravel()
-        pieces *= np.uint64(0x9E3779B97F4A7C15)
-        pieces ^= pieces >> np.uint64(29)
-        pieces *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append(tuple(x + begin for x in _least(pieces, count, window)))
+        part = _byte_pieces(data[begin : begin + count + window - 1 + PIECE - 1])
+        found.append(tuple(x + begin for x in _least(part, np.array([0]), np.array([count]), window)[1:]))
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
+def anchors_of(blob: bytes, offsets: np.ndarray, sizes: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """text, place, first and last (all from the text's beginning) of the anchors of texts that lie in one blob."""
+    some = np.flatnonzero(sizes >= length)
+    if len(blob) > 2 * CHUNK or not len(some):  # one long text, or none
+        found = [(k, *anchors(blob[offsets[k] : offsets[k] + sizes[k]], length, window)) for k in some.tolist()]
+        return tuple(np.concatenate(x) for x in zip(*[(np.full(len(f[1]), f[0]), *f[1:]) for f in found], strict=True)) if found else (np.empty(0, np.int64),) * 4
+    text, at, first, last = _least(_byte_pieces(blob), offsets[some], sizes[some] - length + 1, window)
+    text = some[text]
+    return text, at - offsets[text], first - offsets[text], last - offsets[text]
+
+
 #: Odd factors of the polynomial hashes: of the bytes of a word, and two of the words of a run.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -103,30 +130,31 @@ def _runs(values: np.ndarray, first: np.ndarray, end: np.ndarray, factor: int) -
     return _mixed((sums[end] - sums[first]) * _powers(pow(factor, -1, 1 << 64), bits)[first] + (end - first).astype(np.uint64))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (run of bytes but blanks), in stretches of about CHUNK bytes that end at blanks."""
-    found, begin = [], 0
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (run of bytes but blanks) and its place, in stretches of about CHUNK bytes that end at
+    blanks."""
+    found, begin = [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))], 0
     while begin < len(data):
         end = begin + CHUNK
         while end < len(data) and not BLANK[data[end]]:
             end += 1
         part = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - begin, offset=begin)
         edge = np.flatnonzero(np.diff(~BLANK[part], prepend=False, append=False))
-        found.append(_runs(part.astype(np.uint64) + np.uint64(1), edge[::2], edge[1::2], FACTORS[0]))
+        found.append((_runs(part.astype(np.uint64) + np.uint64(1), edge[::2], edge[1::2], FACTORS[0]), edge[::2] + begin))
         begin = end
-    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def word_anchors(words: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, ...]:
-    """The same over hashes of words, anchors of runs of `passage` words, among pieces of `piece` words; and the hashes
-    of the pieces."""
-    count = len(words) - passage + 1
-    if count < 1:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+def word_anchors(words: np.ndarray, begin: np.ndarray, size: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, ...]:
+    """The same over hashes of words of several texts (text k has `size[k]` from `begin[k]` on), anchors of runs of
+    `passage` words among pieces of `piece` words: text, place, first and last in `words`, and the hash of the piece."""
+    some = np.flatnonzero(size >= passage)
+    if not len(some):
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     start = np.arange(len(words) - piece + 1)
     pieces = _runs(words, start, start + piece, FACTORS[0])
-    at, first, last = _least(pieces, count, passage - piece + 1)
-    return at, first, last, pieces[at]
+    text, at, first, last = _least(pieces, begin[some], size[some] - passage + 1, passage - piece + 1)
+    return some[text], at, first, last, pieces[at]
 
 
 def word_digests(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -151,30 +179,34 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                rows, places, keys, wholes = [], [], [], []
-
-                def add(k: int, at: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, whole: np.ndarray, kind: int, rows=rows, places=places, keys=keys, wholes=wholes):
-                    rows.append(np.full(len(at), k))
-                    places.append(at << 20 | (at - first) << 10 | last - first)
-                    keys.append((key >> np.uint64(1) << np.uint64(1) | np.uint64(kind)).view(np.int64))
-                    wholes.append(whole)
-
-                for k in range(begin, min(begin + 1000, batch.num_rows)):
-                    data = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
-                    at, first, last = anchors(data, length, window)
-                    if len(at):
-                        key = np.array([xxhash.xxh3_64_intdigest(data[p : p + common]) for p in at.tolist()], dtype=np.uint64)
-                        add(k, at, first, last, key, _digests(data, [(a, b + length) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), BYTES)
-                    words = word_hashes(data) if len(data) >= 2 * PASSAGE - 1 else ()
-                    if len(words) >= PASSAGE:
-                        at, first, last, key = word_anchors(words)
-                        add(k, at, first, last, key, word_digests(words, first, last + PASSAGE), WORDS)
-                if rows:
-                    at = pa.array(np.concatenate(rows))
-                    whole = np.concatenate(wholes)
-                    columns = [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(np.concatenate(x)) for x in (places, keys)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "key", "w1", "w2"])
+            begin = 0
+            while begin < batch.num_rows:
+                datas, held, end = [], 0, begin
+                while end < batch.num_rows and (not datas or held < CHUNK):  # texts that are hashed together
+                    datas.append(batch.column(1)[end].as_py().encode("utf-8", "surrogatepass"))
+                    held, end = held + len(datas[-1]), end + 1
+                if len(datas) > 1 and len(datas[-1]) > CHUNK:
+                    datas, end = datas[:-1], end - 1
+                blob = b" ".join(datas)
+                sizes = np.array([len(d) for d in datas])
+                offsets = np.cumsum(sizes + 1) - sizes - 1
+                text, at, first, last = anchors_of(blob, offsets, sizes, length, window)
+                base = offsets[text]
+                key = np.array([xxhash.xxh3_64_intdigest(blob[p : p + common]) for p in (base + at).tolist()], dtype=np.uint64)
+                whole = _digests(blob, list(zip((base + first).tolist(), (base + last + length).tolist(), strict=True)))
+                words, where = word_hashes(blob)
+                edges = np.searchsorted(where, np.append(offsets, len(blob) + 1))
+                w_text, w_at, w_first, w_last, w_key = word_anchors(words, edges[:-1], np.diff(edges))
+                w_whole = word_digests(words, w_first, w_last + PASSAGE)
+                w_at, w_first, w_last = (x - edges[w_text] for x in (w_at, w_first, w_last))
+                rows = pa.array(np.concatenate([text, w_text]) + begin)
+                at, first, last = np.concatenate([at, w_at]), np.concatenate([first, w_first]), np.concatenate([last, w_last])
+                key = np.concatenate([key, w_key]) >> np.uint64(1) << np.uint64(1)
+                key |= np.repeat(np.array([BYTES, WORDS], np.uint64), [len(text), len(w_text)])
+                whole = np.concatenate([whole, w_whole])
+                columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at << 20 | (at - first) << 10 | last - first), pa.array(key.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "key", "w1", "w2"])
+                begin = end
 
     return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, place long, key long, w1 long, w2 long")
 
@@ -425,7 +457,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     many = np.concatenate([np.full(n, int(m)) for _, n, m in runs_of_words])
                     rows.append(np.full(len(starts), k))
                     packed.append(starts << 2 | WORDS << 1 | many)
-                    digests.append(word_digests(word_hashes(data), starts, starts + PASSAGE))
+                    digests.append(word_digests(word_hashes(data)[0], starts, starts + PASSAGE))
             for records in by_part.values():
                 records.sort(key=lambda r: r[0])
             n, at = len(by_part), pa.array(np.concatenate(rows) if rows else [], pa.int64())
