@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,11 +245,13 @@ def lookup_positions(spark, sf_dir):
     return sel.lookup_positions(sel.feature_vectors(train, vocab), vocab).select("sample_id", "pos", "feature")
 
 
-@query()
+@query(f"{VECTORS} SELECT sample_id, (SELECT count(*) + 1 FROM vocabulary)::INTEGER AS size, pos, weight FROM vectors")
 def to_ml_vectors(spark, sf_dir):
+    """The vectors' size and entries that are not 0."""
     train, vocab = train_and_vocabulary(spark, sf_dir)
     vectors = sel.to_ml_vectors(sel.feature_vectors(train, vocab), vocab.count())
-    return vectors.select("sample_id", F.col("features").cast("string").alias("features"))
+    dense = vectors.select("sample_id", vector_to_array("features").alias("x"))
+    return dense.select("sample_id", F.size("x").alias("size"), F.posexplode("x").alias("pos", "weight")).where("weight <> 0")
 
 
 # Evaluation over given probabilities.
