@@ -5,7 +5,8 @@ pieces (the leftmost of equals). Equal strings hold the same anchor at the same
 and only if their anchors are, their bytes from the anchor on, and their bytes before it. Only suffixes that begin at
 anchors are sorted: about 2 in `window` bytes.
 
-1. Anchors with the strings that they stand for are exchanged by a hash of the bytes which all these strings share.
+1. Anchors with the strings that they stand for are exchanged by a hash of the bytes which all these strings share; of
+   equal surroundings that are met together two are, the rest are told to repeat on the spot.
    Anchors whose whole surroundings have equal 128-bit digests are repeats: there is nothing to order among equals, so
    one of them stands for all in what follows. Anchors with a key of their own are unique.
 2. The rest are places where repeats begin, end or differ. Their suffixes are sorted per task, exchanged as
@@ -45,6 +46,8 @@ CHUNK = 1 << 21
 PIECE = 8
 #: Anchors are places in bytes or in words; the kind is the lowest bit of the key.
 BYTES, WORDS = 0, 1
+#: Bit of a packed place: the anchor is known to repeat.
+TOLD = 1 << 19
 AT, LEFT, WIDTH = "shiftright(place, 20)", "shiftright(place, 10) & 1023", "place & 1023"
 
 
@@ -173,6 +176,25 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
+def _told(key: np.ndarray, whole: np.ndarray, place: np.ndarray, text: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Rows that repeat for certain, since two others of their surroundings are exchanged (of words: of other texts)."""
+    extent = place & 0xFFFFF
+    order = np.lexsort((text, extent, whole[:, 1], whole[:, 0], key))
+    same = lambda x: x[order][1:] == x[order][:-1]
+    new = np.concatenate([[True], ~(same(key) & same(whole[:, 0]) & same(whole[:, 1]) & same(extent))])[: len(order)]
+    starts = np.flatnonzero(new)
+    class_of = np.cumsum(new) - 1
+    rank = np.arange(len(order)) - starts[class_of]
+    other = mark[order] != mark[order][starts[class_of]]
+    first_other = np.full(len(starts), len(order))
+    np.minimum.at(first_other, class_of[other], np.flatnonzero(other))
+    second = np.where((key[order][starts] & np.uint64(1)) == WORDS, first_other, starts + 1)  # exchanged with the first
+    ends = np.append(starts[1:], len(order))
+    found = np.zeros(len(order), bool)
+    found[order] = (rank > 0) & (np.arange(len(order)) != second[class_of]) & (second < ends)[class_of]
+    return found
+
+
 def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
     """doc_id, mark, place (at, left, width packed), key (64-bit hash and kind) and whole (128-bit digest) of each anchor."""
     common = length - window + 1
@@ -203,8 +225,13 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
                 at, first, last = np.concatenate([at, w_at]), np.concatenate([first, w_first]), np.concatenate([last, w_last])
                 key = np.concatenate([key, w_key]) >> np.uint64(1) << np.uint64(1)
                 key |= np.repeat(np.array([BYTES, WORDS], np.uint64), [len(text), len(w_text)])
-                whole = np.concatenate([whole, w_whole])
-                columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at << 20 | (at - first) << 10 | last - first), pa.array(key.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
+                whole, place = np.concatenate([whole, w_whole]), at << 20 | (at - first) << 10 | last - first
+                mark = batch.column(2).take(rows)
+                told = _told(key, whole, place, np.concatenate([text, w_text]), mark.to_numpy())
+                place[told] |= TOLD
+                # what is settled here already goes anywhere, spread by text and place
+                key[told] = key[told] & np.uint64(1) | _mixed(mark.to_numpy()[told].view(np.uint64) + place[told].view(np.uint64) * np.uint64(FACTORS[0])) >> np.uint64(1) << np.uint64(1)
+                columns = [batch.column(0).take(rows), mark, pa.array(place), pa.array(key.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "key", "w1", "w2"])
                 begin = end
 
@@ -212,7 +239,7 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
 
 
 class Settler:
-    """Over rows sorted by key, whole and packed extent: members of equal surroundings become repeats ("r"); if a key
+    """Over rows sorted by key, whole and packed extent (but for those told to repeat already): members of equal surroundings become repeats ("r"); if a key
     has several classes of surroundings, its classes go on ("m"), one row for a class of repeats, else every row.
 
     Bytes repeat if a class has two rows, words if it has two texts. Of a class that goes on in the next batch at most
@@ -229,6 +256,14 @@ class Settler:
 
     def add(self, table: pa.Table | None) -> Iterator[pa.Table]:
         n_open = 0 if self.open is None else len(self.open)
+        if table is not None and (told := table["place"].to_numpy() & TOLD > 0).any():
+            at = np.flatnonzero(told)
+            some = table.take(pa.array(at))
+            some = some.set_column(2, "place", pa.array(some["place"].to_numpy() & ~TOLD))
+            yield self._tagged(some, np.arange(len(at)), "r", np.full(len(at), 2), np.zeros(len(at)))
+            table = table.filter(pa.array(~told))
+            if not len(table):
+                return
         if table is None:
             table = self.open if n_open else None
         elif n_open:
@@ -281,6 +316,8 @@ class Settler:
 
     def _tagged(self, table: pa.Table, at: np.ndarray, tag: str, members: np.ndarray, ordinal: np.ndarray) -> pa.Table:
         some = table.take(pa.array(at)).select(self.NAMES[:4])
+        if tag == "r":  # of the key only the kind is needed
+            some = some.set_column(3, "key", pa.array(some["key"].to_numpy() & 1))
         return some.append_column("tag", pa.array([tag] * len(at))).append_column("members", pa.array(members.astype(np.int32))).append_column("ordinal", pa.array(ordinal.astype(np.int64)))
 
 
@@ -412,7 +449,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """doc_id, mark, kind, first, last: the starts of all strings of `length` bytes that also start anywhere else (kind
     BYTES), and of all runs of PASSAGE words that another text has too (kind WORDS). docs: as `identified`.
 
-    Digests of runs of words are two polynomial hashes of their words' hashes."""
+    Surroundings in words are told by two polynomial hashes of 64 bits, single runs of words by one: among 10^12 runs one
+    in 10 million may be counted as shared though it is not. No byte is removed by it."""
     spark = docs.sparkSession
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -457,7 +495,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     many = np.concatenate([np.full(n, int(m)) for _, n, m in runs_of_words])
                     rows.append(np.full(len(starts), k))
                     packed.append(starts << 2 | WORDS << 1 | many)
-                    digests.append(word_digests(word_hashes(data)[0], starts, starts + PASSAGE))
+                    digest = word_digests(word_hashes(data)[0], starts, starts + PASSAGE)
+                    digest[:, 1] = 0  # 64 bits do for words, which only are counted
+                    digests.append(digest)
             for records in by_part.values():
                 records.sort(key=lambda r: r[0])
             n, at = len(by_part), pa.array(np.concatenate(rows) if rows else [], pa.int64())
