@@ -249,3 +249,63 @@ def test_stream_equals_batch(spark, tmp_path):
         found = read_frequencies(spark, f"{tmp_path}/frequencies")
         assert rows(found, "label", "feature", "df") == rows(sel.document_frequency(un.count_ngrams(spark.read.parquet(f"{tmp_path}/in").withColumn("sample_id", F.monotonically_increasing_id()), 2)), "label", "feature", "df")
         units.write.mode("append").parquet(f"{tmp_path}/in")
+
+
+def test_statement_edges_of_data_equal_brute_force(spark, sf):
+    """Latest definition before each use, then both ends' nearest statements by climbing the parents."""
+    from unitweave import catalog
+    from unitweave.functions.tables import STATEMENTS
+    from unitweave.plans import testdata as td
+
+    nodes = td.order_trees(spark, sf).cache()
+    got = {(r["sample_id"], r["src"], r["dst"], int(r["begin_id"]), int(r["end_id"])) for r in catalog.flow_edges(nodes).where("type = 'data'").collect()}
+    samples = {}
+    for r in nodes.orderBy("sample_id", "node_id").collect():
+        samples.setdefault(r["sample_id"], {})[r["node_id"]] = r
+    want = set()
+    for sample, some in samples.items():
+        def statement(n, some=some):
+            while n is not None and some[n]["name"] not in STATEMENTS:
+                n = some[n]["parent_id"]
+            return n
+
+        last = {}
+        for n, r in some.items():
+            if r["name"] == "Identifier":
+                name = r["attributes"]["name"]
+                if r["child_ix"] == 0:
+                    last[name] = n
+                elif name in last and statement(last[name]) is not None and statement(n) is not None:
+                    want.add((sample, statement(last[name]), statement(n), last[name], n))
+    assert got == want and want
+
+
+def test_reserved_words_are_not_reported(spark):
+    from unitweave import catalog
+    from unitweave.functions.tables import RESERVED
+
+    names = ["Document", "javaclass", "pkcs11", "onMouseOver", "Symbol", "each", "myOwn", "window2"]
+    events = spark.createDataFrame([(1, 0, i, 0, n, "use", False) for i, n in enumerate(names)], EVENTS)
+    assert rows(tr.undeclared_identifiers(events, catalog.reserved_words(spark)), "name") == [("myOwn",), ("window2",)]
+    assert len(RESERVED) == 200 and len({w.lower() for w in RESERVED}) == catalog.reserved_words(spark).count()
+
+
+def test_forest_votes_and_stored_scores(spark, tmp_path):
+    from unitweave.plans import model as mo
+    from unitweave.plans import modules
+
+    units = [(i, "malicious" if i % 2 else "benign", [3, 4, 3, 4, 5][: 3 + i % 3] if i % 2 else [1, 2, 1, 1, 2][: 3 + i % 3]) for i in range(60)]
+    table = spark.createDataFrame(units, "sample_id long, label string, units array<int>")
+    train, validation = table.where("sample_id < 30"), table.where("sample_id >= 30")
+    forest, vocabulary = modules.train_module(train, validation, n=2, min_df=2, confidence=90, trees=7)
+    assert vocabulary.count() >= 2 and forest.getNumTrees == 7
+    judged = modules.classify_module(validation, forest, vocabulary, n=2)
+    assert all(r["predicted"] == r["label"] for r in judged.collect())
+    vectors = sel.feature_vectors(un.count_ngrams(validation, 2), vocabulary)
+    p = {r["sample_id"]: r["p_malicious"] for r in judged.collect()}
+    votes = mo.tree_votes(forest, sel.to_ml_vectors(vectors, forest.numFeatures - 1), batch=3).groupBy("sample_id").agg(F.avg("p_malicious").alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["sample_id"] for r in votes} == set(p) and all(r["n"] == 7 and r["mean"] == pytest.approx(p[r["sample_id"]]) for r in votes)
+    mo.write_model(forest, f"{tmp_path}/model")
+    write_artifact(vectors, f"{tmp_path}/out", "tokens", "ngrams", "vectors")
+    scored = mo.score_stored_analysis(read_artifact(spark, f"{tmp_path}/out", "tokens", "ngrams", "vectors"), mo.read_model(f"{tmp_path}/model"))
+    assert {r["sample_id"]: r["p_malicious"] for r in scored.collect()} == pytest.approx(p)
