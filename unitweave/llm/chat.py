@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from unitweave.llm.common import prefix_sums
 
 #: Control strings that may not stand in a text as they are, each with the letter that stands for it after a backslash.
-CONTROL = (("\\", "b"), ("<|", "m"), ("<s>", "s"), ("</s>", "e"), ("[INST]", "i"), ("[/INST]", "j"), ("<<SYS>>", "y"), ("<</SYS>>", "z"))
+CONTROL = (
+    ("\\", "b"),
+    ("<|", "m"),
+    ("<s>", "s"),
+    ("</s>", "e"),
+    ("[INST]", "i"),
+    ("[/INST]", "j"),
+    ("<<SYS>>", "y"),
+    ("<</SYS>>", "z"),
+)
 #: Opens a block of turns of one role, parts the turns of a block, ends it.
 OPEN, BODY, PART, END = "<|role|>", "<|text|>", "<|turn|>", "<|end|>"
 
@@ -33,9 +42,18 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Null text and null role: empty. Null conv_id: one conversation. Equal turn numbers: by role, then text. Repeated
     rows are turns of their own. Empty table: no rows. Columns other than conv_id, turn, role, text are ignored.
     """
-    turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(
+        F.col("turn").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    rows = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
+    rows = F.transform(
+        "turns",
+        lambda t: F.struct(
+            escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")
+        ),
+    )
     chats = chats.select("conv_id", rows.alias("turns"))
 
     def piece(t: Column, i: Column) -> Column:
@@ -43,13 +61,35 @@ def format_chats(turns: DataFrame) -> DataFrame:
         last = i == F.size("turns") - 1
         more = ~last & (F.get("turns", i + 1)["role"] == t["role"])
         before = F.when(same, F.lit(PART)).otherwise(F.concat(F.lit(OPEN), t["role"], F.lit(BODY)))
-        return F.struct(before.alias("before"), t["text"].alias("text"), F.when(more, F.lit("")).otherwise(F.lit(END)).alias("after"), t["loss"].alias("loss"))
+        return F.struct(
+            before.alias("before"),
+            t["text"].alias("text"),
+            F.when(more, F.lit("")).otherwise(F.lit(END)).alias("after"),
+            t["loss"].alias("loss"),
+        )
 
     chats = chats.withColumn("pieces", F.transform("turns", piece))
-    chats = chats.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), ""))
-    lengths = F.transform("pieces", lambda p: F.struct(F.length(p["before"]).cast("long").alias("b"), F.length(p["text"]).cast("long").alias("t"), F.length(p["after"]).cast("long").alias("a"), p["loss"].alias("loss")))
-    placed = F.zip_with(lengths, prefix_sums(F.transform(lengths, lambda p: p["b"] + p["t"] + p["a"])), lambda p, at: F.struct((at + p["b"]).alias("start"), p["t"].alias("length"), p["loss"].alias("loss")))
-    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    chats = chats.withColumn(
+        "formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
+    )
+    lengths = F.transform(
+        "pieces",
+        lambda p: F.struct(
+            F.length(p["before"]).cast("long").alias("b"),
+            F.length(p["text"]).cast("long").alias("t"),
+            F.length(p["after"]).cast("long").alias("a"),
+            p["loss"].alias("loss"),
+        ),
+    )
+    placed = F.zip_with(
+        lengths,
+        prefix_sums(F.transform(lengths, lambda p: p["b"] + p["t"] + p["a"])),
+        lambda p, at: F.struct((at + p["b"]).alias("start"), p["t"].alias("length"), p["loss"].alias("loss")),
+    )
+    spans = F.transform(
+        F.filter(placed, lambda p: p["loss"]),
+        lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")),
+    )
     return chats.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
@@ -62,7 +102,19 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
     def turns_of(block: Column) -> Column:
         body = F.split(F.substring(block, len(OPEN) + 1, 2147483647), r"<\|text\|>")
-        return F.transform(F.split(F.get(body, F.lit(1)), r"<\|turn\|>"), lambda t: F.struct(unescape(F.get(body, F.lit(0))).alias("role"), unescape(t).alias("text")))
-
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return chats.select("conv_id", "formatted", "loss_spans", F.flatten(F.transform(blocks, turns_of)).alias("turns"), loss.alias("loss_texts"))
+        return F.transform(
+            F.split(F.get(body, F.lit(1)), r"<\|turn\|>"),
+            lambda t: F.struct(unescape(F.get(body, F.lit(0))).alias("role"), unescape(t).alias("text")),
+        )
+
+    loss = F.transform(
+        "loss_spans",
+        lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))),
+    )
+    return chats.select(
+        "conv_id",
+        "formatted",
+        "loss_spans",
+        F.flatten(F.transform(blocks, turns_of)).alias("turns"),
+        loss.alias("loss_texts"),
+    )

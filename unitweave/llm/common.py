@@ -54,8 +54,15 @@ def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
         items, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found")),
         lambda s, v: F.struct((s["at"] + value(v)).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")),
     )
-    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / chunk), F.lit(0)).cast("int")), lambda c: fold(F.slice(x, c * chunk + 1, F.lit(chunk)), lambda v: v.cast("long")))
-    joined = lambda inner: F.flatten(F.zip_with(inner, fold(inner, lambda v: v["at"])["found"], lambda a, b: F.transform(a["found"], lambda y: y + b)))
+    pieces = lambda x: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / chunk), F.lit(0)).cast("int")),
+        lambda c: fold(F.slice(x, c * chunk + 1, F.lit(chunk)), lambda v: v.cast("long")),
+    )
+    joined = lambda inner: F.flatten(
+        F.zip_with(
+            inner, fold(inner, lambda v: v["at"])["found"], lambda a, b: F.transform(a["found"], lambda y: y + b)
+        )
+    )
     bound = F.transform(F.array(lengths), lambda x: F.transform(F.array(pieces(x)), joined)[0])  # lambda variables hold arrays, made once
     return F.when(F.size(lengths) > 0, bound[0]).otherwise(F.array().cast("array<bigint>"))
 
@@ -65,7 +72,9 @@ def slice_of(columns: Sequence[Column], slices: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
 
-def ranked_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int, rank: str) -> tuple[DataFrame, DataFrame]:
+def ranked_in_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int, rank: str
+) -> tuple[DataFrame, DataFrame]:
     """Add `rank`, the 0-based rank of each row within `keys`, without bringing the rows of a key together.
 
     Rows of a key are dealt to hash slices; ranks run through slice 0, then slice 1 and so on, by `order` inside a
@@ -80,4 +89,6 @@ def ranked_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     inside = Window.partitionBy(*by_slice).orderBy(*order)
     ranked = sliced.withColumn("_uw_row", F.row_number().over(inside) - 1).join(starts, by_slice)
     totals = counts.groupBy(*keys).agg(F.sum("_uw_n").alias("n_rows"))
-    return ranked.withColumn(rank, (F.col("_uw_start") + F.col("_uw_row")).cast("long")).drop("_uw_slice", "_uw_start", "_uw_row"), totals
+    return ranked.withColumn(
+        rank, (F.col("_uw_start") + F.col("_uw_row")).cast("long")
+    ).drop("_uw_slice", "_uw_start", "_uw_row"), totals

@@ -42,7 +42,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     return sources.withColumn("target", target).withColumn("_uw_rate", rate).select("_uw_source", "source_size", "target", "_uw_rate")
 
 
-def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS, slices: int = SLICES) -> DataFrame:
+def mix_sources(
+    docs: DataFrame,
+    carry: Sequence[str] = (),
+    seed: int = 17,
+    weights: Sequence[int] = WEIGHTS,
+    epochs: int = MAX_EPOCHS,
+    slices: int = SLICES,
+) -> DataFrame:
     """How often each document is taken so that sources reach their target weights.
 
     Systematic sampling: within a source every document is expected `target / source size` times; documents are laid
@@ -66,7 +73,9 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weig
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source"))).alias("_uw_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_uw_size"),
     ).withColumn("_uw_class", F.floor(F.log2(F.col("_uw_size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-    sized = write_shared(sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long")), "sized")
+    sized = write_shared(
+        sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long")), "sized"
+    )
     order = [F.col("_uw_size"), F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id"), F.col("_uw_content")]
     keys = ["_uw_source", "_uw_class"]
 
@@ -74,7 +83,9 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weig
         """Each document with its place on its source's line, and its source's target and rate."""
         ranked, counts = ranked_in_slices(table, keys, order, slices, "_uw_rank")
         smaller = Window.partitionBy("_uw_source").orderBy("_uw_class").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.withColumn("_uw_before", F.coalesce(F.sum("n_rows").over(smaller), F.lit(0))).drop("n_rows").join(targets, "_uw_source")
+        starts = counts.withColumn(
+            "_uw_before", F.coalesce(F.sum("n_rows").over(smaller), F.lit(0))
+        ).drop("n_rows").join(targets, "_uw_source")
         return ranked.join(starts, keys).withColumn("_uw_at", F.col("_uw_before") + F.col("_uw_rank"))
 
     def crossed(offset):
@@ -82,8 +93,15 @@ def mix_sources(docs: DataFrame, carry: Sequence[str] = (), seed: int = 17, weig
         return F.least(copies, F.lit(epochs)).cast("long")
 
     targets = write_shared(source_targets(sized, weights, epochs), "targets")
-    drawn = [(k + F.pmod(F.xxhash64(F.lit(seed), F.lit(k)), F.lit(1021)) / F.lit(1021.0)) / F.lit(float(OFFSETS)) for k in range(OFFSETS)]  # one in each 64th
-    words = placed(sized.select("doc_id", *keys, "_uw_size", "_uw_content")).groupBy("_uw_source").agg(F.max("target").alias("_uw_goal"), *[F.sum(crossed(u) * F.col("_uw_size")).alias(f"w{k}") for k, u in enumerate(drawn)])
+    drawn = [  # one in each 64th
+        (
+            k + F.pmod(F.xxhash64(F.lit(seed), F.lit(k)), F.lit(1021)) / F.lit(1021.0)
+        ) / F.lit(float(OFFSETS)) for k in range(OFFSETS)
+    ]
+    words = placed(sized.select("doc_id", *keys, "_uw_size", "_uw_content")).groupBy("_uw_source").agg(
+        F.max("target").alias("_uw_goal"),
+        *[F.sum(crossed(u) * F.col("_uw_size")).alias(f"w{k}") for k, u in enumerate(drawn)],
+    )
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("_uw_goal")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(drawn)]))
     targets = write_shared(targets.join(words.select("_uw_source", nearest["u"].alias("_uw_offset")), "_uw_source"), "offsets")
     mixed = placed(sized).withColumn("copies", crossed(F.col("_uw_offset")))

@@ -89,7 +89,11 @@ def binned(hashes: np.ndarray) -> bytes:
 def may_align(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
     """Whether the bins leave room for `similarity`: no two texts share more shingles than their bins do."""
     x, y = (np.frombuffer(v, np.uint8 if len(v) == BINS else np.uint32) for v in (a, b))
-    return bool(np.minimum(x, y).sum(dtype=np.int64) >= similarity / (1 + similarity) * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64))) - 1e-9)
+    return bool(
+        np.minimum(x, y).sum(dtype=np.int64) >= similarity / (1 + similarity) * (
+            int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64))
+        ) - 1e-9
+    )
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -160,9 +164,21 @@ def sketched(docs: DataFrame) -> DataFrame:
                 counts.append(len(hashes))
                 bins.append(binned(hashes))
                 found.append(order_minhash(labelled(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bins", "sketches"])
-
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n int, bins binary, sketches array<long>")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(keys, pa.binary()),
+                    pa.array(counts, pa.int32()),
+                    pa.array(bins, pa.binary()),
+                    pa.array(found, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "key", "n", "bins", "sketches"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        sketch,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n int, bins binary, sketches array<long>",
+    )
 
 
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,8 +186,15 @@ def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
     many members are not in it). Both come from partial aggregation, so a bucket is never gathered."""
     named = members.join(labels.select("node", "root"), "node")
     by_root = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.max("mates").alias("mates"))
-    buckets = by_root.groupBy("bucket").agg(F.sum("k").alias("k"), F.max(F.struct("k", (-F.col("mates")).alias("m"), "root")).alias("most"))
-    return named.join(buckets.select("bucket", F.col("most.root").alias("most"), (F.col("k") - F.col("most.k")).alias("outside")).where("outside > 0"), "bucket")
+    buckets = by_root.groupBy("bucket").agg(
+        F.sum("k").alias("k"), F.max(F.struct("k", (-F.col("mates")).alias("m"), "root")).alias("most")
+    )
+    return named.join(
+        buckets.select(
+            "bucket", F.col("most.root").alias("most"), (F.col("k") - F.col("most.k")).alias("outside")
+        ).where("outside > 0"),
+        "bucket",
+    )
 
 
 def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
@@ -184,7 +207,9 @@ def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
     all_lead = F.col("outside") <= leaders
     slice_ = F.when(~all_lead, F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
     best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "root")).alias("l")
-    leading = placed.where("root != most").groupBy("bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")).agg(best).select("bucket", "l")
+    leading = placed.where("root != most").groupBy(
+        "bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")
+    ).agg(best).select("bucket", "l")
     apart = (F.col("root") != F.col("l.root")) & (F.least("n", "l.n") >= F.lit(similarity) * F.greatest("n", "l.n") - 1e-9)
     both = placed.select("bucket", "node", "n", "root").join(leading, "bucket").where(apart)
     return both.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
@@ -214,7 +239,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
                 words = word_hashes(text.as_py() or "", memory)
                 if xxhash.xxh3_128_digest(words.tobytes()) == node.as_py():
                     kept.append((node.as_py(), shingles(words).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.binary())], ["node", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.binary())],
+                ["node", "body"],
+            )
 
     texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("node", "text")
     bodies = write_shared(texts.mapInArrow(rehash, "node binary, body binary"), "bodies").dropDuplicates(["node"])
@@ -224,7 +252,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: f
             good = [aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+    joined = pairs.join(
+        bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"
+    ).join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(align, "a binary, b binary")
 
 
@@ -233,16 +263,26 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Labels go along the edges and then from each label to its own label, until nothing changes.
     """
-    both = write_shared(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))), "edges")
+    both = write_shared(
+        edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))),
+        "edges",
+    )
     own = both.select("node").distinct().join(nodes, "node").select("node", F.struct("first_id", "node").alias("label"))
     labels = write_shared(own, "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        near = both.join(
+            labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other"
+        ).groupBy("node").agg(F.min("theirs").alias("theirs"))
         moved = write_shared(labels.join(near, "node").select("node", "label", F.least("label", "theirs").alias("new")), "moved")
         if not moved.where(F.col("label.node") != F.col("new.node")).limit(1).count():
             return labels
         jump = moved.select(F.col("node").alias("to"), F.col("new").alias("further"))
-        labels = write_shared(moved.withColumn("to", F.col("new.node")).join(jump, "to").select("node", F.least("new", "further").alias("label")), "labels")
+        labels = write_shared(
+            moved.withColumn("to", F.col("new.node")).join(jump, "to").select(
+                "node", F.least("new", "further").alias("label")
+            ),
+            "labels",
+        )
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,10 +297,20 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     Columns other than doc_id and text are ignored.
     """
     sketches = write_shared(sketched(docs), "sketches")
-    nodes = sketches.where("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches")).where("first_id is not null")
+    nodes = sketches.where("key is not null").groupBy(F.col("key").alias("node")).agg(
+        F.min("doc_id").alias("first_id"),
+        F.first("n").alias("n"),
+        F.first("bins").alias("bins"),
+        F.first("sketches").alias("sketches"),
+    ).where("first_id is not null")
     nodes = write_shared(nodes, "nodes")
-    entries = nodes.select("node", "n", F.posexplode("sketches").alias("t", "s")).select(F.xxhash64("t", "s").alias("bucket"), "node", "n")
-    shared = write_shared(entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "entries")
+    entries = nodes.select(
+        "node", "n", F.posexplode("sketches").alias("t", "s")
+    ).select(F.xxhash64("t", "s").alias("bucket"), "node", "n")
+    shared = write_shared(
+        entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"),
+        "entries",
+    )
     members = shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node")
     labels = nodes.select("node", F.col("node").alias("root"), F.col("first_id").alias("class_id"))
     tested, leaders = None, 1
@@ -279,12 +329,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
             found = write_shared(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "verified")
             if found.limit(1).count():
                 merged = components(found, nodes).select(F.col("node").alias("root"), "label")
-                labels = labels.join(merged, "root", "left").select("node", F.coalesce("label.node", "root").alias("root"), F.coalesce("label.first_id", "class_id").alias("class_id"))
+                labels = labels.join(merged, "root", "left").select(
+                    "node",
+                    F.coalesce("label.node", "root").alias("root"),
+                    F.coalesce("label.first_id", "class_id").alias("class_id"),
+                )
                 labels = write_shared(labels, "labels")
         members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates")
         leaders *= MORE_LEADERS
 
-    return sketches.select("doc_id", "key").join(labels.select(F.col("node").alias("key"), "class_id"), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return sketches.select("doc_id", "key").join(
+        labels.select(F.col("node").alias("key"), "class_id"), "key", "left"
+    ).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -302,7 +358,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_uw_id")).distinct()
     unknown = classes.where("doc_id is null and class_id is not null").limit(1).count() > 0
     marked = docs.withColumn("_uw_mark", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    again = write_shared(marked.groupBy("_uw_mark").agg(F.count(F.lit(1)).alias("_uw_n")).where("_uw_n > 1").select("_uw_mark", F.lit(True).alias("_uw_again")), "again")
+    again = write_shared(
+        marked.groupBy("_uw_mark").agg(F.count(F.lit(1)).alias("_uw_n")).where("_uw_n > 1").select(
+            "_uw_mark", F.lit(True).alias("_uw_again")
+        ),
+        "again",
+    )
     split = marked.join(F.broadcast(again) if again.count() <= MARKS else again, "_uw_mark", "left")
     once = split.where("_uw_again is null").unionByName(split.where("_uw_again").dropDuplicates(["_uw_mark", "doc_id", "text"]))
     kept = once.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_uw_id")).select(*docs.columns)

@@ -71,7 +71,13 @@ class WordEncoder:
         return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
-def tokenised_pieces(docs: DataFrame, capacity: int = 2048, json_name: str = "byte_bpe_50k.json", ranks_name: str = "byte_bpe_50k.tiktoken", end_id: int = 0) -> DataFrame:
+def tokenised_pieces(
+    docs: DataFrame,
+    capacity: int = 2048,
+    json_name: str = "byte_bpe_50k.json",
+    ranks_name: str = "byte_bpe_50k.tiktoken",
+    end_id: int = 0,
+) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece: a document's ids and end_id, cut only if over capacity.
 
     The first piece of a cut document takes the remainder, all others are full.
@@ -179,9 +185,14 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, slices: int = SLICES,
                 inside = key - keys[k]
                 sequence_id[short] = firsts[k] + inside // spans[k]
                 offset[short] = places[k] + inside % spans[k] * length[short]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence_id), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(sequence_id), pa.array(offset)],
+                [*batch.schema.names[:5], "sequence_id", "offset"],
+            )
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked, _ = ranked_in_slices(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], slices, "_uw_rank")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.select(*columns, "_uw_rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, "_uw_rank").mapInArrow(
+        place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    )

@@ -62,7 +62,11 @@ START_PRIOR, PULL = 0.3, 4.0
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """Array of (kind, start, end, value, before, after) of the matches; the pieces between them give the places."""
     values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), values, lambda a, b: F.struct(F.length(a).alias("skip"), b.alias("value")))
+    pairs = F.zip_with(
+        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        values,
+        lambda a, b: F.struct(F.length(a).alias("skip"), b.alias("value")),
+    )
     sums = prefix_sums(F.transform(pairs, lambda x: x["skip"] + F.length(x["value"])))
     found = F.zip_with(pairs, sums, lambda x, at: F.struct((at.cast("int") + x["skip"]).alias("start"), x["value"].alias("value")))
     end = lambda x: x["start"] + F.length(x["value"])
@@ -70,12 +74,19 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
         F.lit(kind).alias("kind"), x["start"].alias("start"), end(x).alias("end"), x["value"].alias("value"),
         F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))).alias("before"), F.substring(text, end(x) + 1, F.lit(1)).alias("after"),
     ))
-    return F.when(F.regexp_like(text, F.lit(pattern)), full).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), full).otherwise(
+        F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
+    )
 
 
 def luhn(value: Column) -> Column:
     digits = F.reverse(F.split(F.regexp_replace(value, "[^0-9]", ""), ""))
-    doubled = F.transform(digits, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    doubled = F.transform(
+        digits,
+        lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(
+            2 * d.cast("int") - F.when(d.cast("int") > 4, 9).otherwise(0)
+        ),
+    )
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10 == 0
 
 
@@ -96,10 +107,15 @@ def votes(x: Column) -> dict[str, Column]:
     """
     kind, value = x["kind"], x["value"]
     n_digits = F.regexp_count(value, F.lit("[0-9]"))
-    small = F.forall(F.split(value, r"\."), lambda p: F.coalesce(F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)))
+    small = F.forall(
+        F.split(value, r"\."),
+        lambda p: F.coalesce(F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)),
+    )
     part = lambda k: F.element_at(F.split(value, "[./-]"), k).cast("int")
     iso = F.regexp_like(value, F.lit("^[0-9]{4}"))
-    year, low, high = F.when(iso, part(1)).otherwise(part(3)), F.least(part(2), F.when(iso, part(3)).otherwise(part(1))), F.greatest(part(2), F.when(iso, part(3)).otherwise(part(1)))
+    year, low, high = F.when(iso, part(1)).otherwise(part(3)), F.least(
+        part(2), F.when(iso, part(3)).otherwise(part(1))
+    ), F.greatest(part(2), F.when(iso, part(3)).otherwise(part(1)))
     rule = (
         F.when(kind == "ip", small).when(kind == "card", F.when((n_digits >= 16) & (n_digits <= 19), luhn(value)).otherwise(False))
         .when(kind == "phone", (n_digits >= 8) & (n_digits <= 15)).when(kind == "ssn", ~F.regexp_like(value, F.lit("^(000|666|9)|-00-|-0000$")))
@@ -113,7 +129,11 @@ def votes(x: Column) -> dict[str, Column]:
         .when((kind == "ip") & F.regexp_like(value, F.lit(r"^(0|127|255)\.")), False)
         .when(kind == "name", F.substring_index(value, " ", 1).isin(GIVEN_NAMES)).when(kind == "address", F.regexp_like(value, F.lit(STREETS)))
     )
-    context = reduce(lambda c, k: c.when(kind == k, F.regexp_like(x["before"], F.lit(CONTEXT[k]))), KINDS, F.when(F.lit(False), F.lit(False))).otherwise(False)
+    context = reduce(
+        lambda c, k: c.when(kind == k, F.regexp_like(x["before"], F.lit(CONTEXT[k]))),
+        KINDS,
+        F.when(F.lit(False), F.lit(False)),
+    ).otherwise(False)
     clear = ~F.regexp_like(x["before"], F.lit(r"[\p{L}0-9]$")) & ~F.regexp_like(x["after"], F.lit(r"^[\p{L}0-9]"))
     form = (
         F.when(kind == "email", F.regexp_like(value, F.lit(r"^[^@]{2,64}@.{1,63}\.[A-Za-z]{2,6}$"))).when(kind == "ip", F.regexp_like(value, F.lit(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")) & F.regexp_like(value, F.lit("[0-9]{2}")))
@@ -121,7 +141,13 @@ def votes(x: Column) -> dict[str, Column]:
         .when(kind == "iban", F.length(F.regexp_replace(value, " ", "")).between(15, 34)).when(kind == "birth", year.between(1900, 2020))
     )
     as_vote = lambda c: F.coalesce(c.cast("int"), F.lit(2))
-    return {"rule": as_vote(rule), "gazetteer": as_vote(gazetteer), "context": F.when(context, 1).otherwise(2), "edges": as_vote(clear), "form": as_vote(form)}
+    return {
+        "rule": as_vote(rule),
+        "gazetteer": as_vote(gazetteer),
+        "context": F.when(context, 1).otherwise(2),
+        "edges": as_vote(clear),
+        "form": as_vote(form),
+    }
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -129,7 +155,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     raw = docs.select("doc_id", text.alias("_uw_text"))
     raw = raw.select("doc_id", F.concat(*[spans_of(F.col("_uw_text"), p, k) for k, p in PATTERNS.items()]).alias("_uw_raw"))
-    voted = F.transform("_uw_raw", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *[v.alias(k) for k, v in votes(x).items()], F.least(F.floor((x["end"] - x["start"]) / 5), F.lit(8)).cast("int").alias("size")))
+    voted = F.transform(
+        "_uw_raw",
+        lambda x: F.struct(
+            x["kind"].alias("kind"),
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            *[v.alias(k) for k, v in votes(x).items()],
+            F.least(F.floor((x["end"] - x["start"]) / 5), F.lit(8)).cast("int").alias("size"),
+        ),
+    )
     return raw.select("doc_id", voted.alias("spans"))
 
 
@@ -140,7 +175,12 @@ class SpanModel:
     #: Features of a kind: itself, each labeler's yes and no, length classes.
     WIDTH = 1 + 2 * len(LABELERS) + 9
 
-    def __init__(self, weights: np.ndarray, reliability: dict[tuple[str, str], tuple[float, float]] | None = None, prior: dict[str, float] | None = None):
+    def __init__(
+        self,
+        weights: np.ndarray,
+        reliability: dict[tuple[str, str], tuple[float, float]] | None = None,
+        prior: dict[str, float] | None = None,
+    ):
         self.weights, self.reliability, self.prior = weights, reliability or {}, prior or {}
 
     def probability(self, x: Column) -> Column:
@@ -183,14 +223,18 @@ def fit_span_model(spans: DataFrame) -> SpanModel:
     steps, small ridge, each pattern weighed by its spans) run over that table. No spans: weights of zero.
     """
     fields = ["kind", *LABELERS, "size"]
-    counted = spans.select(F.explode("spans").alias("x")).groupBy(*[F.col(f"x.{f}").alias(f) for f in fields]).agg(F.count(F.lit(1)).alias("n"))
+    counted = spans.select(F.explode("spans").alias("x")).groupBy(
+        *[F.col(f"x.{f}").alias(f) for f in fields]
+    ).agg(F.count(F.lit(1)).alias("n"))
     rows, width = sorted(counted.collect()), SpanModel.WIDTH
     weights, reliability, prior = np.zeros(len(KINDS) * width), {}, {}
     for code, kind in enumerate(KINDS):
         some = [r for r in rows if r["kind"] == kind]
         if not some:
             continue
-        v, n, size = np.array([[r[m] for m in LABELERS] for r in some]), np.array([r["n"] for r in some], float), np.array([r["size"] for r in some])
+        v, n, size = np.array(
+            [[r[m] for m in LABELERS] for r in some]
+        ), np.array([r["n"] for r in some], float), np.array([r["size"] for r in some])
         p, rates, prior[kind] = estimate(v, n)
         reliability |= {(kind, m): tuple(map(float, rates[j])) for j, m in enumerate(LABELERS)}
         x = np.zeros((len(some), width))
@@ -220,9 +264,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     model = fit_span_model(spans)
     in_base = lambda x: x["kind"].isin(list(BASE)) & (x["rule"] == 1)
     of_kind = lambda k: lambda x: x["kind"] == k
-    written = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    written = lambda a: F.array_join(
+        F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
     base = F.filter("spans", in_base)
-    found = spans.withColumn("_uw_base", base).withColumn("_uw_all", F.filter("spans", lambda x: in_base(x) | (model.probability(x) >= TAKE)))
+    found = spans.withColumn("_uw_base", base).withColumn(
+        "_uw_all", F.filter("spans", lambda x: in_base(x) | (model.probability(x) >= TAKE))
+    )
     return found.select(
         "doc_id", *[F.size(F.filter("_uw_base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(written("_uw_base"), 256).alias("base_sha256"), written("_uw_all").alias("spans"), F.size("_uw_all").cast("long").alias("n_spans"),

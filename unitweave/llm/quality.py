@@ -34,14 +34,26 @@ def text_counts(docs: DataFrame) -> DataFrame:
     counted = counted.withColumn("n_words", F.size("_uw_words").cast("long"))
     counted = counted.withColumn("_uw_hashes", F.transform("_uw_words", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(F.get("_uw_hashes", i), F.get("_uw_hashes", i + 1), F.get("_uw_hashes", i + 2))
-    counted = counted.withColumn("_uw_windows", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_uw_hashes") - 3), window)).otherwise(F.array().cast("array<bigint>")))
+    counted = counted.withColumn(
+        "_uw_windows",
+        F.when(
+            F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_uw_hashes") - 3), window)
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
     some = F.size(F.array_distinct("_uw_windows")) < F.size("_uw_windows")
     placed = F.sort_array(F.transform("_uw_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     counted = counted.withColumn("_uw_placed", F.when(some, placed))
     equal = lambda x, j: F.coalesce(F.get("_uw_placed", j)["h"] == x["h"], F.lit(False))
-    again = F.filter("_uw_placed", lambda x, i: equal(x, i + 1) | F.when(i > 0, equal(x, F.greatest(i - 1, F.lit(0)))).otherwise(False))
+    again = F.filter(
+        "_uw_placed",
+        lambda x, i: equal(x, i + 1) | F.when(i > 0, equal(x, F.greatest(i - 1, F.lit(0)))).otherwise(False),
+    )
     counted = counted.withColumn("_uw_at", F.sort_array(F.transform(again, lambda x: x["i"])))
-    gaps = F.zip_with("_uw_at", F.slice("_uw_at", 2, F.greatest(F.size("_uw_at"), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    gaps = F.zip_with(
+        "_uw_at",
+        F.slice("_uw_at", 2, F.greatest(F.size("_uw_at"), F.lit(1))),
+        lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)),
+    )
     covered = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     counted = counted.withColumn("_uw_lines", lines)
@@ -56,7 +68,12 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def metric_values() -> dict[str, Column]:
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words")}
+    return {
+        "symbol_share": share("n_symbols", "word_chars"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "word_length": share("word_chars", "n_words"),
+    }
 
 
 def quantile_sketches(counted: DataFrame) -> DataFrame:
@@ -64,9 +81,17 @@ def quantile_sketches(counted: DataFrame) -> DataFrame:
 
     Sketches of several groups merge by adding the counts of equal buckets; the order never matters.
     """
-    long = counted.select(F.col("_uw_lang"), F.col("_uw_source"), F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metric_values().items()])).alias("m"))
+    long = counted.select(
+        F.col("_uw_lang"),
+        F.col("_uw_source"),
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metric_values().items()])
+        ).alias("m"),
+    )
     bucket = F.when(F.col("m.value") <= TINY, F.lit(ZERO)).otherwise(F.ceil(F.log(F.col("m.value")) / F.log(F.lit(GAMMA)))).cast("int")
-    return long.groupBy("_uw_lang", "_uw_source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(
+        "_uw_lang", "_uw_source", F.col("m.metric").alias("metric"), bucket.alias("bucket")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,8 +110,16 @@ def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
     level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("metric")]
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.struct("bucket", value.alias("v"))))["v"]
-    quantiles = ranked.withColumn("level", level).groupBy(*keys, "metric").agg(F.max("all").alias("n"), at(F.lit(0.25)).alias("q25"), at(F.lit(0.5)).alias("q50"), at(F.lit(0.75)).alias("q75"), at(F.col("level")).alias("top"))
-    return quantiles.select(*keys, "metric", "n", F.greatest("top", F.col("q50") + FENCE * (F.col("q75") - F.col("q25"))).alias("limit"))
+    quantiles = ranked.withColumn("level", level).groupBy(*keys, "metric").agg(
+        F.max("all").alias("n"),
+        at(F.lit(0.25)).alias("q25"),
+        at(F.lit(0.5)).alias("q50"),
+        at(F.lit(0.75)).alias("q75"),
+        at(F.col("level")).alias("top"),
+    )
+    return quantiles.select(
+        *keys, "metric", "n", F.greatest("top", F.col("q50") + FENCE * (F.col("q75") - F.col("q25"))).alias("limit")
+    )
 
 
 def group_limits(sketches: DataFrame) -> DataFrame:
@@ -101,7 +134,9 @@ def group_limits(sketches: DataFrame) -> DataFrame:
     by_lang = limits(merge_sketches(sketches, ["_uw_lang"]), ["_uw_lang"]).join(F.broadcast(overall), "metric")  # a row per metric
     by_lang = by_lang.select("_uw_lang", "metric", shrunk("n", "limit", "all_limit").alias("lang_limit"))
     joined = fine.join(by_lang, ["_uw_lang", "metric"]).withColumn("limit", shrunk("n", "limit", "lang_limit"))
-    return joined.groupBy("_uw_lang", "_uw_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"_uw_limit_{m}") for m in LEVELS])
+    return joined.groupBy("_uw_lang", "_uw_source").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"_uw_limit_{m}") for m in LEVELS]
+    )
 
 
 def with_limits(counted: DataFrame, found: DataFrame) -> DataFrame:
@@ -111,7 +146,9 @@ def with_limits(counted: DataFrame, found: DataFrame) -> DataFrame:
     if found.count() <= BROADCAST_GROUPS:
         return counted.join(F.broadcast(found), keys, "left")
     salted = found.withColumn("_uw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return counted.withColumn("_uw_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_uw_salt"], "left")
+    return counted.withColumn(
+        "_uw_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    ).join(salted, [*keys, "_uw_salt"], "left")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -133,4 +170,6 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     fine = F.lit(True)
     for name, value in metric_values().items():
         fine = fine & F.coalesce(value <= F.col(f"_uw_limit_{name}"), F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & fine).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & fine).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

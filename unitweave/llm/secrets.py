@@ -20,7 +20,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Words that make a value a candidate, and what may part them.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key)["']?(\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""", re.I | re.A)
+CONTEXT = re.compile(
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key)["']?(\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""",
+    re.I | re.A,
+)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A value is a secret if it would take at least 10 to this power guesses; if only a blank parts it from the word before,
@@ -55,7 +58,9 @@ def neighbours() -> dict[str, set[str]]:
     return near
 
 
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+DATE = re.compile(
+    r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"
+)
 CUT = log10(2)
 
 
@@ -138,7 +143,9 @@ class GuessCost:
 def frequent_words(docs: DataFrame, rarest: int = RAREST) -> dict[str, int]:
     """Word (three or more letters a to z, in either case) -> rank, of the words that make at least 1 in `rarest` of
     all such words of the documents. So there are at most `rarest`; only they are collected. Ties rank by the word."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word")).where(F.regexp_like("word", F.lit("^[a-z]+$")))
+    words = docs.select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word")
+    ).where(F.regexp_like("word", F.lit("^[a-z]+$")))
     counted = write_shared(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.where(F.col("n") * rarest >= total).collect()
@@ -175,9 +182,15 @@ def scan_secrets(docs: DataFrame, words: Mapping[str, int] | None = None) -> Dat
             join = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
             counts = [pa.array([sum(x[1] == k for x in spans) for spans in found], pa.int64()) for k in range(3)]
             base = [sha256(join([x for x in spans if x[1] < 3]).encode()).hexdigest() for spans in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(list(map(join, found)), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *counts, pa.array(base, pa.string()), pa.array(list(map(join, found)), pa.string())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(
+        scan,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
+    )
 
 
 def redact(text: str, cost: GuessCost, mark: str = "[SECRET]") -> str:
@@ -205,7 +218,10 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", words: Mapping[str,
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names and pa.types.is_integer(batch.schema.field("n_chars").type):
                 k = names.index("n_chars")
-                columns[k] = pa.array([v.as_py() if t is None else len(t) for v, t in zip(batch.column(k), texts, strict=True)], batch.schema.field(k).type)
+                columns[k] = pa.array(
+                    [v.as_py() if t is None else len(t) for v, t in zip(batch.column(k), texts, strict=True)],
+                    batch.schema.field(k).type,
+                )
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -96,12 +96,16 @@ def anchors(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
-def anchors_of(blob: bytes, offsets: np.ndarray, sizes: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+def anchors_of(
+    blob: bytes, offsets: np.ndarray, sizes: np.ndarray, length: int = LENGTH, window: int = WINDOW
+) -> tuple[np.ndarray, ...]:
     """text, place, first and last (all from the text's beginning) of the anchors of texts that lie in one blob."""
     some = np.flatnonzero(sizes >= length)
     if len(blob) > 2 * CHUNK or not len(some):  # one long text, or none
         found = [(k, *anchors(blob[offsets[k] : offsets[k] + sizes[k]], length, window)) for k in some.tolist()]
-        return tuple(np.concatenate(x) for x in zip(*[(np.full(len(f[1]), f[0]), *f[1:]) for f in found], strict=True)) if found else (np.empty(0, np.int64),) * 4
+        return tuple(
+            np.concatenate(x) for x in zip(*[(np.full(len(f[1]), f[0]), *f[1:]) for f in found], strict=True)
+        ) if found else (np.empty(0, np.int64),) * 4
     text, at, first, last = _least(_byte_pieces(blob), offsets[some], sizes[some] - length + 1, window)
     text = some[text]
     return text, at - offsets[text], first - offsets[text], last - offsets[text]
@@ -148,7 +152,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def word_anchors(words: np.ndarray, begin: np.ndarray, size: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS) -> tuple[np.ndarray, ...]:
+def word_anchors(
+    words: np.ndarray, begin: np.ndarray, size: np.ndarray, passage: int = PASSAGE, piece: int = PIECE_WORDS
+) -> tuple[np.ndarray, ...]:
     """The same over hashes of words of several texts (text k has `size[k]` from `begin[k]` on), anchors of runs of
     `passage` words among pieces of `piece` words: text, place, first and last in `words`, and the hash of the piece."""
     some = np.flatnonzero(size >= passage)
@@ -230,12 +236,24 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
                 told = _told(key, whole, place, np.concatenate([text, w_text]), mark.to_numpy())
                 place[told] |= TOLD
                 # what is settled here already goes anywhere, spread by text and place
-                key[told] = key[told] & np.uint64(1) | _mixed(mark.to_numpy()[told].view(np.uint64) + place[told].view(np.uint64) * np.uint64(FACTORS[0])) >> np.uint64(1) << np.uint64(1)
-                columns = [batch.column(0).take(rows), mark, pa.array(place), pa.array(key.view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
+                key[told] = key[told] & np.uint64(1) | _mixed(
+                    mark.to_numpy()[told].view(np.uint64) + place[told].view(np.uint64) * np.uint64(FACTORS[0])
+                ) >> np.uint64(1) << np.uint64(1)
+                columns = [
+                    batch.column(0).take(rows),
+                    mark,
+                    pa.array(place),
+                    pa.array(key.view(np.int64)),
+                    pa.array(whole[:, 0].copy()),
+                    pa.array(whole[:, 1].copy()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "place", "key", "w1", "w2"])
                 begin = end
 
-    return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, place long, key long, w1 long, w2 long")
+    return docs.mapInArrow(
+        find,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, place long, key long, w1 long, w2 long",
+    )
 
 
 class Settler:
@@ -318,7 +336,9 @@ class Settler:
         some = table.take(pa.array(at)).select(self.NAMES[:4])
         if tag == "r":  # of the key only the kind is needed
             some = some.set_column(3, "key", pa.array(some["key"].to_numpy() & 1))
-        return some.append_column("tag", pa.array([tag] * len(at))).append_column("members", pa.array(members.astype(np.int32))).append_column("ordinal", pa.array(ordinal.astype(np.int64)))
+        return some.append_column("tag", pa.array([tag] * len(at))).append_column(
+            "members", pa.array(members.astype(np.int32))
+        ).append_column("ordinal", pa.array(ordinal.astype(np.int64)))
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,17 +476,30 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     common = length - window + 1
-    dealt = _anchor_rows(docs, length, window).repartition(parts, "key").sortWithinPartitions("key", "w1", "w2", F.expr("place & 1048575"))
-    settled = write_shared(dealt.mapInArrow(_sorted_out, f"doc_id {kind}, mark long, place long, key long, tag string, members int, ordinal long"), "anchors")
+    dealt = _anchor_rows(docs, length, window).repartition(parts, "key").sortWithinPartitions(
+        "key", "w1", "w2", F.expr("place & 1048575")
+    )
+    settled = write_shared(
+        dealt.mapInArrow(
+            _sorted_out, f"doc_id {kind}, mark long, place long, key long, tag string, members int, ordinal long"
+        ),
+        "anchors",
+    )
     at, left, width = F.expr(AT), F.expr(LEFT), F.expr(WIDTH)
     of_kind = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("kind")
     whole = settled.where("tag = 'r'").select("doc_id", "mark", of_kind, (at - left).alias("first"), (at - left + width).alias("last"))
 
     hot = settled.where(F.col("ordinal") >= most).select("key").distinct().withColumn("hot", F.lit(True))
     each = (F.coalesce("hot", F.lit(False)) | (F.col("key").bitwiseAND(F.lit(1)) == WORDS)).alias("each")
-    wanted = settled.where("tag = 'm'").join(hot, "key", "left").select("doc_id", "mark", F.struct("place", "key", "members", each).alias("w"))
-    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"doc_id": "_uw_id", "mark": "_uw_mark"})
-    texts = docs.join(wanted, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark"))).select("doc_id", "text", "mark", "wanted")
+    wanted = settled.where("tag = 'm'").join(hot, "key", "left").select(
+        "doc_id", "mark", F.struct("place", "key", "members", each).alias("w")
+    )
+    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed(
+        {"doc_id": "_uw_id", "mark": "_uw_mark"}
+    )
+    texts = docs.join(
+        wanted, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark"))
+    ).select("doc_id", "text", "mark", "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Front-coded runs of suffixes to merge, by part; digests of strings to count, with start, kind and whether the
@@ -482,7 +515,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     first = p - n_left
                     if not x["each"]:
                         suffix, before = data[p : first + n_width + length], data[first:p]
-                        by_part.setdefault(x["key"] % (4 * parts), []).append((suffix, (before, n_width, x["members"], doc_id.as_py(), mark.as_py(), p, x["key"])))
+                        by_part.setdefault(x["key"] % (4 * parts), []).append(
+                            (suffix, (before, n_width, x["members"], doc_id.as_py(), mark.as_py(), p, x["key"]))
+                        )
                     elif x["key"] & 1 == WORDS:
                         runs_of_words.append((first, n_width + 1, x["members"] > 1))
                     else:
@@ -509,7 +544,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             ]
             yield pa.RecordBatch.from_arrays(columns, ["part", "run", "doc_id", "mark", "packed", "d1", "d2"])
 
-    found = write_shared(texts.mapInArrow(read, f"part int, run binary, doc_id {kind}, mark long, packed long, d1 long, d2 long"), "runs")
+    found = write_shared(
+        texts.mapInArrow(read, f"part int, run binary, doc_id {kind}, mark long, packed long, d1 long, d2 long"), "runs"
+    )
     runs = found.where("part is not null").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,17 +582,36 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             close()
             if rows:
                 types = (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "mark", "kind", "first", "last"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)],
+                    ["doc_id", "mark", "kind", "first", "last"],
+                )
 
     merged = runs.mapInArrow(merge, f"doc_id {kind}, mark long, kind int, first long, last long")
     # a text that stands in several rows is read as often: its strings count once
-    strings = found.where("part is null").select("d1", "d2", F.expr("shiftright(packed, 1) & 1").cast("int").alias("kind"), "doc_id", "mark", F.expr("shiftright(packed, 2)").alias("first"), (F.expr("packed & 1") == 1).alias("many"))
+    strings = found.where("part is null").select(
+        "d1",
+        "d2",
+        F.expr("shiftright(packed, 1) & 1").cast("int").alias("kind"),
+        "doc_id",
+        "mark",
+        F.expr("shiftright(packed, 2)").alias("first"),
+        (F.expr("packed & 1") == 1).alias("many"),
+    )
     text = F.xxhash64("doc_id", "mark")
     differ = lambda c: F.min(c) != F.max(c)
-    counts = strings.groupBy("d1", "d2", "kind").agg(F.max(F.col("many").cast("int")).alias("many"), differ(text).alias("texts"), differ(F.col("first")).alias("places"))
-    again = counts.where((F.col("many") == 1) | F.col("texts") | ((F.col("kind") == BYTES) & F.col("places"))).select("d1", "d2", "kind")
+    counts = strings.groupBy("d1", "d2", "kind").agg(
+        F.max(F.col("many").cast("int")).alias("many"),
+        differ(text).alias("texts"),
+        differ(F.col("first")).alias("places"),
+    )
+    again = counts.where(
+        (F.col("many") == 1) | F.col("texts") | ((F.col("kind") == BYTES) & F.col("places"))
+    ).select("d1", "d2", "kind")
     # those known to repeat are in `whole` already
-    counted = strings.where("not many").join(again, ["d1", "d2", "kind"]).select("doc_id", "mark", "kind", "first", F.col("first").alias("last"))
+    counted = strings.where("not many").join(again, ["d1", "d2", "kind"]).select(
+        "doc_id", "mark", "kind", "first", F.col("first").alias("last")
+    )
     return whole.union(merged).union(counted)
 
 
@@ -569,8 +625,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     hashed in stretches.
     """
     texts = identified(docs)
-    found = repeated_starts(texts, length, window, most).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "first", "last")).alias("found")).withColumnsRenamed({"doc_id": "_uw_id", "mark": "_uw_mark"})
-    joined = texts.join(found, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark")), "left").select("doc_id", "text", "found")
+    found = repeated_starts(texts, length, window, most).groupBy("doc_id", "mark").agg(
+        F.collect_list(F.struct("kind", "first", "last")).alias("found")
+    ).withColumnsRenamed({"doc_id": "_uw_id", "mark": "_uw_mark"})
+    joined = texts.join(
+        found, F.col("_uw_id").eqNullSafe(F.col("doc_id")) & (F.col("_uw_mark") == F.col("mark")), "left"
+    ).select("doc_id", "text", "found")
 
     def spans_of(found: list[dict], kind: int, size: int) -> list[list[int]]:
         spans: list[list[int]] = []
@@ -592,9 +652,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                rows.append((len(data), len(data) - len(rest), len(spans), sha256(rest).hexdigest(), sum(b - a for a, b in spans_of(found, WORDS, PASSAGE)), rest))
+                rows.append(
+                    (
+                        len(data),
+                        len(data) - len(rest),
+                        len(spans),
+                        sha256(rest).hexdigest(),
+                        sum(b - a for a, b in spans_of(found, WORDS, PASSAGE)),
+                        rest,
+                    )
+                )
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"])
-
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, kept binary")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"],
+            )
+
+    return joined.mapInArrow(
+        cut,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, kept binary",
+    )

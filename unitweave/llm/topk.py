@@ -35,7 +35,13 @@ def _flipped(probes: DataFrame, width: int, r: int) -> DataFrame:
     probes = probes.withColumn("next", F.lit(0))
     for i in range(r):
         bit = F.explode(F.sequence(F.col("next"), F.lit(width - r + i))).alias("bit")
-        probes = probes.select("q", "kth", "s", "v", bit).select("q", "kth", "s", F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"), (F.col("bit") + 1).alias("next"))
+        probes = probes.select("q", "kth", "s", "v", bit).select(
+            "q",
+            "kth",
+            "s",
+            F.col("v").bitwiseXOR(F.expr("shiftleft(1L, bit)")).alias("v"),
+            (F.col("bit") + 1).alias("next"),
+        )
     return probes.select("q", "kth", "s", "v")
 
 
@@ -54,30 +60,48 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, w
     dealt = codes.where("vec_id is not null").withColumn("_uw_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     nth = F.row_number().over(Window.partitionBy("code", "_uw_part").orderBy("vec_id"))
     first = F.collect_list(F.when(F.col("_uw_nth") <= k, F.col("vec_id")))
-    entry = dealt.withColumn("_uw_nth", nth).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(first), 1, k).alias("ids"))
+    entry = dealt.withColumn("_uw_nth", nth).groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(first), 1, k).alias("ids")
+    )
     entries = write_shared(entry, "entries")
     different, rows = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     width = width or (8 if different <= 1 << 12 else 16 if different <= 1 << 26 else 32)
     segments = bits // width
-    parts = lambda code: F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col(code), s, width).alias("v")) for s in range(segments)]))
-    index = write_shared(entries.select("code", "n", parts("code").alias("p")).select(F.col("p.s").alias("s"), F.col("p.v").alias("v"), "code", "n"), "index")
+    parts = lambda code: F.explode(
+        F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col(code), s, width).alias("v")) for s in range(segments)])
+    )
+    index = write_shared(
+        entries.select("code", "n", parts("code").alias("p")).select(
+            F.col("p.s").alias("s"), F.col("p.v").alias("v"), "code", "n"
+        ),
+        "index",
+    )
     asked = queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
     active = write_shared(asked.select("q", F.lit(bits).alias("kth")).distinct(), "active")
     found: DataFrame | None = None
     for r in range(width + 1):
         probes = active.select("q", "kth", parts("q").alias("p"))
         probes = _flipped(probes.select("q", "kth", F.col("p.s").alias("s"), F.col("p.v").alias("v")), width, r)
-        met = probes.join(index.hint("merge"), ["s", "v"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
+        met = probes.join(index.hint("merge"), ["s", "v"]).withColumn(
+            "distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
+        )
         met = met.where(F.col("distance") <= F.col("kth")).select("q", "code", "n", "distance")
         met = write_shared((met if found is None else met.union(found)).distinct(), "met")
         by_distance = met.groupBy("q", "distance").agg(F.sum("n").alias("n"))
         upto = by_distance.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy("distance")))
         kth = write_shared(upto.where(F.col("upto") >= min(k, rows)).groupBy("q").agg(F.min("distance").alias("least")), "kth")
-        found = write_shared(met.join(kth, "q", "left").where(F.col("distance") <= F.coalesce("least", "distance")).select("q", "code", "n", "distance"), "found")
+        found = write_shared(
+            met.join(kth, "q", "left").where(
+                F.col("distance") <= F.coalesce("least", "distance")
+            ).select("q", "code", "n", "distance"),
+            "found",
+        )
         closer = active.join(kth, "q", "left").where(F.coalesce(F.col("least") >= segments * (r + 1), F.lit(True)))
         active = write_shared(closer.select("q", F.coalesce("least", "kth").alias("kth")), "active")
         if not active.limit(1).count():
             break
     near = found.join(entries.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    best = near.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))
+    ).where(F.col("rank") <= k)
     return asked.join(best, "q").select("query_id", "rank", "vec_id", "distance")

@@ -24,7 +24,26 @@ LEAST_SHARE = 0.012
 STEMS = range(4, 9)
 #: Digits and look-alike letters, each with the letter it stands for. l and i are one letter after folding.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
-CYRILLIC = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ԛ": "q", "ѡ": "w"}
+CYRILLIC = {
+    "а": "a",
+    "в": "b",
+    "е": "e",
+    "к": "k",
+    "м": "m",
+    "н": "h",
+    "о": "o",
+    "р": "p",
+    "с": "c",
+    "т": "t",
+    "у": "y",
+    "х": "x",
+    "і": "i",
+    "ѕ": "s",
+    "ј": "j",
+    "ԁ": "d",
+    "ԛ": "q",
+    "ѡ": "w",
+}
 GREEK = {"α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w"}
 #: Symbols that stand for letters between letters.
 SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "i"}
@@ -35,7 +54,16 @@ ZERO_WIDTH = "­​‌‍⁠﻿"
 def fold_table() -> dict[int, str]:
     """Character -> folded character: lower case, accents off, look-alikes and digits to letters, all else to a blank."""
     table: dict[int, str] = {}
-    for code in [*range(0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x2000, 0x2070), *range(0x20A0, 0x20D0), *range(0x2100, 0x2200), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)]:
+    for code in [
+        *range(0x250),
+        *range(0x370, 0x530),
+        *range(0x1E00, 0x2000),
+        *range(0x2000, 0x2070),
+        *range(0x20A0, 0x20D0),
+        *range(0x2100, 0x2200),
+        *range(0xFF00, 0xFFF0),
+        *range(0x1D400, 0x1D800),
+    ]:
         c = unicodedata.normalize("NFKC", chr(code)).lower()
         c = unicodedata.normalize("NFD", c)[:1] if c[:1] not in CYRILLIC and c[:1] not in GREEK else c[:1]
         c = CYRILLIC.get(c) or GREEK.get(c) or c
@@ -121,7 +149,14 @@ def _document_counts(training: DataFrame, terms_of) -> DataFrame:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 counts[toxic.as_py()].update(terms_of(text.as_py()))
             terms = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(terms, pa.string()),
+                    pa.array([counts[1][t] for t in terms], pa.int64()),
+                    pa.array([counts[0][t] for t in terms], pa.int64()),
+                ],
+                ["term", "toxic", "clean"],
+            )
 
     partial = training.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
     return partial.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -146,7 +181,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
             return Lexicon()
         least = max(3, round(LEAST_SHARE * toxic_docs))
         share = clean_docs / toxic_docs
-        frequent = _document_counts(training, _terms_of).where(F.col("toxic") >= least).where(F.col("toxic") * F.lit(share) > 4 * F.col("clean"))
+        frequent = _document_counts(training, _terms_of).where(F.col("toxic") >= least).where(
+            F.col("toxic") * F.lit(share) > 4 * F.col("clean")
+        )
         ranked = frequent.collect()
         scored = sorted(((z, r["term"], odds) for r in ranked for odds, z in [_significance(r["toxic"], r["clean"], toxic_docs, clean_docs)] if z > 3.5), key=lambda x: (-round(x[0], 6), len(x[1]), x[1]))
         weights: dict[str, float] = {}
@@ -171,14 +208,23 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
             return found
 
         if weights:
-            excused = _document_counts(training, phrases_of).where(F.col("clean") >= 3).where(F.col("clean") >= F.col("toxic") * F.lit(share)).collect()
+            excused = _document_counts(training, phrases_of).where(F.col("clean") >= 3).where(
+                F.col("clean") >= F.col("toxic") * F.lit(share)
+            ).collect()
             lexicon.phrases = sorted(r["term"] for r in excused)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = lexicon.automaton()
             for batch in batches:
                 both = [lexicon.features(matcher, x.as_py()) for x in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.float64()), batch.column(1)], ["a", "b", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in both], pa.float64()),
+                        pa.array([x[1] for x in both], pa.float64()),
+                        batch.column(1),
+                    ],
+                    ["a", "b", "toxic"],
+                )
 
         rows = training.mapInArrow(measure, "a double, b double, toxic int").collect()
         lexicon.scale = _logistic(np.array([[1, r["a"], r["b"]] for r in rows]), np.array([r["toxic"] for r in rows]))
@@ -206,7 +252,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.automaton()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(matcher, x.as_py() or "") for x in batch.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([lexicon.score(matcher, x.as_py() or "") for x in batch.column(1)], pa.float64()),
+                ],
+                ["doc_id", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
