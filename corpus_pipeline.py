@@ -49,7 +49,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: The stages tokenise, align and learn, which SQL can't express; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -94,7 +94,11 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contingency_of(train: DataFrame, validation: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """Usable samples are those with features."""
-    return sel.contingency(sel.candidate_features(sel.document_frequency(train), min_df), validation, validation.select("sample_id", "label").distinct())
+    return sel.contingency(
+        sel.candidate_features(sel.document_frequency(train), min_df),
+        validation,
+        validation.select("sample_id", "label").distinct(),
+    )
 
 
 def contingency_table(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFrame:
@@ -113,17 +117,27 @@ def flagship(spark: SparkSession, sf_dir: str, min_df: int = MIN_DF) -> DataFram
 # Units and counts.
 @query("WITH s AS (SELECT doc_id AS sample_id, text AS payload FROM documents) SELECT sample_id, CAST(octet_length(encode(payload)) AS BIGINT) AS n_bytes FROM s WHERE octet_length(encode(payload)) < 4000")
 def size_filter(spark, sf_dir):
-    return un.size_filter(td.text_samples(spark, sf_dir), 4000).select("sample_id", F.octet_length("payload").cast("long").alias("n_bytes"))
+    return un.size_filter(td.text_samples(spark, sf_dir), 4000).select(
+        "sample_id", F.octet_length("payload").cast("long").alias("n_bytes")
+    )
 
 
 @query(f"WITH {SAMPLES}, {_lexed('samples')} SELECT sample_id, len(units) AS n_units, array_to_string(units, ',') AS units FROM units")
 def lex_units(spark, sf_dir):
-    return td.text_units(spark, sf_dir).select("sample_id", F.size("units").cast("long").alias("n_units"), F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+    return td.text_units(spark, sf_dir).select(
+        "sample_id",
+        F.size("units").cast("long").alias("n_units"),
+        F.array_join(F.col("units").cast("array<string>"), ",").alias("units"),
+    )
 
 
 @query(f"WITH scripts AS (SELECT page_id AS sample_id, '?' AS label, array_to_string(regexp_extract_all(html, '<script>([^\\x00]*?)</script>', 1), chr(10)) AS payload FROM pages), {_lexed('scripts')} SELECT sample_id, len(units) AS n_units, array_to_string(units, ',') AS units FROM units")
 def lex_scripts(spark, sf_dir):
-    return un.lex_units(td.script_samples(spark, sf_dir)).select("sample_id", F.size("units").cast("long").alias("n_units"), F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+    return un.lex_units(td.script_samples(spark, sf_dir)).select(
+        "sample_id",
+        F.size("units").cast("long").alias("n_units"),
+        F.array_join(F.col("units").cast("array<string>"), ",").alias("units"),
+    )
 
 
 EVENT_LABEL = "CASE user_id % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'malicious' ELSE '?' END"
@@ -133,7 +147,9 @@ EVENT_VALUES = f"units AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label,
 
 @query(f"WITH {EVENT_UNITS} SELECT sample_id, label, array_to_string(units, ',') AS units FROM units")
 def encode_units(spark, sf_dir):
-    return td.event_units(spark, sf_dir).select("sample_id", "label", F.array_join(F.col("units").cast("array<string>"), ",").alias("units"))
+    return td.event_units(spark, sf_dir).select(
+        "sample_id", "label", F.array_join(F.col("units").cast("array<string>"), ",").alias("units")
+    )
 
 
 @query("""WITH u AS (SELECT user_id AS sample_id, count(*) FILTER (event_type = 'error') AS unknown, list(event_type ORDER BY ts, event_id) AS units FROM events GROUP BY user_id)
@@ -141,7 +157,9 @@ SELECT sample_id, 'usable' AS part, CAST(NULL AS VARCHAR) AS reason FROM u WHERE
 def split_usable(spark, sf_dir):
     codes = {k: v for k, v in td.EVENT_CODES.items() if k != "error"}
     good, bad = un.split_usable(un.encode_units(un.sequences(td.event_rows(spark, sf_dir), ["ts", "event_id"]), codes))
-    return good.select("sample_id", F.lit("usable").alias("part"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select("sample_id", F.lit("quarantine").alias("part"), "reason"))
+    return good.select(
+        "sample_id", F.lit("usable").alias("part"), F.lit(None).cast("string").alias("reason")
+    ).unionByName(bad.select("sample_id", F.lit("quarantine").alias("part"), "reason"))
 
 
 ORDER_UNITS = "units AS (SELECT l_orderkey AS sample_id, '?' AS label, list(l_partkey % 7 ORDER BY l_linenumber, l_partkey, l_suppkey) AS units FROM lineitem GROUP BY l_orderkey)"
@@ -150,7 +168,9 @@ ORDER_UNITS = "units AS (SELECT l_orderkey AS sample_id, '?' AS label, list(l_pa
 @query(f"WITH {ORDER_UNITS}, {_grams()} SELECT sample_id, array_to_string(keys, ';') AS grams, len(keys) AS total FROM grams")
 def ngrams_padded(spark, sf_dir):
     keys = ngrams(F.col("units"), N)
-    return td.order_units(spark, sf_dir).select("sample_id", F.array_join(keys, ";").alias("grams"), F.size(keys).cast("long").alias("total"))
+    return td.order_units(spark, sf_dir).select(
+        "sample_id", F.array_join(keys, ";").alias("grams"), F.size(keys).cast("long").alias("total")
+    )
 
 
 @query(f"{CHAIN} SELECT * FROM sample_features")
@@ -212,7 +232,10 @@ def contingency(spark, sf_dir):
 
 @query("SELECT DISTINCT CASE quality WHEN 1 THEN 99 ELSE 95 END AS confidence, CAST(CASE quality WHEN 1 THEN 6.63 ELSE 3.84 END AS DOUBLE) AS critical FROM labels")
 def chi2_critical_values(spark, sf_dir):
-    return td.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, 99).otherwise(95).alias("confidence"), F.when(F.col("quality") == 1, chi2_critical(99)).otherwise(chi2_critical(95)).alias("critical")).distinct()
+    return td.table(spark, sf_dir, "labels").select(
+        F.when(F.col("quality") == 1, 99).otherwise(95).alias("confidence"),
+        F.when(F.col("quality") == 1, chi2_critical(99)).otherwise(chi2_critical(95)).alias("critical"),
+    ).distinct()
 
 
 @query(f"{TRAIN} SELECT feature, round(chi2, 9) AS chi2 FROM scored")
@@ -324,7 +347,11 @@ CODES = f"codes AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {v})' for k, v
 
 @query(f"WITH {NODES} SELECT sample_id, md5(string_agg(name, ',' ORDER BY node_id) FILTER (parent_id IS NOT NULL)) AS units, count(*) FILTER (parent_id IS NOT NULL) AS n_units FROM nodes GROUP BY sample_id")
 def ast_units(spark, sf_dir):
-    return tr.ast_units(td.order_trees(spark, sf_dir)).select("sample_id", F.when(F.size("units") > 0, F.md5(F.array_join("units", ","))).alias("units"), F.size("units").cast("long").alias("n_units"))
+    return tr.ast_units(td.order_trees(spark, sf_dir)).select(
+        "sample_id",
+        F.when(F.size("units") > 0, F.md5(F.array_join("units", ","))).alias("units"),
+        F.size("units").cast("long").alias("n_units"),
+    )
 
 
 @query(f"WITH {NODES} SELECT sample_id, node_id, subtree_end - node_id AS descendants FROM nodes")
@@ -351,7 +378,12 @@ def ast_value_features(spark, sf_dir):
 
 @query(f"WITH {NODES} SELECT sample_id, node_id, CASE value_type WHEN 'string' THEN 'String' WHEN 'int' THEN 'Int' ELSE 'Literal' END AS literal, coalesce(vvalue, vname) AS leaf FROM nodes WHERE depth = 3")
 def literal_type_and_leaf_value(spark, sf_dir):
-    return td.order_trees(spark, sf_dir).where("depth = 3").select("sample_id", "node_id", literal_type(F.col("value_type"), F.col("attributes")).alias("literal"), leaf_value(F.col("attributes")).alias("leaf"))
+    return td.order_trees(spark, sf_dir).where("depth = 3").select(
+        "sample_id",
+        "node_id",
+        literal_type(F.col("value_type"), F.col("attributes")).alias("literal"),
+        leaf_value(F.col("attributes")).alias("leaf"),
+    )
 
 
 @query(f"""WITH {NODES}, up1 AS (SELECT n.sample_id, n.node_id, n.name, p.node_id AS p_id, p.name AS p_name, g.node_id AS g_id, g.name AS g_name FROM nodes n
@@ -416,10 +448,32 @@ def undeclared_identifiers(spark, sf_dir):
 @query()
 def flatten_tree(spark, sf_dir):
     """Each order as a tree in JSON, flattened again."""
-    lines = td.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
-    node = lambda x: F.concat(F.lit('{"type":"ExpressionStatement","expression":{"type":"Identifier","name":"v'), (x["l_partkey"] % 50).cast("string"), F.lit('"}}'))
-    trees = lines.select(F.col("l_orderkey").alias("sample_id"), F.concat(F.lit('{"type":"Program","body":['), F.array_join(F.transform("x", node), ","), F.lit("]}")).alias("tree"))
-    return tr.flatten_tree(trees).select("sample_id", "node_id", "parent_id", "child_ix", "n_children", "depth", "subtree_end", "name", "body", F.element_at("attributes", "name").alias("ident"))
+    lines = td.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x")
+    )
+    node = lambda x: F.concat(
+        F.lit('{"type":"ExpressionStatement","expression":{"type":"Identifier","name":"v'),
+        (x["l_partkey"] % 50).cast("string"),
+        F.lit('"}}'),
+    )
+    trees = lines.select(
+        F.col("l_orderkey").alias("sample_id"),
+        F.concat(
+            F.lit('{"type":"Program","body":['), F.array_join(F.transform("x", node), ","), F.lit("]}")
+        ).alias("tree"),
+    )
+    return tr.flatten_tree(trees).select(
+        "sample_id",
+        "node_id",
+        "parent_id",
+        "child_ix",
+        "n_children",
+        "depth",
+        "subtree_end",
+        "name",
+        "body",
+        F.element_at("attributes", "name").alias("ident"),
+    )
 
 
 ORACLE_SQL["flatten_tree"] = """WITH l AS (SELECT l_orderkey AS sample_id, CAST(row_number() OVER w - 1 AS INTEGER) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, 'v' || (l_partkey % 50) AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
@@ -431,8 +485,18 @@ UNION ALL SELECT sample_id, 2 * k + 2, 2 * k + 1, 0, 0, 2, 2 * k + 2, 'Identifie
 def flow_edges(nodes: DataFrame) -> DataFrame:
     """Control edges, and data edges between the statements of the identifiers."""
     control = tr.structure_edges(nodes).select("sample_id", "src", "dst", "type", "ord")
-    names = nodes.where("name = 'Identifier'").select("sample_id", F.lit(0).alias("scope"), F.col("node_id").alias("pos"), F.lit(0).alias("k"), F.element_at("attributes", "name").alias("name"), F.when(F.col("child_ix") == 0, "def").otherwise("use").alias("kind"), F.lit(False).alias("is_function"))
-    data = tr.def_use_edges(names, nodes).select("sample_id", "src", "dst", F.lit("data").alias("type"), F.col("end_id").alias("ord"), "begin_id", "end_id")
+    names = nodes.where("name = 'Identifier'").select(
+        "sample_id",
+        F.lit(0).alias("scope"),
+        F.col("node_id").alias("pos"),
+        F.lit(0).alias("k"),
+        F.element_at("attributes", "name").alias("name"),
+        F.when(F.col("child_ix") == 0, "def").otherwise("use").alias("kind"),
+        F.lit(False).alias("is_function"),
+    )
+    data = tr.def_use_edges(names, nodes).select(
+        "sample_id", "src", "dst", F.lit("data").alias("type"), F.col("end_id").alias("ord"), "begin_id", "end_id"
+    )
     return control.unionByName(data, allowMissingColumns=True)
 
 
@@ -503,7 +567,9 @@ def score_stored_analysis(spark, sf_dir):
 everything AS (SELECT 'events' AS level, 'ngrams' AS features, label, feature FROM sample_features UNION ALL SELECT DISTINCT ON (sample_id, feature) 'events', 'value', label, feature FROM vals)
 SELECT level, features, label, feature, count(*) AS df FROM everything GROUP BY ALL""")
 def run_modules(spark, sf_dir):
-    counted = modules.run_modules({("events", "ngrams"): td.event_units(spark, sf_dir), ("events", "value"): td.event_values(spark, sf_dir)})
+    counted = modules.run_modules(
+        {("events", "ngrams"): td.event_units(spark, sf_dir), ("events", "value"): td.event_values(spark, sf_dir)}
+    )
     return counted.groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -512,7 +578,12 @@ def tree_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], Data
     nodes = store(td.order_trees(spark, sf_dir), "nodes")
     edges = store(flow_edges(nodes), "edges")
     label = F.when(F.col("sample_id") % 2 == 0, "benign").otherwise("malicious").alias("label")
-    pairs = tr.ast_value_features(nodes).groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", F.col("name").alias("unit"), "value"))), lambda x: F.struct(x["unit"].alias("unit"), x["value"].alias("value"))).alias("units"))
+    pairs = tr.ast_value_features(nodes).groupBy("sample_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("node_id", F.col("name").alias("unit"), "value"))),
+            lambda x: F.struct(x["unit"].alias("unit"), x["value"].alias("value")),
+        ).alias("units")
+    )
     found = {("ast", "ngrams"): tr.ast_units(nodes), ("ast", "value"): pairs}
     for level in ("cfg", "pdg-dfg", "pdg"):
         for kind in ("ngrams", "value"):
@@ -523,7 +594,9 @@ def tree_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], Data
 @query()
 def run_all_modules(spark, sf_dir):
     """Document frequencies of all ten modules: five levels, two kinds of features."""
-    samples = {("tokens", "ngrams"): td.text_units(spark, sf_dir), ("tokens", "value"): td.text_values(spark, sf_dir)} | tree_modules(spark, sf_dir)
+    samples = {
+        ("tokens", "ngrams"): td.text_units(spark, sf_dir), ("tokens", "value"): td.text_values(spark, sf_dir)
+    } | tree_modules(spark, sf_dir)
     return modules.run_modules(samples).groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -553,10 +626,17 @@ md5(string_agg(c_custkey::VARCHAR || chr(10), '' ORDER BY c_custkey)) AS payload
 def customer_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """The folder of the files, and the files as rows."""
     base = f"{shared_folder(spark)}/files"
-    keys = td.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("value"), "c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    keys = td.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("value"),
+        "c_custkey",
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_nationkey").alias("nation"),
+    )
     dealt = keys.repartition("segment", "nation").sortWithinPartitions("segment", "nation", "c_custkey").drop("c_custkey")
     dealt.write.partitionBy("segment", "nation").text(base)
-    return base, spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(base).select("path")
+    return base, spark.read.format("binaryFile").option(
+        "recursiveFileLookup", True
+    ).option("pathGlobFilter", "*.txt").load(base).select("path")
 
 
 def shown_files(samples: DataFrame) -> DataFrame:

@@ -48,9 +48,15 @@ def ngrams(units: Column, n: int = 4) -> Column:
     if n < 1:
         return F.lit(None).cast("array<string>")
     size = F.size(units)
-    joined = lambda t: F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), ",", PAD))
+    joined = lambda t: F.transform(
+        F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), ",", PAD)
+    )
     full = F.transform(F.array(units.cast("array<string>")), joined)[0]  # the inner variable holds the array, made once
-    padded = F.array(F.array_join(F.concat(units.cast("array<string>"), F.array_repeat(F.lit(PAD), F.greatest(n - size, F.lit(0)))), ",", PAD))
+    padded = F.array(
+        F.array_join(
+            F.concat(units.cast("array<string>"), F.array_repeat(F.lit(PAD), F.greatest(n - size, F.lit(0)))), ",", PAD
+        )
+    )
     return F.when(size >= n, full).when(size > 0, padded)
 
 
@@ -71,7 +77,9 @@ def literal_type(value_type: Column, attributes: Column) -> Column:
 def leaf_value(attributes: Column) -> Column:
     """Attribute value as text (a null value that is present gives None), else attribute name, else null."""
     value = F.element_at(attributes, "value")
-    return F.when(F.map_contains_key(attributes, F.lit("value")), F.coalesce(value, F.lit("None"))).otherwise(F.element_at(attributes, "name"))
+    return F.when(
+        F.map_contains_key(attributes, F.lit("value")), F.coalesce(value, F.lit("None"))
+    ).otherwise(F.element_at(attributes, "name"))
 
 
 def chi2_critical(confidence: float = 99) -> float:

@@ -51,10 +51,18 @@ def contingency(candidates: DataFrame, sample_features: DataFrame, samples: Data
     """
     of = lambda label: F.sum(F.when(F.col("label") == label, 1).otherwise(0)).cast("long")
     totals = samples.agg(F.coalesce(of("benign"), F.lit(0)).alias("ben"), F.coalesce(of("malicious"), F.lit(0)).alias("mal"))
-    present = sample_features.where(F.col("label").isin("benign", "malicious")).groupBy("feature").agg(of("benign").alias("b"), of("malicious").alias("m"))
+    present = sample_features.where(F.col("label").isin("benign", "malicious")).groupBy("feature").agg(
+        of("benign").alias("b"), of("malicious").alias("m")
+    )
     joined = candidates.join(present, "feature", "left").crossJoin(F.broadcast(totals))
     ben, mal = F.coalesce("b", F.lit(0)).cast("long"), F.coalesce("m", F.lit(0)).cast("long")
-    return joined.select("feature", ben.alias("ben_with"), (F.col("ben") - ben).alias("ben_wo"), mal.alias("mal_with"), (F.col("mal") - mal).alias("mal_wo"))
+    return joined.select(
+        "feature",
+        ben.alias("ben_with"),
+        (F.col("ben") - ben).alias("ben_wo"),
+        mal.alias("mal_with"),
+        (F.col("mal") - mal).alias("mal_wo"),
+    )
 
 
 def scored_features(table: DataFrame) -> DataFrame:
@@ -67,11 +75,15 @@ def select_features(table: DataFrame, confidence: float = 99) -> DataFrame:
     Features are ranked inside their beginning (its first PREFIX characters); only the number of features of each
     beginning is summed up in one task.
     """
-    kept = scored_features(table).where(F.col("chi2") >= chi2_critical(confidence)).select("feature", F.substring("feature", 1, PREFIX).alias("_begin"))
+    kept = scored_features(table).where(F.col("chi2") >= chi2_critical(confidence)).select(
+        "feature", F.substring("feature", 1, PREFIX).alias("_begin")
+    )
     counts = kept.groupBy("_begin").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_begin").orderBy("feature")) - 1)
-    return ranked.join(counts.select("_begin", before.alias("_before")), "_begin").select("feature", (F.col("_before") + F.col("_rank")).cast("int").alias("pos"))
+    return ranked.join(counts.select("_begin", before.alias("_before")), "_begin").select(
+        "feature", (F.col("_before") + F.col("_rank")).cast("int").alias("pos")
+    )
 
 
 def lookup_features(sample_features: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -86,9 +98,13 @@ def lookup_positions(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def feature_vectors(sample_features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """sample_id, label, pos, weight: count over all of a sample's features; weight 1 past the end if none is known."""
-    known = lookup_features(sample_features, vocabulary).select("sample_id", "label", "pos", (F.col("cnt") / F.col("total")).alias("weight"))
+    known = lookup_features(sample_features, vocabulary).select(
+        "sample_id", "label", "pos", (F.col("cnt") / F.col("total")).alias("weight")
+    )
     size = vocabulary.agg(F.count(F.lit(1)).cast("int").alias("pos"))
-    without = sample_features.select("sample_id", "label").distinct().join(known.select("sample_id").distinct(), "sample_id", "left_anti")
+    without = sample_features.select("sample_id", "label").distinct().join(
+        known.select("sample_id").distinct(), "sample_id", "left_anti"
+    )
     return known.unionByName(without.crossJoin(F.broadcast(size)).select("sample_id", "label", "pos", F.lit(1.0).alias("weight")))
 
 
@@ -98,12 +114,24 @@ def to_ml_vectors(vectors: DataFrame, size: int) -> DataFrame:
     from pyspark.sql.types import StructField, StructType
 
     grouped = vectors.groupBy("sample_id", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("items"))
-    grouped = grouped.select("sample_id", "label", F.transform("items", lambda x: x["pos"]).alias("indices"), F.transform("items", lambda x: x["weight"]).alias("values"))
+    grouped = grouped.select(
+        "sample_id",
+        "label",
+        F.transform("items", lambda x: x["pos"]).alias("indices"),
+        F.transform("items", lambda x: x["weight"]).alias("values"),
+    )
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             fields = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size + 1, np.int32)), batch.column(2), batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])], ["sample_id", "label", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"]),
+                ],
+                ["sample_id", "label", "features"],
+            )
 
     return grouped.mapInArrow(lay_out, StructType([*grouped.schema.fields[:2], StructField("features", VectorUDT())]))

@@ -86,16 +86,30 @@ def context_values(nodes: DataFrame) -> DataFrame:
     The next Identifier from the node on, kept if it lies in the node's subtree: one window for all nodes.
     """
     onward = Window.partitionBy("sample_id").orderBy("node_id").rowsBetween(0, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("name") == "Identifier", F.struct("node_id", F.element_at("attributes", "name").alias("ident"))), ignorenulls=True).over(onward)
-    return nodes.withColumn("context", found).where(F.col("context.node_id") <= F.col("subtree_end")).withColumn("value", F.col("context.ident")).drop("context")
+    found = F.first(
+        F.when(F.col("name") == "Identifier", F.struct("node_id", F.element_at("attributes", "name").alias("ident"))),
+        ignorenulls=True,
+    ).over(onward)
+    return nodes.withColumn("context", found).where(
+        F.col("context.node_id") <= F.col("subtree_end")
+    ).withColumn("value", F.col("context.ident")).drop("context")
 
 
 def ast_value_features(nodes: DataFrame) -> DataFrame:
     """(unit, value) of each node but the root: of literals type and value, of others name and context; in pre-order rows."""
     codes = F.create_map(*[F.lit(x) for kv in TREE_CODES.items() for x in kv])
-    literals = nodes.where((F.col("name") == "Literal") & F.map_contains_key("attributes", F.lit("value")) & F.col("parent_id").isNotNull())
-    literals = literals.select("sample_id", "node_id", literal_type(F.col("value_type"), F.col("attributes")).alias("name"), leaf_value(F.col("attributes")).alias("value"))
-    others = context_values(nodes).where((F.col("name") != "Literal") & F.col("parent_id").isNotNull()).select("sample_id", "node_id", "name", "value")
+    literals = nodes.where(
+        (F.col("name") == "Literal") & F.map_contains_key("attributes", F.lit("value")) & F.col("parent_id").isNotNull()
+    )
+    literals = literals.select(
+        "sample_id",
+        "node_id",
+        literal_type(F.col("value_type"), F.col("attributes")).alias("name"),
+        leaf_value(F.col("attributes")).alias("value"),
+    )
+    others = context_values(nodes).where(
+        (F.col("name") != "Literal") & F.col("parent_id").isNotNull()
+    ).select("sample_id", "node_id", "name", "value")
     return literals.unionByName(others).withColumn("unit", F.element_at(codes, F.col("name")))
 
 
@@ -106,7 +120,9 @@ def nearest_statement(nodes: DataFrame, statements: list[str] = STATEMENTS) -> D
     the nearest. So time is in proportion to the nodes, and memory to the depth.
     """
     kind = nodes.schema["sample_id"].dataType.simpleString()
-    ordered = nodes.select("sample_id", "node_id", "subtree_end", F.col("name").isin(statements).alias("is_statement")).repartition("sample_id").sortWithinPartitions("sample_id", "node_id")
+    ordered = nodes.select(
+        "sample_id", "node_id", "subtree_end", F.col("name").isin(statements).alias("is_statement")
+    ).repartition("sample_id").sortWithinPartitions("sample_id", "node_id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stack = None, []
@@ -120,7 +136,9 @@ def nearest_statement(nodes: DataFrame, statements: list[str] = STATEMENTS) -> D
                 if statement:
                     stack.append((node, end))
                 found.append(stack[-1][0] if stack else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["sample_id", "node_id", "statement"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["sample_id", "node_id", "statement"]
+            )
 
     return ordered.mapInArrow(walk, f"sample_id {kind}, node_id int, statement int")
 
@@ -146,15 +164,47 @@ def structure_edges(nodes: DataFrame) -> DataFrame:
     One self-join on the parent; siblings and the last case of a switch come from windows over the children.
     """
     siblings = Window.partitionBy("sample_id", "parent_id").orderBy("child_ix")
-    placed = nodes.withColumn("before_id", F.lag("node_id").over(siblings)).withColumn("before_body", F.lag("body").over(siblings)).withColumn("before_comment", F.lag("name").over(siblings).isin(COMMENTS))
-    p = placed.select("sample_id", F.col("node_id").alias("p_id"), F.col("name").alias("p_name"), F.col("n_children").alias("p_n"), F.col("child_ix").alias("p_ix"), F.col("parent_id").alias("pp"))
+    placed = nodes.withColumn("before_id", F.lag("node_id").over(siblings)).withColumn("before_body", F.lag("body").over(siblings)).withColumn(
+        "before_comment", F.lag("name").over(siblings).isin(COMMENTS)
+    )
+    p = placed.select(
+        "sample_id",
+        F.col("node_id").alias("p_id"),
+        F.col("name").alias("p_name"),
+        F.col("n_children").alias("p_n"),
+        F.col("child_ix").alias("p_ix"),
+        F.col("parent_id").alias("pp"),
+    )
     top = nodes.select("sample_id", F.col("node_id").alias("pp"), F.col("name").alias("pp_name"), F.col("n_children").alias("pp_n"))
-    p = p.where("pp is not null").join(top, ["sample_id", "pp"]).withColumn("p_last", (F.col("pp_name") == "SwitchStatement") & (F.col("p_ix") == F.col("pp_n") - 1))
-    c = placed.select("sample_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("c_id"), F.col("name").alias("c_name"), F.col("child_ix").alias("c_ix"), F.col("body").alias("c_body"), "before_id", "before_body", "before_comment")
-    joined = c.join(p, ["sample_id", "p_id"]).withColumn("c_statement", F.col("c_name").isin(STATEMENTS)).withColumn("c_comment", F.col("c_name").isin(COMMENTS))
-    joined = joined.withColumn("link", F.when(F.col("c_comment"), "comment c").otherwise("statement s")).withColumn("edge", F.expr(EDGE_RULE)).where("edge is not null")
+    p = p.where("pp is not null").join(top, ["sample_id", "pp"]).withColumn(
+        "p_last", (F.col("pp_name") == "SwitchStatement") & (F.col("p_ix") == F.col("pp_n") - 1)
+    )
+    c = placed.select(
+        "sample_id",
+        F.col("parent_id").alias("p_id"),
+        F.col("node_id").alias("c_id"),
+        F.col("name").alias("c_name"),
+        F.col("child_ix").alias("c_ix"),
+        F.col("body").alias("c_body"),
+        "before_id",
+        "before_body",
+        "before_comment",
+    )
+    joined = c.join(p, ["sample_id", "p_id"]).withColumn(
+        "c_statement", F.col("c_name").isin(STATEMENTS)
+    ).withColumn("c_comment", F.col("c_name").isin(COMMENTS))
+    joined = joined.withColumn(
+        "link", F.when(F.col("c_comment"), "comment c").otherwise("statement s")
+    ).withColumn("edge", F.expr(EDGE_RULE)).where("edge is not null")
     chain = (F.col("p_name") == "SwitchStatement") & (F.col("c_ix") >= 2) & ~F.col("c_comment")
-    return joined.select("sample_id", F.when(chain, F.col("before_id")).otherwise(F.col("p_id")).alias("src"), F.col("c_id").alias("dst"), F.split("edge", " ")[0].alias("type"), F.split("edge", " ")[1].alias("label"), F.col("c_ix").alias("ord"))
+    return joined.select(
+        "sample_id",
+        F.when(chain, F.col("before_id")).otherwise(F.col("p_id")).alias("src"),
+        F.col("c_id").alias("dst"),
+        F.split("edge", " ")[0].alias("type"),
+        F.split("edge", " ")[1].alias("label"),
+        F.col("c_ix").alias("ord"),
+    )
 
 
 def def_use_edges(events: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -164,14 +214,20 @@ def def_use_edges(events: DataFrame, nodes: DataFrame | None = None) -> DataFram
     events: sample_id, scope, pos, k, name, kind (def, use), is_function.
     """
     ordered = Window.partitionBy("sample_id", "scope", "name").orderBy("pos", "k")
-    before = F.last(F.when(F.col("kind") == "def", F.col("pos")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when((F.col("kind") == "def") & F.col("is_function"), F.col("pos")), ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(
+        F.when(F.col("kind") == "def", F.col("pos")), ignorenulls=True
+    ).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(
+        F.when((F.col("kind") == "def") & F.col("is_function"), F.col("pos")), ignorenulls=True
+    ).over(ordered.rowsBetween(1, Window.unboundedFollowing))
     uses = events.withColumn("begin_id", F.coalesce(before, after)).where("kind = 'use' and begin_id is not null")
     edges = uses.select("sample_id", "scope", "name", "begin_id", F.col("pos").alias("end_id"), F.col("k").alias("ord"))
     if nodes is None:
         return edges
     near = nearest_statement(nodes)
-    at = lambda c, out: near.select("sample_id", F.col("node_id").alias(c), F.col("statement").alias(out)).where(F.col(out).isNotNull())
+    at = lambda c, out: near.select(
+        "sample_id", F.col("node_id").alias(c), F.col("statement").alias(out)
+    ).where(F.col(out).isNotNull())
     return edges.join(at("begin_id", "src"), ["sample_id", "begin_id"]).join(at("end_id", "dst"), ["sample_id", "end_id"])
 
 
@@ -232,13 +288,17 @@ def flow_units(nodes: DataFrame, edges: DataFrame, level: str, features: str = "
     """
     kinds = {"cfg": ["control"], "pdg-dfg": ["data"], "pdg": ["data", "control"]}[level]
     context = context_values(nodes).select("sample_id", "node_id", F.col("value").alias("context"))
-    literal = nodes.join(context, ["sample_id", "node_id"], "left").withColumn("leaf", leaf_value(F.col("attributes"))).withColumn("lit", literal_type(F.col("value_type"), F.col("attributes"))).withColumn("has_value", F.map_contains_key("attributes", F.lit("value")))
+    literal = nodes.join(context, ["sample_id", "node_id"], "left").withColumn("leaf", leaf_value(F.col("attributes"))).withColumn(
+        "lit", literal_type(F.col("value_type"), F.col("attributes"))
+    ).withColumn("has_value", F.map_contains_key("attributes", F.lit("value")))
     wide = literal.select("sample_id", "node_id", "parent_id", "name", "context", "leaf", "lit", "has_value")
     schema = "sample_id long, units array<struct<unit:string,value:string>>"
 
     def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("node_id")
-        name, ctx, leaf, lit, has = (dict(zip(left.node_id, left[c], strict=True)) for c in ("name", "context", "leaf", "lit", "has_value"))
+        name, ctx, leaf, lit, has = (
+            dict(zip(left.node_id, left[c], strict=True)) for c in ("name", "context", "leaf", "lit", "has_value")
+        )
         parents = {n: (None if pd.isna(p) else int(p)) for n, p in zip(left.node_id, left.parent_id, strict=True)}
         below: dict[int, list[int]] = {n: [] for n in name}
         for n, p in parents.items():
@@ -271,6 +331,17 @@ def flow_units(nodes: DataFrame, edges: DataFrame, level: str, features: str = "
             _walk([n for n in left.node_id if parents[n] is not None], out, emit, below, no_context)
         return pd.DataFrame({"sample_id": [key[0]], "units": [[{"unit": u, "value": v} for u, v in units]]})
 
-    flat = edges.select(F.col("sample_id").alias("edge_sample"), "src", "dst", "type", "ord", *[F.col(c).cast("double").alias(c) if c in edges.columns else F.lit(None).cast("double").alias(c) for c in ("begin_id", "end_id")])
+    flat = edges.select(
+        F.col("sample_id").alias("edge_sample"),
+        "src",
+        "dst",
+        "type",
+        "ord",
+        *[
+            F.col(c).cast("double").alias(c) if c in edges.columns else F.lit(None).cast("double").alias(c) for c in (
+                "begin_id", "end_id"
+            )
+        ],
+    )
     walked = wide.groupBy("sample_id").cogroup(flat.groupBy("edge_sample")).applyInPandas(walk, schema)
     return walked if features == "value" else walked.select("sample_id", F.transform("units", lambda u: u["unit"]).alias("units"))

@@ -32,7 +32,9 @@ def encode_units(units: DataFrame, codes: dict[str, int] = LEXICAL_CODES) -> Dat
 
 def split_usable(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Samples with units that are all known, and the rest with the reason. One expression, two filters."""
-    reason = F.when(F.col("units").isNull(), "no units").when(F.size("units") == 0, "empty").when(F.exists("units", lambda u: u.isNull()), "unknown unit")
+    reason = F.when(F.col("units").isNull(), "no units").when(F.size("units") == 0, "empty").when(
+        F.exists("units", lambda u: u.isNull()), "unknown unit"
+    )
     marked = units.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
@@ -44,7 +46,9 @@ def _counted(keyed: DataFrame, keys: Column) -> DataFrame:
     pushed below the expressions that make the array and evaluate them once more.
     """
     arrays = keyed.select("sample_id", "label", keys.alias("keys"))
-    each = arrays.select("sample_id", "label", F.size("keys").cast("long").alias("total"), F.explode_outer("keys").alias("feature")).where("feature is not null")
+    each = arrays.select(
+        "sample_id", "label", F.size("keys").cast("long").alias("total"), F.explode_outer("keys").alias("feature")
+    ).where("feature is not null")
     return each.groupBy("sample_id", "label", "feature").agg(F.count(F.lit(1)).alias("cnt"), F.first("total").alias("total"))
 
 

@@ -26,18 +26,41 @@ def learn_vocabulary(train: DataFrame, validation: DataFrame, min_df: int = 10,
     return select_features(contingency(candidates, validation, validation.select("sample_id", "label").distinct()), confidence)
 
 
-def train_module(train: DataFrame, validation: DataFrame, features: str = "ngrams", n: int = 4, min_df: int = 10, confidence: float = 99, trees: int = 500) -> tuple[RandomForestClassificationModel, DataFrame]:
+def train_module(
+    train: DataFrame,
+    validation: DataFrame,
+    features: str = "ngrams",
+    n: int = 4,
+    min_df: int = 10,
+    confidence: float = 99,
+    trees: int = 500,
+) -> tuple[RandomForestClassificationModel, DataFrame]:
     """Model and vocabulary of one module from unit arrays of training and validation samples, counted once each."""
-    return train_on_counts(store(sample_features(train, features, n), "train"), store(sample_features(validation, features, n), "validation"), min_df, confidence, trees)
-
-
-def train_on_counts(train: DataFrame, validation: DataFrame, min_df: int = 10, confidence: float = 99, trees: int = 500) -> tuple[RandomForestClassificationModel, DataFrame]:
+    return train_on_counts(
+        store(sample_features(train, features, n), "train"),
+        store(sample_features(validation, features, n), "validation"),
+        min_df,
+        confidence,
+        trees,
+    )
+
+
+def train_on_counts(
+    train: DataFrame, validation: DataFrame, min_df: int = 10, confidence: float = 99, trees: int = 500
+) -> tuple[RandomForestClassificationModel, DataFrame]:
     """Model and vocabulary of one module from feature counts. The vocabulary and the vectors are written once."""
     vocabulary = store(learn_vocabulary(train, validation, min_df, confidence), "vocabulary")
     return train_forest(store(to_ml_vectors(feature_vectors(train, vocabulary), vocabulary.count()), "vectors"), trees), vocabulary
 
 
-def classify_module(samples: DataFrame, model: RandomForestClassificationModel, vocabulary: DataFrame, features: str = "ngrams", n: int = 4, threshold: float = 0.5) -> DataFrame:
+def classify_module(
+    samples: DataFrame,
+    model: RandomForestClassificationModel,
+    vocabulary: DataFrame,
+    features: str = "ngrams",
+    n: int = 4,
+    threshold: float = 0.5,
+) -> DataFrame:
     """sample_id, label, p_malicious, predicted for unit arrays of samples, with a stored model and vocabulary."""
     vectors = feature_vectors(sample_features(samples, features, n), vocabulary)
     return predict_with_threshold(probabilities(to_ml_vectors(vectors, model.numFeatures - 1), model), threshold)

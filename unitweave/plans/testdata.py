@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents; toxic ones are malicious, other labelled ones benign, the rest unknown."""
     label = F.when(F.col("toxic") == 1, "malicious").when(F.col("toxic") == 0, "benign").otherwise("?")
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("sample_id"), label.alias("label"), F.col("text").alias("payload"))
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        F.col("doc_id").alias("sample_id"), label.alias("label"), F.col("text").alias("payload")
+    )
 
 
 def script_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,14 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("user_id") % 3 == 0, "benign").when(F.col("user_id") % 3 == 1, "malicious").otherwise("?")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), label.alias("label"), "ts", "event_id", F.col("event_type").alias("unit"), F.col("props").alias("value"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("sample_id"),
+        label.alias("label"),
+        "ts",
+        "event_id",
+        F.col("event_type").alias("unit"),
+        F.col("props").alias("value"),
+    )
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +58,14 @@ def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as a short sample of part classes."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.lit("?").alias("label"), "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 7).cast("int").alias("unit"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"),
+        F.lit("?").alias("label"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        (F.col("l_partkey") % 7).cast("int").alias("unit"),
+    )
     return sequences(rows, ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
@@ -61,12 +77,36 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = lambda t: F.lit(None).cast(t)
     rest = [null("int").alias("l_linenumber"), null("long").alias("l_partkey"), null("long").alias("l_suppkey")]
     none = [null("string").alias("vname"), null("string").alias("vvalue"), null("string").alias("value_type")]
-    root = c.select(F.col("c_custkey").cast("long").alias("sample_id"), null("long").alias("c_custkey"), null("long").alias("o_orderkey"), *rest, F.lit(0).alias("depth"), F.lit("Program").alias("name"), *none)
-    customers = c.select(F.col("c_custkey").cast("long").alias("sample_id"), "c_custkey", null("long").alias("o_orderkey"), *rest, F.lit(1).alias("depth"), named.alias("name"), *none)
+    root = c.select(
+        F.col("c_custkey").cast("long").alias("sample_id"),
+        null("long").alias("c_custkey"),
+        null("long").alias("o_orderkey"),
+        *rest,
+        F.lit(0).alias("depth"),
+        F.lit("Program").alias("name"),
+        *none,
+    )
+    customers = c.select(
+        F.col("c_custkey").cast("long").alias("sample_id"),
+        "c_custkey",
+        null("long").alias("o_orderkey"),
+        *rest,
+        F.lit(1).alias("depth"),
+        named.alias("name"),
+        *none,
+    )
     owners = c.select(F.col("c_custkey").cast("long").alias("sample_id"), "c_custkey")
-    status = F.when(F.col("o_orderstatus") == "O", "ExpressionStatement").when(F.col("o_orderstatus") == "F", "BlockStatement").otherwise("SwitchCase")
-    orders = o.join(owners, F.col("o_custkey") == F.col("c_custkey")).select("sample_id", "c_custkey", "o_orderkey", *rest, F.lit(2).alias("depth"), status.alias("name"), *none)
-    kind = F.when(F.col("l_returnflag") == "R", "Identifier").when(F.col("l_returnflag") == "A", "Literal").when(F.col("l_linestatus") == "O", "Line").otherwise("CallExpression")
+    status = F.when(
+        F.col("o_orderstatus") == "O", "ExpressionStatement"
+    ).when(F.col("o_orderstatus") == "F", "BlockStatement").otherwise("SwitchCase")
+    orders = o.join(owners, F.col("o_custkey") == F.col("c_custkey")).select(
+        "sample_id", "c_custkey", "o_orderkey", *rest, F.lit(2).alias("depth"), status.alias("name"), *none
+    )
+    kind = F.when(
+        F.col("l_returnflag") == "R", "Identifier"
+    ).when(
+        F.col("l_returnflag") == "A", "Literal"
+    ).when(F.col("l_linestatus") == "O", "Line").otherwise("CallExpression")
     is_id, is_lit = F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"
     lines = i.join(orders.select("sample_id", "c_custkey", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "sample_id", "c_custkey", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(3).alias("depth"), kind.alias("name"),
@@ -79,15 +119,41 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes.withColumn("node_id", F.row_number().over(Window.partitionBy("sample_id").orderBy(*order)) - 1)
     before = Window.partitionBy("sample_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     up = lambda d: F.last(F.when(F.col("depth") == d, F.col("node_id")), ignorenulls=True).over(before)
-    nodes = nodes.withColumn("parent_id", F.when(F.col("depth") == 1, 0).when(F.col("depth") == 2, up(1)).when(F.col("depth") == 3, up(2)))
+    nodes = nodes.withColumn(
+        "parent_id", F.when(F.col("depth") == 1, 0).when(F.col("depth") == 2, up(1)).when(F.col("depth") == 3, up(2))
+    )
     last = lambda *keys: F.max("node_id").over(Window.partitionBy("sample_id", *keys))
-    end = F.when(F.col("depth") == 0, last()).when(F.col("depth") == 1, last("c_custkey")).when(F.col("depth") == 2, last("c_custkey", "o_orderkey")).otherwise(F.col("node_id"))
-    nodes = nodes.withColumn("subtree_end", end).withColumn("child_ix", F.when(F.col("parent_id").isNotNull(), F.row_number().over(Window.partitionBy("sample_id", "parent_id").orderBy("node_id")) - 1))
-    counts = nodes.where("parent_id is not null").groupBy("sample_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).cast("int").alias("n_children"))
-    body = F.when(F.col("child_ix") == 0, "body").when(F.col("child_ix") == 1, "handler").when(F.col("child_ix") == 2, "finalizer").when(F.col("child_ix").isNotNull(), "other")
+    end = F.when(F.col("depth") == 0, last()).when(F.col("depth") == 1, last("c_custkey")).when(
+        F.col("depth") == 2, last("c_custkey", "o_orderkey")
+    ).otherwise(F.col("node_id"))
+    nodes = nodes.withColumn("subtree_end", end).withColumn(
+        "child_ix",
+        F.when(
+            F.col("parent_id").isNotNull(),
+            F.row_number().over(Window.partitionBy("sample_id", "parent_id").orderBy("node_id")) - 1,
+        ),
+    )
+    counts = nodes.where("parent_id is not null").groupBy("sample_id", F.col("parent_id").alias("node_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_children")
+    )
+    body = F.when(F.col("child_ix") == 0, "body").when(F.col("child_ix") == 1, "handler").when(F.col("child_ix") == 2, "finalizer").when(
+        F.col("child_ix").isNotNull(), "other"
+    )
     attributes = F.map_filter(F.create_map(F.lit("name"), F.col("vname"), F.lit("value"), F.col("vvalue")), lambda k, v: v.isNotNull())
     joined = nodes.join(counts, ["sample_id", "node_id"], "left")
-    return joined.select("sample_id", F.col("node_id").cast("int").alias("node_id"), F.col("parent_id").cast("int").alias("parent_id"), F.col("child_ix").cast("int").alias("child_ix"), F.coalesce("n_children", F.lit(0)).alias("n_children"), F.col("depth").cast("int").alias("depth"), F.col("subtree_end").cast("int").alias("subtree_end"), "name", body.alias("body"), attributes.alias("attributes"), "value_type")
+    return joined.select(
+        "sample_id",
+        F.col("node_id").cast("int").alias("node_id"),
+        F.col("parent_id").cast("int").alias("parent_id"),
+        F.col("child_ix").cast("int").alias("child_ix"),
+        F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        F.col("depth").cast("int").alias("depth"),
+        F.col("subtree_end").cast("int").alias("subtree_end"),
+        "name",
+        body.alias("body"),
+        attributes.alias("attributes"),
+        "value_type",
+    )
 
 
 def identifier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +161,20 @@ def identifier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
     pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
     is_def = F.col("l_returnflag") == "R"
-    return i.select(F.col("l_suppkey").alias("sample_id"), F.lit(0).alias("scope"), pos.cast("int").alias("pos"), F.lit(0).alias("k"), F.concat(F.lit("v"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.when(is_def, "def").otherwise("use").alias("kind"), (is_def & (F.col("l_linestatus") == "F")).alias("is_function"))
+    return i.select(
+        F.col("l_suppkey").alias("sample_id"),
+        F.lit(0).alias("scope"),
+        pos.cast("int").alias("pos"),
+        F.lit(0).alias("k"),
+        F.concat(F.lit("v"), (F.col("l_partkey") % 50).cast("string")).alias("name"),
+        F.when(is_def, "def").otherwise("use").alias("kind"),
+        (is_def & (F.col("l_linestatus") == "F")).alias("is_function"),
+    )
 
 
 def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probability per user and event type, from its first event."""
     e = event_rows(spark, sf_dir)
-    return e.groupBy("sample_id", "label", F.col("unit").alias("module")).agg((F.min("event_id") % 100 / F.lit(100.0)).alias("p_malicious"))
+    return e.groupBy("sample_id", "label", F.col("unit").alias("module")).agg(
+        (F.min("event_id") % 100 / F.lit(100.0)).alias("p_malicious")
+    )

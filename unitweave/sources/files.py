@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 
 def _texts(spark: SparkSession, paths: Sequence[str], label: str | None, recursive: bool) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", recursive).text(list(paths), wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("sample_id"), F.coalesce(F.lit(label), F.lit("?")).alias("label"), F.col("value").alias("payload"), F.col("_metadata.file_size").alias("size_bytes"))
-
-
-def read_labelled_dirs(spark: SparkSession, dirs: Sequence[str], labels: Sequence[str] | None = None, files: Sequence[str] | None = None, file_labels: Sequence[str] | None = None, recursive: bool = False) -> DataFrame:
+    return read.select(
+        F.col("_metadata.file_path").alias("sample_id"),
+        F.coalesce(F.lit(label), F.lit("?")).alias("label"),
+        F.col("value").alias("payload"),
+        F.col("_metadata.file_size").alias("size_bytes"),
+    )
+
+
+def read_labelled_dirs(
+    spark: SparkSession,
+    dirs: Sequence[str],
+    labels: Sequence[str] | None = None,
+    files: Sequence[str] | None = None,
+    file_labels: Sequence[str] | None = None,
+    recursive: bool = False,
+) -> DataFrame:
     """Samples from the files of directories (a label for each) and from single files (a label for each); '?' without.
 
     The key is the full path. Directories and files of one label are read together.

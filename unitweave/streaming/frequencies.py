@@ -11,7 +11,9 @@ from unitweave.functions.columns import ngrams
 
 def streamed_document_frequency(units: DataFrame, n: int = 4) -> DataFrame:
     """Running document frequencies over a stream of samples (label, units): each sample counts a feature once."""
-    each = units.select("label", F.explode_outer(F.array_distinct(ngrams(F.col("units"), n))).alias("feature")).where("feature is not null")
+    each = units.select(
+        "label", F.explode_outer(F.array_distinct(ngrams(F.col("units"), n))).alias("feature")
+    ).where("feature is not null")
     return each.groupBy("label", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -25,7 +27,9 @@ def start_frequencies(units: DataFrame, path: str, checkpoint: str, n: int = 4)
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return streamed_document_frequency(units, n).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return streamed_document_frequency(units, n).writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
