@@ -41,6 +41,8 @@ LENGTH, WINDOW = 400, 256
 PASSAGE, PIECE_WORDS = 51, 8
 #: Different surroundings of one key that are merged in one place.
 MOST = 100_000
+#: Keys of more surroundings than that which are broadcast, at most; more are joined.
+HOT_KEYS = 1_000_000
 #: Windows of a text that are hashed at once.
 CHUNK = 1 << 21
 PIECE = 8
@@ -490,6 +492,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     whole = settled.where("tag = 'r'").select("doc_id", "mark", of_kind, (at - left).alias("first"), (at - left + width).alias("last"))
 
     hot = settled.where(F.col("ordinal") >= most).select("key").distinct().withColumn("hot", F.lit(True))
+    hot = write_shared(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
     each = (F.coalesce("hot", F.lit(False)) | (F.col("key").bitwiseAND(F.lit(1)) == WORDS)).alias("each")
     wanted = settled.where("tag = 'm'").join(hot, "key", "left").select(
         "doc_id", "mark", F.struct("place", "key", "members", each).alias("w")
