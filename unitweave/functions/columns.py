@@ -30,13 +30,20 @@ instanceof let new return static super switch this throw try typeof var void whi
 
 
 def unit_class(unit: Column) -> Column:
-    """Code of the lexical class of a unit's text."""
-    code = LEXICAL_CODES
+    """Code of the lexical class of a unit's text. Words come first, told by the first character's number: most units are
+    words, and only those beyond ASCII need a pattern."""
+    code, first = LEXICAL_CODES, F.ascii(unit)
+    letter = first.between(97, 122) | first.between(65, 90) | first.isin(36, 95)
+    word = (
+        F.when(unit.isin("true", "false"), code["Boolean"]).when(unit == "null", code["Null"])
+        .when(unit.isin(KEYWORDS), code["Keyword"]).otherwise(code["Identifier"])
+    )
     return (
-        F.when(unit.startswith("//"), code["LineComment"]).when(unit.startswith("/*"), code["BlockComment"])
-        .when((F.length(unit) > 1) & F.substring(unit, 1, 1).isin('"', "'"), code["String"]).when((F.length(unit) > 1) & unit.startswith("`"), code["Template"])
-        .when(F.regexp_like(unit, F.lit("^[0-9]")), code["Numeric"]).when(unit.isin("true", "false"), code["Boolean"]).when(unit == "null", code["Null"])
-        .when(unit.isin(KEYWORDS), code["Keyword"]).when(F.regexp_like(unit, F.lit(r"^[\p{L}_$]")), code["Identifier"]).otherwise(code["Punctuator"])
+        F.when(letter | ((first >= 128) & F.regexp_like(unit, F.lit(r"^\p{L}"))), word)
+        .when(first.between(48, 57), code["Numeric"])
+        .when(unit.startswith("//"), code["LineComment"]).when(unit.startswith("/*"), code["BlockComment"])
+        .when((F.length(unit) > 1) & first.isin(34, 39), code["String"])
+        .when((F.length(unit) > 1) & (first == 96), code["Template"]).otherwise(code["Punctuator"])
     )
 
 
