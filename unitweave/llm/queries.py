@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitweave.llm.alignment import link_quality
 from unitweave.llm.chat import format_chats, read_chats
 from unitweave.llm.common import documents
+from unitweave.llm.contamination import LOWER, PATTERN, UPPER, find_contamination
 from unitweave.llm.mixing import mix_sources
 from unitweave.llm.near_dup import near_duplicate_classes
 from unitweave.llm.packing import pack_documents
@@ -18,6 +20,7 @@ from unitweave.llm.secrets import scan_secrets
 from unitweave.llm.suffix_dedup import remove_repeats
 from unitweave.llm.topk import binary_codes, top_k
 from unitweave.llm.toxicity import learn_lexicon, score_toxicity
+from unitweave.llm.whitening import fit_whitening, whiten
 
 #: Score from which a document is predicted toxic.
 TOXIC_FROM = 0.7
@@ -95,6 +98,28 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whiten(vectors, fit_whitening(vectors))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quality(documents(spark, sf_dir))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity,
@@ -107,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_best_fit_packing,
         op10_order_minhash,
+        op11_whiten_embeddings,
+        op12_align_tokenizers,
+        op13_decontaminate,
     )
 }
 
@@ -131,4 +159,17 @@ pairs AS (
   FROM codes q, codes c WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+    "op13_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PATTERN}') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{PATTERN}') AS ws FROM benchmark),
+windows AS (
+  SELECT item_id, least(len(ws), 10) AS n, unnest(list_transform(generate_series(1, greatest(len(ws) - 9, 1)), lambda i: array_to_string(ws[i:i + 9], ' '))) AS said
+  FROM items WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM docs, sizes),
+matches AS (SELECT s.r, s.i, s.n, w.item_id FROM (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS said FROM spots) s JOIN windows w USING (n, said)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM matches) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM matches WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)""",
 }
