@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from unitweave.functions.columns import KEYWORDS, LEXER, chi2_critical, leaf_value, literal_type, ngrams
 from unitweave.functions.tables import COMMENTS, RESERVED, STATEMENTS, TREE_CODES
+from unitweave.operators import dataflow as fl
 from unitweave.operators import evaluation as ev
 from unitweave.operators import selection as sel
 from unitweave.operators import trees as tr
@@ -527,6 +528,99 @@ def flow_units_pdg_value(spark, sf_dir):
     return _flow(spark, sf_dir, "pdg", "value")
 
 
+# Names in programs. The SQL knows the shapes of the statements: their sizes, what each says about names at which node, and
+# where each node is in evaluation order. It looks at all pairs of events of a name.
+#: (compound, group, nodes before its lines, place in evaluation order); a do loop's test and a try's finalizer move up.
+GROUPS = [(0, 0, 4, 0), (1, 0, 2, 0), (1, 1, 1, 1), (1, 2, 1, 2), (2, 0, 1, 0), (2, 1, 1, 2), (2, 2, 3, 3), (2, 3, 1, 1), (3, 0, 1, 0), (3, 1, 1, 2), (3, 2, 1, 1), (4, 0, 3, 0), (5, 0, 1, 0)]
+#: (kind of line, nodes)
+SIZES = list(enumerate((2, 4, 4, 4, 4, 3, 6, 6, 6, 7, 8, 4)))
+#: (kind of line or name of a compound, group or null, node, node in evaluation order, step, name, kind, how, serves earlier uses,
+#: quiet, scope, statement): scope is a node of the statement, or what "var" and "let" mean there.
+SAID = [
+    (0, None, 1, 1, 0, "x", "use", None, False, False, None, 0), (1, None, 2, 2, 0, "x", "def", "declare", False, False, "var", 0), (1, None, 3, 3, 0, "y", "use", None, False, False, None, 0),
+    (2, None, 2, 2, 0, "x", "def", "declare", False, False, "let", 0), (2, None, 3, 3, 0, "y", "use", None, False, False, None, 0), (3, None, 2, 2, 1, "x", "def", "assign", False, False, None, 0),
+    (3, None, 3, 3, 0, "y", "use", None, False, False, None, 0), (4, None, 2, 2, 1, "x", "def", "assign", False, False, None, 0), (4, None, 2, 2, 2, "x", "use", None, False, False, None, 0),
+    (5, None, 2, 2, 0, "x", "use", None, False, False, None, 0), (5, None, 2, 2, 1, "x", "def", "assign", False, False, None, 0), (5, None, 2, 2, 2, "x", "use", None, False, False, None, 0),
+    (6, None, 3, 3, 0, "x", "use", None, False, True, None, 0), (6, None, 3, 3, 1, "x", "def", "assign", False, False, None, 0), (6, None, 5, 5, 0, "y", "use", None, False, False, None, 0),
+    (7, None, 3, 3, 0, "x", "use", None, False, True, None, 0), (7, None, 3, 3, 1, "x", "def", "call", False, False, None, 0), (7, None, 5, 5, 0, "y", "use", None, False, False, None, 0),
+    (8, None, 2, 2, 0, "f", "use", None, False, False, None, 0), (8, None, 4, 4, 0, "x", "use", None, False, False, None, 0), (8, None, 5, 5, 0, "y", "use", None, False, False, None, 0),
+    (9, None, 2, 2, 1, "x", "def", "assign", False, False, None, 0), (9, None, 5, 5, 0, "k", "def", "declare", True, False, "3", 0), (9, None, 6, 6, 0, "y", "use", None, False, False, "3", 0),
+    (10, None, 2, 2, 1, "x", "def", "assign", False, False, None, 0), (10, None, 4, 4, 0, "y", "def", "declare", False, False, "3", 0), (10, None, 7, 7, 0, "x", "use", None, False, False, "3", 6),
+    (11, None, 3, 2, 0, "x", "use", None, False, False, None, 0),
+    (100, 0, 1, 1, 0, "f", "def", "declare", True, False, "root", 0), (100, 0, 2, 2, 0, "x", "def", "declare", False, False, "var", 0), (101, 0, 1, 1, 0, "x", "use", None, False, False, None, 0),
+    (102, 2, 1, 1, 0, "x", "def", "declare", False, False, "var", 0), (103, 2, 0, 0, 0, "x", "use", None, False, False, None, -1), (104, 0, 1, 1, 0, "x", "use", None, False, False, None, 0),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    shown = lambda v: "NULL" if v is None else _q(v) if isinstance(v, str) else str(v)
+    return ", ".join(f"({', '.join(map(shown, r))})" for r in rows)
+
+
+PROGRAMS = f"""grps AS (SELECT * FROM (VALUES {_values(GROUPS)}) AS t(shape, grp, head, turn)), sizes AS (SELECT * FROM (VALUES {_values(SIZES)}) AS t(kind, n)),
+said AS (SELECT * FROM (VALUES {_values(SAID)}) AS t(kind, of_grp, node, told, k, who, what, how, is_function, quiet, scope, stmt)),
+o AS (SELECT o_custkey AS sample_id, o_orderkey AS o, o_orderkey % 6 AS shape, 'v' || (o_orderkey % 4) AS x, 'f' || (o_orderkey % 3) AS f FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+parts AS (
+  SELECT sample_id, o, o.shape, grp, turn, -1 AS line, 0 AS p, 0 AS s, 100 + o.shape AS kind, head AS n, x, NULL AS y, f, NULL AS key FROM o JOIN grps USING (shape)
+  UNION ALL SELECT sample_id, o, o.shape, grp, turn, l_linenumber, l_partkey, l_suppkey, l_partkey % 12, n, 'v' || (l_partkey // 12 % 4), 'v' || (l_suppkey % 4), 'f' || (l_suppkey % 3), 'k' || (l_suppkey % 2)
+    FROM lineitem JOIN o ON l_orderkey = o JOIN sizes ON sizes.kind = l_partkey % 12 JOIN grps ON grps.shape = o.shape
+      AND grps.grp = CASE o.shape WHEN 1 THEN 1 + (l_linenumber + 1) % 2 WHEN 2 THEN 1 + (l_linenumber + 2) % 3 WHEN 3 THEN 1 ELSE 0 END),
+based AS (SELECT *, CAST(1 + coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, CAST(1 + coalesce(sum(n) OVER (e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seq FROM parts
+  WINDOW w AS (PARTITION BY sample_id ORDER BY o, grp, line, p, s), e AS (PARTITION BY sample_id ORDER BY o, turn, line, p, s)),
+homes AS (SELECT o, min(base) AS first FROM based GROUP BY o),
+events AS MATERIALIZED (SELECT sample_id, o, shape, grp, base + node AS pos, (seq + told) * 4 + k AS t, CASE who WHEN 'x' THEN x WHEN 'y' THEN y WHEN 'f' THEN f ELSE key END AS name, what AS kind, how, is_function, quiet,
+    shape <> 0 AND coalesce(scope, '') <> '3' AS top,
+    CASE WHEN how = 'declare' THEN CASE WHEN scope = 'root' THEN 0 WHEN scope = '3' THEN base + 3 WHEN shape <> 0 THEN -1 WHEN scope = 'let' THEN first + 3 ELSE first END END AS scope,
+    CASE WHEN scope = '3' THEN base + 3 WHEN shape = 0 AND coalesce(scope, '') <> 'root' THEN first ELSE 0 END AS home,
+    list_concat(CASE WHEN shape = 0 AND coalesce(scope, '') <> 'root' THEN [0, first, first + 3] ELSE [0] END, CASE WHEN scope = '3' THEN [base + 3] ELSE [] END) AS scopes,
+    CASE WHEN stmt = -1 THEN first ELSE base + stmt END AS stmt
+  FROM based JOIN said ON said.kind = based.kind AND (of_grp IS NULL OR of_grp = grp) JOIN homes USING (o))"""
+
+
+@query(f"WITH {PROGRAMS} SELECT sample_id, pos, t, name, kind, how, is_function, quiet, scope FROM events")
+def identifier_events(spark, sf_dir):
+    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
+    return fl.identifier_events(nodes).select(
+        "sample_id", F.col("pos").cast("long").alias("pos"), "t", "name", "kind", "how", "is_function", "quiet", F.col("scope").cast("long").alias("scope")
+    )
+
+
+LINKED = f"""{PROGRAMS}, seen AS (SELECT u.sample_id, u.t, d.t AS d_t, d.scope AS d_scope, d.how FROM events u JOIN events d ON u.sample_id = d.sample_id AND u.name = d.name AND d.t < u.t AND NOT (u.o = d.o AND u.shape IN (1, 2) AND d.grp = 1 AND u.grp = 2)
+    WHERE u.how IN ('assign', 'call') AND d.how = 'declare' AND d.scope <> -1 AND list_contains(u.scopes, d.scope)),
+owned AS (SELECT e.*, CASE WHEN e.how = 'declare' THEN e.scope WHEN e.top THEN -1 WHEN m.inner_scope IS NULL THEN -1 ELSE greatest(m.inner_scope, e.home) END AS lives
+  FROM events e LEFT JOIN (SELECT sample_id, t, max(d_scope) AS inner_scope FROM seen GROUP BY sample_id, t) m ON m.sample_id = e.sample_id AND m.t = e.t WHERE e.kind = 'def'),
+defs AS MATERIALIZED (SELECT * FROM owned c WHERE how <> 'call' OR EXISTS (SELECT 1 FROM seen s WHERE s.sample_id = c.sample_id AND s.t = c.t)
+    OR EXISTS (SELECT 1 FROM owned d WHERE d.sample_id = c.sample_id AND d.name = c.name AND d.t < c.t AND d.how <> 'call' AND d.lives = -1 AND NOT (c.o = d.o AND c.shape IN (1, 2) AND d.grp = 1 AND c.grp = 2))),
+fits AS MATERIALIZED (SELECT u.sample_id, u.t, d.t AS d_t, d.pos AS d_pos, d.lives, d.o, d.shape, d.grp FROM events u JOIN defs d ON u.sample_id = d.sample_id AND u.name = d.name AND d.t < u.t AND NOT (u.o = d.o AND u.shape IN (1, 2) AND d.grp = 1 AND u.grp = 2)
+    WHERE u.kind = 'use' AND (d.lives = -1 OR list_contains(u.scopes, d.lives) AND NOT (u.quiet AND u.top))),
+best AS (SELECT sample_id, t, max({{'local': lives <> -1, 'd_t': d_t, 'lives': lives}}) AS b FROM fits GROUP BY sample_id, t),
+same AS MATERIALIZED (SELECT f.*, f.d_t = b.b.d_t AS latest FROM fits f JOIN best b ON f.sample_id = b.sample_id AND f.t = b.t AND f.lives = b.b.lives AND f.d_t <= b.b.d_t),
+reaching AS (SELECT * FROM same d WHERE NOT EXISTS (SELECT 1 FROM same k WHERE k.sample_id = d.sample_id AND k.t = d.t AND k.d_t > d.d_t AND NOT (k.o = d.o AND d.shape IN (1, 2) AND d.grp = 1 AND k.grp = 2))),
+unknown AS (SELECT * FROM events u WHERE kind = 'use' AND NOT quiet AND NOT EXISTS (SELECT 1 FROM fits f WHERE f.sample_id = u.sample_id AND f.t = u.t)),
+links AS MATERIALIZED (
+  SELECT u.sample_id, u.name, u.pos AS end_id, u.t, r.d_pos AS begin_id, r.d_t AS begin_t, CASE WHEN r.latest THEN 'before' ELSE 'branch' END AS how FROM reaching r JOIN events u ON r.sample_id = u.sample_id AND r.t = u.t
+  UNION ALL SELECT u.sample_id, u.name, u.pos, u.t, arg_min(d.pos, d.t), min(d.t), CASE WHEN min(d.t) IS NOT NULL THEN 'later' END FROM unknown u LEFT JOIN events d ON d.sample_id = u.sample_id AND d.name = u.name AND d.is_function AND d.t > u.t GROUP BY u.sample_id, u.name, u.pos, u.t)"""
+
+
+@query(f"WITH {LINKED} SELECT sample_id, name, end_id, t, begin_id, begin_t, how FROM links")
+def resolved_names(spark, sf_dir):
+    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
+    found = fl.resolved_names(nodes)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("end_id", "begin_id")})
+
+
+@query(f"""WITH {LINKED} SELECT l.sample_id, d.stmt AS src, u.stmt AS dst, CASE WHEN l.how = 'later' THEN l.begin_t ELSE l.t END AS ord, l.begin_id, l.end_id FROM links l
+JOIN (SELECT DISTINCT sample_id, pos, stmt FROM events) d ON d.sample_id = l.sample_id AND d.pos = l.begin_id JOIN (SELECT DISTINCT sample_id, pos, stmt FROM events) u ON u.sample_id = l.sample_id AND u.pos = l.end_id""")
+def data_edges(spark, sf_dir):
+    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
+    return fl.data_edges(nodes).select("sample_id", "ord", *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "begin_id", "end_id")])
+
+
+@query(f"WITH {LINKED} SELECT DISTINCT sample_id, name FROM links WHERE how IS NULL")
+def undeclared_names(spark, sf_dir):
+    return fl.undeclared_names(store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes"))
+
+
 # Models and modules.
 def trained(spark: SparkSession, sf_dir: str):
     """Model, vocabulary and stored vectors of the validation samples."""

@@ -116,31 +116,21 @@ def ast_value_features(nodes: DataFrame) -> DataFrame:
 def nearest_statement(nodes: DataFrame, statements: list[str] = STATEMENTS) -> DataFrame:
     """Nearest statement at or above each node; null if there is none.
 
-    One pass over the nodes in pre-order: the statements whose subtrees are open stand on a stack, the last of them is
-    the nearest. So time is in proportion to the nodes, and memory to the depth.
+    Two windows over one order. The level of a node is the number of statements at or above it: statements that began up to
+    here, less those whose subtrees have ended. The nearest one is the last statement that began at this level.
     """
-    kind = nodes.schema["sample_id"].dataType.simpleString()
-    ordered = nodes.select(
-        "sample_id", "node_id", "subtree_end", F.col("name").isin(statements).alias("is_statement")
-    ).repartition("sample_id").sortWithinPartitions("sample_id", "node_id")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stack = None, []
-        for batch in batches:
-            found = []
-            for sample, node, end, statement in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sample != now:
-                    now, stack = sample, []
-                while stack and stack[-1][1] < node:
-                    stack.pop()
-                if statement:
-                    stack.append((node, end))
-                found.append(stack[-1][0] if stack else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["sample_id", "node_id", "statement"]
-            )
-
-    return ordered.mapInArrow(walk, f"sample_id {kind}, node_id int, statement int")
+    is_statement = F.col("name").isin(statements)
+    begins = nodes.select(
+        "sample_id", F.col("node_id").alias("at"), F.lit(1).alias("side"), is_statement.cast("int").alias("step"), "node_id"
+    )
+    ends = nodes.where(is_statement).select(
+        "sample_id", (F.col("subtree_end") + 1).alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("step"), "node_id"
+    )
+    running = Window.partitionBy("sample_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    leveled = begins.unionByName(ends).withColumn("level", F.sum("step").over(running)).where("side = 1")
+    here = Window.partitionBy("sample_id", "level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("step") == 1, F.col("node_id")), ignorenulls=True).over(here)
+    return leveled.select("sample_id", "node_id", F.when(F.col("level") > 0, last).cast("int").alias("statement"))
 
 
 #: Type of the edge from a parent to a child, as text: type and label. p: parent, c: child, last: last case of a switch,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,3 +180,70 @@ def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("sample_id", "label", F.col("unit").alias("module")).agg(
         (F.min("event_id") % 100 / F.lit(100.0)).alias("p_malicious")
     )
+
+
+# Programs: one per customer. Each order is a compound statement, each of its lines a statement in it. Names stand for @x,
+# @y (variables), @f (functions) and @k (keys).
+ID = '{"type":"Identifier","name":"%s"}'
+X, Y, FN, KEY = (ID % f"@{c}" for c in "xyfk")
+
+
+def _say(expression: str) -> str:
+    return '{"type":"ExpressionStatement","expression":' + expression + "}"
+
+
+def _declare(kind: str) -> str:
+    return '{"type":"VariableDeclaration","declarations":[{"type":"VariableDeclarator","id":' + X + ',"init":' + Y + '}],"kind":"' + kind + '"}'
+
+
+def _assign(left: str, right: str, operator: str = "=") -> str:
+    return _say('{"type":"AssignmentExpression","operator":"' + operator + '","left":' + left + ',"right":' + right + "}")
+
+
+def _member(of: str, what: str, computed: str = "false") -> str:
+    return '{"type":"MemberExpression","computed":' + computed + ',"object":' + of + ',"property":' + what + "}"
+
+
+def _call(of: str, argument: str) -> str:
+    return _say('{"type":"CallExpression","callee":' + of + ',"arguments":[' + argument + "]}")
+
+
+LINES = [
+    _say(X), _declare("var"), _declare("let"), _assign(X, Y), _assign(X, '{"type":"Literal","value":1}', "+="),
+    _say('{"type":"UpdateExpression","operator":"++","argument":' + X + ',"prefix":false}'),
+    _assign(_member(X, ID % "p"), Y), _call(_member(X, ID % "m"), Y), _call(FN, _member(X, Y, "true")),
+    _assign(X, '{"type":"ObjectExpression","properties":[{"type":"Property","key":' + KEY + ',"computed":false,"value":' + Y + ',"kind":"init"}]}'),
+    _assign(X, '{"type":"FunctionExpression","id":null,"params":[' + Y + '],"body":{"type":"BlockStatement","body":[{"type":"ReturnStatement","argument":' + X + "}]}}"),
+    _say(_member(ID % "window", X)),
+]
+BLOCK = '{"type":"BlockStatement","body":[@%d]}'
+#: Compound statements; @0 to @2 are the statements of each group.
+ORDERS = [
+    '{"type":"FunctionDeclaration","id":' + FN + ',"params":[' + X + '],"body":' + BLOCK % 0 + "}",
+    '{"type":"IfStatement","test":' + X + ',"consequent":' + BLOCK % 0 + ',"alternate":' + BLOCK % 1 + "}",
+    '{"type":"TryStatement","block":' + BLOCK % 0 + ',"handler":{"type":"CatchClause","param":' + X + ',"body":' + BLOCK % 1 + '},"finalizer":' + BLOCK % 2 + "}",
+    '{"type":"DoWhileStatement","body":' + BLOCK % 0 + ',"test":' + X + "}",
+    '{"type":"WhileStatement","test":' + X + ',"body":' + BLOCK % 0 + "}",
+    BLOCK % 0,
+]
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id and tree: a program in JSON for each customer with orders."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    named = lambda prefix, c, n: F.concat(F.lit(prefix), (c % n).cast("string"))
+    filled = lambda templates, kind, names: reduce(
+        lambda text, x: F.replace(text, F.lit(x[0]), x[1]), names.items(), F.element_at(F.array(*map(F.lit, templates)), (kind + 1).cast("int"))
+    )
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    statement = filled(LINES, part % len(LINES), {"@x": named("v", F.floor(part / 12), 4), "@y": named("v", supplier, 4), "@f": named("f", supplier, 3), "@k": named("k", supplier, 2)})
+    order = F.col("o_orderkey")
+    lines = i.select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", statement.alias("text")).alias("line"))
+    gathered = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    shape = order % len(ORDERS)
+    group = lambda x: F.when(shape == 1, (x["l_linenumber"] + 1) % 2).when(shape == 2, (x["l_linenumber"] + 2) % 3).otherwise(0)
+    body = lambda k: F.array_join(F.transform(F.filter("lines", lambda x: group(x) == k), lambda x: x["text"]), ",")
+    compound = filled(ORDERS, shape, {"@x": named("v", order, 4), "@f": named("f", order, 3), "@0": body(0), "@1": body(1), "@2": body(2)})
+    placed = o.join(gathered, "o_orderkey").select(F.col("o_custkey").alias("sample_id"), F.struct("o_orderkey", compound.alias("text")).alias("order"))
+    whole = F.concat(F.lit('{"type":"Program","body":['), F.array_join(F.transform(F.sort_array(F.collect_list("order")), lambda x: x["text"]), ","), F.lit("]}"))
+    return placed.groupBy("sample_id").agg(whole.alias("tree"))
