@@ -8,9 +8,9 @@ the text is cut into groups, the least pieces that both sides can be translated
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitweave.llm.common import write_shared
-from unitweave.llm.packing import WORD_MEMORY, _tokenizers
+from unitweave.llm.packing import _tokenizers
 
 #: Bytes of texts that are aligned at once; a longer text by itself.
 BATCH_BYTES = 1 << 20
+#: Words that a worker's memory may hold before it starts anew (100 to 200 bytes each).
+WORD_MEMORY = 600_000
 #: Id pairs whose counts are broadcast, at most (about 100 MB as a hash table). Beyond it they are joined by shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A pair of ids is one number: a * ID_SPAN + b.
 ID_SPAN = 1 << 32
+#: How the second vocabulary writes a blank.
+SIGN = "▁"
 TOKEN, PAIR = "array<int>", "struct<a:int,b:int>"
 
 
@@ -38,11 +42,16 @@ def _pieces(model_name: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model_name))
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SIGN, " ").encode() for i, p in enumerate(names)]
 
 
 class Tokens:
-    """Ids of both sides and the bytes of each id."""
+    """Ids of both sides and the bytes of each id.
+
+    A blank between other characters starts a token of either side, so words between single blanks are encoded on their
+    own, once for each worker's memory. Of the second side this holds as no piece of its vocabulary has the blank's sign
+    after another one. Texts with other white space at a blank, or with the sign itself, are encoded whole.
+    """
 
     def __init__(self, json_name: str, ranks_name: str, model_name: str):
         _, self.fast = _tokenizers(json_name, ranks_name)
@@ -54,44 +63,56 @@ class Tokens:
             except KeyError:
                 pass  # a special token's number, which no text gives
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.memory: dict[str, list[int] | None] = {}
+        self.spellings = Spelling(self.a_bytes, self.a_sizes), Spelling(self.b_bytes, self.b_sizes)
+        self.by_word = all(SIGN not in self.model.id_to_piece(i).lstrip(SIGN) for i in range(self.model.get_piece_size()))
+        self.memory: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _word(self, word: str) -> list[int] | None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.memory) > WORD_MEMORY:
             self.memory.clear()
-        found = None
-        if word and not word[0].isspace() and not word[-1].isspace():
-            found = self.fast.encode_ordinary(" " + word)
-        if len(word) < 64:
-            self.memory[word] = found
-        return found
-
-    def first(self, text: str) -> list[int]:
-        """Ids of a blank and the text. A blank between other characters starts a token, so words between single blanks
-        are encoded on their own, from memory; texts with other white space at a blank are encoded whole."""
-        out: list[list[int]] = []
-        for word in text.split(" "):
-            ids = self.memory[word] if word in self.memory else self._word(word)
-            if ids is None:
-                return self.fast.encode_ordinary(" " + text)
-            out.append(ids)
-        return list(chain.from_iterable(out))
-
-    def both(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides; none for texts that are null, empty, or not what the bytes of either side's tokens spell."""
-        some = [t for t in texts if t]
-        second = iter(self.model.encode(some, num_threads=1))
+        alone = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        self.memory.update(dict.fromkeys(words))
+        for w, b in zip(alone, self.model.encode(alone, num_threads=1), strict=True):
+            self.memory[w] = array("i", self.fast.encode_ordinary(" " + w)).tobytes(), array("i", b).tobytes()
+
+    def both(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both sides (of a blank and the text by the first, of the text by the second), as 32-bit integers."""
+        split = [t.split(" ") if t and self.by_word and SIGN not in t else None for t in texts]
+        known = self.memory
+        if new := {w for words in split if words for w in words if w not in known}:
+            self._learn(new)
         found = []
-        for text in texts:
-            a, b = (self.first(text), next(second)) if text else ([], [])
-            if text:
-                spelt = b" " + text.encode("utf-8", "surrogatepass")
-                if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
-                    a, b = [], []
-            found.append((a, b))
+        for text, words in zip(texts, split, strict=True):
+            pairs = [known.get(w) for w in words] if words else [None]
+            if not text:
+                pairs = []
+            elif None in pairs:
+                pairs = [tuple(array("i", ids).tobytes() for ids in (self.fast.encode_ordinary(" " + text), self.model.encode(text)))]
+            found.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
         return found
 
 
+class Spelling:
+    """Whether tokens spell texts, for many texts at once: the bytes of the ids, gathered from one long array."""
+
+    def __init__(self, words: list[bytes], sizes: np.ndarray):
+        self.letters, self.begins, self.sizes = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def right(self, ids: np.ndarray, firsts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        whole = int(ends[-1]) if len(ends) else 0
+        letters = self.letters[np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(whole)]
+        lengths = np.diff(np.concatenate([[0], ends])[firsts])
+        same = lengths == np.array([len(r) for r in raw])
+        if same.all():
+            wrong = np.flatnonzero(letters != np.frombuffer(b"".join(raw), np.uint8))
+            same[np.searchsorted(np.cumsum(lengths), wrong, side="right")] = False
+            return same
+        at = np.cumsum(lengths) - lengths
+        return np.array([ok and letters[x : x + n].tobytes() == r for ok, x, n, r in zip(same, at, lengths, raw, strict=True)])
+
+
 def overlaps(docs_a: np.ndarray, ends_a: np.ndarray, sizes_a: np.ndarray, docs_b: np.ndarray, ends_b: np.ndarray, sizes_b: np.ndarray) -> pd.DataFrame:
     """a, b (numbers of tokens in the batch) and together (whether they end at one byte) of every pair that shares a byte.
 
@@ -109,12 +130,19 @@ def overlaps(docs_a: np.ndarray, ends_a: np.ndarray, sizes_a: np.ndarray, docs_b
 
 
 class Aligned:
-    """A batch of texts, aligned: ids of all tokens, where each document's begin, overlaps, and groups by their last tokens."""
+    """A batch of texts, aligned: ids of all tokens, where each document's begin, overlaps, and groups by their last tokens.
+    Texts that are null, empty, or not spelt by the tokens of both sides have none."""
 
     def __init__(self, tokens: Tokens, texts: list[str | None]):
         pairs = tokens.both(texts)
-        self.first_a, self.first_b = (np.concatenate([[0], np.cumsum([len(p[k]) for p in pairs])]).astype(np.int64) for k in (0, 1))
-        self.a, self.b = (np.fromiter(chain.from_iterable(p[k] for p in pairs), np.int64, int(n[-1])) for k, n in ((0, self.first_a), (1, self.first_b)))
+        raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        right = np.ones(len(texts), dtype=bool)
+        for k, spelling in enumerate(tokens.spellings):
+            ids, firsts = self._side(pairs, k)
+            right &= spelling.right(ids, firsts, raw)
+        if not right.all():
+            pairs = [p if ok else (b"", b"") for p, ok in zip(pairs, right, strict=True)]
+        (self.a, self.first_a), (self.b, self.first_b) = (self._side(pairs, k) for k in (0, 1))
         docs_a, docs_b = (np.repeat(np.arange(len(texts)), np.diff(n)) for n in (self.first_a, self.first_b))
         sizes_a, sizes_b = tokens.a_sizes[self.a], tokens.b_sizes[self.b]
         self.overlaps = overlaps(docs_a, np.cumsum(sizes_a), sizes_a, docs_b, np.cumsum(sizes_b), sizes_b)
@@ -123,6 +151,12 @@ class Aligned:
         self.last_a, self.last_b = ending["a"].to_numpy()[order], ending["b"].to_numpy()[order]
         self.first_group = np.searchsorted(self.last_a, self.first_a)
 
+    @staticmethod
+    def _side(pairs: list[tuple[bytes, bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a side, and where each text's begin."""
+        firsts = np.concatenate([[0], np.cumsum([len(p[k]) // 4 for p in pairs])]).astype(np.int64)
+        return np.frombuffer(b"".join([p[k] for p in pairs]), np.int32).astype(np.int64), firsts
+
     def group_texts(self, decimal: list[str]) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each document. decimal: texts of ids followed by each of the four signs in turn."""
         groups_a, groups_b = (np.zeros(len(x) + 1, dtype=np.int64) for x in (self.a, self.b))
