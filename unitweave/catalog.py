@@ -194,6 +194,19 @@ def count_value_ngrams(spark, sf_dir):
     return un.count_value_ngrams(td.event_values(spark, sf_dir), 2)
 
 
+@query(f"""WITH {SAMPLES}, keyed AS (SELECT label, list_distinct(list_transform(regexp_extract_all(payload, {_q(LEXER)}), lambda t: ({CLASS}) || ':' || replace(t, chr(10), ''))) AS keys FROM samples)
+SELECT label, feature, count(*) AS df FROM (SELECT label, unnest(keys) AS feature FROM keyed) GROUP BY label, feature HAVING count(*) > 10""")
+def popular_values(spark, sf_dir):
+    return un.popular_values(td.text_values(spark, sf_dir))
+
+
+@query(f"""WITH placed AS (SELECT l_returnflag AS sample_id, l_partkey % 7 AS unit, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_returnflag) AS size FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+ahead AS (SELECT sample_id, unit || ',' || lead(unit, 1) OVER w || ',' || lead(unit, 2) OVER w || ',' || lead(unit, 3) OVER w AS feature, size - {N - 1} AS total FROM placed WINDOW w AS (PARTITION BY sample_id ORDER BY i))
+SELECT sample_id, '?' AS label, feature, count(*) AS cnt, max(total) AS total FROM ahead WHERE feature IS NOT NULL GROUP BY sample_id, feature""")
+def count_long_ngrams(spark, sf_dir):
+    return un.count_long_ngrams(td.status_units(spark, sf_dir), N, span=2_000)
+
+
 # Frequencies and selection.
 @query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features WHERE sample_id % 2 = 0 GROUP BY label, feature")
 def document_frequency(spark, sf_dir):
@@ -647,6 +660,13 @@ def tree_votes(spark, sf_dir):
     return mo.tree_votes(model, sel.to_ml_vectors(vectors, model.numFeatures - 1))
 
 
+@query()
+def majority_report(spark, sf_dir):
+    """The verbose report of a fitted forest: labels, probabilities, and how many of its trees agree."""
+    model, _, vectors = trained(spark, sf_dir)
+    return ev.prediction_report(mo.majority(model, sel.to_ml_vectors(vectors, model.numFeatures - 1)), verbose=True)
+
+
 @query()
 def score_stored_analysis(spark, sf_dir):
     """A model and vectors are stored and scored from what was stored alone."""
@@ -667,11 +687,50 @@ def run_modules(spark, sf_dir):
     return counted.groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tree_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], DataFrame]:
-    """The eight modules over trees: unit arrays, or arrays of unit and value."""
-    nodes = store(td.order_trees(spark, sf_dir), "nodes")
-    edges = store(flow_edges(nodes), "edges")
-    label = F.when(F.col("sample_id") % 2 == 0, "benign").otherwise("malicious").alias("label")
+KEYED = f"""WITH {SAMPLES}, {_lexed('samples')}, {_grams()}, {COUNTS}, {EVENT_UNITS.replace('units AS', 'event_units AS', 1)}, {_grams('event_units').replace('grams AS', 'event_grams AS', 1)},
+vals AS (SELECT user_id AS sample_id, {EVENT_LABEL} AS label, event_type || ':' || coalesce(replace(props, chr(10), ''), '\\N') AS feature, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+counts AS MATERIALIZED (SELECT 'tokens' AS level, 'ngrams' AS features, * FROM sample_features
+  UNION ALL SELECT 'events', 'ngrams', sample_id, label, feature, count(*), max(total) FROM (SELECT sample_id, label, unnest(keys) AS feature, len(keys) AS total FROM event_grams) GROUP BY sample_id, label, feature
+  UNION ALL SELECT 'events', 'value', sample_id, label, feature, count(*), max(total) FROM vals GROUP BY sample_id, label, feature),
+train AS (SELECT * FROM counts WHERE sample_id % 2 = 0), validation AS (SELECT * FROM counts WHERE sample_id % 2 = 1),
+candidates AS (SELECT DISTINCT level, features, feature FROM (SELECT level, features, label, feature FROM train WHERE label IN ('benign', 'malicious') GROUP BY level, features, label, feature HAVING count(*) > {MIN_DF})),
+totals AS (SELECT level, features, count(DISTINCT CASE WHEN label = 'benign' THEN sample_id END) AS ben, count(DISTINCT CASE WHEN label = 'malicious' THEN sample_id END) AS mal FROM validation GROUP BY level, features),
+present AS (SELECT level, features, feature, count(*) FILTER (label = 'benign') AS b, count(*) FILTER (label = 'malicious') AS m FROM validation GROUP BY level, features, feature),
+terms AS (SELECT level, features, feature, coalesce(b, 0)::DOUBLE AS a, (ben - coalesce(b, 0))::DOUBLE AS b, coalesce(m, 0)::DOUBLE AS c, (mal - coalesce(m, 0))::DOUBLE AS d FROM candidates LEFT JOIN present USING (level, features, feature) JOIN totals USING (level, features)),
+gaps AS (SELECT *, a + b + c + d AS n, greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0.0) AS gap, (a + b) * (c + d) * (a + c) * (b + d) AS below FROM terms),
+vocabulary AS (SELECT level, features, feature, CAST(row_number() OVER (PARTITION BY level, features ORDER BY feature) - 1 AS INTEGER) AS pos FROM gaps WHERE CASE WHEN below = 0 THEN 0.0 ELSE n * gap * gap / below END >= {chi2_critical(CONFIDENCE)})"""
+
+
+def three_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature counts of a module over documents and two over events, in one table."""
+    samples = {("tokens", "ngrams"): td.text_units(spark, sf_dir), ("events", "ngrams"): td.event_units(spark, sf_dir), ("events", "value"): td.event_values(spark, sf_dir)}
+    return store(modules.run_modules(samples), "counts")
+
+
+def keyed_halves(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return counts.where("sample_id % 2 = 0"), counts.where("sample_id % 2 = 1")
+
+
+@query(f"{KEYED} SELECT level, features, feature, pos FROM vocabulary")
+def module_vocabularies(spark, sf_dir):
+    return modules.learn_vocabularies(*keyed_halves(three_modules(spark, sf_dir)), MIN_DF, CONFIDENCE)
+
+
+@query(f"""{KEYED}, known AS (SELECT level, features, t.sample_id, t.label, v.pos, t.cnt::DOUBLE / t.total AS weight FROM counts t JOIN vocabulary v USING (level, features, feature)),
+ends AS (SELECT level, features, count(v.pos)::INTEGER AS pos FROM (SELECT DISTINCT level, features FROM counts) LEFT JOIN vocabulary v USING (level, features) GROUP BY level, features)
+SELECT * FROM known UNION ALL SELECT DISTINCT c.level, c.features, c.sample_id, c.label, e.pos, 1.0 FROM counts c JOIN ends e USING (level, features) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.level = c.level AND k.features = c.features AND k.sample_id = c.sample_id)""")
+def module_vectors(spark, sf_dir):
+    counts = three_modules(spark, sf_dir)
+    vocabularies = store(modules.learn_vocabularies(*keyed_halves(counts), MIN_DF, CONFIDENCE), "vocabularies")
+    return sel.feature_vectors(counts, vocabularies, modules.MODULE)
+
+
+def program_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], DataFrame]:
+    """All ten modules over the customers' programs: unit arrays, or arrays of unit and value. Tokens are those of the
+    program's text; trees, control edges and data edges come from its nodes."""
+    programs = store(td.programs(spark, sf_dir), "programs")
+    nodes = store(tr.flatten_tree(programs), "nodes")
+    edges = store(program_edges(nodes), "edges")
     pairs = tr.ast_value_features(nodes).groupBy("sample_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("node_id", F.col("name").alias("unit"), "value"))),
@@ -679,19 +738,52 @@ def tree_modules(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], Data
         ).alias("units")
     )
     found = {("ast", "ngrams"): tr.ast_units(nodes), ("ast", "value"): pairs}
+    found |= {("tokens", "ngrams"): un.lex_units(programs, "tree"), ("tokens", "value"): un.lex_units(programs, "tree", with_value=True)}
     for level in ("cfg", "pdg-dfg", "pdg"):
         for kind in ("ngrams", "value"):
             found[level, kind] = tr.flow_units(nodes, edges, level, kind)
-    return {k: v.select("sample_id", label, "units") for k, v in found.items()}
+    labels = td.program_labels(spark, sf_dir)
+    return {k: v.join(labels, "sample_id").select("sample_id", "label", "units") for k, v in found.items()}
+
+
+def program_edges(nodes: DataFrame) -> DataFrame:
+    """Control edges, and data edges between definitions and uses of names."""
+    control = tr.structure_edges(nodes).where("type = 'control'").select("sample_id", "src", "dst", "type", "ord")
+    return control.withColumn("ord", F.col("ord").cast("long")).unionByName(fl.data_edges(nodes).drop("name"), allowMissingColumns=True)
+
+
+def _program_flow(spark: SparkSession, sf_dir: str, level: str, kind: str) -> DataFrame:
+    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
+    units = tr.flow_units(nodes, store(program_edges(nodes), "edges"), level, kind)
+    shown = F.transform("units", lambda u: F.concat_ws(":", u["unit"], u["value"])) if kind == "value" else F.col("units")
+    return units.select("sample_id", F.size("units").cast("long").alias("n_units"), F.md5(F.array_join(shown, ",")).alias("units"))
+
+
+@query()
+def program_flow_units(spark, sf_dir):
+    return _program_flow(spark, sf_dir, "pdg", "ngrams")
+
+
+@query()
+def program_flow_values(spark, sf_dir):
+    return _program_flow(spark, sf_dir, "pdg-dfg", "value")
 
 
 @query()
 def run_all_modules(spark, sf_dir):
     """Document frequencies of all ten modules: five levels, two kinds of features."""
-    samples = {
-        ("tokens", "ngrams"): td.text_units(spark, sf_dir), ("tokens", "value"): td.text_values(spark, sf_dir)
-    } | tree_modules(spark, sf_dir)
-    return modules.run_modules(samples).groupBy("level", "features", "label", "feature").agg(F.count(F.lit(1)).alias("df"))
+    return sel.document_frequency(modules.run_modules(program_modules(spark, sf_dir)), modules.MODULE)
+
+
+#: Modules that vote first, and those that vote on what the first do not agree about.
+LAYERS = ["tokens ngrams", "ast ngrams", "pdg ngrams"], ["ast value", "cfg ngrams", "pdg-dfg ngrams"]
+
+
+@query()
+def module_votes(spark, sf_dir):
+    """Ten modules from programs to votes: learnt on half of the programs, judging the other half."""
+    train, validation = keyed_halves(store(modules.run_modules(program_modules(spark, sf_dir)), "counts"))
+    return modules.modular_verdicts(train, validation, validation, *LAYERS, MIN_DF, CONFIDENCE, TREES)[1]
 
 
 @query(f"{CHAIN} SELECT label, feature, count(*) AS df FROM sample_features GROUP BY label, feature")

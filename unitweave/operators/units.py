@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.functions.columns import LEXER, ngrams, unit_class, value_key
+from unitweave.functions.columns import LEXER, PAD, ngrams, unit_class, value_key
 from unitweave.functions.tables import LEXICAL_CODES
 
 
@@ -73,3 +73,64 @@ def sequences(rows: DataFrame, order: list[str], unit: str = "unit", value: str
     item = F.struct(*fields, F.col(unit).alias("unit"), *([F.col(value).alias("value")] if value else []))
     pick = (lambda s: F.struct(s["unit"].alias("unit"), s["value"].alias("value"))) if value else (lambda s: s["unit"])
     return rows.groupBy("sample_id", "label").agg(F.transform(F.sort_array(F.collect_list(item)), pick).alias("units"))
+
+
+def popular_values(value_units: DataFrame, min_df: int = 10, digest_bits: int = 64) -> DataFrame:
+    """label, feature, df of the (unit, value) features in strictly more than min_df samples of a label.
+
+    Values can be long and most stand in few samples, so only 64-bit digests are counted over all samples. A feature is in
+    no more samples than its digest, so those of rare digests are done with; the others are counted by their text, which
+    makes the result exact whatever digests clash. digest_bits: fewer bits make clashes likely, for tests.
+    """
+    key = lambda u: value_key(u["unit"], u["value"])
+    digest = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - digest_bits)
+    keyed = value_units.select("label", F.array_distinct(F.transform("units", key)).alias("keys"))
+    marks = keyed.select("label", F.explode(F.array_distinct(F.transform("keys", digest))).alias("digest"))
+    often = marks.groupBy("label", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_df).select("label", "digest")
+    texts = keyed.select("label", F.explode("keys").alias("feature")).withColumn("digest", digest(F.col("feature")))
+    counted = texts.join(often, ["label", "digest"], "left_semi").groupBy("label", "feature").agg(F.count(F.lit(1)).alias("df"))
+    return counted.where(F.col("df") > min_df)
+
+
+def numbered_units(rows: DataFrame, order: list[str], bucket: Column, unit: str = "unit") -> DataFrame:
+    """sample_id, label, pos, unit: rows numbered from 0 within their sample, in the given order.
+
+    bucket must not fall with the order. Rows are ranked inside buckets, so a sample's rows are dealt to as many tasks as
+    it has buckets, and only the buckets' sizes are summed up along the sample.
+    """
+    placed = rows.withColumn("_bucket", bucket)
+    inside = Window.partitionBy("sample_id", "_bucket").orderBy(*order)
+    sizes = placed.groupBy("sample_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("sample_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("sample_id", "_bucket", before.alias("_before"))
+    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["sample_id", "_bucket"])
+    return ranked.select("sample_id", "label", (F.col("_before") + F.col("_rank")).alias("pos"), F.col(unit).alias("unit"))
+
+
+def long_ngrams(units: DataFrame, n: int = 4, span: int = 100_000) -> DataFrame:
+    """sample_id, label, part, feature: one row per n-gram of units (sample_id, label, pos from 0, unit), without arrays.
+
+    A sample is cut into parts of `span` positions; each part also gets the n - 1 units after its end, so a sample of any
+    length is dealt to many tasks and no n-gram is lost or found twice. Samples of fewer than n units give one padded key.
+    """
+    if n < 1:
+        return units.select("sample_id", "label", F.lit(0).cast("long").alias("part"), F.lit(None).cast("string").alias("feature")).limit(0)
+    own = F.floor(F.col("pos") / span)
+    also = F.when((F.col("pos") % span < n - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    if n - 1 > span:
+        raise ValueError("span must be at least n - 1")
+    dealt = units.withColumn("part", F.explode(also))
+    ahead = Window.partitionBy("sample_id", "part").orderBy("pos")
+    following = [F.lead(F.col("unit").cast("string"), k).over(ahead) for k in range(1, n)]
+    there = [F.lead(F.lit(True), k).over(ahead) for k in range(1, n)]
+    key = F.concat_ws(",", F.coalesce(F.col("unit").cast("string"), F.lit(PAD)), *[F.coalesce(u, F.lit(PAD)) for u in following])
+    full = there[-1] if there else F.lit(True)
+    grams = dealt.withColumn("feature", F.when(full | (F.col("pos") == 0), key)).where((F.col("part") == own) & F.col("feature").isNotNull())
+    return grams.select("sample_id", "label", "part", "feature")
+
+
+def count_long_ngrams(units: DataFrame, n: int = 4, span: int = 100_000) -> DataFrame:
+    """`count_ngrams` of units in rows: sample_id, label, feature, cnt, total. Parts are counted before they meet."""
+    counts = long_ngrams(units, n, span).groupBy("sample_id", "label", "feature").agg(F.count(F.lit(1)).alias("cnt"))
+    totals = counts.groupBy("sample_id").agg(F.sum("cnt").alias("total"))
+    return counts.join(totals, "sample_id").select("sample_id", "label", "feature", "cnt", "total")

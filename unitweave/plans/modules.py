@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from unitweave.operators.selection import candidate_features, contingency, document_frequency, feature_vectors, select_features, to_ml_vectors
 from unitweave.operators.units import count_ngrams, count_values
-from unitweave.operators.evaluation import predict_with_threshold
+from unitweave.operators.evaluation import predict_with_threshold, vote_modules
 from unitweave.plans.model import probabilities, train_forest
-from unitweave.sources.files import store
+from unitweave.sources.files import shared_folder, store
 
 
 def sample_features(units: DataFrame, features: str, n: int = 4) -> DataFrame:
@@ -66,9 +66,69 @@ def classify_module(
     return predict_with_threshold(probabilities(to_ml_vectors(vectors, model.numFeatures - 1), model), threshold)
 
 
+#: Keys of a table that holds several modules.
+MODULE = ("level", "features")
+
+
 def run_modules(samples: dict[tuple[str, str], DataFrame], n: int = 4) -> DataFrame:
     """Feature counts of many modules in one table keyed by level and features, so that counting and selection run once.
 
     samples: (level, features) -> unit arrays (ngrams) or unit and value structs (value).
     """
     return reduce(DataFrame.unionByName, [sample_features(units, f, n).select(F.lit(level).alias("level"), F.lit(f).alias("features"), "*") for (level, f), units in samples.items()])
+
+
+def learn_vocabularies(train: DataFrame, validation: DataFrame, min_df: int = 10, confidence: float = 99) -> DataFrame:
+    """level, features, feature, pos: the vocabularies of all modules at once, from their feature counts.
+
+    One count of frequencies, one contingency table, one ranking, whatever the number of modules.
+    """
+    candidates = candidate_features(document_frequency(train, MODULE), min_df, MODULE)
+    usable = validation.select(*MODULE, "sample_id", "label").distinct()
+    return select_features(contingency(candidates, validation, usable, MODULE), confidence, MODULE)
+
+
+def fit_modules(vectors: DataFrame, vocabularies: DataFrame, trees: int = 500) -> dict[tuple[str, str], RandomForestClassificationModel]:
+    """One forest for each module, fitted on its part of the stored keyed vectors. Modules without vocabulary have none."""
+    base = f"{shared_folder(vectors.sparkSession)}/module_vectors"
+    vectors.write.partitionBy(*MODULE).parquet(base)
+    stored = vectors.sparkSession.read.parquet(base)
+    sizes = {(r["level"], r["features"]): r["size"] for r in vocabularies.groupBy(*MODULE).agg(F.count(F.lit(1)).alias("size")).collect()}
+    of = lambda level, features: stored.where((F.col("level") == level) & (F.col("features") == features)).drop(*MODULE)
+    return {key: train_forest(store(to_ml_vectors(of(*key), size), "fit"), trees) for key, size in sorted(sizes.items())}
+
+
+def classify_modules(
+    sample_features: DataFrame,
+    models: dict[tuple[str, str], RandomForestClassificationModel],
+    vocabularies: DataFrame,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """level, features, module (both in one), sample_id, label, p_malicious, predicted of each sample by each module."""
+    vectors = store(feature_vectors(sample_features, vocabularies, MODULE), "module_vectors")
+    judged = []
+    for (level, features), model in models.items():
+        own = vectors.where((F.col("level") == level) & (F.col("features") == features)).drop(*MODULE)
+        found = predict_with_threshold(probabilities(to_ml_vectors(own, model.numFeatures - 1), model), threshold)
+        judged.append(found.select(F.lit(level).alias("level"), F.lit(features).alias("features"), F.lit(f"{level} {features}").alias("module"), "*"))
+    return reduce(DataFrame.unionByName, judged)
+
+
+def modular_verdicts(
+    train: DataFrame,
+    validation: DataFrame,
+    samples: DataFrame,
+    first_layer: list[str],
+    second_layer: list[str],
+    min_df: int = 10,
+    confidence: float = 99,
+    trees: int = 500,
+) -> tuple[DataFrame, DataFrame]:
+    """All modules from feature counts to a vote: predictions of each module for `samples`, and the layered vote on them.
+
+    The tables of counts are keyed by level and features. A module is named "level features" in the layers.
+    """
+    vocabularies = store(learn_vocabularies(train, validation, min_df, confidence), "vocabularies")
+    models = fit_modules(feature_vectors(train, vocabularies, MODULE), vocabularies, trees)
+    judged = store(classify_modules(samples, models, vocabularies), "judged")
+    return judged, vote_modules(judged, first_layer, second_layer)

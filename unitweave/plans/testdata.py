@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitweave.operators.units import encode_units, lex_units, sequences
+from unitweave.operators.units import encode_units, lex_units, numbered_units, sequences
 
 EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
@@ -247,3 +247,20 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.join(gathered, "o_orderkey").select(F.col("o_custkey").alias("sample_id"), F.struct("o_orderkey", compound.alias("text")).alias("order"))
     whole = F.concat(F.lit('{"type":"Program","body":['), F.array_join(F.transform(F.sort_array(F.collect_list("order")), lambda x: x["text"]), ","), F.lit("]}"))
     return placed.groupBy("sample_id").agg(whole.alias("tree"))
+
+
+def program_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, label: a customer's program is malicious if at least a tenth of its lines assign functions."""
+    i, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    share = F.avg((F.col("l_partkey") % len(LINES) == 10).cast("int"))
+    return i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("sample_id")).agg(
+        F.when(share >= 0.1, "malicious").otherwise("benign").alias("label")
+    )
+
+
+def status_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a return status as one very long sample, in rows: sample_id, label, pos, unit."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("sample_id"), F.lit("?").alias("label"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 7).cast("int").alias("unit"),
+    )
+    return numbered_units(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.floor(F.col("l_orderkey") / 4096))
