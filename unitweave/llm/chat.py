@@ -96,25 +96,46 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_chats(chats: DataFrame) -> DataFrame:
     """The turns (array of role, text) and the texts under the loss mask, got back from the formatted text alone.
 
-    chats: as `format_chats` gives them. Null conv_ids are read like others. Empty table: no rows.
+    chats: as `format_chats` gives them. The text is cut at its marks once; the lengths of the pieces give the turns' places,
+    and a loss span takes the turn that stands at its place (found by sorting both by place). A span that is no whole turn
+    is cut out of the text. Null conv_ids are read like others, very long conversations in proportion to their turns but
+    for a sort. Empty table: no rows. Columns other than conv_id, formatted and loss_spans are ignored.
     """
     blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
 
-    def turns_of(block: Column) -> Column:
+    def turns_of(block: Column, b: Column) -> Column:
         body = F.split(F.substring(block, len(OPEN) + 1, 2147483647), r"<\|text\|>")
+        role = F.get(body, F.lit(0))
+        head = F.when(b > 0, len(END)).otherwise(0) + len(OPEN) + len(BODY) + F.length(role)
         return F.transform(
             F.split(F.get(body, F.lit(1)), r"<\|turn\|>"),
-            lambda t: F.struct(unescape(F.get(body, F.lit(0))).alias("role"), unescape(t).alias("text")),
+            lambda t, i: F.struct(role.alias("role"), t.alias("text"), F.when(i > 0, len(PART)).otherwise(head).cast("long").alias("skip")),
         )
 
-    loss = F.transform(
-        "loss_spans",
-        lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))),
+    def placed(turns: Column) -> Column:
+        ends = prefix_sums(F.transform(turns, lambda t: t["skip"] + F.length(t["text"])))
+        return F.zip_with(turns, ends, lambda t, at: F.struct((at + t["skip"]).alias("start"), F.lit(0).alias("span"), F.length(t["text"]).cast("long").alias("length"), t["text"].alias("text"), t["role"].alias("role")))
+
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  so that x is made once
+    read = chats.select("conv_id", "formatted", "loss_spans", bound(F.flatten(F.transform(blocks, turns_of)), placed).alias("_turns"))
+    spans = F.transform(
+        "loss_spans", lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("span"), s["length"].alias("length"), F.lit("").alias("text"), F.lit("").alias("role"))
     )
-    return chats.select(
+    # a turn of no characters may begin where the next one does not: places are told apart by the marks between them
+    both = F.array_sort(F.concat("_turns", spans))
+
+    def under(x: Column) -> Column:
+        def text(s: Column, i: Column) -> Column:
+            turn = F.get(x, i - 1)
+            whole = (turn["start"] == s["start"]) & (turn["length"] == s["length"]) & (turn["span"] == 0)
+            return F.when(s["span"] == 1, F.when(whole, turn["text"]).otherwise(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+
+        return F.filter(F.transform(x, text), lambda t: t.isNotNull())
+
+    return read.select(
         "conv_id",
         "formatted",
         "loss_spans",
-        F.flatten(F.transform(blocks, turns_of)).alias("turns"),
-        loss.alias("loss_texts"),
+        F.transform("_turns", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"),
+        F.transform(bound(both, under), unescape).alias("loss_texts"),
     )
