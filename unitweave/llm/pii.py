@@ -49,6 +49,8 @@ Pablo Patricia Paul Pedro Peter Philippe Pierre Rachel Richard Robert Rosa Sandr
 Victor William Wolfgang
 """.split()
 STREETS = r"(?:\b(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square|Calle|Rue)$|(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]+$)"
+#: Characters in front of a span that are looked at.
+BEFORE = 40
 #: Probability from which the classifier takes a span that is not a base one.
 TAKE = 0.9
 #: Expectation-maximisation ends when no posterior moves by more than this, or after so many rounds.
@@ -60,21 +62,36 @@ START_PRIOR, PULL = 0.3, 4.0
 
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, start, end, value, before, after) of the matches; the pieces between them give the places."""
+    """Array of (kind, start, end, value, before, after) of the matches; the pieces between them give the places.
+
+    before: up to BEFORE characters in front of the match, from the ends of the pieces and matches there (a match has 4
+    characters at least, so a few of them suffice); after: the next character. The text itself is cut once.
+    """
     values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(
         F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
         values,
-        lambda a, b: F.struct(F.length(a).alias("skip"), b.alias("value")),
+        lambda a, b: F.struct(F.length(a).alias("skip"), b.alias("value"), F.right(a, F.lit(BEFORE)).alias("tail")),
     )
-    sums = prefix_sums(F.transform(pairs, lambda x: x["skip"] + F.length(x["value"])))
-    found = F.zip_with(pairs, sums, lambda x, at: F.struct((at.cast("int") + x["skip"]).alias("start"), x["value"].alias("value")))
-    end = lambda x: x["start"] + F.length(x["value"])
-    full = F.transform(found, lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["start"].alias("start"), end(x).alias("end"), x["value"].alias("value"),
-        F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))).alias("before"), F.substring(text, end(x) + 1, F.lit(1)).alias("after"),
-    ))
-    return F.when(F.regexp_like(text, F.lit(pattern)), full).otherwise(
+    heads = F.transform(pieces, lambda p: F.left(p, F.lit(1)))
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  so that x is made once
+
+    def placed(x: Column) -> Column:
+        sums = prefix_sums(F.transform(x, lambda p: p["skip"] + F.length(p["value"])))
+        said = F.flatten(F.transform(x, lambda p: F.array(p["tail"], F.right(p["value"], F.lit(BEFORE)))))
+        every = F.struct(x.alias("pairs"), sums.alias("sums"), said.alias("said"), heads.alias("heads"))
+        return bound(every, lambda e: F.transform(e["pairs"], lambda p, i: span(e, p, i)))
+
+    def span(e: Column, p: Column, i: Column) -> Column:
+        start = F.get(e["sums"], i).cast("int") + p["skip"]
+        first = F.greatest(2 * i - 2 * (BEFORE // 4), F.lit(0))
+        return F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(p["value"])).alias("end"), p["value"].alias("value"),
+            F.right(F.array_join(F.slice(e["said"], first + 1, 2 * i - first + 1), ""), F.lit(BEFORE)).alias("before"),
+            F.coalesce(F.nullif(F.get(e["heads"], i + 1), F.lit("")), F.left(F.get(e["pairs"], i + 1)["value"], F.lit(1)), F.lit("")).alias("after"),
+        )
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(pairs, placed)).otherwise(
         F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
     )
 
