@@ -19,19 +19,24 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Words that make a value a candidate, and what may part them.
+#: Words that make a value a candidate, in four languages, and what may part them: a sign, "is" and its like, or white
+#: space. A value in quotes ends at its quote, another one at white space or a quote.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key)["']?(\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""",
-    re.I | re.A,
+    r"""(?<![^\W_])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer|(?:api|access|private|client|auth)[_\x20-]?key"""
+    r"""|passwort|kennwort|geheimnis|zugangscode|schlüssel|contraseña|clave|secreto|mot\x20de\x20passe|mdp|jeton|clé)["'“”]?"""
+    r"""(\s*[:=]\s*|\s+(?:is|ist|lautet|es|est)\s+|\s+)(?:"([^\s"]{8,})"|'([^\s']{8,})'|“([^\s”]{8,})”|["'“]?([^\s"'“”]{8,}))""",
+    re.I,
+)
+CONTEXT_WORDS = (
+    "pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key", "kennwort", "geheimnis", "zugangscode", "schlüssel", "contraseña", "clave", "mdp", "jeton", "clé",
 )
-CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "authorization", "bearer", "key")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A value is a secret if it would take at least 10 to this power guesses; if only a blank parts it from the word before,
 #: 10 to the second power.
 LEAST_GUESSES, LEAST_GUESSES_LOOSE = 10.0, 14.0
 #: The dictionary takes words that make at least one in so many of all words of a corpus, so it has at most so many.
 RAREST = 50_000
-#: Longest span of the guess-cost programme but for words, and longest block of a repeat.
+#: Walks and repeats are offered at every length up to the first, and at their whole length; longest block of a repeat.
 LONGEST, BLOCK = 64, 8
 #: Common parts of passwords and placeholders, most common first; the words of the corpus rank behind them.
 WORDS = (
@@ -81,8 +86,8 @@ class GuessCost:
     the dictionary (rank; twice for capitals, four times for substitutions), dates (days of 120 years), repeats of a
     block of up to BLOCK characters (the block by brute force, times the count), walks on the keyboard (start and
     length, four choices at each turn), runs up or down the alphabet or the digits, single characters by their
-    alphabet. Each known span after the first costs a factor of 2 for where to cut. Spans but words have at most
-    LONGEST characters, so time is in proportion to the value. Empty value: 0.
+    alphabet. Each known span after the first costs a factor of 2 for where to cut. Walks and repeats of more than LONGEST
+    characters are offered at their whole length only, so time is in proportion to the value. Empty value: 0.
     """
 
     def __init__(self, words: Mapping[str, int] | None = None):
@@ -100,6 +105,15 @@ class GuessCost:
     def __call__(self, value: str) -> float:
         n, low, steps = len(value), value.lower(), directions()
         plain = low.translate(LEET)
+        # how far walks go from each place and their turns to the end, and how long each place goes on like `size` later
+        walks, turned, alike = list(range(1, n + 1)), [0] * (n + 1), {size: [0] * (n + 1) for size in range(1, BLOCK + 1)}
+        for i in reversed(range(n)):
+            if d := steps.get(low[i : i + 2]):
+                walks[i] = walks[i + 1]
+                turned[i] = turned[i + 1] + (d != steps.get(low[i + 1 : i + 3], 0))
+            for size, same in alike.items():
+                if i + size < n and value[i] == value[i + size]:
+                    same[i] = same[i + 1] + 1
         best = [0.0] + [float("inf")] * n
 
         def offer(end: int, cost: float):
@@ -123,12 +137,14 @@ class GuessCost:
                 turns, before, j = turns + (d != before), d, j + 1
                 if j - i >= 2:
                     offer(j + 1, here + log10(47 * (j - i + 1)) + turns * log10(4))
+            if walks[i] > last:
+                offer(walks[i], here + log10(47 * (walks[i] - i)) + (turned[i] - turned[walks[i] - 1]) * log10(4))
             j = i + 1
             if j < last and low[i].isalnum() and (delta := ord(low[j]) - ord(low[i])) in (1, -1):
                 while j < last and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == delta:
                     j += 1
                     if j - i >= 3:
-                        offer(j, here + log10(26 * (j - i)))
+                        offer(j, here + log10(26 * (j - i)))  # runs have 36 characters at most
             block = 0.0
             for size in range(1, min(BLOCK, n - i) + 1):
                 block += _alphabet(value[i + size - 1])
@@ -137,6 +153,9 @@ class GuessCost:
                     end, times = end + size, times + 1
                     if times >= (3 if size == 1 else 2):
                         offer(end, here + block + log10(times))
+                whole = 1 + alike[size][i] // size
+                if i + size * whole > last:
+                    offer(i + size * whole, here + block + log10(whole))
         return best[n]
 
 
@@ -161,9 +180,10 @@ def find_secrets(text: str, cost: GuessCost) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[2].rstrip(".,;:)]}\"'")
+            group = m.lastindex
+            value = m[group] if group < 5 else m[group].rstrip(".,;:!?)]}>")
             if len(value) >= 8 and cost(value) >= (LEAST_GUESSES if m[1].strip() else LEAST_GUESSES_LOOSE):
-                spans.append((m.start(2), 3, m.start(2) + len(value)))
+                spans.append((m.start(group), 3, m.start(group) + len(value)))
     return sorted(spans)
 
 
