@@ -23,11 +23,6 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_MEMORY = 500_000
 #: Bins of the shingle counts that bound what two texts share; how many times more leaders a bucket has in each round.
 BINS, MORE_LEADERS = 128, 16
-#: Members of large buckets have signatures of 64 bits times WORDS64. Two texts of similarity 0.8 have equal bits with
-#: probability 0.9 or more; pairs that differ in more than DIFFER are left out, which loses one such pair in 10 million.
-WORDS64, DIFFER = 8, 87
-#: Leaders of a bucket from which on signatures are used.
-LARGE = 256
 #: Marks of repeated rows that are broadcast, at most.
 MARKS = 1_000_000
 
@@ -85,19 +80,6 @@ def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, minima: int = MI
     return out.view(np.int64)
 
 
-def signature(hashes: np.ndarray, words: int = WORDS64) -> np.ndarray:
-    """One bit for each of 64 * words independent minima over the occurrence-labelled shingles: two texts agree on a bit
-    with probability (1 + s) / 2, s the share of shingles that they have in common. An alignment never has more."""
-    out = np.empty(words, dtype=np.int64)
-    for w in range(words):
-        seeds = _mixed(np.arange(1 + 64 * w, 65 + 64 * w, dtype=np.uint64) * MIX + np.uint64(1 << 40))
-        least = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for a in range(0, len(hashes), 20_000):
-            least = np.minimum(least, _mixed(hashes[None, a : a + 20_000] ^ seeds[:, None]).min(axis=1))
-        out[w] = np.bitwise_or.reduce((least & np.uint64(1)) << np.arange(64, dtype=np.uint64)).view(np.int64)
-    return out
-
-
 def binned(hashes: np.ndarray) -> bytes:
     """Numbers of shingles by hash bin."""
     counts = np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS)
@@ -220,20 +202,17 @@ def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
 
     Leaders stand outside the largest component: the most central member (with the most bucket mates) of each of
     `leaders` hash slices, or all if they are no more. Then the pairs are all that the bucket has between components,
-    as of any two components one is not the largest.
+    as of any two components one is not the largest. Of a text at most `common` shingles can be aligned, and a pair
+    needs similarity / (1 + similarity) of both texts' shingles: pairs that can't have them are left out.
     """
     all_lead = F.col("outside") <= leaders
     slice_ = F.when(~all_lead, F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
-    signed = [c for c in placed.columns if c == "signature"]
-    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "root", *signed)).alias("l")
+    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "common", "root")).alias("l")
     leading = placed.where("root != most").groupBy(
         "bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")
     ).agg(best).select("bucket", "l")
-    apart = (F.col("root") != F.col("l.root")) & (F.least("n", "l.n") >= F.lit(similarity) * F.greatest("n", "l.n") - 1e-9)
-    if signed:
-        differ = [F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("l.signature", F.lit(i)))) for i in range(WORDS64)]
-        apart = apart & (reduce(lambda x, y: x + y, differ) <= DIFFER)
-    both = placed.select("bucket", "node", "n", "root", *signed).join(leading, "bucket").where(apart)
+    may = F.least("common", "l.common") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("l.n")) - 1e-9
+    both = placed.select("bucket", "node", "n", "common", "root").join(leading, "bucket").where((F.col("root") != F.col("l.root")) & may)
     return both.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
@@ -249,25 +228,33 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return pairs.join(bins("b"), "b").join(bins("a"), "a").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a binary, b binary")
 
 
-def _signatures(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, signature of the members; only their texts are hashed again."""
+def _bounded(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The members with `common`, the number of their shingles that stand in another member's text too: no alignment with
+    another member has more. Members of which this leaves less than the similarity can't be linked and go.
+
+    The texts of members are hashed again. Shingles are counted by text before they meet, so the common ones of a large
+    group are added up in the tasks.
+    """
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for batch in batches:
-            names, found = [], []
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = word_hashes(text.as_py() or "", memory)
                 if xxhash.xxh3_128_digest(words.tobytes()) == node.as_py():
-                    names.append(node.as_py())
-                    found.append(signature(labelled(shingles(words))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["node", "signature"]
-            )
+                    values, times = np.unique(shingles(words), return_counts=True)
+                    names = pa.array([node.as_py()], pa.binary()).take(pa.array(np.zeros(len(values), np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [names, pa.array(values.view(np.int64)), pa.array(times.astype(np.int32))], ["node", "shingle", "times"]
+                    )
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return write_shared(texts.mapInArrow(sign, "node binary, signature array<long>"), "signatures").dropDuplicates(["node"])
+    each = texts.mapInArrow(count, "node binary, shingle long, times int")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node"), F.first("times").alias("times")).where("k = 1")
+    own = write_shared(alone.groupBy("node").agg(F.sum("times").alias("own")), "own")
+    joined = members.drop("common").join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return joined.where(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-9)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -334,8 +321,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     Texts with equal words are one node from the start. Each node has 16 sketches of two minima; nodes that share a
     sketch are in one bucket. In rounds, the members of a bucket are aligned with its leaders of other components, and
     found links join components. Each round has more leaders, until all members that are not in the bucket's largest
-    component lead: then no two of a bucket's members are in different classes without having been aligned. In buckets
-    with more members outside than LARGE / MORE_LEADERS, pairs whose signatures rule the similarity out are not aligned.
+    component lead: then no two of a bucket's members are in different classes without having been aligned, or having too few
+    shingles in common with all other members that are left.
     Null, empty and blank texts have no words: each is a class of its own. Texts of under five words are one shingle.
     Null doc_ids share classes with exact copies only. Repeated rows are exact copies. Empty table: no rows.
     Columns other than doc_id and text are ignored.
@@ -355,7 +342,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"),
         "entries",
     )
-    members = shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node")
+    members = shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node").withColumn("common", F.col("n"))
     labels = nodes.select("node", F.col("node").alias("root"), F.col("first_id").alias("class_id"))
     tested, leaders = None, 1
     while True:
@@ -379,11 +366,11 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                     F.coalesce("label.first_id", "class_id").alias("class_id"),
                 )
                 labels = write_shared(labels, "labels")
-        signed = [c for c in placed.columns if c == "signature"]
-        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates", *signed)
+        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates", "common")
+        if not members.limit(1).count():
+            break
+        members = write_shared(_bounded(members, nodes, docs, similarity), "bounded")
         leaders *= MORE_LEADERS
-        if leaders >= LARGE and not signed:
-            members = write_shared(members.join(_signatures(members, nodes, docs), "node"), "large")
 
     return sketches.select("doc_id", "key").join(
         labels.select(F.col("node").alias("key"), "class_id"), "key", "left"
