@@ -650,6 +650,36 @@ def test_near_duplicates_of_a_star(spark):
     assert all(got[i] == 0 for i in linked) and set(got) == set(range(1001))
 
 
+def test_near_duplicates_of_groups_with_many_edits(spark):
+    """Groups whose copies are edited little to much: classes are those of all pairs, though most pairs are not linked."""
+    rng = random.Random(23)
+    rows, words = [], {}
+    for g in range(3):
+        middle = [f"w{rng.randrange(3_000)}" for _ in range(rng.choice([60, 150]))]
+        for _ in range(150):
+            copy = list(middle)
+            for at in rng.sample(range(len(copy)), rng.randrange(0, len(copy) // 10)):
+                copy[at] = f"x{rng.randrange(10**6)}" if rng.random() < 0.7 else middle[at - 1]
+            if rng.random() < 0.3:
+                copy = copy[: rng.randrange(len(copy) // 2, len(copy) + 1)]
+            words[len(rows)] = copy
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    memory, parent = {}, {k: k for k in words}
+    hashed = {k: near_dup.shingles(near_dup.word_hashes(" ".join(w), memory)) for k, w in words.items()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in words:
+        for b in range(a):
+            if a // 150 == b // 150 and find(a) != find(b) and near_dup.aligned(hashed[a], hashed[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {k: find(k) for k in words} and 20 < len(set(got.values())) < 400
+
+
 def test_bins_bound_what_is_shared():
     rng = np.random.default_rng(5)
     for n in (1, 40, 400, 40_000):

@@ -203,16 +203,22 @@ def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
     Leaders stand outside the largest component: the most central member (with the most bucket mates) of each of
     `leaders` hash slices, or all if they are no more. Then the pairs are all that the bucket has between components,
     as of any two components one is not the largest. Of a text at most `common` shingles can be aligned, and a pair
-    needs similarity / (1 + similarity) of both texts' shingles: pairs that can't have them are left out.
+    needs similarity / (1 + similarity) of both texts' shingles: pairs that can't have them, by these numbers or by the
+    bins of their shingles (from the second round on), are left out.
     """
     all_lead = F.col("outside") <= leaders
     slice_ = F.when(~all_lead, F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
-    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "common", "root")).alias("l")
+    binned_ = [c for c in placed.columns if c == "bins"]
+    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "common", "root", *binned_)).alias("l")
     leading = placed.where("root != most").groupBy(
         "bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")
     ).agg(best).select("bucket", "l")
-    may = F.least("common", "l.common") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("l.n")) - 1e-9
-    both = placed.select("bucket", "node", "n", "common", "root").join(leading, "bucket").where((F.col("root") != F.col("l.root")) & may)
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("l.n")) - 1e-9
+    may = F.least("common", "l.common") >= need
+    if binned_:
+        shared = F.aggregate(F.zip_with("bins", "l.bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        may = may & (shared >= need)
+    both = placed.select("bucket", "node", "n", "common", "root", *binned_).join(leading, "bucket").where((F.col("root") != F.col("l.root")) & may)
     return both.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
@@ -229,8 +235,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def _bounded(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The members with `common`, the number of their shingles that stand in another member's text too: no alignment with
-    another member has more. Members of which this leaves less than the similarity can't be linked and go.
+    """The members with their bins and `common`, the number of their shingles that stand in another member's text too: no
+    alignment with another member has more. Members of which this leaves less than the similarity can't be linked and go.
 
     The texts of members are hashed again. Shingles are counted by text before they meet, so the common ones of a large
     group are added up in the tasks.
@@ -253,8 +259,17 @@ def _bounded(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity:
     each = texts.mapInArrow(count, "node binary, shingle long, times int")
     alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node"), F.first("times").alias("times")).where("k = 1")
     own = write_shared(alone.groupBy("node").agg(F.sum("times").alias("own")), "own")
-    joined = members.drop("common").join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    return joined.where(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-9)
+    known = members.select("node", "n").distinct().join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n")
+    left = known.where(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-9).join(nodes.select("node", F.col("bins").alias("packed")), "node")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.frombuffer(x.as_py(), np.uint8 if len(x.as_py()) == BINS else np.uint32).astype(np.int32) for x in batch.column(2)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate([*bins, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["node", "common", "bins"])
+
+    bounds = left.select("node", "common", "packed").mapInArrow(unpack, "node binary, common long, bins array<int>")
+    return members.select("bucket", "node", "n", "mates").join(bounds, "node")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -366,7 +381,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                     F.coalesce("label.first_id", "class_id").alias("class_id"),
                 )
                 labels = write_shared(labels, "labels")
-        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates", "common")
+        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates")
         if not members.limit(1).count():
             break
         members = write_shared(_bounded(members, nodes, docs, similarity), "bounded")
