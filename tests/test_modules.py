@@ -105,6 +105,20 @@ def test_long_samples_are_cut_and_equal_arrays(spark, sf):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 9, 10])
+def test_packed_counts_equal_text_counts(spark, n):
+    import random
+
+    from unitweave.functions.columns import ngrams
+
+    rng = random.Random(n)
+    some = [(k, "?", [rng.choice([0, 1, 5, 126]) for _ in range(rng.randint(0, 14))]) for k in range(80)]
+    odd = [(300, "?", None), (301, "?", [1, 127, 1, 127, 1]), (302, "?", [-1, 2, 3, 4, 5]), (303, "?", [1, None, 3, 4, 5])]
+    units = spark.createDataFrame(some + odd, "sample_id long, label string, units array<int>")
+    columns = ("sample_id", "label", "feature", "cnt", "total")
+    assert rows(un.count_ngrams(units, n), *columns) == rows(un._counted(units, ngrams(F.col("units"), n)), *columns)
+
+
 def recursive(nodes, edges, levels, values):
     """The walk as it is described, by plain recursion. nodes: id -> row; edges: (type, src, dst, ord, begin, end)."""
     below = {n: sorted(k for k, r in nodes.items() if r.parent_id == n) for n in nodes}

@@ -400,9 +400,8 @@ def literal_type_and_leaf_value(spark, sf_dir):
     )
 
 
-@query(f"""WITH {NODES}, up1 AS (SELECT n.sample_id, n.node_id, n.name, p.node_id AS p_id, p.name AS p_name, g.node_id AS g_id, g.name AS g_name FROM nodes n
-  LEFT JOIN nodes p ON n.sample_id = p.sample_id AND n.parent_id = p.node_id LEFT JOIN nodes g ON p.sample_id = g.sample_id AND p.parent_id = g.node_id)
-SELECT sample_id, node_id, CASE WHEN name IN ({_names(STATEMENTS)}) THEN node_id WHEN p_name IN ({_names(STATEMENTS)}) THEN p_id WHEN g_name IN ({_names(STATEMENTS)}) THEN g_id END AS statement FROM up1""")
+@query(f"""WITH {NODES}, own AS (SELECT sample_id, node_id, c, o, depth, CASE WHEN name IN ({_names(STATEMENTS)}) THEN node_id END AS statement FROM nodes)
+SELECT sample_id, node_id, coalesce(statement, max(CASE WHEN depth = 2 THEN statement END) OVER (PARTITION BY sample_id, c, o), max(CASE WHEN depth = 1 THEN statement END) OVER (PARTITION BY sample_id, c)) AS statement FROM own""")
 def nearest_statement(spark, sf_dir):
     return tr.nearest_statement(td.order_trees(spark, sf_dir))
 

@@ -67,6 +67,49 @@ def ngrams(units: Column, n: int = 4) -> Column:
     return F.when(size >= n, full).when(size > 0, padded)
 
 
+#: Bits of a unit in a packed n-gram; 0 is the pad, codes count from 1.
+BITS = 7
+
+
+def packable(units: Column, n: int) -> Column:
+    """Whether a sample's n-grams fit in 63 bits: all codes are small, and there are few enough of them."""
+    if n < 1 or n * BITS > 63:
+        return F.lit(False)
+    return F.forall(units, lambda u: F.coalesce(u.between(0, (1 << BITS) - 2), F.lit(False)))
+
+
+def packed_ngrams(units: Column, n: int = 4) -> Column:
+    """The n-grams of `ngrams` as numbers, BITS to a unit, for units that are `packable`; null for no units.
+
+    Windows of 2, 4, 8 and so on units are two neighbouring windows of half the size, and those of n units are put
+    together from them: a few additions for each, however long it is.
+    """
+    size = F.size(units)
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  so that x is made once
+
+    def joined(a: Column, p: int, b: Column, q: int) -> Column:
+        """Windows of p + q units from those of p and of q."""
+        many = size - (p + q - 1)
+        return F.zip_with(F.slice(a, 1, many), F.slice(b, p + 1, many), lambda x, y: F.shiftleft(x, BITS * q) + y)
+
+    def grown(w: Column, p: int, found: Column | None, r: int) -> Column:
+        """Windows of n units. w: windows of p units, a power of 2; found: windows of r units, the powers of n below p."""
+        if n & p:
+            found, r = (joined(found, r, w, p), r + p) if r else (w, p)
+        return found if 2 * p > n else bound(joined(w, p, w, p), lambda wide: grown(wide, 2 * p, found, r))
+
+    ones = F.transform(units, lambda u: u.cast("long") + 1)
+    short = F.aggregate(units, F.lit(0).cast("long"), lambda total, u: F.shiftleft(total, BITS) + u + 1)
+    padded = F.array(F.call_function("shiftleft", short, F.greatest(n - size, F.lit(0)) * BITS))
+    return F.when(size >= n, bound(ones, lambda w: grown(w, 1, None, 0))).when(size > 0, padded)
+
+
+def unpacked_key(packed: Column, n: int = 4) -> Column:
+    """The text key of a packed n-gram."""
+    code = lambda k: F.shiftrightunsigned(packed, BITS * (n - 1 - k)).bitwiseAND((1 << BITS) - 1)
+    return F.concat_ws(",", *[F.when(code(k) == 0, PAD).otherwise((code(k) - 1).cast("string")) for k in range(n)])
+
+
 def value_key(unit: Column, value: Column) -> Column:
     """Key of a (unit, value) feature. Truth values share the integers' keys; newlines are taken out."""
     text = F.regexp_replace(value, "\n", "")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from unitweave.functions.columns import LEXER, PAD, ngrams, unit_class, value_key
+from unitweave.functions.columns import BITS, LEXER, PAD, ngrams, packable, packed_ngrams, unit_class, unpacked_key, value_key
 from unitweave.functions.tables import LEXICAL_CODES
 
 
@@ -53,8 +54,21 @@ def _counted(keyed: DataFrame, keys: Column) -> DataFrame:
 
 
 def count_ngrams(units: DataFrame, n: int = 4) -> DataFrame:
-    """Count of each n-gram of a sample, and the number of all its n-grams."""
-    return _counted(units, ngrams(F.col("units"), n))
+    """Count of each n-gram of a sample, and the number of all its n-grams.
+
+    Samples whose codes are small are counted by packed numbers, so that rows are short; only what was counted is written
+    out as text. Other samples, and units that are no integers, are counted by their text keys.
+    """
+    element = units.schema["units"].dataType.elementType
+    if not isinstance(element, (ByteType, ShortType, IntegerType, LongType)) or n < 1 or n * BITS > 63:
+        return _counted(units, ngrams(F.col("units"), n))
+    fits = packable(F.col("units"), n)
+    packed = F.when(fits, packed_ngrams(F.col("units"), n)).otherwise(F.array().cast("array<bigint>"))
+    texts = F.when(fits, F.array().cast("array<string>")).otherwise(ngrams(F.col("units"), n))
+    both = units.select("sample_id", "label", F.arrays_zip(packed.alias("p"), texts.alias("t")).alias("keys"))
+    each = both.select("sample_id", "label", F.size("keys").cast("long").alias("total"), F.explode_outer("keys").alias("key")).where("key is not null")
+    counts = each.groupBy("sample_id", "label", F.col("key.p").alias("p"), F.col("key.t").alias("t")).agg(F.count(F.lit(1)).alias("cnt"), F.first("total").alias("total"))
+    return counts.select("sample_id", "label", F.coalesce("t", unpacked_key(F.col("p"), n)).alias("feature"), "cnt", "total")
 
 
 def count_values(value_units: DataFrame) -> DataFrame:
