@@ -33,9 +33,10 @@ IN_ORDER = ["FunctionDeclaration", "VariableDeclaration"]
 EVENTS = ["sample_id", "pos", "t", "at", "name", "kind", "how", "is_function", "quiet", "scope", "home", "top"]
 
 
-def ancestors(nodes: DataFrame, marks: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
-    """For each mark, x_level (marked nodes at or above the node) and x_near (the innermost of them); for each sum, x_sum of
-    its values at or above the node. One running pass over begins and ends of subtrees, then one window for each mark."""
+def ancestors(nodes: DataFrame, marks: dict[str, Column], near: Sequence[str] = (), sums: dict[str, Column] | None = None) -> DataFrame:
+    """For each mark, x_level (marked nodes at or above the node), and x_near (the innermost of them) if it is in `near`; for
+    each sum, x_sum of its values at or above the node. One running pass over begins and ends of subtrees, then one window
+    for each of `near`."""
     sums = sums or {}
     values = {f"_{k}": F.coalesce(c.cast("long"), F.lit(0)) for k, c in {**{k: c.cast("int") for k, c in marks.items()}, **sums}.items()}
     flagged = nodes.withColumns(values)
@@ -46,15 +47,15 @@ def ancestors(nodes: DataFrame, marks: dict[str, Column], sums: dict[str, Column
     summed = begins.unionByName(ends).withColumns(
         {f"{k}_level": F.sum(f"_{k}").over(running) for k in marks} | {f"{k}_sum": F.sum(f"_{k}").over(running) for k in sums}
     ).where("_side = 1")
-    near = {
+    innermost = {
         f"{k}_near": F.when(
             F.col(f"{k}_level") > 0,
             F.last(F.when(F.col(f"_{k}") == 1, F.col("node_id")), ignorenulls=True).over(
                 Window.partitionBy("sample_id", f"{k}_level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
             ),
-        ) for k in marks
+        ) for k in near
     }
-    return summed.withColumns(near).drop(*values, "_at", "_side")
+    return summed.withColumns(innermost).drop(*values, "_at", "_side")
 
 
 def enclosing(points: DataFrame, intervals: DataFrame, payload: Sequence[str]) -> DataFrame:
@@ -91,31 +92,37 @@ def placed_nodes(nodes: DataFrame) -> DataFrame:
     then its false branch; elsewhere it is tree order. A child that moves takes its subtree along, so a node's time is its
     id plus the sum of the moves at or above it.
     """
-    ident = F.element_at("attributes", "name")
+    attribute = lambda k: F.element_at("attributes", k)
+    narrow = nodes.select(
+        "sample_id", "node_id", "parent_id", "child_ix", "subtree_end", "name", "body", attribute("name").alias("ident"), attribute("kind").alias("declares"),
+        attribute("operator").alias("operator"), F.lower(attribute("computed")).isin("true", "1").alias("computed"),
+        F.array_contains(F.map_values("attributes"), "window").alias("says_window"),
+    )
     control = structure_edges(nodes).where("type = 'control'").select(
         "sample_id", F.col("dst").alias("node_id"), F.when(F.col("label") == "e", 1).when(F.col("label") == "true", 2).otherwise(3).alias("turn"),
         "src", "label",
     )
     siblings = Window.partitionBy("sample_id", "parent_id").orderBy("child_ix")
-    kids = nodes.withColumn("ident", ident).withColumns(
+    kids = narrow.withColumns(
         {
             "first_name": F.first("name").over(siblings),
             "first_ident": F.first("ident").over(siblings),
-            "first_window": F.first(F.array_contains(F.map_values("attributes"), "window")).over(siblings),
+            "first_window": F.first("says_window").over(siblings),
             "next": F.lead(F.struct("node_id", "name", "ident")).over(siblings),
         }
     )
-    up = nodes.select(
+    up = narrow.select(
         "sample_id", F.col("node_id").alias("parent_id"), F.col("name").alias("up_name"), F.col("parent_id").alias("up_parent"),
-        F.lower(F.element_at("attributes", "computed")).isin("true", "1").alias("up_computed"), F.element_at("attributes", "operator").alias("up_operator"),
+        F.col("computed").alias("up_computed"), F.col("operator").alias("up_operator"),
     )
-    over = nodes.select("sample_id", F.col("node_id").alias("up_parent"), F.col("name").alias("over_name"))
+    over = narrow.select("sample_id", F.col("node_id").alias("up_parent"), F.col("name").alias("over_name"))
     # the first child of a node follows it in pre-order
-    below = kids.where("child_ix = 0").select("sample_id", F.col("parent_id").alias("node_id"), F.col("name").alias("low_name"), F.array_contains(F.map_values("attributes"), "window").alias("low_window"))
-    wide = (
-        kids.join(control, ["sample_id", "node_id"], "left").join(up.join(over, ["sample_id", "up_parent"], "left"), ["sample_id", "parent_id"], "left")
-        .join(below, ["sample_id", "node_id"], "left")
-    )
+    next_ = Window.partitionBy("sample_id").orderBy("node_id")
+    below = F.lead(F.struct("parent_id", F.col("name").alias("low_name"), F.col("says_window").alias("low_window"))).over(next_)
+    wide = kids.withColumn("_below", below).withColumns(
+        {c: F.when(F.col("_below.parent_id") == F.col("node_id"), F.col(f"_below.{c}")) for c in ("low_name", "low_window")}
+    ).drop("_below", "says_window", "computed", "operator")
+    wide = wide.join(control, ["sample_id", "node_id"], "left").join(up.join(over, ["sample_id", "up_parent"], "left"), ["sample_id", "parent_id"], "left")
     size = F.col("subtree_end") - F.col("node_id") + 1
     before = lambda *order: F.coalesce(F.sum(size).over(Window.partitionBy("sample_id", "parent_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turn = F.when(F.col("up_name").isin([s for s in STATEMENTS if s not in IN_ORDER]), F.coalesce("turn", F.lit(0))).otherwise(0)
@@ -141,6 +148,7 @@ def placed_nodes(nodes: DataFrame) -> DataFrame:
             "home": name.isin(*FUNCTIONS, "ObjectExpression") | F.col("parent_id").isNull(),
             "off": F.col("parent_id").isNotNull() & ~keeps_top & F.col("collects").isNull(),
         },
+        ["object", "statement", "home"],
         {"move": F.col("_move")},
     )
     outer = F.when(
@@ -156,7 +164,7 @@ def scopes_of(placed: DataFrame) -> DataFrame:
     """Nodes at whose end names expire: the root, functions, object literals, and the statements that hold a let or const
     below the top level. sample_id, begin, end (node ids), is_block."""
     homes = placed.where("home_near = node_id").select("sample_id", F.col("node_id").alias("begin"), F.col("subtree_end").alias("end"), F.lit(False).alias("is_block"))
-    limited = placed.where((F.col("name") == "VariableDeclaration") & (F.element_at("attributes", "kind") != "var") & (F.col("off_level") > 0))
+    limited = placed.where((F.col("name") == "VariableDeclaration") & (F.col("declares") != "var") & (F.col("off_level") > 0))
     # the statement around a declaration is the one at its parent
     around = placed.select("sample_id", F.col("node_id").alias("parent_id"), F.col("statement_near").alias("block"))
     holders = limited.select("sample_id", "parent_id").join(around, ["sample_id", "parent_id"]).where("block is not null").select("sample_id", F.col("block").alias("node_id")).distinct()
@@ -235,7 +243,7 @@ def identifier_events(nodes: DataFrame, placed: DataFrame | None = None) -> Data
     homes = placed.select("sample_id", F.col("node_id").alias("_fn_up"), F.col("home_near").alias("_fn_home"))
     each = each.withColumn("_fn", F.when(outside, F.col("outer.parent_id"))).join(around.join(homes, ["sample_id", "_fn_up"]), ["sample_id", "_fn"], "left")
     # the declaration around a declarator is its parent, the statement around that at the declaration's parent
-    lets = placed.where((F.col("name") == "VariableDeclaration") & (F.element_at("attributes", "kind") != "var") & (F.col("off_level") > 0)).select(
+    lets = placed.where((F.col("name") == "VariableDeclaration") & (F.col("declares") != "var") & (F.col("off_level") > 0)).select(
         "sample_id", F.col("node_id").alias("_declaration"), F.col("parent_id").alias("_up")
     )
     blocks = placed.select("sample_id", F.col("node_id").alias("_up"), F.col("statement_near").alias("block"))
