@@ -244,12 +244,22 @@ def contingency(spark, sf_dir):
     return contingency_table(spark, sf_dir)
 
 
-@query("SELECT DISTINCT CASE quality WHEN 1 THEN 99 ELSE 95 END AS confidence, CAST(CASE quality WHEN 1 THEN 6.63 ELSE 3.84 END AS DOUBLE) AS critical FROM labels")
+#: The normal distribution by Simpson's rule, and its quantile by bisection.
+QUANTILES = """WITH RECURSIVE asked AS (SELECT DISTINCT CAST(49 + l_quantity AS INTEGER) AS confidence FROM lineitem),
+halved AS (SELECT confidence, 0.0::DOUBLE AS low, 6.0::DOUBLE AS high, 0 AS turn FROM asked
+  UNION ALL SELECT confidence, CASE WHEN below < wanted THEN middle ELSE low END, CASE WHEN below < wanted THEN high ELSE middle END, turn + 1 FROM (
+    SELECT *, (low + high) / 2 AS middle, 1 - (1 - confidence / 100.0) / 2 AS wanted, 0.5 + (low + high) / 2 / 1200 / sqrt(2 * pi())
+      * list_sum(list_transform(generate_series(0, 400), lambda k: (CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow((low + high) / 2 * k / 400, 2) / 2))) AS below
+    FROM halved WHERE turn < 50))
+SELECT confidence, round(pow((low + high) / 2, 2), 2) AS critical FROM halved WHERE turn = 50"""
+
+
+@query(QUANTILES)
 def chi2_critical_values(spark, sf_dir):
-    return td.table(spark, sf_dir, "labels").select(
-        F.when(F.col("quality") == 1, 99).otherwise(95).alias("confidence"),
-        F.when(F.col("quality") == 1, chi2_critical(99)).otherwise(chi2_critical(95)).alias("critical"),
-    ).distinct()
+    """Critical values for the confidences that the lines' quantities stand for, 50 to 99 percent."""
+    confidence = (F.col("l_quantity") + 49).cast("int")
+    values = F.create_map(*[F.lit(x) for c in range(1, 100) for x in (c, chi2_critical(c))])
+    return td.table(spark, sf_dir, "lineitem").select(confidence.alias("confidence")).distinct().withColumn("critical", values[F.col("confidence")])
 
 
 @query(f"{TRAIN} SELECT feature, round(chi2, 9) AS chi2 FROM scored")
