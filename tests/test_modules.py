@@ -171,11 +171,9 @@ def recursive(nodes, edges, levels, values):
     return out
 
 
-@pytest.mark.parametrize("level, values", [("pdg-dfg", False), ("pdg-dfg", True), ("pdg", False), ("pdg", True), ("cfg", True)])
-def test_walks_over_programs_equal_recursion(spark, sf, level, values):
-    import sys
-
-    sys.setrecursionlimit(20_000)
+@pytest.fixture(scope="module")
+def walked(spark, sf):
+    """Nodes and edges of the programs, stored, and as plain rows by sample."""
     nodes = store(tr.flatten_tree(td.programs(spark, sf)), "nodes")
     edges = store(catalog.program_edges(nodes), "edges")
     trees, arcs = {}, {}
@@ -183,6 +181,15 @@ def test_walks_over_programs_equal_recursion(spark, sf, level, values):
         trees.setdefault(r.sample_id, {})[r.node_id] = r
     for r in edges.collect():
         arcs.setdefault(r.sample_id, []).append((r.type, r.src, r.dst, r.ord, r.begin_id, r.end_id))
+    return nodes, edges, trees, arcs
+
+
+@pytest.mark.parametrize("level, values", [("pdg-dfg", False), ("pdg-dfg", True), ("pdg", False), ("pdg", True), ("cfg", True)])
+def test_walks_over_programs_equal_recursion(walked, level, values):
+    import sys
+
+    sys.setrecursionlimit(20_000)
+    nodes, edges, trees, arcs = walked
     kinds = {"pdg-dfg": ["data"], "pdg": ["data", "control"], "cfg": ["control"]}[level]
     got = {r.sample_id: r.units for r in tr.flow_units(nodes, edges, level, "value" if values else "ngrams").collect()}
     assert set(got) == set(trees) and any(e[0] == "data" for a in arcs.values() for e in a)
