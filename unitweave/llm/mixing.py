@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.llm.common import WORD, ranked_in_slices, write_shared
+from unitweave.llm.common import WORD, slice_of, write_shared
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -56,9 +56,10 @@ def mix_sources(
     out by size class (so that each stretch of the line is a fair share of large and small ones), their expected
     copies are summed up from the left, one random offset is added, and a document is emitted once per whole number
     that its stretch crosses. Of OFFSETS random offsets each source uses the one whose words come nearest to its
-    target: words taken under each offset are summed up with partial aggregation. The prefix sums come from counts per
-    (source, size class, hash slice), so no source is gathered, and they depend on values only: reruns agree. Texts
-    are read once; windows without partition hold one row per source.
+    target, so a document's chance is only nearly its expected copies. The prefix sums come from counts per (source,
+    size class, hash slice), so no source is gathered, and they depend on values only: reruns agree. Documents are
+    ranked once and stored with their places; windows without partition hold one row per source. Very long texts are
+    only counted.
 
     Needs doc_id, text and source; returns doc_id, size, source_size, target, copies, taken and the `carry` columns.
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each. Documents without
@@ -73,44 +74,65 @@ def mix_sources(
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source"))).alias("_uw_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_uw_size"),
     ).withColumn("_uw_class", F.floor(F.log2(F.col("_uw_size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-    sized = write_shared(
-        sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long")), "sized"
-    )
+    sized = sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long"))
     order = [F.col("_uw_size"), F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id"), F.col("_uw_content")]
-    keys = ["_uw_source", "_uw_class"]
-
-    def placed(table: DataFrame) -> DataFrame:
-        """Each document with its place on its source's line, and its source's target and rate."""
-        ranked, counts = ranked_in_slices(table, keys, order, slices, "_uw_rank")
-        smaller = Window.partitionBy("_uw_source").orderBy("_uw_class").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.withColumn(
-            "_uw_before", F.coalesce(F.sum("n_rows").over(smaller), F.lit(0))
-        ).drop("n_rows").join(targets, "_uw_source")
-        return ranked.join(starts, keys).withColumn("_uw_at", F.col("_uw_before") + F.col("_uw_rank"))
-
-    def crossed(offset):
-        copies = F.floor((F.col("_uw_at") + 1) * F.col("_uw_rate") + offset) - F.floor(F.col("_uw_at") * F.col("_uw_rate") + offset)
-        return F.least(copies, F.lit(epochs)).cast("long")
-
-    targets = write_shared(source_targets(sized, weights, epochs), "targets")
-    drawn = [  # one in each 64th
+    keys = ["_uw_source", "_uw_class", "_uw_slice"]
+    sized = sized.withColumn("_uw_slice", slice_of(order, slices))
+
+    counts = write_shared(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_uw_n"), F.sum("_uw_size").alias("_uw_size")), "counts")
+    before = Window.partitionBy("_uw_source").orderBy("_uw_class", "_uw_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_uw_start", F.coalesce(F.sum("_uw_n").over(before), F.lit(0))).drop("_uw_n", "_uw_size")
+    starts = starts.join(source_targets(counts, weights, epochs), "_uw_source")
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    placed = sized.withColumn("_uw_row", F.row_number().over(inside) - 1).join(starts, keys)
+    placed = write_shared(placed.withColumn("_uw_at", F.col("_uw_start") + F.col("_uw_row")).drop("_uw_class", "_uw_slice", "_uw_content", "_uw_start", "_uw_row"), "placed")
+
+    drawn = F.array(*[  # one in each 64th
         (
             k + F.pmod(F.xxhash64(F.lit(seed), F.lit(k)), F.lit(1021)) / F.lit(1021.0)
         ) / F.lit(float(OFFSETS)) for k in range(OFFSETS)
-    ]
-    words = placed(sized.select("doc_id", *keys, "_uw_size", "_uw_content")).groupBy("_uw_source").agg(
-        F.max("target").alias("_uw_goal"),
-        *[F.sum(crossed(u) * F.col("_uw_size")).alias(f"w{k}") for k, u in enumerate(drawn)],
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("_uw_goal")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(drawn)]))
-    targets = write_shared(targets.join(words.select("_uw_source", nearest["u"].alias("_uw_offset")), "_uw_source"), "offsets")
-    mixed = placed(sized).withColumn("copies", crossed(F.col("_uw_offset")))
+    ])
+    begin, end = F.col("_uw_at") * F.col("_uw_rate"), (F.col("_uw_at") + 1) * F.col("_uw_rate")
+    mixed = placed.join(_nearest_offsets(placed, begin, end, drawn), "_uw_source")
+    copies = F.floor(end + F.col("_uw_offset")) - F.floor(begin + F.col("_uw_offset"))
+    mixed = mixed.withColumn("copies", F.least(copies, F.lit(epochs)).cast("long"))
     return mixed.select(
         "doc_id", F.col("_uw_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "copies",
         (F.col("copies") * F.col("_uw_size")).alias("taken"), *[F.col(name).alias(c) for c, name in zip(extra, carried, strict=True)],
     )
 
 
+def _nearest_offsets(placed: DataFrame, begin: Column, end: Column, drawn: Column) -> DataFrame:
+    """_uw_source, _uw_offset: of the drawn offsets (rising, one in each OFFSETS-th) the one whose words come nearest to
+    the target; the least of equals.
+
+    An offset only decides whether an end of a document's stretch passes the next whole number. So the words of all
+    offsets follow from sums per source and pair of first offsets that push the two ends over: the words taken are a
+    step function of the offset, summed up over its at most OFFSETS + 1 steps.
+    """
+
+    def first_over(x: Column) -> Column:
+        needed = F.lit(1.0) - (x - F.floor(x))
+        k = F.floor(needed * OFFSETS).cast("int")
+        return F.when(k >= OFFSETS, OFFSETS).when(F.get(drawn, k) >= needed, k).otherwise(k + 1)
+
+    sums = placed.groupBy("_uw_source", first_over(begin).alias("_uw_begin"), first_over(end).alias("_uw_end")).agg(
+        F.max("target").alias("target"),
+        F.sum((F.floor(end) - F.floor(begin)) * F.col("_uw_size")).alias("_uw_always"),
+        F.sum("_uw_size").alias("_uw_words"),
+    )
+    step = lambda k, words: F.struct(k.cast("int").alias("k"), words.cast("long").alias("words"))
+    steps = sums.select(
+        "_uw_source",
+        "target",
+        F.inline(F.array(step(F.lit(0), F.col("_uw_always")), step(F.col("_uw_end"), F.col("_uw_words")), step(F.col("_uw_begin"), -F.col("_uw_words")))),
+    ).where(F.col("k") < OFFSETS).groupBy("_uw_source", "k").agg(F.max("target").alias("target"), F.sum("words").alias("words"))
+    upto = Window.partitionBy("_uw_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    off = F.abs(F.sum("words").over(upto) - F.col("target"))
+    best = steps.select("_uw_source", "k", off.alias("off")).groupBy("_uw_source").agg(F.min(F.struct("off", "k"))["k"].alias("k"))
+    return best.select("_uw_source", F.get(drawn, F.col("k")).alias("_uw_offset"))
+
+
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per taken copy, with the given columns; mixed: as `mix_sources` gives it with carry=columns.
 
