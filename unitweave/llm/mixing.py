@@ -59,7 +59,7 @@ def mix_sources(
     target, so a document's chance is only nearly its expected copies. The prefix sums come from counts per (source,
     size class, hash slice), so no source is gathered, and they depend on values only: reruns agree. Documents are
     ranked once and stored with their places; windows without partition hold one row per source. Very long texts are
-    only counted.
+    counted whole.
 
     Needs doc_id, text and source; returns doc_id, size, source_size, target, copies, taken and the `carry` columns.
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each. Documents without
@@ -73,16 +73,20 @@ def mix_sources(
         *[F.col(c).alias(name) for c, name in zip(extra, carried, strict=True)],
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source"))).alias("_uw_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_uw_size"),
-    ).withColumn("_uw_class", F.floor(F.log2(F.col("_uw_size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
+    )
+    # never null, or the joins below would filter by it, counting the words again
+    sized = sized.withColumn("_uw_class", F.coalesce(F.floor(F.log2(F.col("_uw_size") + 1) * CLASSES_PER_OCTAVE).cast("int"), F.lit(0)))
     sized = sized.withColumn("_uw_content", F.xxhash64(*map(F.col, carried)) if carried else F.lit(0).cast("long"))
     order = [F.col("_uw_size"), F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id"), F.col("_uw_content")]
     keys = ["_uw_source", "_uw_class", "_uw_slice"]
     sized = sized.withColumn("_uw_slice", slice_of(order, slices))
+    if not extra:  # narrow rows are stored, so that words are counted once; texts that are carried are not written twice
+        sized = write_shared(sized, "sized")
 
     counts = write_shared(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_uw_n"), F.sum("_uw_size").alias("_uw_size")), "counts")
     before = Window.partitionBy("_uw_source").orderBy("_uw_class", "_uw_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_uw_start", F.coalesce(F.sum("_uw_n").over(before), F.lit(0))).drop("_uw_n", "_uw_size")
-    starts = starts.join(source_targets(counts, weights, epochs), "_uw_source")
+    starts = starts.join(write_shared(source_targets(counts, weights, epochs), "targets"), "_uw_source")
     inside = Window.partitionBy(*keys).orderBy(*order)
     placed = sized.withColumn("_uw_row", F.row_number().over(inside) - 1).join(starts, keys)
     placed = write_shared(placed.withColumn("_uw_at", F.col("_uw_start") + F.col("_uw_row")).drop("_uw_class", "_uw_slice", "_uw_content", "_uw_start", "_uw_row"), "placed")
@@ -93,7 +97,7 @@ def mix_sources(
         ) / F.lit(float(OFFSETS)) for k in range(OFFSETS)
     ])
     begin, end = F.col("_uw_at") * F.col("_uw_rate"), (F.col("_uw_at") + 1) * F.col("_uw_rate")
-    mixed = placed.join(_nearest_offsets(placed, begin, end, drawn), "_uw_source")
+    mixed = placed.join(write_shared(_nearest_offsets(placed, begin, end, drawn), "offsets"), "_uw_source")
     copies = F.floor(end + F.col("_uw_offset")) - F.floor(begin + F.col("_uw_offset"))
     mixed = mixed.withColumn("copies", F.least(copies, F.lit(epochs)).cast("long"))
     return mixed.select(
