@@ -315,25 +315,27 @@ def predict_with_threshold(spark, sf_dir):
     return predicted(spark, sf_dir)
 
 
-@query(f"WITH {PREDICTED} SELECT sample_id, sample_id || ': ' || predicted AS line FROM decided WHERE module = 'click'")
+@query(f"WITH {PREDICTED} SELECT sample_id, module, sample_id || ': ' || predicted AS line FROM decided")
 def prediction_report(spark, sf_dir):
-    return ev.prediction_report(predicted(spark, sf_dir).where("module = 'click'"))
+    return ev.prediction_report(predicted(spark, sf_dir), by=BY_MODULE)
 
 
-AGREE = "agreement AS (SELECT v.sample_id, count(*) FILTER ((CASE WHEN v.p_malicious >= 0.5 THEN 'malicious' ELSE 'benign' END) = p.predicted) AS agreeing, count(*) AS trees FROM predictions v JOIN decided p ON v.sample_id = p.sample_id AND p.module = 'click' GROUP BY v.sample_id)"
+#: The votes on a sample are held against the decision of each of its modules.
+BY_MODULE = ("sample_id", "module")
+AGREE = "agreement AS (SELECT v.sample_id, p.module, count(*) FILTER ((CASE WHEN v.p_malicious >= 0.5 THEN 'malicious' ELSE 'benign' END) = p.predicted) AS agreeing, count(*) AS trees FROM predictions v JOIN decided p ON v.sample_id = p.sample_id GROUP BY v.sample_id, p.module)"
 
 
 @query(f"WITH {PREDICTED}, {AGREE} SELECT * FROM agreement")
 def tree_agreement(spark, sf_dir):
     p = predicted(spark, sf_dir)
-    return ev.tree_agreement(p.select("sample_id", F.col("module").alias("tree"), "p_malicious"), p.where("module = 'click'"))
+    return ev.tree_agreement(p.select("sample_id", F.col("module").alias("tree"), "p_malicious"), p, by=BY_MODULE)
 
 
-@query(f"""WITH {PREDICTED}, {AGREE} SELECT d.sample_id, d.sample_id || ': ' || d.predicted || ' (' || d.label || ') Proba: [' || printf('%.4f', 1 - d.p_malicious) || ' ' || printf('%.4f', d.p_malicious) || '] Majority: ' || a.agreeing || '/' || a.trees AS line
-FROM decided d JOIN agreement a USING (sample_id) WHERE d.module = 'click'""")
+@query(f"""WITH {PREDICTED}, {AGREE} SELECT d.sample_id, d.module, d.sample_id || ': ' || d.predicted || ' (' || d.label || ') Proba: [' || printf('%.4f', 1 - d.p_malicious) || ' ' || printf('%.4f', d.p_malicious) || '] Majority: ' || a.agreeing || '/' || a.trees AS line
+FROM decided d JOIN agreement a USING (sample_id, module)""")
 def prediction_report_verbose(spark, sf_dir):
-    p = predicted(spark, sf_dir).where("module = 'click'")
-    return ev.prediction_report(p.join(tree_agreement(spark, sf_dir), "sample_id"), verbose=True)
+    p = predicted(spark, sf_dir)
+    return ev.prediction_report(p.join(tree_agreement(spark, sf_dir), list(BY_MODULE)), verbose=True, by=BY_MODULE)
 
 
 @query(f"""WITH {PREDICTED}, c AS (SELECT count(*) FILTER (label = 'malicious' AND predicted = 'malicious') AS tp, count(*) FILTER (label = 'benign' AND predicted = 'malicious') AS fp,
@@ -400,9 +402,9 @@ def ast_value_features(spark, sf_dir):
     return tr.ast_value_features(td.order_trees(spark, sf_dir))
 
 
-@query(f"WITH {NODES} SELECT sample_id, node_id, CASE value_type WHEN 'string' THEN 'String' WHEN 'int' THEN 'Int' ELSE 'Literal' END AS literal, coalesce(vvalue, vname) AS leaf FROM nodes WHERE depth = 3")
+@query(f"WITH {NODES} SELECT sample_id, node_id, CASE value_type WHEN 'string' THEN 'String' WHEN 'int' THEN 'Int' ELSE 'Literal' END AS literal, coalesce(vvalue, vname) AS leaf FROM nodes")
 def literal_type_and_leaf_value(spark, sf_dir):
-    return td.order_trees(spark, sf_dir).where("depth = 3").select(
+    return td.order_trees(spark, sf_dir).select(
         "sample_id",
         "node_id",
         literal_type(F.col("value_type"), F.col("attributes")).alias("literal"),
