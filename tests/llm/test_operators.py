@@ -680,6 +680,33 @@ def test_near_duplicates_of_groups_with_many_edits(spark):
     assert got == {k: find(k) for k in words} and 20 < len(set(got.values())) < 400
 
 
+def test_near_duplicate_rounds_read_documents_twice(spark, monkeypatch, tmp_path):
+    """However many rounds a group takes, texts are read for sketches and once more, and a round stores few tables. Rounds
+    that take more leaders at once find the same classes."""
+    rng = random.Random(29)
+    rows = []
+    for g in range(2):
+        middle = [f"w{g}_{rng.randrange(3_000)}" for _ in range(150)]
+        for _ in range(120):
+            copy = list(middle)
+            for at in rng.sample(range(150), rng.randrange(1, 9)):
+                copy[at] = middle[rng.randrange(150)]
+            rows.append((len(rows), " ".join(copy)))
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    stored, write = [], near_dup.write_shared
+    monkeypatch.setattr(near_dup, "write_shared", lambda df, name: (stored.append((name, any(path in f for f in df.inputFiles()))), write(df, name))[1])
+    classes, rounds = [], []
+    for comparisons in (0, 30_000_000):
+        monkeypatch.setattr(near_dup, "COMPARISONS", comparisons, raising=False)
+        stored.clear()
+        classes.append({r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.read.parquet(path)).collect()})
+        names = [name for name, _ in stored if name not in ("edges", "labels", "moved")]
+        rounds.append(names.count("members"))
+        assert sum(read for _, read in stored) <= 2 and len(names) <= 5 + 4 * rounds[-1]
+    assert classes[0] == classes[1] and rounds[0] > rounds[1] == 2 and 2 < len(set(classes[0].values())) < 240
+
+
 def test_bins_bound_what_is_shared():
     rng = np.random.default_rng(5)
     for n in (1, 40, 400, 40_000):

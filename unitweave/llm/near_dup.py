@@ -23,6 +23,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_MEMORY = 500_000
 #: Bins of the shingle counts that bound what two texts share; how many times more leaders a bucket has in each round.
 BINS, MORE_LEADERS = 128, 16
+#: Comparisons of members with leaders for which a round takes more leaders at once.
+COMPARISONS = 30_000_000
 #: Marks of repeated rows that are broadcast, at most.
 MARKS = 1_000_000
 
@@ -181,10 +183,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     )
 
 
-def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _placed(named: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with most (the bucket's largest component) and outside (how
     many members are not in it). Both come from partial aggregation, so a bucket is never gathered."""
-    named = members.join(labels.select("node", "root"), "node")
     by_root = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.max("mates").alias("mates"))
     buckets = by_root.groupBy("bucket").agg(
         F.sum("k").alias("k"), F.max(F.struct("k", (-F.col("mates")).alias("m"), "root")).alias("most")
@@ -197,6 +198,15 @@ def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _leaders(placed: DataFrame, least: int) -> tuple[int, int]:
+    """How many leaders each bucket gets in a round, and the most members that any bucket has outside its largest
+    component. At least `least` leaders; as many as the last round would need if that makes few comparisons in all."""
+    steps = [least * MORE_LEADERS**k for k in range(1, 5)]
+    costs = [F.sum(F.least("outside", F.lit(s))).alias(str(s)) for s in steps]
+    outside, *found = placed.agg(F.max("outside"), *costs).first()
+    return max([least, *(s for s, c in zip(steps, found, strict=True) if c is not None and c <= COMPARISONS)]), outside or 0
+
+
 def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
     """Pairs to verify: the members of a bucket with its leaders of other components.
 
@@ -205,11 +215,13 @@ def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
     as of any two components one is not the largest. Of a text at most `common` shingles can be aligned, and a pair
     needs similarity / (1 + similarity) of both texts' shingles: pairs that can't have them, by these numbers or by the
     bins of their shingles (from the second round on), are left out.
+
+    Columns: the nodes a and b, and root_a and root_b, their components' least (first_id, node).
     """
     all_lead = F.col("outside") <= leaders
     slice_ = F.when(~all_lead, F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
     binned_ = [c for c in placed.columns if c == "bins"]
-    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "common", "root", *binned_)).alias("l")
+    best = F.max(F.struct("mates", F.xxhash64("node", "bucket").alias("h"), "node", "n", "common", "root", "class_id", *binned_)).alias("l")
     leading = placed.where("root != most").groupBy(
         "bucket", F.when(all_lead, F.col("node")).alias("_1"), slice_.alias("_2")
     ).agg(best).select("bucket", "l")
@@ -218,116 +230,117 @@ def _links(placed: DataFrame, leaders: int, similarity: float) -> DataFrame:
     if binned_:
         shared = F.aggregate(F.zip_with("bins", "l.bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
         may = may & (shared >= need)
-    both = placed.select("bucket", "node", "n", "common", "root", *binned_).join(leading, "bucket").where((F.col("root") != F.col("l.root")) & may)
-    return both.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    both = placed.select("bucket", "node", "n", "common", "root", "class_id", *binned_).join(leading, "bucket").where((F.col("root") != F.col("l.root")) & may)
+    ends = [F.struct(F.col(f"{at}node").alias("node"), F.struct(F.col(f"{at}class_id").alias("first_id"), F.col(f"{at}root").alias("node")).alias("root")) for at in ("", "l.")]
+    pairs = both.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    return pairs.select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")
+    ).dropDuplicates(["a", "b"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose bins leave room for the similarity, so that few texts are read for those that do not align."""
+    columns = pairs.columns
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [may_align(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = [may_align(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("bins_a"), batch.column("bins_b"), strict=True)]
+            yield batch.select(columns).filter(pa.array(good, pa.bool_()))
 
     bins = lambda end: nodes.select(F.col("node").alias(end), F.col("bins").alias(f"bins_{end}"))
-    return pairs.join(bins("b"), "b").join(bins("a"), "a").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a binary, b binary")
+    return pairs.join(bins("b"), "b").join(bins("a"), "a").select(*columns, "bins_a", "bins_b").mapInArrow(bound, pairs.schema)
 
 
-def _bounded(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The members with their bins and `common`, the number of their shingles that stand in another member's text too: no
-    alignment with another member has more. Members of which this leaves less than the similarity can't be linked and go.
-
-    The texts of members are hashed again. Shingles are counted by text before they meet, so the common ones of a large
-    group are added up in the tasks.
-    """
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
+def _bodies(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, body (the shingles), bins (as numbers) of the wanted nodes (node, doc_id), whose texts are hashed again."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, int] = {}
         for batch in batches:
+            nodes, counts, bodies, bins = [], [], [], []
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = word_hashes(text.as_py() or "", memory)
                 if xxhash.xxh3_128_digest(words.tobytes()) == node.as_py():
-                    values, times = np.unique(shingles(words), return_counts=True)
-                    names = pa.array([node.as_py()], pa.binary()).take(pa.array(np.zeros(len(values), np.int32)))
-                    yield pa.RecordBatch.from_arrays(
-                        [names, pa.array(values.view(np.int64)), pa.array(times.astype(np.int32))], ["node", "shingle", "times"]
-                    )
+                    hashes = shingles(words)
+                    nodes.append(node.as_py())
+                    counts.append(len(hashes))
+                    bodies.append(hashes.tobytes())
+                    bins.append(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(bins) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate([*bins, np.zeros(0, np.int32)]))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), pa.array(bodies, pa.binary()), lists],
+                ["node", "n", "body", "bins"],
+            )
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    each = texts.mapInArrow(count, "node binary, shingle long, times int")
-    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node"), F.first("times").alias("times")).where("k = 1")
-    own = write_shared(alone.groupBy("node").agg(F.sum("times").alias("own")), "own")
-    known = members.select("node", "n").distinct().join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n")
-    left = known.where(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-9).join(nodes.select("node", F.col("bins").alias("packed")), "node")
+    return texts.mapInArrow(rehash, "node binary, n int, body binary, bins array<int>").dropDuplicates(["node"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = [np.frombuffer(x.as_py(), np.uint8 if len(x.as_py()) == BINS else np.uint32).astype(np.int32) for x in batch.column(2)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate([*bins, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["node", "common", "bins"])
-
-    bounds = left.select("node", "common", "packed").mapInArrow(unpack, "node binary, common long, bins array<int>")
-    return members.select("bucket", "node", "n", "mates").join(bounds, "node")
 
+def _bounded(members: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The members with their bins and `common`, the number of their shingles that stand in another member's text too: no
+    alignment with another member has more. Members of which this leaves less than the similarity can't be linked and go.
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts align. Only texts that stand in a pair are hashed again and joined."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+    Shingles are counted by text before they meet, so the common ones of a large group are added up in the tasks.
+    """
 
-    def rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, int] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for node, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = word_hashes(text.as_py() or "", memory)
-                if xxhash.xxh3_128_digest(words.tobytes()) == node.as_py():
-                    kept.append((node.as_py(), shingles(words).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.binary())],
-                ["node", "body"],
-            )
+            for node, body in zip(batch.column(0), batch.column(1), strict=True):
+                values, times = np.unique(np.frombuffer(body.as_py(), np.uint64), return_counts=True)
+                names = pa.array([node.as_py()], pa.binary()).take(pa.array(np.zeros(len(values), np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(values.view(np.int64)), pa.array(times.astype(np.int32))], ["node", "shingle", "times"]
+                )
+
+    left = bodies.select("node", "body").join(members.select("node"), "node", "left_semi")
+    each = left.mapInArrow(count, "node binary, shingle long, times int")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node"), F.first("times").alias("times")).where("k = 1")
+    own = alone.groupBy("node").agg(F.sum("times").alias("own"))
+    bounds = bodies.select("node", "n", "bins").join(own, "node", "left").select(
+        "node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n", "bins"
+    ).where(F.col("common") >= F.lit(similarity) * F.col("n") - 1e-9)
+    return members.select("bucket", "node", "mates").join(bounds, "node")
 
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("node", "text")
-    bodies = write_shared(texts.mapInArrow(rehash, "node binary, body binary"), "bodies").dropDuplicates(["node"])
+
+def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The components a and b of the pairs whose texts align."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(batch.column("body_a"), batch.column("body_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(
-        bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"
-    ).join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-    return joined.select("a", "b", "body_a", "body_b").mapInArrow(align, "a binary, b binary")
+    body = lambda end: bodies.select(F.col("node").alias(end), F.col("body").alias(f"body_{end}"))
+    joined = pairs.join(body("b"), "b").join(body("a"), "a").select(
+        F.col("root_a").alias("a"), F.col("root_b").alias("b"), "body_a", "body_b"
+    )
+    return joined.mapInArrow(align, joined.select("a", "b").schema).distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, label of each node that has an edge; label is the least (first_id, node) of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """node, label of each end of an edge; a and b and what is returned are (first_id, node), label is the least of its
+    component.
 
-    Labels go along the edges and then from each label to its own label, until nothing changes.
+    Labels go along the edges and then from each label to the label it had before, until nothing changes.
     """
     both = write_shared(
         edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))),
         "edges",
     )
-    own = both.select("node").distinct().join(nodes, "node").select("node", F.struct("first_id", "node").alias("label"))
-    labels = write_shared(own, "labels")
+    labels = write_shared(
+        both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels"
+    )
     while True:
-        near = both.join(
-            labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other"
-        ).groupBy("node").agg(F.min("theirs").alias("theirs"))
-        moved = write_shared(labels.join(near, "node").select("node", "label", F.least("label", "theirs").alias("new")), "moved")
-        if not moved.where(F.col("label.node") != F.col("new.node")).limit(1).count():
-            return labels
-        jump = moved.select(F.col("node").alias("to"), F.col("new").alias("further"))
-        labels = write_shared(
-            moved.withColumn("to", F.col("new.node")).join(jump, "to").select(
-                "node", F.least("new", "further").alias("label")
-            ),
-            "labels",
-        )
+        known = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
+        near = both.withColumnRenamed("other", "to").join(known, "to").groupBy("node").agg(F.min("further").alias("theirs"))
+        moved = labels.join(near, "node").select("node", "label", F.least("label", "theirs").alias("to"))
+        new = F.least("to", "further")
+        labels = write_shared(moved.join(known, "to").select("node", new.alias("label"), (new != F.col("label")).alias("moved")), "labels")
+        if not labels.where("moved").limit(1).count():
+            return labels.select("node", "label")
+        labels = labels.drop("moved")
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,41 +364,47 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ).where("first_id is not null")
     nodes = write_shared(nodes, "nodes")
     entries = nodes.select(
-        "node", "n", F.posexplode("sketches").alias("t", "s")
-    ).select(F.xxhash64("t", "s").alias("bucket"), "node", "n")
+        "node", "first_id", "n", F.posexplode("sketches").alias("t", "s")
+    ).select(F.xxhash64("t", "s").alias("bucket"), "node", "first_id", "n")
     shared = write_shared(
         entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"),
         "entries",
     )
-    members = shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node").withColumn("common", F.col("n"))
+    members = shared.join(shared.groupBy("node").agg(F.sum("size").alias("mates")), "node").select(
+        "bucket", "node", "n", "mates", F.col("n").alias("common"), F.col("node").alias("root"), F.col("first_id").alias("class_id")
+    )
     labels = nodes.select("node", F.col("node").alias("root"), F.col("first_id").alias("class_id"))
-    tested, leaders = None, 1
+    bodies, tested, least = None, None, 1
     while True:
-        placed = write_shared(_placed(members, labels), "members")
-        if not placed.limit(1).count():
+        placed = write_shared(_placed(members), "members")
+        leaders, outside = (1, placed.agg(F.max("outside")).first()[0] or 0) if bodies is None else _leaders(placed, least)
+        if not outside:
             break
+        left = placed.where(F.col("outside") > leaders)
         pairs = _links(placed, leaders, similarity)
         pairs = write_shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        possible = write_shared(_possible(pairs, nodes, similarity), "possible")
-        if possible.limit(1).count():
-            # found links join whole components: only their roots go through the search
-            root = lambda end, of=labels: of.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-            found = _verified(possible, nodes, docs, similarity).join(root("a"), "a").join(root("b"), "b")
-            found = write_shared(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "verified")
-            if found.limit(1).count():
-                merged = components(found, nodes).select(F.col("node").alias("root"), "label")
-                labels = labels.join(merged, "root", "left").select(
-                    "node",
-                    F.coalesce("label.node", "root").alias("root"),
-                    F.coalesce("label.first_id", "class_id").alias("class_id"),
-                )
-                labels = write_shared(labels, "labels")
-        members = placed.where(F.col("outside") > leaders).select("bucket", "node", "n", "mates")
-        if not members.limit(1).count():
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        if bodies is None:  # only texts that may be aligned now or later are hashed again, once for all rounds
+            pairs = write_shared(_possible(pairs, nodes, similarity), "possible")
+            wanted = reduce(DataFrame.union, [
+                left.select("node", F.col("class_id").alias("doc_id")),
+                *(pairs.select(x, F.col(f"root_{x}.first_id")) for x in ("a", "b")),
+            ]).distinct()
+            bodies = write_shared(_bodies(wanted, docs), "bodies")
+        # found links join whole components: only their roots go through the search
+        found = write_shared(_verified(pairs, bodies, similarity), "verified")
+        if found.limit(1).count():
+            merged = components(found).select(F.col("node.node").alias("root"), "label")
+            labels = labels.join(merged, "root", "left").select(
+                "node",
+                F.coalesce("label.node", "root").alias("root"),
+                F.coalesce("label.first_id", "class_id").alias("class_id"),
+            )
+            labels = write_shared(labels, "labels")
+        if outside <= leaders:
             break
-        members = write_shared(_bounded(members, nodes, docs, similarity), "bounded")
-        leaders *= MORE_LEADERS
+        members = write_shared(_bounded(left, bodies, similarity).join(labels, "node"), "bounded")
+        least = leaders * MORE_LEADERS
 
     return sketches.select("doc_id", "key").join(
         labels.select(F.col("node").alias("key"), "class_id"), "key", "left"
