@@ -1,9 +1,8 @@
-"""Definitions and uses of names out of node tables, and the data edges between them.
+"""Definitions and uses of names in trees, and the data edges between them.
 
-Subtrees are intervals of pre-order ids, so whatever a node stands in is a set of nested intervals: scopes, branches,
-statements. Levels of such intervals are running sums over their begins and ends, the innermost one at a point is the
-last that began at the point's level, and all lookups of definitions are as-of windows over (scope, name). A name is never
-compared with another name's events, and no step walks nodes one by one.
+A tree is read and resolved in one task (`functions/walks.py`): one pass over its nodes places them and gives the events,
+one pass over the events in order of time links uses to definitions, which are kept by (scope, name). Trees in JSON need no
+exchange at all; nodes in rows meet once per tree.
 
 events: sample_id, pos (node of the identifier), t (time in evaluation order), at (node that the scopes are looked up from),
 name, kind (def, use), how (declare, assign, call; null for uses), is_function (uses before it are linked to it if nothing
@@ -14,48 +13,17 @@ or GLOBAL), home (innermost function, object or root), top (whether the place is
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.functions.tables import RESERVED, STATEMENTS
-from unitweave.operators.trees import nearest_statement, structure_edges
-from unitweave.sources.files import store
+from unitweave.functions.walks import GLOBAL, Placed  # noqa: F401
+from unitweave.operators.trees import map_nodes, map_trees
 
-#: The scope of names that every later place of a sample sees, wherever they were written.
-GLOBAL = -1
-FUNCTIONS = ["FunctionDeclaration", "FunctionExpression"]
-#: Events of one node follow each other by at most this many steps.
-STEPS = 4
-#: Parents whose children are evaluated in tree order, though they are statements.
-IN_ORDER = ["FunctionDeclaration", "VariableDeclaration"]
 EVENTS = ["sample_id", "pos", "t", "at", "name", "kind", "how", "is_function", "quiet", "scope", "home", "top"]
-
-
-def ancestors(nodes: DataFrame, marks: dict[str, Column], near: Sequence[str] = (), sums: dict[str, Column] | None = None) -> DataFrame:
-    """For each mark, x_level (marked nodes at or above the node), and x_near (the innermost of them) if it is in `near`; for
-    each sum, x_sum of its values at or above the node. One running pass over begins and ends of subtrees, then one window
-    for each of `near`."""
-    sums = sums or {}
-    values = {f"_{k}": F.coalesce(c.cast("long"), F.lit(0)) for k, c in {**{k: c.cast("int") for k, c in marks.items()}, **sums}.items()}
-    flagged = nodes.withColumns(values)
-    begins = flagged.withColumns({"_at": F.col("node_id").cast("long"), "_side": F.lit(1)})
-    some = reduce(lambda x, y: x | y, [F.col(c) != 0 for c in values])
-    ends = flagged.where(some).withColumns({"_at": F.col("subtree_end") + F.lit(1).cast("long"), "_side": F.lit(0), **{c: -F.col(c) for c in values}})
-    running = Window.partitionBy("sample_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    summed = begins.unionByName(ends).withColumns(
-        {f"{k}_level": F.sum(f"_{k}").over(running) for k in marks} | {f"{k}_sum": F.sum(f"_{k}").over(running) for k in sums}
-    ).where("_side = 1")
-    innermost = {
-        f"{k}_near": F.when(
-            F.col(f"{k}_level") > 0,
-            F.last(F.when(F.col(f"_{k}") == 1, F.col("node_id")), ignorenulls=True).over(
-                Window.partitionBy("sample_id", f"{k}_level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        ) for k in near
-    }
-    return summed.withColumns(innermost).drop(*values, "_at", "_side")
+_EVENTS = "t long, pos int, at long, name string, kind string, how string, is_function boolean, quiet boolean, scope int, home int, top boolean"
+_LINKS = "name string, end_id int, t long, begin_id int, begin_t long, how string"
+_EDGES = "src int, dst int, ord long, begin_id int, end_id int, name string"
 
 
 def enclosing(points: DataFrame, intervals: DataFrame, payload: Sequence[str]) -> DataFrame:
@@ -85,109 +53,20 @@ def enclosing(points: DataFrame, intervals: DataFrame, payload: Sequence[str]) -
     return found.select(*names, F.col("level").cast("int").alias("level"), *[F.col(f"_in.{c}").alias(c) for c in payload])
 
 
-def placed_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes with what the rules ask of their parents and siblings, their place in evaluation order, and what they stand in.
-
-    Evaluation order: in a statement, what is linked to it comes first, then what it passes control to, then its true and
-    then its false branch; elsewhere it is tree order. A child that moves takes its subtree along, so a node's time is its
-    id plus the sum of the moves at or above it.
-    """
+def _over(trees: DataFrame, of, schema: str) -> DataFrame:
+    """Rows of each tree, given in JSON (column tree) or as nodes."""
+    if "tree" in trees.columns:
+        return map_trees(trees, of, schema)
     attribute = lambda k: F.element_at("attributes", k)
-    narrow = nodes.select(
-        "sample_id", "node_id", "parent_id", "child_ix", "subtree_end", "name", "body", attribute("name").alias("ident"), attribute("kind").alias("declares"),
-        attribute("operator").alias("operator"), F.lower(attribute("computed")).isin("true", "1").alias("computed"),
-        F.array_contains(F.map_values("attributes"), "window").alias("says_window"),
-    )
-    control = structure_edges(nodes).where("type = 'control'").select(
-        "sample_id", F.col("dst").alias("node_id"), F.when(F.col("label") == "e", 1).when(F.col("label") == "true", 2).otherwise(3).alias("turn"),
-        "src", "label",
-    )
-    siblings = Window.partitionBy("sample_id", "parent_id").orderBy("child_ix")
-    kids = narrow.withColumns(
-        {
-            "first_name": F.first("name").over(siblings),
-            "first_ident": F.first("ident").over(siblings),
-            "first_window": F.first("says_window").over(siblings),
-            "next": F.lead(F.struct("node_id", "name", "ident")).over(siblings),
-        }
-    )
-    up = narrow.select(
-        "sample_id", F.col("node_id").alias("parent_id"), F.col("name").alias("up_name"), F.col("parent_id").alias("up_parent"),
-        F.col("computed").alias("up_computed"), F.col("operator").alias("up_operator"),
-    )
-    over = narrow.select("sample_id", F.col("node_id").alias("up_parent"), F.col("name").alias("over_name"))
-    # the first child of a node follows it in pre-order
-    next_ = Window.partitionBy("sample_id").orderBy("node_id")
-    below = F.lead(F.struct("parent_id", F.col("name").alias("low_name"), F.col("says_window").alias("low_window"))).over(next_)
-    wide = kids.withColumn("_below", below).withColumns(
-        {c: F.when(F.col("_below.parent_id") == F.col("node_id"), F.col(f"_below.{c}")) for c in ("low_name", "low_window")}
-    ).drop("_below", "says_window", "computed", "operator")
-    wide = wide.join(control, ["sample_id", "node_id"], "left").join(up.join(over, ["sample_id", "up_parent"], "left"), ["sample_id", "parent_id"], "left")
-    size = F.col("subtree_end") - F.col("node_id") + 1
-    before = lambda *order: F.coalesce(F.sum(size).over(Window.partitionBy("sample_id", "parent_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    turn = F.when(F.col("up_name").isin([s for s in STATEMENTS if s not in IN_ORDER]), F.coalesce("turn", F.lit(0))).otherwise(0)
-    moved = wide.withColumn("_turn", turn).withColumn("_move", F.when(F.col("parent_id").isNotNull(), before("_turn", "child_ix") - before("child_ix")).otherwise(0))
-    first, name, up_name = F.col("child_ix") == 0, F.col("name"), F.col("up_name")
-    collects = (
-        F.when(first & (up_name == "VariableDeclarator"), "declare").when(first & (up_name == "AssignmentExpression"), "assign")
-        .when(first & (up_name == "UpdateExpression"), "update")
-        .when(first & (up_name == "CallExpression") & (name == "MemberExpression") & (F.col("low_name") != "ThisExpression") & ~F.coalesce("low_window", F.lit(False)), "call")
-        .when(up_name.isin(FUNCTIONS) & F.col("body").isin("id", "params"), F.col("body"))
-        .when((F.col("over_name") == "ObjectExpression") & (F.col("body") == "key"), "key")
-    )
-    keeps_top = name.isin([s for s in STATEMENTS if s != "FunctionDeclaration"]) | name.isin("AssignmentExpression", "UpdateExpression", "VariableDeclarator", "Identifier") | (
-        (name == "CallExpression") & (F.col("low_name") == "MemberExpression")
-    )
-    marked = moved.withColumn("collects", collects)
-    found = ancestors(
-        marked,
-        {
-            "collector": F.col("collects").isNotNull(),
-            "object": name == "ObjectExpression",
-            "statement": name.isin(STATEMENTS),
-            "home": name.isin(*FUNCTIONS, "ObjectExpression") | F.col("parent_id").isNull(),
-            "off": F.col("parent_id").isNotNull() & ~keeps_top & F.col("collects").isNull(),
-        },
-        ["object", "statement", "home"],
-        {"move": F.col("_move")},
-    )
-    outer = F.when(
-        F.col("collector_level") > 0,
-        F.last(F.when((F.col("collector_level") == 1) & F.col("collects").isNotNull(), F.struct("node_id", "collects", "up_name", "parent_id", "home_near")), ignorenulls=True).over(
-            Window.partitionBy("sample_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    return found.withColumn("outer", outer).withColumn("seq", (F.col("node_id") + F.col("move_sum")).cast("long")).drop("_turn", "_move", "move_sum")
-
-
-def scopes_of(placed: DataFrame) -> DataFrame:
-    """Nodes at whose end names expire: the root, functions, object literals, and the statements that hold a let or const
-    below the top level. sample_id, begin, end (node ids), is_block."""
-    homes = placed.where("home_near = node_id").select("sample_id", F.col("node_id").alias("begin"), F.col("subtree_end").alias("end"), F.lit(False).alias("is_block"))
-    limited = placed.where((F.col("name") == "VariableDeclaration") & (F.col("declares") != "var") & (F.col("off_level") > 0))
-    # the statement around a declaration is the one at its parent
-    around = placed.select("sample_id", F.col("node_id").alias("parent_id"), F.col("statement_near").alias("block"))
-    holders = limited.select("sample_id", "parent_id").join(around, ["sample_id", "parent_id"]).where("block is not null").select("sample_id", F.col("block").alias("node_id")).distinct()
-    blocks = placed.where("home_near <> node_id").join(holders, ["sample_id", "node_id"]).select("sample_id", F.col("node_id").alias("begin"), F.col("subtree_end").alias("end"), F.lit(True).alias("is_block"))
-    return homes.unionByName(blocks)
+    return map_nodes(trees, of, schema, {
+        "name": F.col("name"), "parent_id": F.col("parent_id"), "body": F.col("body"), "ident": attribute("name"), "kind": attribute("kind"),
+        "operator": attribute("operator"), "computed": F.lower(attribute("computed")).isin("true", "1"),
+        "window": F.array_contains(F.map_values("attributes"), "window"),
+    })
 
 
-def branches_of(placed: DataFrame) -> DataFrame:
-    """Statements with a true and a false branch: sample_id, t_begin (time at which the true branch begins), begin and end of
-    the false branch. A case's false branch is all cases after it."""
-    last = placed.select("sample_id", F.col("node_id").alias("parent_id"), (F.col("seq") + F.col("subtree_end") - F.col("node_id")).alias("up_last"))
-    arms = placed.where("label in ('true', 'false') and src is not null").join(last, ["sample_id", "parent_id"])
-    own = F.col("seq") + F.col("subtree_end") - F.col("node_id")
-    yes, no = F.col("label") == "true", F.col("label") == "false"
-    return arms.groupBy("sample_id", "src").agg(
-        F.min(F.when(yes, F.col("seq"))).alias("t_begin"),
-        F.min(F.when(no, F.col("seq"))).alias("begin"),
-        F.max(F.when(no, F.when(F.col("up_name") == "SwitchStatement", F.col("up_last")).otherwise(own))).alias("end"),
-    ).where("t_begin < begin")
-
-
-def identifier_events(nodes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """Definitions and uses of names, by patterns over nodes.
+def identifier_events(trees: DataFrame) -> DataFrame:
+    """Definitions and uses of names, by patterns over nodes. Here and below, trees are in JSON (sample_id, tree) or nodes.
 
     * Of obj.prop only obj counts; of this.x and window.x only x; of a[i] also i. What stands in an object literal inside
       a target is left out.
@@ -200,126 +79,26 @@ def identifier_events(nodes: DataFrame, placed: DataFrame | None = None) -> Data
     * The name of a function declaration is defined outside of it, keys of an object literal inside the literal; both also
       serve earlier uses that nothing else defines.
     """
-    placed = placed_nodes(nodes) if placed is None else placed
-    ids = placed.where((F.col("name") == "Identifier") & F.col("parent_id").isNotNull() & F.col("ident").isNotNull())
-    member, first = F.col("up_name") == "MemberExpression", F.col("child_ix") == 0
-    self_ = F.col("ident").isin("this", "window")
-    beside = member & first & self_ & (F.col("next.name") == "Identifier")
-    counted = (
-        F.when(~member, True).when(first & self_, F.col("next.name") == "Identifier").when(first, True)
-        .when(F.col("first_name") == "ThisExpression", True).otherwise(F.col("up_computed"))
-    )
-    covered = F.col("outer").isNotNull()
-    hidden = covered & (F.col("object_near") >= F.col("outer.node_id"))
-    some = ids.where(F.coalesce(counted, F.lit(False)) & ~F.coalesce(hidden, F.lit(False)))
-    how = F.when(covered, F.col("outer.collects")).when(F.col("up_name") == "CatchClause", "catch").otherwise("use")
-    chained = F.col("over_name") == "MemberExpression"
-    at_object = member & ((F.col("first_name") != "ThisExpression") & ~F.coalesce("first_window", F.lit(False)) | chained)
-    indexed = at_object & F.coalesce("up_computed", F.lit(False))
-    compound = F.coalesce(F.col("up_operator") != "=", F.lit(False))
-    top = F.col("off_level") == 0
-    long = lambda c: c.cast("long")
-    step = lambda when, k, kind, as_=None, function=False, quiet=False: F.when(when, F.struct(
-        F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(as_).cast("string").alias("how"), F.lit(function).alias("is_function"), F.lit(quiet).alias("quiet")
-    ))
-    target, called = F.col("_how") == "assign", F.col("_how") == "call"
-    steps = F.array(
-        step(F.col("_how").isin("declare", "params", "catch"), 0, "def", "declare"),
-        step(F.col("_how") == "key", 0, "def", "declare", True),
-        step((F.col("_how") == "id") & (F.col("outer.up_name") == "FunctionDeclaration"), 0, "def", "declare", True),
-        step((F.col("_how") == "id") & (F.col("outer.up_name") != "FunctionDeclaration"), 0, "def", "declare"),
-        step((target | called) & indexed | F.col("_how").isin("use", "update"), 0, "use"),
-        step((target | called) & at_object & ~indexed, 0, "use", None, False, True),
-        step(target & ~indexed | called & ~at_object | (F.col("_how") == "update"), 1, "def", "assign"),
-        step(called & at_object & ~indexed, 1, "def", "call"),
-        step((target | called) & compound | (F.col("_how") == "update"), 2, "use"),
-    )
-    each = some.withColumn("_how", how).withColumn("_step", F.explode(F.filter(steps, lambda x: x.isNotNull())))
-    outside = (F.col("_how") == "id") & (F.col("outer.up_name") == "FunctionDeclaration")
-    let = (F.col("_how") == "declare") & F.col("block").isNotNull()
-    declared = F.col("_step.how") == "declare"
-    # names of functions belong to the scope around the function, whose node is the collector's parent
-    around = placed.select("sample_id", F.col("node_id").alias("_fn"), F.col("parent_id").alias("_fn_up"))
-    homes = placed.select("sample_id", F.col("node_id").alias("_fn_up"), F.col("home_near").alias("_fn_home"))
-    each = each.withColumn("_fn", F.when(outside, F.col("outer.parent_id"))).join(around.join(homes, ["sample_id", "_fn_up"]), ["sample_id", "_fn"], "left")
-    # the declaration around a declarator is its parent, the statement around that at the declaration's parent
-    lets = placed.where((F.col("name") == "VariableDeclaration") & (F.col("declares") != "var") & (F.col("off_level") > 0)).select(
-        "sample_id", F.col("node_id").alias("_declaration"), F.col("parent_id").alias("_up")
-    )
-    blocks = placed.select("sample_id", F.col("node_id").alias("_up"), F.col("statement_near").alias("block"))
-    declarators = placed.where("name = 'VariableDeclarator'").select("sample_id", F.col("node_id").alias("_declarator"), F.col("parent_id").alias("_declaration"))
-    limited = declarators.join(lets, ["sample_id", "_declaration"]).join(blocks, ["sample_id", "_up"]).select("sample_id", "_declarator", "block")
-    each = each.withColumn("_declarator", F.when(F.col("_how") == "declare", F.col("outer.parent_id"))).join(limited, ["sample_id", "_declarator"], "left")
-    global_ = F.col("_how").isin("declare", "catch") & top
-    scope = F.when(declared, F.when(global_, F.lit(GLOBAL)).when(outside, F.col("_fn_home")).when(let, F.greatest("block", "home_near")).otherwise(F.col("home_near")))
-    where = F.when(beside, F.struct(F.col("next.node_id").alias("pos"), F.col("next.ident").alias("name"))).otherwise(F.struct(F.col("node_id").alias("pos"), F.col("ident").alias("name")))
-    return each.withColumn("_where", where).where("_where.name is not null").select(
-        "sample_id", F.col("_where.pos").alias("pos"), (F.col("seq") * STEPS + F.col("_step.k")).alias("t"),
-        long(F.coalesce("_fn_up", "node_id")).alias("at"), F.col("_where.name").alias("name"), F.col("_step.kind").alias("kind"), F.col("_step.how").alias("how"),
-        F.col("_step.is_function").alias("is_function"), F.col("_step.quiet").alias("quiet"), scope.cast("int").alias("scope"),
-        F.coalesce("_fn_home", "home_near").alias("home"), top.alias("top"),
-    )
+    return _over(trees, _events, _EVENTS).select(*EVENTS)
 
 
-def _probes(points: DataFrame, branches: DataFrame) -> DataFrame:
-    """Times from which a definition is looked for backwards, per point: sample_id, t, before, low.
+def _events(tree) -> list[tuple]:
+    return Placed(tree).events
 
-    The first is the point itself. A point in a false branch does not see the true one: it looks in its own branch, then in
-    what came before the true branch, and so on outwards. A find counts if its time is `low` or later.
-    """
-    around = enclosing(points.select("sample_id", "t", F.floor(F.col("t") / STEPS).alias("point")), branches, ["t_begin", "begin"])
-    rows = points.select("sample_id", "t", F.col("t").alias("before"), F.lit(None).cast("long").alias("_begin")).unionByName(
-        around.select("sample_id", "t", (F.col("t_begin") * STEPS).alias("before"), (F.col("begin") * STEPS).alias("_begin"))
-    )
-    outward = Window.partitionBy("sample_id", "t").orderBy(F.desc("before"))
-    return rows.withColumn("low", F.coalesce(F.lead("_begin").over(outward), F.lit(-1))).drop("_begin")
 
+def _links(tree) -> list[tuple]:
+    return Placed(tree).links()
 
-def _as_of(asks: DataFrame, defs: DataFrame) -> DataFrame:
-    """asks (sample_id, scope, name, before, low, ...) with found (t and pos of the latest definition of the name in the
-    scope that is earlier than `before`), where there is one at `low` or later."""
-    own = [c for c in asks.columns if c not in ("sample_id", "scope", "name", "before")]
-    none = [F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in own]
-    key = ["sample_id", "scope", "name"]
-    rows = asks.select(*key, F.col("before").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("struct<t:bigint,pos:int>").alias("found"), *own).unionByName(
-        defs.select(*key, F.col("t").alias("_at"), F.lit(1).alias("_side"), F.struct("t", F.col("pos").cast("int").alias("pos")).alias("found"), *none)
-    )
-    earlier = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("found", F.last("found", ignorenulls=True).over(earlier)).where("_side = 0")
-    return found.where(F.col("found.t") >= F.col("low")).withColumnRenamed("_at", "before").drop("_side")
 
+def _edges(tree) -> list[tuple]:
+    return [(s, d, t, b, e, name) for s, d, t, b, e, name in Placed(tree).data()]
 
-def _scoped(events: DataFrame, scopes: DataFrame, branches: DataFrame) -> DataFrame:
-    """Definitions with their scopes; those of member calls whose object is unknown vanish.
-
-    A write to a declared local name lasts as long as the declaration, but not beyond the function that writes; a write to
-    any other name is global.
-    """
-    declared = events.where("how = 'declare'")
-    writes = events.where("how in ('assign', 'call')")
-    local = _chains(writes.where("not top"), scopes)
-    probes = _probes(writes, branches)
-    known = _as_of(local.join(probes, ["sample_id", "t"]), declared.where(F.col("scope") != GLOBAL)).groupBy("sample_id", "t").agg(F.max("scope").alias("declared_in"))
-    placed = writes.drop("scope").join(known, ["sample_id", "t"], "left").withColumn(
-        "scope", F.when(F.col("declared_in").isNotNull(), F.greatest("declared_in", "home")).otherwise(GLOBAL)
-    ).drop("declared_in").select(*EVENTS)
-    sure = declared.unionByName(placed.where("how = 'assign'"))
-    called = placed.where("how = 'call'")
-    asks = called.select("sample_id", "t", "name", F.lit(GLOBAL).alias("scope")).join(probes, ["sample_id", "t"])
-    seen = _as_of(asks, sure.where(F.col("scope") == GLOBAL)).select("sample_id", "t").distinct().withColumn("_seen", F.lit(True))
-    # on the top level a call looks for local names too
-    own = _as_of(_chains(called.where("top"), scopes).join(probes, ["sample_id", "t"]), declared.where(F.col("scope") != GLOBAL)).select("sample_id", "t").distinct().withColumn("_own", F.lit(True))
-    kept = called.join(seen, ["sample_id", "t"], "left").join(own, ["sample_id", "t"], "left").where((F.col("scope") != GLOBAL) | F.col("_seen") | F.col("_own"))
-    return sure.unionByName(kept.select(*EVENTS))
 
+def _undeclared(tree) -> list[tuple]:
+    return [(name,) for name in {x[0]: None for x in Placed(tree).links() if x[5] is None}]
 
-def _chains(events: DataFrame, scopes: DataFrame) -> DataFrame:
-    """sample_id, t, name and each scope around the event."""
-    points = events.select("sample_id", "t", "name", F.col("at").alias("point"))
-    return enclosing(points, scopes, ["begin"]).select("sample_id", "t", "name", F.col("begin").cast("int").alias("scope"))
 
-
-def resolve_uses(events: DataFrame, scopes: DataFrame, branches: DataFrame) -> DataFrame:
+def resolved_names(trees: DataFrame) -> DataFrame:
     """Each use with the definitions that reach it, or with none: sample_id, name, end_id, t, begin_id, begin_t, how.
 
     A local name is looked up in all scopes around the use, and the latest definition counts; only if there is none, the
@@ -327,80 +106,15 @@ def resolve_uses(events: DataFrame, scopes: DataFrame, branches: DataFrame) -> D
     latest one, which stands in the false branch; "later" for a function or key that stands after the use; null if the
     use is unknown.
     """
-    defs = store(_scoped(events, scopes, branches), "definitions")
-    uses = events.where("kind = 'use'")
-    globally = uses.select("sample_id", "t", "name", F.lit(GLOBAL).alias("scope"))
-    locally = _chains(uses.where("not (quiet and top)"), scopes)
-    asks = locally.unionByName(globally).join(_probes(uses, branches), ["sample_id", "t"])
-    # a local definition goes before a global one, then the latest one
-    best = _as_of(asks, defs).groupBy("sample_id", "t").agg(F.max(F.struct((F.col("scope") != GLOBAL).alias("local"), "found.t", "found.pos", "scope")).alias("b"))
-    latest = best.select("sample_id", F.col("t"), F.col("b.t").alias("begin_t"), F.col("b.pos").alias("begin_id"), F.col("b.scope").alias("scope"))
-    linked = store(uses.select("sample_id", "name", "t", F.col("pos").alias("end_id"), "quiet").join(latest, ["sample_id", "t"], "left"), "linked")
-    first = linked.where("begin_t is not null").select("sample_id", "name", "end_id", "t", "begin_id", "begin_t", "scope")
-    merged = store(_merged(first, defs, branches), "merged")
-    unknown = linked.where(F.col("begin_t").isNull() & ~F.col("quiet") & ~F.lower("name").isin([w.lower() for w in RESERVED]))
-    later = _later(unknown, events)
-    shown = ["sample_id", "name", "end_id", "t", "begin_id", "begin_t"]
-    return (
-        first.select(*shown, F.lit("before").alias("how"))
-        .unionByName(merged.select(*shown, F.lit("branch").alias("how")))
-        .unionByName(later)
-    )
+    return _over(trees, _links, _LINKS)
 
 
-def _merged(first: DataFrame, defs: DataFrame, branches: DataFrame) -> DataFrame:
-    """Definitions that reach uses besides the latest one, by the branches that end before the use: for a definition in a
-    false branch, the last one of the true branch, and so on from there. Each turn goes one branch deeper."""
-    key = ["sample_id", "scope", "name"]
-    points = defs.select(*key, "t", F.floor(F.col("t") / STEPS).alias("point"))
-    inside = enclosing(points, branches, ["t_begin", "begin", "end"])
-    asks = inside.select(*key, F.col("t").alias("begin_t"), (F.col("begin") * STEPS).alias("before"), (F.col("t_begin") * STEPS).alias("low"), ((F.col("end") + 1) * STEPS).alias("over"))
-    partners = store(_as_of(asks, defs).select(*key, "begin_t", "over", F.col("found.t").alias("other_t"), F.col("found.pos").alias("other_id")), "partners")
-    shown = ["sample_id", "name", "end_id", "t", "begin_id", "begin_t", "scope"]
-    found = turn = first
-    new: list[DataFrame] = []
-    while not partners.isEmpty():
-        further = turn.join(partners, [*key, "begin_t"]).where(F.col("over") <= F.col("t")).select(
-            "sample_id", "name", "end_id", "t", F.col("other_id").alias("begin_id"), F.col("other_t").alias("begin_t"), "scope"
-        ).distinct()
-        turn = store(further.join(found, ["sample_id", "t", "begin_t"], "left_anti").select(*shown), "branches")
-        if turn.isEmpty():
-            break
-        new.append(turn)
-        found = found.unionByName(turn)
-    return reduce(DataFrame.unionByName, new) if new else first.limit(0)
-
-
-def _later(unknown: DataFrame, events: DataFrame) -> DataFrame:
-    """Unknown uses with the first function or key of their name after them, if there is one."""
-    rows = unknown.select("sample_id", "name", "t", "end_id", F.lit(None).cast("struct<t:bigint,pos:int>").alias("f")).unionByName(
-        events.where("is_function").select("sample_id", "name", "t", F.lit(None).cast("int").alias("end_id"), F.struct("t", F.col("pos").cast("int").alias("pos")).alias("f"))
-    )
-    after = Window.partitionBy("sample_id", "name").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
-    found = rows.withColumn("f", F.first("f", ignorenulls=True).over(after)).where("end_id is not null")
-    return found.select("sample_id", "name", "end_id", "t", F.col("f.pos").alias("begin_id"), F.col("f.t").alias("begin_t"), F.when(F.col("f").isNotNull(), "later").alias("how"))
-
-
-def resolved_names(nodes: DataFrame) -> DataFrame:
-    """`resolve_uses` for the identifiers of trees. The placed nodes and the events are stored, as all steps read them."""
-    placed = store(placed_nodes(nodes), "placed")
-    events = store(identifier_events(nodes, placed), "events")
-    return resolve_uses(events, store(scopes_of(placed), "scopes"), store(branches_of(placed), "arms"))
-
-
-def data_edges(nodes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+def data_edges(trees: DataFrame) -> DataFrame:
     """Edges from the statement of a definition to the statement of a use: sample_id, src, dst, type (data), ord, begin_id,
     end_id. ord follows the time at which the link is known. Without a statement around either end there is no edge."""
-    resolved = resolved_names(nodes) if resolved is None else resolved
-    near = nearest_statement(nodes)
-    at = lambda c, out: near.select("sample_id", F.col("node_id").alias(c), F.col("statement").alias(out)).where(F.col(out).isNotNull())
-    linked = resolved.where("begin_id is not null").withColumn("ord", F.when(F.col("how") == "later", F.col("begin_t")).otherwise(F.col("t")))
-    return linked.join(at("begin_id", "src"), ["sample_id", "begin_id"]).join(at("end_id", "dst"), ["sample_id", "end_id"]).select(
-        "sample_id", "src", "dst", F.lit("data").alias("type"), "ord", "begin_id", "end_id", "name"
-    )
+    return _over(trees, _edges, _EDGES).select("sample_id", "src", "dst", F.lit("data").alias("type"), "ord", "begin_id", "end_id", "name")
 
 
-def undeclared_names(nodes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """Names that are used where nothing defines them, and are not reserved words."""
-    resolved = resolved_names(nodes) if resolved is None else resolved
-    return resolved.where("how is null").select("sample_id", "name").distinct()
+def undeclared_names(trees: DataFrame) -> DataFrame:
+    """Names that are used where nothing defines them, and are not reserved words; each once per tree."""
+    return _over(trees, _undeclared, "name string")
