@@ -627,8 +627,7 @@ links AS MATERIALIZED (
 
 @query(f"WITH {LINKED} SELECT sample_id, name, end_id, t, begin_id, begin_t, how FROM links")
 def resolved_names(spark, sf_dir):
-    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
-    found = fl.resolved_names(nodes)
+    found = fl.resolved_names(td.programs(spark, sf_dir))
     return found.withColumns({c: F.col(c).cast("long") for c in ("end_id", "begin_id")})
 
 
