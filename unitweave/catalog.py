@@ -634,8 +634,7 @@ def resolved_names(spark, sf_dir):
 @query(f"""WITH {LINKED} SELECT l.sample_id, d.stmt AS src, u.stmt AS dst, CASE WHEN l.how = 'later' THEN l.begin_t ELSE l.t END AS ord, l.begin_id, l.end_id FROM links l
 JOIN (SELECT DISTINCT sample_id, pos, stmt FROM events) d ON d.sample_id = l.sample_id AND d.pos = l.begin_id JOIN (SELECT DISTINCT sample_id, pos, stmt FROM events) u ON u.sample_id = l.sample_id AND u.pos = l.end_id""")
 def data_edges(spark, sf_dir):
-    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
-    return fl.data_edges(nodes).select("sample_id", "ord", *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "begin_id", "end_id")])
+    return fl.data_edges(td.programs(spark, sf_dir)).select("sample_id", "ord", *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "begin_id", "end_id")])
 
 
 @query(f"WITH {LINKED} SELECT DISTINCT sample_id, name FROM links WHERE how IS NULL")
