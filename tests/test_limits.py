@@ -12,7 +12,7 @@ from unitweave.operators import trees as tr
 
 QUERIES = entry.queries()
 #: Queries that read each program once, where its text is made.
-IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges"]
+IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges", "undeclared_names"]
 
 
 def plan(found) -> str:

@@ -639,7 +639,7 @@ def data_edges(spark, sf_dir):
 
 @query(f"WITH {LINKED} SELECT DISTINCT sample_id, name FROM links WHERE how IS NULL")
 def undeclared_names(spark, sf_dir):
-    return fl.undeclared_names(store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes"))
+    return fl.undeclared_names(td.programs(spark, sf_dir))
 
 
 # Models and modules.
