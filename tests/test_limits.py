@@ -7,12 +7,13 @@ import pytest
 from programs import random_program
 
 import __spark_entry__ as entry
+from unitweave import catalog
 from unitweave.operators import dataflow as df
 from unitweave.operators import trees as tr
 
 QUERIES = entry.queries()
 #: Queries that read each program once, where its text is made.
-IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges", "undeclared_names"]
+IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges", "undeclared_names", "program_flow_units"]
 
 
 def plan(found) -> str:
@@ -41,3 +42,12 @@ def test_trees_in_json_and_in_nodes_give_the_same(spark):
     nodes = tr.flatten_tree(trees).cache()
     for of in (df.identifier_events, df.resolved_names, df.data_edges, df.undeclared_names):
         same(of(trees), of(nodes))
+
+
+def test_walks_over_trees_equal_walks_over_rows(spark):
+    trees = some_programs(spark)
+    nodes = tr.flatten_tree(trees).cache()
+    edges = catalog.program_edges(nodes).cache()
+    for level in df.LEVELS:
+        for features in ("ngrams", "value"):
+            same(df.program_flow(trees, level, features), tr.flow_units(nodes, edges, level, features))

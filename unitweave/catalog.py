@@ -761,8 +761,7 @@ def program_edges(nodes: DataFrame) -> DataFrame:
 
 
 def _program_flow(spark: SparkSession, sf_dir: str, level: str, kind: str) -> DataFrame:
-    nodes = store(tr.flatten_tree(td.programs(spark, sf_dir)), "nodes")
-    units = tr.flow_units(nodes, store(program_edges(nodes), "edges"), level, kind)
+    units = fl.program_flow(td.programs(spark, sf_dir), level, kind)
     shown = F.transform("units", lambda u: F.concat_ws(":", u["unit"], u["value"])) if kind == "value" else F.col("units")
     return units.select("sample_id", F.size("units").cast("long").alias("n_units"), F.md5(F.array_join(shown, ",")).alias("units"))
 
