@@ -13,7 +13,7 @@ from unitweave.operators import trees as tr
 
 QUERIES = entry.queries()
 #: Queries that read each program once, where its text is made.
-IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges", "undeclared_names", "program_flow_units"]
+IN_ONE_PASS = ["identifier_events", "resolved_names", "data_edges", "undeclared_names", "program_flow_units", "program_flow_values"]
 
 
 def plan(found) -> str:
