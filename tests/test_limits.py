@@ -5,11 +5,15 @@ import random
 
 import pytest
 from programs import random_program
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from unitweave import catalog
 from unitweave.operators import dataflow as df
 from unitweave.operators import trees as tr
+from unitweave.operators import units as un
+from unitweave.plans import modules
+from unitweave.sources.files import store
 
 QUERIES = entry.queries()
 #: Queries that read each program once, where its text is made.
@@ -51,3 +55,33 @@ def test_walks_over_trees_equal_walks_over_rows(spark):
     for level in df.LEVELS:
         for features in ("ngrams", "value"):
             same(df.program_flow(trees, level, features), tr.flow_units(nodes, edges, level, features))
+
+
+def test_modules_of_trees_equal_modules_of_units(spark, sf):
+    def shown(counts):
+        return counts.select(*modules.MODULE, "sample_id", "label", "feature", F.col("cnt").cast("long").alias("cnt"), F.col("total").cast("long").alias("total"))
+
+    programs = catalog.labelled_programs(spark, sf).where("sample_id % 7 = 0")
+    units = {k: v.where("sample_id % 7 = 0") for k, v in catalog.program_modules(spark, sf).items()}
+    counted = store(modules.run_tree_modules(programs), "counts")
+    same(shown(modules.counts_in_rows(counted)), store(shown(modules.run_modules(units)), "plain"))
+    # what is no tree has tokens only; names in other scripts, comments over lines, an Identifier without a name
+    odd = [(1, "?", "var \u00e9t\u00e9 = '\u4e2d'; /* a\nb */ \u00b2 ` // x"), (2, "?", None), (3, "?", ""), (4, "?", '{"type":"Program","body":[{"type":"ExpressionStatement","expression":{"type":"Identifier"}}]}')]
+    odd = spark.createDataFrame(odd, "sample_id long, label string, tree string")
+    got = modules.counts_in_rows(modules.run_tree_modules(odd, 3))
+    nodes = tr.flatten_tree(odd)
+    pairs = nodes.where("sample_id = 4 and node_id > 0").groupBy("sample_id").agg(F.collect_list(F.struct(F.col("name").alias("unit"), F.lit(None).cast("string").alias("value"))).alias("units"))
+    assert not pairs.isEmpty()
+    units = {("tokens", "ngrams"): un.lex_units(odd, "tree"), ("tokens", "value"): un.lex_units(odd, "tree", with_value=True), ("ast", "value"): pairs.withColumn("label", F.lit("?"))}
+    units = {k: v.select("sample_id", "label", "units") for k, v in units.items()}
+    same(shown(got.where("level = 'tokens' or features = 'value'")), shown(modules.run_modules(units, 3)))
+
+
+@pytest.mark.parametrize("name", ["run_all_modules"])
+def test_modules_count_each_program_once(spark, sf, name, monkeypatch):
+    stored = []
+    for at in (catalog, modules):
+        monkeypatch.setattr(at, "store", lambda found, what: stored.append(what) or store(found, what))
+    assert QUERIES[name](spark, sf).count() > 0
+    # neither programs nor nodes nor edges nor units are stored
+    assert not {"programs", "nodes", "edges", "units"} & set(stored)

@@ -133,7 +133,7 @@ def program_flow(trees: DataFrame, level: str, features: str = "ngrams") -> Data
         edges = [(kind, edges_by_source(placed.data() if kind == "data" else placed.control(), kind)) for kind in kinds]
         if features == "ngrams":
             return [(flow_names(tree, edges),)]
-        ctx = contexts(tree)
+        ctx, _ = contexts(tree)
         return [(flow_pairs(tree, edges, ctx, pairs(tree, ctx)),)]
 
     return map_trees(trees, walk, "units array<string>" if features == "ngrams" else "units array<struct<unit:string,value:string>>")
