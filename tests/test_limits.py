@@ -13,6 +13,7 @@ from unitweave.operators import dataflow as df
 from unitweave.operators import trees as tr
 from unitweave.operators import units as un
 from unitweave.plans import modules
+from unitweave.plans import testdata as td
 from unitweave.sources.files import store
 
 QUERIES = entry.queries()
@@ -32,6 +33,15 @@ def test_programs_are_read_in_one_pass(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["flow_units_pdg"])
+def test_trees_of_orders_are_dealt_out_and_sorted_once(spark, sf, name):
+    text = plan(QUERIES[name](spark, sf))
+    assert spark.conf.get("spark.checkpoint.dir") not in text and "FlatMapCoGroupsInPandas" not in text
+    above, _, below = text.partition("Union")
+    # above the nodes: one exchange, one sort of nodes for all windows
+    assert below and len([x for x in above.splitlines() if "Exchange " in x]) == 1 and len([x for x in above.splitlines() if "Sort [" in x]) == 1
+
+
 def some_programs(spark, count=40):
     rng = random.Random(5)
     return spark.createDataFrame([(k, json.dumps(random_program(rng))) for k in range(count)], "sample_id long, tree string")
@@ -85,3 +95,10 @@ def test_modules_count_each_program_once(spark, sf, name, monkeypatch):
     assert QUERIES[name](spark, sf).count() > 0
     # neither programs nor nodes nor edges nor units are stored
     assert not {"programs", "nodes", "edges", "units"} & set(stored)
+
+
+def test_flow_of_names_equals_walks_over_rows(spark, sf):
+    nodes = tr.flatten_tree(some_programs(spark)).cache()
+    for some in (nodes, td.order_trees(spark, sf)):
+        for level, features in (("cfg", "ngrams"), ("pdg", "value"), ("pdg-dfg", "ngrams")):
+            same(tr.name_flow(some, level, features), tr.flow_units(some, catalog.flow_edges(some), level, features))

@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitweave.functions.walks import GLOBAL, Placed, contexts, edges_by_source, flow_names, flow_pairs, pairs  # noqa: F401
-from unitweave.operators.trees import map_nodes, map_trees
+from unitweave.functions.walks import GLOBAL, Placed, edges_by_source  # noqa: F401
+from unitweave.operators.trees import LEVELS, NAMES, PAIRS, map_nodes, map_trees, walked
 
 EVENTS = ["sample_id", "pos", "t", "at", "name", "kind", "how", "is_function", "quiet", "scope", "home", "top"]
 _EVENTS = "t long, pos int, at long, name string, kind string, how string, is_function boolean, quiet boolean, scope int, home int, top boolean"
@@ -120,20 +120,11 @@ def undeclared_names(trees: DataFrame) -> DataFrame:
     return _over(trees, _undeclared, "name string")
 
 
-#: Edges that the walks of a level follow, one kind after the other.
-LEVELS = {"cfg": ["control"], "pdg-dfg": ["data"], "pdg": ["data", "control"]}
-
-
 def program_flow(trees: DataFrame, level: str, features: str = "ngrams") -> DataFrame:
     """sample_id, units: `flow_units` over the control edges and data edges of trees in JSON, without either in rows."""
-    kinds = LEVELS[level]
 
     def walk(tree) -> list[tuple]:
         placed = Placed(tree)
-        edges = [(kind, edges_by_source(placed.data() if kind == "data" else placed.control(), kind)) for kind in kinds]
-        if features == "ngrams":
-            return [(flow_names(tree, edges),)]
-        ctx, _ = contexts(tree)
-        return [(flow_pairs(tree, edges, ctx, pairs(tree, ctx)),)]
+        return walked(tree, [(kind, edges_by_source(placed.data() if kind == "data" else placed.control(), kind)) for kind in LEVELS[level]], features)
 
-    return map_trees(trees, walk, "units array<string>" if features == "ngrams" else "units array<struct<unit:string,value:string>>")
+    return map_trees(trees, walk, NAMES if features == "ngrams" else PAIRS)
