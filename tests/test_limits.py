@@ -33,7 +33,7 @@ def test_programs_are_read_in_one_pass(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["flow_units_pdg", "flow_units_cfg", "flow_units_pdg_dfg"])
+@pytest.mark.parametrize("name", ["flow_units_pdg", "flow_units_cfg", "flow_units_pdg_dfg", "flow_units_pdg_value"])
 def test_trees_of_orders_are_dealt_out_and_sorted_once(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert spark.conf.get("spark.checkpoint.dir") not in text and "FlatMapCoGroupsInPandas" not in text
