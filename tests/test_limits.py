@@ -33,7 +33,7 @@ def test_programs_are_read_in_one_pass(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["flow_units_pdg", "flow_units_cfg", "flow_units_pdg_dfg", "flow_units_pdg_value"])
+@pytest.mark.parametrize("name", ["flow_units_cfg", "flow_units_pdg", "flow_units_pdg_dfg", "flow_units_pdg_value"])
 def test_trees_of_orders_are_dealt_out_and_sorted_once(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert spark.conf.get("spark.checkpoint.dir") not in text and "FlatMapCoGroupsInPandas" not in text
@@ -87,7 +87,7 @@ def test_modules_of_trees_equal_modules_of_units(spark, sf):
     same(shown(got.where("level = 'tokens' or features = 'value'")), shown(modules.run_modules(units, 3)))
 
 
-@pytest.mark.parametrize("name", ["run_all_modules"])
+@pytest.mark.parametrize("name", ["run_all_modules", "module_votes"])
 def test_modules_count_each_program_once(spark, sf, name, monkeypatch):
     stored = []
     for at in (catalog, modules):
